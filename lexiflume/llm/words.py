@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words remembered by one Python worker before its memo starts afresh: a bound on memory, not on the input.
@@ -44,3 +47,68 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(size):
         out = out * _ODD[i % 5] + mix(hashes[i : n - size + 1 + i] + np.uint64(i)) if k > 5 else out + hashes[i : n - size + 1 + i] * _ODD[i]
     return mix(out)
+
+
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 17
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: A random value for each byte, A-Z as a-z; words are polynomials over these modulo 2^64.
+_VALUE = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)[_LOWER]
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(max(n, SLICE), np.uint64(base))
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts data[edges[i]:edges[i + 1]], and how many each text has."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64)
+    word = ~_BLANK[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = edges[(edges > 0) & (edges < len(data))]
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), np.diff(np.searchsorted(a, edges))
+
+
+def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The words of each text of a string column, hashed in slices of whole texts: (first row, hashes, words per row).
+
+    Words are as split_words cuts them, A-Z lower-cased; null counts as empty."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        hashes, counts = _hashed(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, hashes, counts
+        at = end
+
+
+def row_shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The set of k-word shingles of each text, as sorted hashes."""
+    for _, hashes, counts in hashed_words(column):
+        ends = np.cumsum(counts)
+        whole = shingles(hashes, k) if len(hashes) >= k else hashes[:0]
+        for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+            s = np.sort(whole[end - n : end - k + 1]) if n >= k else shingles(hashes[end - n : end], k)
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
