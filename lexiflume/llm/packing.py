@@ -12,8 +12,10 @@ Null and empty texts give the closing id alone. Repeated rows are packed as ofte
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,40 +25,73 @@ from lexiflume.llm.scratch import Scratch
 #: Pieces in a lot, about.
 LOT = 16_384
 #: Words that one Python worker remembers at most.
-MEMO = 500_000
+MEMO = 700_000
+#: Words encoded by one call, with a mark between them.
+AT_ONCE, MARK = 2000, "~"
+#: Between a letter or digit (ASCII, or a Latin-1 letter) and an ASCII mark other than the apostrophe no rule of the vocabulary
+#: looks across: its pattern keeps letters and marks apart (but for 's and the like), and no mark there takes part in NFC.
+_MARKS = rb"[!-&(-/:-@\[-`{-~]"
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_AFTER = re.compile(_MARKS + rb"(?:(?<=[a-z0-9]" + _MARKS + rb")|(?<=" + _LATIN + _MARKS + rb"))")
+_BEFORE = re.compile(_MARKS + rb"(?=[a-z0-9]|" + _LATIN + rb")")
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit numbers, the same as the tokenizer gives.
+
+    The vocabulary lower-cases, drops white space and merges within words only, so texts are cut at ASCII white space,
+    and where a letter meets a mark, and each distinct part is encoded once. Texts that may hold a special token (they
+    start with "<|") go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.mark = self._ids([MARK])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        sign = MARK.encode()
+        alone = [w for w in words if sign in w]
+        words = [w for w in words if sign not in w]
+        mark = int.from_bytes(self.mark, "little")
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            ids = np.frombuffer(self._ids([(b" " + sign + b" ").join(some).decode("utf-8")])[0], "<u4")
+            cuts = np.flatnonzero(ids == mark)
+            if len(self.mark) != 4 or len(cuts) != len(some) - 1:
+                alone += some
+                continue
+            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.words.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
+        if alone:
+            self.words.update(zip(alone, self._ids([w.decode("utf-8") for w in alone]), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        raw = [t.encode("utf-8") if t else b"" for t in texts]
+        cut = [None if b"<|" in r else _BEFORE.sub(rb"\g<0> ", _AFTER.sub(rb" \g<0>", r.lower())).split() for r in raw]
+        words = set().union(*(c for c in cut if c))
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > MEMO:
+            self.words.clear()
+            new = words
+        self._learn(list(new))
+        get = self.words.__getitem__
+        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def encode_all(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
-
-    This vocabulary's rules never look across white space (it is dropped; merges stay within words), so texts are
-    cut at ASCII white space and each distinct piece is encoded once.
-    """
-    tokenizer, memo = _tokenizer(path)
-    cut = [t.encode("utf-8").split() if t else [] for t in texts]
-    new = list({w for words in cut for w in words}.difference(memo))
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({w for words in cut for w in words})
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, e in zip(part, encode([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            memo[word] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-    return [b"".join(map(memo.__getitem__, words)) for words in cut]
-
-
 class Capacities:
     """Segment tree over remaining capacities 0..size; a leaf holds the open bins that have it."""
 
@@ -113,12 +148,12 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
     scratch = Scratch(documents.sparkSession)
 
     def pieces(batches):
-        end = end_id.to_bytes(4, "little")
+        end, encode = end_id.to_bytes(4, "little"), encoder(tokenizer_path).encode
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text").to_pylist(), tokenizer_path), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                     ids += end
                     for i, start in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[start : start + 4 * size]
