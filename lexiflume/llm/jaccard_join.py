@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexiflume.llm.components import components
 from lexiflume.llm.scratch import Scratch
-from lexiflume.llm.words import WordHash, shingles, split_words
+from lexiflume.llm.words import row_shingles
 
 #: Cells of the table of hashed counts, and of each piece in which it travels.
 CELLS, PIECE = 1 << 21, 1 << 17
-#: Bits of the parity bitmap.
+#: Bits of the parity bitmap that all sets have; larger sets have a wider one besides, as many bits as shingles at least.
 BITS = 1024
 #: Candidate ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -37,10 +37,9 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 256
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, column: str = "text"):
-    memo = WordHash()
+def _sets(batches: Iterator[pa.RecordBatch], k: int):
     for batch in batches:
-        yield batch, [np.unique(shingles(memo.array(split_words(t)), k)) for t in batch.column(column).to_pylist()]
+        yield batch, list(row_shingles(batch.column("text"), k))
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -75,9 +74,23 @@ def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def _bitmaps(s: np.ndarray) -> tuple[bytes, bytes | None]:
+    """The parity of the shingles in each cell: with BITS cells, and for larger sets with more. Two sets differ in at least as
+    many shingles as their bitmaps in bits."""
+    width = BITS
+    while width < len(s):
+        width *= 2
+    odd = (np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+    wide = np.packbits(odd)
+    return np.bitwise_xor.reduce(wide.reshape(-1, BITS // 8)).tobytes(), wide.tobytes() if width > BITS else None
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the other's width, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, width)) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -87,7 +100,7 @@ def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
     def sign(batches):
         level = sent.value
         for batch, sets in _sets(batches, k):
-            out = {x: [] for x in ("n", "node", "grp", "rare", "prefix", "bits")}
+            out = {x: [] for x in ("n", "node", "grp", "rare", "prefix", "bits", "wide")}
             for s in sets:
                 n, lev = len(s), level[_cell(s)]
                 prefix = s[np.argsort(lev, kind="stable")[: n - (percent * n + 99) // 100 + 1]] if n else s
@@ -96,48 +109,73 @@ def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
                 out["grp"].append(xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - 2**63 if n else None)
                 out["rare"].append(int((lev == 0).sum()))
                 out["prefix"].append(prefix.view(np.int64))
-                out["bits"].append(_bitmap(s))
+                for name, bitmap in zip(("bits", "wide"), _bitmaps(s), strict=True):
+                    out[name].append(bitmap)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(out[x], t) for x, t in (("n", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("rare", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())))],
+                [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(out[x], t) for x, t in (("n", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("rare", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("wide", pa.binary())))],
                 ["doc_id", "text_hash", *out],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, text_hash long, n long, node long, grp long, rare long, prefix array<long>, bits binary")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n long, node long, grp long, rare long, prefix array<long>, bits binary, wide binary")
+
+
+def _need(both: np.ndarray, percent: int) -> np.ndarray:
+    """The least intersection that links two sets with so many shingles together."""
+    return -(-percent * both // (100 + percent))
+
 
+def _partnered(batches, percent: int):
+    """Rows (tok, gid, np: size and position) come sorted by tok and size. Passes on those that another row of the same
+    tok can match: sizes within the threshold, and the smaller of the two placed early enough for the needed intersection."""
 
-def _runs_of_two(batches, names: tuple[str, ...]):
-    """Rows come sorted by the first column; passes on those whose value occurs at least twice."""
-    held, shown = None, False  # the last row so far, and whether it has been passed on
+    def kept(tok, gid, np_):
+        n, pos = np_ >> 32, np_ & 0xFFFFFFFF
+        at = np.arange(len(tok))
+        run = np.concatenate([[0], np.cumsum(tok[1:] != tok[:-1])])
+        early = n - pos >= _need(2 * n, percent)  # can be the smaller one, or as large
+        # The nearest early row before, of the same tok: the largest that can be the smaller partner.
+        before = np.maximum.accumulate(np.where(early, at, -1))
+        before = np.concatenate([[-1], before[:-1]])
+        has = (before >= 0) & (run[before] == run) & (100 * n[before] >= percent * n)
+        after = np.concatenate([(run[1:] == run[:-1]) & (100 * n[:-1] >= percent * n[1:]), [False]])
+        keep = has | (early & after)
+        if hot is not None:
+            keep |= tok == hot
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, gid, np_)], ["tok", "gid", "np"])
+
+    held, hot = None, None
     for batch in batches:
-        rows = np.stack([batch.column(n).to_numpy() for n in names])
+        rows = np.stack([batch.column(c).to_numpy() for c in ("tok", "gid", "np")])
+        rows = rows if held is None else np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
-        if held is not None:
-            rows = np.concatenate([held, rows], axis=1)
-        same = rows[0][1:] == rows[0][:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        last = keep[-1] or (rows.shape[1] == 1 and shown)
-        if held is not None and shown:
-            keep[0] = False
-        held, shown = rows[:, -1:], bool(last)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], list(names))
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+        if cut:
+            yield kept(*rows[:, :cut])
+        held = rows[:, cut:]
+        if held.shape[1] > 500_000:  # a hot one goes on whole
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:, :-1]], ["tok", "gid", "np"])
+            held, hot = held[:, -1:], held[0, -1]
+    if held is not None and held.shape[1]:
+        yield kept(*held)
 
 
 def _needed(a: str, b: str, percent: int) -> str:
     """The least intersection of two sets of these sizes that links them."""
-    return f"ceil({percent} * ({a} + {b}) / {100 + percent}.0D - 1e-9)"
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
 def _filter(percent: int) -> str:
+    """Size, and position as the first common shingle; a pair that links passes in the bucket of its first common one."""
     return f"""100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)
-        and least(l.pos, r.pos) + least(l.n - l.pos, r.n - r.pos) >= {_needed("l.n", "r.n", percent)}"""
+        and least(l.n - l.pos, r.n - r.pos) >= {_needed("l.n", "r.n", percent)}"""
 
 
 def _close(l: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """False where parity bitmaps (rows of bytes) prove that two sets differ in too many shingles."""
     apart = np.bitwise_count(l.view(np.uint64) ^ r.view(np.uint64)).sum(-1)
     both = n + m
-    return apart <= both - 2 * np.ceil(percent * both / (100 + percent) - 1e-9)
+    return apart <= both - 2 * _need(both, percent)
 
 
 def _bits(column) -> np.ndarray:
@@ -149,7 +187,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
     def near(batches):
         for b in batches:
-            keep = _close(_bits(b.column("lb")), _bits(b.column("rb")), b.column("ln").to_numpy(), b.column("rn").to_numpy(), percent)
+            ln, rn = b.column("ln").to_numpy(), b.column("rn").to_numpy()
+            keep = _close(_bits(b.column("lb")), _bits(b.column("rb")), ln, rn, percent)
+            left, right = b.column("lw").to_pylist(), b.column("rw").to_pylist()
+            for i in np.flatnonzero(keep).tolist():
+                if left[i] and right[i]:
+                    both = int(ln[i] + rn[i])
+                    keep[i] = _apart(left[i], right[i]) <= both - 2 * -(-percent * both // (100 + percent))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
 
     def resets(batches):
@@ -165,21 +209,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep, pa.bool_())), b.column("v").filter(pa.array(keep, pa.bool_()))], ["u", "v"])
 
-    small = nodes.select("node", "n", "bits")
-    wide = pairs.join(small.toDF("u", "ln", "lb"), "u").join(small.toDF("v", "rn", "rb"), "v")
-    left = scratch.keep(f"{tag}-near", wide.select("u", "v", "ln", "rn", "lb", "rb").mapInArrow(near, "u long, v long"))
+    small = nodes.select("node", "n", "bits", "wide")
+    wide = pairs.join(small.toDF("u", "ln", "lb", "lw"), "u").join(small.toDF("v", "rn", "rb", "rw"), "v")
+    left = scratch.keep(f"{tag}-near", wide.select("u", "v", "ln", "rn", "lb", "rb", "lw", "rw").mapInArrow(near, "u long, v long"), tidy=True)
     ids = scratch.keep(f"{tag}-ids", left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "home", "home_hash"), "node").select("home", "home_hash"))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(ids.home) & (docs.text_hash == ids.home_hash), "left_semi")
-    sets = scratch.keep(f"{tag}-sets", texts.mapInArrow(resets, "node long, shingles binary").dropDuplicates(["node"]))
+    # Dealt out by node once: both joins below stand on the same exchange.
+    sets = texts.mapInArrow(resets, "node long, shingles binary").dropDuplicates(["node"])
     whole = left.join(sets.toDF("v", "rs"), "v").join(sets.toDF("u", "ls"), "u").select("u", "v", "ls", "rs")
-    links = scratch.keep(f"{tag}-links", whole.mapInArrow(verify, "u long, v long"))
-    scratch.drop(f"{tag}-near", f"{tag}-ids", f"{tag}-sets")
+    links = scratch.keep(f"{tag}-links", whole.mapInArrow(verify, "u long, v long"), tidy=True)
+    scratch.drop(f"{tag}-near", f"{tag}-ids")
     return links
 
 
-def _rest(entries: DataFrame, percent: int) -> DataFrame:
-    """entries (tok, node, n, pos, bits, comp, top: comp is the pivot's). Candidate pairs across components, at least
+def _rest(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """entries (tok, node, n, pos, comp, top: comp is the pivot's), bitmaps (node, bits). Candidate pairs across components, at least
     one of the two outside the pivot's component; buckets go block against block."""
     sizes = entries.groupBy("tok").agg(F.count(F.when(~F.col("top"), 1)).alias("outs"), F.count(F.when(F.col("top"), 1)).alias("ins"))
     cut = entries.join(sizes.where("outs > 0"), "tok").withColumns({"no": F.ceil(F.col("outs") / BLOCK).cast("int"), "ni": F.ceil(F.col("ins") / BLOCK).cast("int"), "h": F.xxhash64("node")})
@@ -189,49 +234,48 @@ def _rest(entries: DataFrame, percent: int) -> DataFrame:
         transform(sequence(0, no - 1), x -> struct(least(x, b) as i, greatest(x, b) as j, false as inner)),
         transform(if(ni > 0, sequence(0, ni - 1), array()), x -> struct(b as i, x as j, true as inner))))""").alias("at"))
     inner = cut.where("top").withColumn("b", F.expr("cast(pmod(h, ni) as int)")).select("*", F.expr("explode(transform(sequence(0, no - 1), x -> struct(x as i, b as j, true as inner)))").alias("at"))
-    keyed = sides.union(inner).select("tok", "at.*", "node", "n", "pos", "bits", "comp", F.when(F.col("at.inner"), F.col("top").cast("int")).otherwise(0).alias("side"))
-    parts = keyed.repartition("tok", "i", "j", "inner").sortWithinPartitions("tok", "inner", "i", "j", "side", "node")
+    keyed = sides.union(inner).select("tok", "at.*", "node", "n", "pos", "comp", F.when(F.col("at.inner"), F.col("top").cast("int")).otherwise(0).alias("side"))
+    parts = keyed.join(bitmaps, "node").repartition("tok", "i", "j", "inner").sortWithinPartitions("tok", "inner", "i", "j", "side", "node")
 
     def meet(batches):
         held: list[pa.RecordBatch] = []
 
-        def block(t: pa.Table):
-            n, pos, comp, node = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "node"))
-            side, b = t.column("side").to_numpy(), t.column("b").to_numpy()
-            bits = _bits(t.column("bits").combine_chunks()).view(np.uint64)
-            first = np.nonzero(side == 0)[0]
-            out = []
-            for x in first:
-                y = np.nonzero((comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((side == 1) | (node > node[x])))[0]
-                if len(y):
-                    need = np.ceil(percent * (n[y] + n[x]) / (100 + percent) - 1e-9)
-                    y = y[np.minimum(pos[y], pos[x]) + np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need]
-                    both = n[y] + n[x]
-                    y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(-1) <= both - 2 * np.ceil(percent * both / (100 + percent) - 1e-9)]
-                    out.append(np.stack([np.full(len(y), node[x]), node[y]]))
-            if out:
-                u, v = np.concatenate(out, axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
         def blocks(t: pa.Table, done: bool):
             key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("tok", "inner", "i", "j")])
-            edge = np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1
-            ends = [*edge, *([t.num_rows] if done else [])]
-            at = 0
-            for end in ends:
-                if (made := block(t.slice(at, end - at))) is not None:
-                    yield made
-                at = end
-            held[:] = t.slice(at).to_batches()
+            begins = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1])
+            until = t.num_rows if done else int(begins[-1])
+            held[:] = t.slice(until).to_batches()
+            if not until:
+                return
+            t = t.slice(0, until)
+            n, pos, comp, node, side = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "node", "side"))
+            bits = _bits(t.column("bits").combine_chunks()).view(np.uint64)
+            begins = begins[begins < until]
+            end = np.repeat(np.concatenate([begins[1:], [until]]), np.diff(np.concatenate([begins, [until]])))
+            # Pairs (x, x + d) of a block, for all blocks at once; rows whose block ends before x + d drop out.
+            x, d = np.arange(until), 0
+            while True:
+                d += 1
+                x = x[x + d < end[x]]
+                if not len(x):
+                    break
+                u, v = x, x + d
+                both = n[u] + n[v]
+                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & ((side[u] == 0) | (side[v] == 0)) & (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= _need(both, percent))
+                u, v, both = u[ok], v[ok], both[ok]
+                near = np.bitwise_count(bits[u] ^ bits[v]).sum(-1) <= both - 2 * _need(both, percent)
+                if near.any():
+                    u, v = node[u[near]], node[v[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= 4096:
+            if sum(x.num_rows for x in held) >= 20_000:
                 yield from blocks(pa.Table.from_batches(held), False)
         if held:
             yield from blocks(pa.Table.from_batches(held), True)
 
-    return parts.withColumn("b", F.lit(0)).mapInArrow(meet, "u long, v long").distinct()
+    return parts.mapInArrow(meet, "u long, v long").distinct()
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,14 +290,17 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
 
     # Nodes: one per set. home is the row from which its set can be made again.
     some = base.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("home"), F.min_by("text_hash", "doc_id").alias("home_hash"), F.first("text_hash").alias("any_hash"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    nodes = scratch.keep("nodes", nodes.withColumn("home_hash", F.coalesce("home_hash", "any_hash")).drop("any_hash"))
-    # Groups: same prefix and size; gid is the member with the fewest rare shingles.
-    groups = nodes.groupBy("grp").agg(F.min(F.struct("rare", "node")).alias("lead"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = groups.select(F.posexplode("prefix").alias("pos", "tok"), F.col("lead.node").alias("gid"), "n", "lead.rare", "grp").select("tok", "gid", F.expr("shiftleft(n, 32) | pos").alias("np"), "rare", "grp")
-    names = ("tok", "gid", "np", "rare", "grp")
-    shared = tokens.repartition("tok").sortWithinPartitions("tok").mapInArrow(lambda it: _runs_of_two(it, names), "tok long, gid long, np long, rare long, grp long")
-    entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos"), "rare", "grp"))
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("home"), F.min_by("text_hash", "doc_id").alias("home_hash"), F.first("text_hash").alias("any_hash"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    nodes = scratch.keep("nodes", nodes.withColumn("home_hash", F.coalesce("home_hash", "any_hash")).drop("any_hash"), tidy=True)
+    # Groups: same prefix and size; the leader is the member with the fewest rare shingles.
+    groups = nodes.groupBy("grp").agg(F.min(F.struct("rare", "node")).alias("lead"), F.count("*").alias("members")).select("grp", F.col("lead.node").alias("gid"), "members")
+    big = scratch.keep("big", groups.where("members > 1").select("grp", "gid"))
+    others = scratch.keep("others", nodes.select("node", "grp").join(big, "grp").where("node <> gid").select("node"))
+    leaders = nodes.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "node", "left_anti")
+    tokens = leaders.select("node", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", F.col("node").alias("gid"), F.expr("shiftleft(n, 32) | pos").alias("np"))
+    shared = tokens.repartition("tok").sortWithinPartitions("tok", "np").mapInArrow(lambda it: _partnered(it, percent), "tok long, gid long, np long")
+    lead = nodes.select(F.col("node").alias("gid"), "rare", "grp")
+    entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid"), tidy=True)
 
     # Each group meets its bucket's pivot, each member its group's leader.
     pivots = entries.groupBy("tok").agg(F.min(F.struct("rare", "gid", "n", "pos")).alias("p")).select("tok", "p.*")
@@ -262,13 +309,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
     # Expanded: the pivot (leader of its group) against every member of the other group.
     member = nodes.select("grp", "node")
     opened = stars.join(member, "grp").select(F.col("gid").alias("u"), F.col("node").alias("v"))
-    inside = nodes.join(groups.where("members > 1").select("grp", F.col("lead.node").alias("u")), "grp").where("node <> u").select("u", F.col("node").alias("v"))
+    inside = nodes.join(big.toDF("grp", "u"), "grp").where("node <> u").select("u", F.col("node").alias("v"))
     pairs = opened.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = _verified(pairs, nodes, docs, k, percent, scratch, "star")
     comps = scratch.keep("comps", components(first, scratch, "star-cc"))
 
     # What still lies in another component than its bucket's pivot meets the bucket.
-    big = groups.where("members > 1").select("grp", F.col("lead.node").alias("gid"))
     as_bucket = nodes.join(big, "grp").select(F.col("grp").alias("tok"), "node", "n", F.lit(0).cast("long").alias("pos"), F.col("gid").alias("pivot"))
     by_token = entries.join(member, "grp").join(pivots.select("tok", F.col("gid").alias("pivot")), "tok").select("tok", "node", "n", "pos", "pivot")
     named = comps.select("node", "component")
@@ -276,9 +322,11 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
     at = at.join(named.toDF("pivot", "pc"), "pivot", "left").withColumn("top", F.col("comp") == F.coalesce("pc", "pivot"))
     # A member outside can link only within the size ratio; buckets all inside the pivot's component are done.
     mixed = at.groupBy("tok").agg(F.min("top").alias("pure")).where("not pure").select("tok")
-    rest = at.join(mixed, "tok", "left_semi").join(nodes.select("node", "bits"), "node").select("tok", "node", "n", "pos", "bits", "comp", "top")
-    more = _verified(_rest(rest, percent), nodes, docs, k, percent, scratch, "rest")
+    rest = scratch.keep("rest", at.join(mixed, "tok", "left_semi").select("tok", "node", "n", "pos", "comp", "top"), tidy=True)
     scratch.drop("entries")
+    pairs = scratch.keep("rest-pairs", _rest(rest, nodes.select("node", "bits"), percent), tidy=True)
+    more = _verified(pairs, nodes, docs, k, percent, scratch, "rest")
+    scratch.drop("rest", "rest-pairs", "big", "others")
     final = scratch.keep("final", components(first.union(more), scratch, "cc"))
     scratch.drop("comps", "star-links", "rest-links")
 

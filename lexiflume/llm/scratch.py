@@ -28,10 +28,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, tidy: bool = False) -> DataFrame:
+        """tidy: shuffle files of the plan just written are no longer needed; a collection of the driver's garbage lets
+        Spark's cleaner delete them now rather than some time later."""
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         self.paths[name] = path
+        if tidy:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -70,3 +70,19 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(df).count() == 0
+
+
+def test_bitmaps_never_pass_the_true_difference():
+    import numpy as np
+
+    from lexiflume.llm import jaccard_join as j
+
+    r = np.random.default_rng(5)
+    for n, changed in ((50, 3), (1500, 40), (5000, 300), (5000, 5000), (2100, 900)):
+        a = np.unique(r.integers(0, 2**63, n, np.uint64))
+        b = np.unique(np.concatenate([a[changed:], r.integers(0, 2**63, changed // 2, np.uint64)]))
+        true = len(np.setxor1d(a, b))
+        (x, wx), (y, wy) = j._bitmaps(a), j._bitmaps(b)
+        assert len(x) == len(y) == j.BITS // 8
+        assert j._apart(x, y) <= true
+        assert j._apart(x, y) <= j._apart(wx or x, wy or y) <= true
