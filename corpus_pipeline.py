@@ -22,10 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram Jaccard similarity the one with the least doc_id stays; texts
+    """Of each group of documents linked by n-gram Jaccard similarity the one with the least doc_id stays
+    (one without an id only if none has one); texts
     without words are in no group. Five-word shingles, similarity of 0.8 or more. Of rows that repeat whole, one stays."""
     found = jaccard_components(docs, k=5, percent=80)
-    grouped = found.where("node is not null").groupBy("comp_node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep")).select("keep.*")
+    grouped = found.where("node is not null").groupBy("comp_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("keep")).select("keep.doc_id", "keep.text_hash")
     alone = found.where("node is null").select("doc_id", "text_hash").distinct()
     keep = grouped.union(alone).toDF("keep_id", "keep_hash")
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
