@@ -135,14 +135,16 @@ def r16(spark, d):
     return _near(spark, d, 5).join(table(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "lang", F.col("rank").cast("long").alias("rank"))
 
 
-@query("V07", """with s as (select e.label as doc_id, e.vec_id % 3 as span, i, avg(cast(e.embedding[i] as double)) as x from embeddings e, generate_series(1, 64) g(i) group by all)
+for _name in ("V07", "R20"):
+
+    @query(_name, """with s as (select e.label as doc_id, e.vec_id % 3 as span, i, avg(cast(e.embedding[i] as double)) as x from embeddings e, generate_series(1, 64) g(i) group by all)
 select doc_id, cast(span as int) as span, cast(i as int) as i, round(x / sqrt(sum(x * x) over (partition by doc_id, span)), 4) as x from s""")
-def v07(spark, d):
-    by = Window.partitionBy("label").orderBy(F.col("vec_id") % 3, "vec_id")
-    tokens = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.row_number().over(by).alias("pos"), (F.col("vec_id") % 3).cast("int").alias("span"), "embedding")
-    spans = tokens.groupBy("doc_id", "span").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    pooled = vectors.pooled_spans(tokens.drop("span"), spans)
-    return pooled.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).select("doc_id", "span", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x"))
+    def v07(spark, d):
+        by = Window.partitionBy("label").orderBy(F.col("vec_id") % 3, "vec_id")
+        tokens = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.row_number().over(by).alias("pos"), (F.col("vec_id") % 3).cast("int").alias("span"), "embedding")
+        spans = tokens.groupBy("doc_id", "span").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+        pooled = vectors.pooled_spans(tokens.drop("span"), spans)
+        return pooled.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).select("doc_id", "span", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x"))
 
 
 @query("V06", "select label, round(avg(cast(embedding[1] as double)), 4) as first from embeddings group by label")
