@@ -7,8 +7,8 @@ noise-contrastive estimation tells true next classes from draws of the class fre
 product over all CLASSES^2 contexts gives the normaliser of each context, so token probabilities add up to 1.
 A token of the last class then shares that class's probability by its smoothed count.
 
-Every training row is trained on: each task runs over its own rows' trigrams, and parameters are averaged by tokens, for
-ROUNDS rounds. Counts cover all training rows. Words are identified by 64-bit hashes.
+Every training row is trained on: each task runs over its own rows' trigrams in random order, and the tasks' parameters are
+averaged by tokens, for ROUNDS rounds. Counts cover all training rows. Words are identified by 64-bit hashes.
 
 Null and empty texts are one end token. Rows with a null doc_id are training rows (their crc32 is not 0). Repeated rows count
 as often as they occur.
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexiflume.llm.scratch import Scratch
-from lexiflume.llm.words import WordHash, split_words
+from lexiflume.llm.words import hashed_words
 
 CLASSES, DIM, CONTEXT = 512, 16, 2
-ROUNDS, NOISE, BATCH = 2, 8, 2048
+ROUNDS, NOISE, SHARED, BATCH, RATE = 1, 8, 32, 16_384, 0.3
+#: Tokens that a task trains on at once; more follow in further calls.
+HELD = 4_000_000
 #: Counts of the most frequent words that every task holds (16 bytes each); other words' counts come by a shuffle.
 FREQUENT = 100_000
 ALPHA, FOLDS = 0.1, 10
@@ -94,63 +96,55 @@ class Bilinear:
         return out.ravel()
 
 
-def train(model: Bilinear, triples: np.ndarray, weights: np.ndarray, share: np.ndarray, rate: float, seed: int) -> Bilinear:
-    """One pass of noise-contrastive estimation over trigrams (first, second, next) with their counts as weights."""
+def train(model: Bilinear, codes: np.ndarray, share: np.ndarray, rate: float, seed: int) -> Bilinear:
+    """One pass of noise-contrastive estimation over trigrams (packed first, second, next), in random order."""
     r = np.random.default_rng(seed)
     noise_cdf = np.cumsum(share)
     log_noise = np.log(NOISE * share + 1e-12).astype(np.float32)
     model = Bilinear(*(p.copy() for p in model.parts()))
-    seen = [np.full(p.shape, 1e-4, np.float32) for p in model.parts()]
-    scale = weights.mean() if len(weights) else 1.0
-
-    def step(i: int, at: np.ndarray | slice, grad: np.ndarray) -> None:
-        seen[i][at] += grad * grad
-        model.parts()[i][at] += rate * grad / np.sqrt(seen[i][at])
+    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.parts()]
 
     def gathered(rows: np.ndarray, grads: np.ndarray) -> np.ndarray:
         """Sums of gradient rows by class, through sorting: faster than adding in place."""
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
-        first = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         out = np.zeros((CLASSES, *grads.shape[1:]), np.float32)
         out[rows[first]] = np.add.reduceat(grads[order], first, axis=0)
         return out
 
-    order = r.permutation(len(triples))
+    order = r.permutation(codes)
     for i in range(0, len(order), BATCH):
-        pick = order[i : i + BATCH]
-        ctx, want = triples[pick, :2], triples[pick, 2]
-        weight = np.minimum(weights[pick] / scale, 50.0).astype(np.float32) / len(pick)
+        code, n = np.unique(order[i : i + BATCH], return_counts=True)
+        weight = (n / BATCH).astype(np.float32)
+        want = (code % CLASSES).astype(np.int64)
+        ctx = np.stack([code // CLASSES**2, code // CLASSES % CLASSES], 1)
         q = model.predicted(ctx)
         # One set of noise classes serves the batch: all its scores are one matrix product.
-        noise = np.searchsorted(noise_cdf, r.random(NOISE * 8) * noise_cdf[-1]).clip(0, CLASSES - 1)
+        noise = np.searchsorted(noise_cdf, r.random(NOISE * SHARED) * noise_cdf[-1]).clip(0, CLASSES - 1)
         true = (q * model.target[want]).sum(1) + model.bias[want] - log_noise[want]
         fake = q @ model.target[noise].T + model.bias[noise] - log_noise[noise]
         d_true = weight / (1 + np.exp(true))
-        d_fake = -(weight[:, None] / 8) / (1 + np.exp(-fake))
+        d_fake = -(weight[:, None] / SHARED) / (1 + np.exp(-fake))
         dq = d_true[:, None] * model.target[want] + d_fake @ model.target[noise]
         d_target = gathered(np.concatenate([want, noise]), np.concatenate([d_true[:, None] * q, d_fake.T @ q]))
         d_bias = gathered(np.concatenate([want, noise]), np.concatenate([d_true, d_fake.sum(0)])[:, None])[:, 0]
         d_source = sum(gathered(ctx[:, j], dq * model.mixing[j]) for j in range(CONTEXT))
         d_mixing = np.stack([(dq * model.source[ctx[:, j]]).sum(0) for j in range(CONTEXT)])
-        for k, grad in enumerate((d_target, d_source, d_mixing, d_bias)):
-            step(k, slice(None), grad)
+        # AdaGrad; the bias starts at the class's own frequency and moves slowly.
+        for part, total, grad, speed in zip(model.parts(), seen, (d_target, d_source, d_mixing, d_bias), (1.0, 1.0, 0.3, 0.1), strict=True):
+            total += grad * grad
+            part += rate * speed * grad / np.sqrt(total)
     return model
 
 
 def _tokens(batches):
-    """(batch, keys of all tokens with their ends, lengths)."""
-    memo = WordHash()
+    """(batch of rows, keys of all their tokens with their ends, lengths)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            keys, lengths = [], []
-            for t in batch.column("text").to_pylist():
-                k = _signed(memo.array(split_words(t)))
-                k = np.where(k == END_KEY, END_KEY - 1, k)
-                keys += [k, np.array([END_KEY])]
-                lengths.append(len(k) + 1)
-            yield batch, np.concatenate(keys) if keys else np.zeros(0, np.int64), np.array(lengths, np.int64)
+        for at, hashes, counts in hashed_words(whole.column("text")):
+            keys = _signed(hashes)
+            keys = np.where(keys == END_KEY, END_KEY - 1, keys)
+            yield whole.slice(at, len(counts)), np.insert(keys, np.cumsum(counts), END_KEY), counts + 1
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,25 +177,21 @@ def _averaged(docs: DataFrame, model: Bilinear, classes: Lookup, share: np.ndarr
     sent = docs.sparkSession.sparkContext.broadcast((model, classes, share))
 
     def run(batches):
-        start, classes, share = sent.value
-        now, total, codes, counts, n = start, 0, [], [], 0
+        now, classes, share = sent.value
+        total, held, n, calls = 0, [], 0, 0
 
         def fit():
-            nonlocal now, codes, counts, n
-            code, count = _summed(np.concatenate(codes), np.concatenate(counts))
-            triples = np.stack([code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES], 1)
-            now = train(now, triples, count.astype(np.float32), share, rate, seed + int(code.sum() % 1000))
-            codes, counts, n = [], [], 0
+            nonlocal now, held, n, calls
+            codes = np.concatenate(held)
+            now = train(now, codes, share, rate / (1 + calls), seed + int(codes.sum() % 1000))
+            held, n, calls = [], 0, calls + 1
 
         for batch, keys, lengths in _tokens(batches):
             c = np.where(keys == END_KEY, END, classes(keys, REST))
-            first = _contexts(c)
-            keep = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), lengths)
-            got = np.unique((first * CLASSES + c)[keep], return_counts=True)
-            codes.append(got[0])
-            counts.append(got[1])
-            total, n = total + int(keep.sum()), n + len(got[0])
-            if n > 1_000_000:
+            codes = (_contexts(c) * CLASSES + c)[np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), lengths)]
+            held.append(codes)
+            total, n = total + len(codes), n + len(codes)
+            if n > HELD:
                 fit()
         if n:
             fit()
@@ -255,7 +245,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smooth = (in_class + ALPHA) / (in_class + ALPHA).sum()
     model = Bilinear.new(np.log(smooth))
     for i in range(ROUNDS):
-        model = _averaged(docs, model, classes, smooth.astype(np.float64), 0.1 / (i + 1), 1000 * (i + 1))
+        model = _averaged(docs, model, classes, smooth, RATE / (i + 1), 1000 * (i + 1))
     sent = spark.sparkContext.broadcast((model, model.normalisers(), classes, frequent))
     base_mass = n + ALPHA * (v + 1)
 
