@@ -10,17 +10,23 @@ from pyspark.sql.types import DoubleType
 from lexiflume.functions.text import eval_normalize
 
 
+def let(f, *columns: Column) -> Column:
+    """f of the columns, each of them evaluated once however often f uses it."""
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return F.transform(F.array(row), lambda r: f(*[r[f"c{i}"] for i in range(len(columns))]))[0]
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    least = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0), lambda s, t: s + F.least(count(x, t), count(y, t)))
+    # Only shared tokens are counted, so a long text is gone through once.
+    return let(lambda x, y: let(least, x, F.filter(y, lambda t: F.array_contains(x, t))), a, b)
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """Harmonic mean of precision and recall over tokens (E08); 0 without overlap."""
-    o = overlap(a, b)
-    p, r = o / F.nullif(F.size(a), F.lit(0)), o / F.nullif(F.size(b), F.lit(0))
-    return F.when(o > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    """Harmonic mean of precision and recall over tokens (E08): twice the overlap over both sizes; 0 without overlap."""
+    return let(lambda x, y: let(lambda o, n: F.when(o > 0, 2.0 * o / n).otherwise(F.lit(0.0)), overlap(x, y), F.size(x) + F.size(y)), a, b)
 
 
 def exact_match(a: Column | str, b: Column | str) -> Column:
@@ -29,10 +35,12 @@ def exact_match(a: Column | str, b: Column | str) -> Column:
 
 def bleu1(candidate: Column, reference: Column) -> Column:
     """Clipped unigram precision with brevity penalty (E10); 0 without overlap."""
-    c, r = F.size(candidate), F.size(reference)
-    penalty = F.when((c > 0) & (c < r), F.exp(1 - r / F.nullif(c, F.lit(0)))).otherwise(F.lit(1.0))
-    o = overlap(candidate, reference)
-    return F.when(o > 0, penalty * o / F.nullif(c, F.lit(0))).otherwise(F.lit(0.0))
+
+    def score(o, c, r):
+        penalty = F.when((c > 0) & (c < r), F.exp(1 - r / F.nullif(c, F.lit(0)))).otherwise(F.lit(1.0))
+        return F.when(o > 0, penalty * o / F.nullif(c, F.lit(0))).otherwise(F.lit(0.0))
+
+    return let(lambda x, y: let(score, overlap(x, y), F.size(x), F.size(y)), candidate, reference)
 
 
 def lcs_length(a: list, b: list) -> int:

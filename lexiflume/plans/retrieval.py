@@ -11,6 +11,7 @@ from lexiflume.operators import correction, fusion
 from lexiflume.operators.bm25 import Bm25Index
 from lexiflume.operators.vectors import cosine
 from lexiflume.providers import DEFAULT, Providers
+from lexiflume.sources.store import kept
 
 # Labels of a context block's metadata lines, in order.
 BLOCK_LABELS = (("source", "Nguồn"), ("chapter", "Chương"), ("section", "Mục"), ("article", "Điều"), ("article_no", "Số điều"))
@@ -73,8 +74,8 @@ class Retriever:
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """query_id, selected and expanded chunk ids, context and prompt; queries without words give empty results."""
-        chosen = self.select(queries)
-        more = fusion.expand_references(chosen.select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "ref_article_nos"), self.chunks, self.config.chunks_per_article)
+        chosen = kept(self.select(queries).select("query_id", "final_rank", "chunk_id", "ref_article_nos"))
+        more = kept(fusion.expand_references(chosen.withColumnRenamed("final_rank", "rank"), self.chunks, self.config.chunks_per_article))
         after = more.select("query_id", "chunk_id", F.col("position") + 1000).toDF("query_id", "chunk_id", "position")
         order = chosen.select("query_id", "chunk_id", F.col("final_rank").alias("position")).union(after)
         numbered = order.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("position")))

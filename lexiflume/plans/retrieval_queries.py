@@ -9,6 +9,7 @@ from lexiflume.operators import bm25, correction, fusion, vectors
 from lexiflume.operators.bm25 import Bm25Index
 from lexiflume.plans import retrieval
 from lexiflume.registry import query
+from lexiflume.sources.store import kept
 from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
 
 
@@ -264,7 +265,7 @@ def r04(spark, d):
 @query("W05", f"with {_CONTEXT} select query_id, n_blocks from ctx")
 def w05(spark, d):
     r = _retriever(spark, d)
-    chosen = r.select(questions(spark, d))
+    chosen = kept(r.select(questions(spark, d)).select("query_id", "final_rank", "chunk_id", "ref_article_nos"))
     more = fusion.expand_references(chosen.select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "ref_article_nos"), r.chunks)
     order = chosen.select("query_id", "chunk_id", F.col("final_rank").alias("p")).union(more.select("query_id", "chunk_id", F.col("position") + 1000))
     numbered = order.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("p")))

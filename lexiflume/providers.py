@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from lexiflume.functions.metrics import token_f1
+from lexiflume.functions.metrics import let, token_f1
 from lexiflume.functions.text import tokens
 
 
@@ -18,14 +18,17 @@ def lexical_score(query: Column, text: Column) -> Column:
 
 def coverage(query: Column, text: Column) -> Column:
     """Entailment stand-in: share of the query's distinct tokens that the text has."""
-    q, t = F.array_distinct(tokens(query)), tokens(text)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0))
+    share = lambda q, t: F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0))
+    return let(share, F.array_distinct(tokens(query)), tokens(text))
 
 
 def nli(query: Column, text: Column) -> Column:
     """Label, confidence and probabilities of a (question, context) pair."""
-    p = F.round(coverage(query, text), 4)
-    return F.struct(F.when(p >= 0.5, "entailment").otherwise("other").alias("label"), F.greatest(p, 1 - p).alias("confidence"), F.create_map(F.lit("entailment"), p, F.lit("other"), F.round(1 - p, 4)).alias("probabilities"))
+
+    def judged(p):
+        return F.struct(F.when(p >= 0.5, "entailment").otherwise("other").alias("label"), F.greatest(p, 1 - p).alias("confidence"), F.create_map(F.lit("entailment"), p, F.lit("other"), F.round(1 - p, 4)).alias("probabilities"))
+
+    return let(judged, F.round(coverage(query, text), 4))
 
 
 def templates(query: Column, n: int = 4) -> Column:

@@ -21,6 +21,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The rows written to the shared folder and read back, for plans that use them several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 CHUNK_SCHEMA = "chunk_id string, content string, source string, article string, article_no int, clause_nos array<int>"
 
 
