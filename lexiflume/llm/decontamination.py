@@ -4,7 +4,7 @@ Items and windows are bags of five-word shingles (an item with fewer words is on
 64-bit fingerprint is looked up in four tables, one for each block of 16 bits, which hold every value within RADIUS // 4 bits of an
 item's block: two fingerprints within RADIUS bits agree within RADIUS // 4 in some block, so none is missed. Candidates
 are verified by weighted similarity: sum of w * min(counts) over sum of w * max(counts), where an item's shingle weighs
-1 / (items that hold it), any other 1. Windows without any shingle of an item have similarity 0 with it and are
+1 / (items that hold it), any other 1. A document shorter than an item is one window as a whole. Windows without any shingle of an item have similarity 0 with it and are
 not fingerprinted, which loses nothing.
 
 Benchmarks are broadcast in blocks of ITEM_WORDS words, one pass over the documents for each block, so any size of
@@ -117,9 +117,7 @@ class Block:
             spans = np.unique(grams[region])
             a, z = np.searchsorted(keys, spans, "left"), np.searchsorted(keys, spans, "right")
             for which in sorted({int(x) for i, j in zip(a, z, strict=True) for x in of[i:j]}):
-                n = part["lengths"][which]
-                if n > len(here):
-                    continue
+                n = min(part["lengths"][which], len(here))  # less than the item's only if the whole document is shorter
                 index = part["index"][which]
                 hit = np.zeros(len(here) + 1, np.int64)
                 hit[1:][region - lo] = 1

@@ -94,3 +94,14 @@ def test_several_blocks_and_empty_tables(spark, monkeypatch):
     assert d.contaminations(a.limit(0), b).count() == 0
     assert d.contaminations(a, b.limit(0)).count() == 0
     assert d.drop_contaminated(a, b.limit(0)).count() == len(docs)
+
+
+def test_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(59)]
+    docs = [(1, " ".join(words[:-1])), (2, " ".join(words[2:])), (3, " ".join(words[:20])), (4, " ".join([*words[:30], "x", *words[31:50]])), (5, "w0 w1 w2"), (6, " ".join(words[:-1]) + " " + " ".join(f"z{i}" for i in range(9)))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words)), (8, "w0 w1 w2 w3")], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.start_word, x.n_words) for x in d.contaminations(a, b).collect())
+    want = [(1, 7, round(54 / 55, 9), 0, 58), (2, 7, round(53 / 55, 9), 0, 57), (6, 7, round(54 / 56, 9), 0, 59)]
+    assert [x for x in got if x[1] == 7] == want
+    assert [x[:2] for x in got if x[1] == 8] == [(1, 8), (3, 8), (4, 8), (6, 8)]
+    assert sorted(x.doc_id for x in d.drop_contaminated(a, b.where("item_id = 7")).collect()) == [3, 4, 5]
