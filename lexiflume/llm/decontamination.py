@@ -4,7 +4,7 @@ Items and windows are bags of five-word shingles (an item with fewer words is on
 64-bit fingerprint is looked up in four tables, one for each block of 16 bits, which hold every value within RADIUS // 4 bits of an
 item's block: two fingerprints within RADIUS bits agree within RADIUS // 4 in some block, so none is missed. Candidates
 are verified by weighted similarity: sum of w * min(counts) over sum of w * max(counts), where an item's shingle weighs
-1 / (items that hold it), any other 1. A document shorter than an item is one window as a whole. Windows without any shingle of an item have similarity 0 with it and are
+1 / (different items that hold it), any other 1: repeats of an item change nothing. A document shorter than an item is one window as a whole. Windows without any shingle of an item have similarity 0 with it and are
 not fingerprinted, which loses nothing.
 
 Benchmarks are broadcast in blocks of ITEM_WORDS words, one pass over the documents for each block, so any size of
@@ -158,7 +158,7 @@ def _blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     spark = benchmark.sparkSession
     scratch = Scratch(spark)
     items = scratch.keep("items", prepared(benchmark, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    held = scratch.keep("held", items.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")))
+    held = scratch.keep("held", items.dropDuplicates(["keys", "counts"]).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")))
     weighted = items.select("row", F.posexplode("keys").alias("pos", "key")).join(held, "key").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df"))), lambda x: 1.0 / x["df"]).alias("weights"))
     items = scratch.keep("weighted", items.join(weighted, "row"))
     n_blocks = max(1, -(-(items.agg(F.sum("n_words")).first()[0] or 0) // ITEM_WORDS))

@@ -105,3 +105,15 @@ def test_documents_shorter_than_the_item(spark):
     assert [x for x in got if x[1] == 7] == want
     assert [x[:2] for x in got if x[1] == 8] == [(1, 8), (3, 8), (4, 8), (6, 8)]
     assert sorted(x.doc_id for x in d.drop_contaminated(a, b.where("item_id = 7")).collect()) == [3, 4, 5]
+
+
+def test_repeated_items_hide_no_finds(spark):
+    words = [f"w{i}" for i in range(59)]
+    docs = [(1, " ".join([*words[:30], "changed", *words[31:]])), (2, " ".join([*words[:27], *[f"y{i}" for i in range(5)], *words[32:]]))]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    for copies in (1, 2, 5):
+        items = [(i, " ".join(words).upper() if i % 2 else "  ".join(words)) for i in range(copies)]
+        b = spark.createDataFrame(items, "item_id long, text string")
+        got = sorted((x.doc_id, x.item_id, round(x.similarity, 9)) for x in d.contaminations(a, b).collect())
+        assert got == [(1, i, round(50 / 60, 9)) for i in range(copies)]
+        assert [x.doc_id for x in d.drop_contaminated(a, b).collect()] == [2]
