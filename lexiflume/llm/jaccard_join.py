@@ -5,8 +5,10 @@ a prefix shingle are filtered by size and position, expanded to members, filtere
 on whole sets. Shingles are ordered by how often the whole corpus has them (rare first), from a table of hashed
 counts of fixed size; the order affects work only, never results.
 
-No bucket emits all its pairs. First each member meets the bucket's pivot only; what hangs together after that needs
-no further check, and the rest of a bucket (members outside the pivot's component) meets the bucket in blocks.
+Without links no bucket emits all its pairs. First each member meets the bucket's pivot only; what hangs together after that
+needs no further check, and the rest of a bucket (members outside the pivot's component) meets the bucket in blocks. With links
+every bucket goes block against block, all candidate pairs are verified, and n_links counts the other rows that a row links
+with: those of linked sets and the other rows of its own set.
 
 Rules for odd rows: null and empty texts have no shingles, link with nothing and are their own component; repeated
 rows give repeated result rows; a null doc_id gives a null component_id unless a linked row has an id; columns other
@@ -278,10 +280,74 @@ def _rest(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return parts.mapInArrow(meet, "u long, v long").distinct()
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _group_pairs(entries: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """entries (tok, grp, n, pos), marks (grp, bits of the leader, single: it is the only member). All candidate pairs of groups;
+    bitmaps filter pairs of single ones only, members of others have their own."""
+    sizes = entries.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
+    cut = entries.join(sizes, "tok").withColumn("no", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(grp), no) as int)"))
+    # Block b meets each block once.
+    sides = cut.select("*", F.expr("explode(transform(sequence(0, no - 1), x -> struct(least(x, b) as i, greatest(x, b) as j))) as at"))
+    keyed = sides.select("tok", "at.*", "grp", "n", "pos", (F.col("b") == F.col("at.i")).cast("int").alias("side"))
+    parts = keyed.join(marks, "grp").repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "grp")
+
+    def meet(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out(found):
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+        def blocks(t: pa.Table, done: bool):
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("tok", "i", "j")])
+            begins = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1])
+            until = t.num_rows if done else int(begins[-1])
+            held[:] = t.slice(until).to_batches()
+            if not until:
+                return
+            t = t.slice(0, until)
+            n, pos, grp, side, single = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "grp", "side", "single"))
+            same = key[1, :until] == key[2, :until]
+            bits = _bits(t.column("bits").combine_chunks()).view(np.uint64)
+            begins = begins[begins < until]
+            end = np.repeat(np.concatenate([begins[1:], [until]]), np.diff(np.concatenate([begins, [until]])))
+            # Pairs (x, x + d) of a block, for all blocks at once; rows whose block ends before x + d drop out.
+            x, d, found, held_pairs = np.arange(until), 0, [], 0
+            while True:
+                d += 1
+                x = x[x + d < end[x]]
+                if not len(x):
+                    break
+                u, v = x, x + d
+                both = n[u] + n[v]
+                ok = (same[u] | (side[u] != side[v])) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= _need(both, percent))
+                u, v, both = u[ok], v[ok], both[ok]
+                near = (single[u] & single[v]) == 0
+                near |= np.bitwise_count(bits[u] ^ bits[v]).sum(-1) <= both - 2 * _need(both, percent)
+                if near.any():
+                    u, v = grp[u[near]], grp[v[near]]
+                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+                    held_pairs += len(u)
+                if held_pairs > 1_000_000:
+                    yield out(found)
+                    found, held_pairs = [], 0
+            if found:
+                yield out(found)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 20_000:
+                yield from blocks(pa.Table.from_batches(held), False)
+        if held:
+            yield from blocks(pa.Table.from_batches(held), True)
+
+    return parts.mapInArrow(meet, "u long, v long").distinct()
+
+
+def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """Returns doc_id, text_hash (xxhash64 of the text), n_shingles, node (null without shingles) and component_id
     for each row: the least doc_id reachable by links of at least ``percent`` / 100 Jaccard similarity over
-    ``k``-word shingles; comp_node names the component itself."""
+    ``k``-word shingles; comp_node names the component itself. With ``links`` all
+    links are verified, and n_links is the number of other rows that link with a row; without, only those that components need."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -290,7 +356,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
 
     # Nodes: one per set. home is the row from which its set can be made again.
     some = base.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("home"), F.min_by("text_hash", "doc_id").alias("home_hash"), F.first("text_hash").alias("any_hash"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("home"), F.min_by("text_hash", "doc_id").alias("home_hash"), F.first("text_hash").alias("any_hash"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     nodes = scratch.keep("nodes", nodes.withColumn("home_hash", F.coalesce("home_hash", "any_hash")).drop("any_hash"), tidy=True)
     # Groups: same prefix and size; the leader is the member with the fewest rare shingles.
     groups = nodes.groupBy("grp").agg(F.min(F.struct("rare", "node")).alias("lead"), F.count("*").alias("members")).select("grp", F.col("lead.node").alias("gid"), "members")
@@ -299,40 +365,63 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
     leaders = nodes.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "node", "left_anti")
     tokens = leaders.select("node", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", F.col("node").alias("gid"), F.expr("shiftleft(n, 32) | pos").alias("np"))
     shared = tokens.repartition("tok").sortWithinPartitions("tok", "np").mapInArrow(lambda it: _partnered(it, percent), "tok long, gid long, np long")
-    lead = nodes.select(F.col("node").alias("gid"), "rare", "grp")
-    entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid"), tidy=True)
-
-    # Each group meets its bucket's pivot, each member its group's leader.
-    pivots = entries.groupBy("tok").agg(F.min(F.struct("rare", "gid", "n", "pos")).alias("p")).select("tok", "p.*")
-    l, r = entries.alias("l"), pivots.alias("r")
-    stars = l.join(r, "tok").where("l.gid <> r.gid").where(_filter(percent)).select(F.col("r.gid").alias("gid"), F.col("l.grp").alias("grp")).distinct()
-    # Expanded: the pivot (leader of its group) against every member of the other group.
-    member = nodes.select("grp", "node")
-    opened = stars.join(member, "grp").select(F.col("gid").alias("u"), F.col("node").alias("v"))
-    inside = nodes.join(big.toDF("grp", "u"), "grp").where("node <> u").select("u", F.col("node").alias("v"))
-    pairs = opened.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = _verified(pairs, nodes, docs, k, percent, scratch, "star")
-    comps = scratch.keep("comps", components(first, scratch, "star-cc"))
-
-    # What still lies in another component than its bucket's pivot meets the bucket.
-    as_bucket = nodes.join(big, "grp").select(F.col("grp").alias("tok"), "node", "n", F.lit(0).cast("long").alias("pos"), F.col("gid").alias("pivot"))
-    by_token = entries.join(member, "grp").join(pivots.select("tok", F.col("gid").alias("pivot")), "tok").select("tok", "node", "n", "pos", "pivot")
-    named = comps.select("node", "component")
-    at = by_token.union(as_bucket).join(named, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    at = at.join(named.toDF("pivot", "pc"), "pivot", "left").withColumn("top", F.col("comp") == F.coalesce("pc", "pivot"))
-    # A member outside can link only within the size ratio; buckets all inside the pivot's component are done.
-    mixed = at.groupBy("tok").agg(F.min("top").alias("pure")).where("not pure").select("tok")
-    rest = scratch.keep("rest", at.join(mixed, "tok", "left_semi").select("tok", "node", "n", "pos", "comp", "top"), tidy=True)
-    scratch.drop("entries")
-    pairs = scratch.keep("rest-pairs", _rest(rest, nodes.select("node", "bits"), percent), tidy=True)
-    more = _verified(pairs, nodes, docs, k, percent, scratch, "rest")
-    scratch.drop("rest", "rest-pairs", "big", "others")
-    final = scratch.keep("final", components(first.union(more), scratch, "cc"))
-    scratch.drop("comps", "star-links", "rest-links")
-
-    least = nodes.join(final, "node", "left").withColumn("comp_node", F.coalesce("component", "node")).select("node", "comp_node", "home")
+    if links:
+        lead = leaders.select(F.col("node").alias("gid"), "grp")
+        entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid").select("tok", "grp", "n", "pos"), tidy=True)
+        marks = leaders.select("grp", "bits").join(big.select("grp", F.lit(0).alias("several")), "grp", "left").select("grp", "bits", F.when(F.col("several").isNull(), 1).otherwise(0).alias("single"))
+        met = scratch.keep("met", _group_pairs(entries, marks, percent), tidy=True)
+        scratch.drop("entries")
+
+        # Expanded: members of the one group against members of the other, and a group's members among themselves.
+        member = nodes.select("grp", "node")
+        opened = met.join(member.toDF("u", "a"), "u").join(member.toDF("v", "b"), "v").select("a", "b")
+        within = member.join(big.select("grp"), "grp")
+        inside = within.toDF("grp", "a").join(within.toDF("grp", "b"), "grp").where("a < b").select("a", "b")
+        pairs = scratch.keep("pairs", opened.union(inside).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), tidy=True)
+        pairs = _verified(pairs, nodes, docs, k, percent, scratch, "all")
+        scratch.drop("met", "pairs", "big", "others")
+        final = scratch.keep("final", components(pairs, scratch, "cc"))
+        copies = nodes.select(F.col("node").alias("v"), "copies")
+        degrees = scratch.keep("degrees", pairs.union(pairs.select("v", "u")).toDF("node", "v").join(copies, "v").groupBy("node").agg(F.sum("copies").alias("others")))
+        scratch.drop("all-links")
+    else:
+        lead = nodes.select(F.col("node").alias("gid"), "rare", "grp")
+        entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid"), tidy=True)
+
+        # Each group meets its bucket's pivot, each member its group's leader.
+        pivots = entries.groupBy("tok").agg(F.min(F.struct("rare", "gid", "n", "pos")).alias("p")).select("tok", "p.*")
+        l, r = entries.alias("l"), pivots.alias("r")
+        stars = l.join(r, "tok").where("l.gid <> r.gid").where(_filter(percent)).select(F.col("r.gid").alias("gid"), F.col("l.grp").alias("grp")).distinct()
+        # Expanded: the pivot (leader of its group) against every member of the other group.
+        member = nodes.select("grp", "node")
+        opened = stars.join(member, "grp").select(F.col("gid").alias("u"), F.col("node").alias("v"))
+        inside = nodes.join(big.toDF("grp", "u"), "grp").where("node <> u").select("u", F.col("node").alias("v"))
+        pairs = opened.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        first = _verified(pairs, nodes, docs, k, percent, scratch, "star")
+        comps = scratch.keep("comps", components(first, scratch, "star-cc"))
+
+        # What still lies in another component than its bucket's pivot meets the bucket.
+        as_bucket = nodes.join(big, "grp").select(F.col("grp").alias("tok"), "node", "n", F.lit(0).cast("long").alias("pos"), F.col("gid").alias("pivot"))
+        by_token = entries.join(member, "grp").join(pivots.select("tok", F.col("gid").alias("pivot")), "tok").select("tok", "node", "n", "pos", "pivot")
+        named = comps.select("node", "component")
+        at = by_token.union(as_bucket).join(named, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        at = at.join(named.toDF("pivot", "pc"), "pivot", "left").withColumn("top", F.col("comp") == F.coalesce("pc", "pivot"))
+        # A member outside can link only within the size ratio; buckets all inside the pivot's component are done.
+        mixed = at.groupBy("tok").agg(F.min("top").alias("pure")).where("not pure").select("tok")
+        rest = scratch.keep("rest", at.join(mixed, "tok", "left_semi").select("tok", "node", "n", "pos", "comp", "top"), tidy=True)
+        scratch.drop("entries")
+        pairs = scratch.keep("rest-pairs", _rest(rest, nodes.select("node", "bits"), percent), tidy=True)
+        more = _verified(pairs, nodes, docs, k, percent, scratch, "rest")
+        scratch.drop("rest", "rest-pairs", "big", "others")
+        final = scratch.keep("final", components(first.union(more), scratch, "cc"))
+        scratch.drop("comps", "star-links", "rest-links")
+        degrees = None
+
+    least = nodes.join(final, "node", "left").withColumn("comp_node", F.coalesce("component", "node"))
+    least = least.join(degrees, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))) if links else least.withColumn("n_links", F.lit(None).cast("long"))
     ids = least.groupBy("comp_node").agg(F.min("home").alias("component_id"))
-    named = scratch.keep("named", least.select("node", "comp_node").join(ids, "comp_node"))
-    scratch.drop("nodes", "final")
+    named = scratch.keep("named", least.select("node", "comp_node", "n_links").join(ids, "comp_node"))
+    scratch.drop("nodes", "final", *(["degrees"] if links else []))
     out = base.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "node", "comp_node")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "node", "comp_node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if links else out.drop("n_links")

@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id")
+    found = jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85, links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

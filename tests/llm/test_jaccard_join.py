@@ -86,3 +86,23 @@ def test_bitmaps_never_pass_the_true_difference():
         assert len(x) == len(y) == j.BITS // 8
         assert j._apart(x, y) <= true
         assert j._apart(x, y) <= j._apart(wx or x, wy or y) <= true
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_links_are_whole(spark, monkeypatch, block):
+    from lexiflume.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = corpus(4, 150)
+    rows += [(500, rows[7][1]), (7, rows[7][1].upper()), (None, rows[9][1]), (501, None), (502, "")]
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset())
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 70 * len(a | b)
+    want = sorted(((doc, sum(linked(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (doc, _) in enumerate(rows)), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_components(df, 3, 70, links=True).collect()
+    assert sorted(((x.doc_id, x.n_links) for x in got), key=str) == want
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows, 3, 70)
+    assert max(n for _, n in want) > 10
