@@ -5,25 +5,28 @@ a prefix shingle are filtered by size and position, expanded to members, filtere
 on whole sets. Shingles are ordered by how often the whole corpus has them (rare first), from a table of hashed
 counts of fixed size; the order affects work only, never results.
 
-Without links no bucket emits all its pairs. First each member meets the bucket's pivot only; what hangs together after that
-needs no further check, and the rest of a bucket (members outside the pivot's component) meets the bucket in blocks. With links
-every bucket goes block against block, all candidate pairs are verified, and n_links counts the other rows that a row links
-with: those of linked sets and the other rows of its own set.
+No bucket emits all its pairs. First each member meets the bucket's pivot only; what hangs together after that
+needs no further check, and the rest of a bucket (members outside the pivot's component) meets the bucket in blocks of near sizes.
+Links join members of one component only, so with ``links`` each component's members are verified against each other in
+blocks: a set is kept as its difference from the component's first set, and one matrix product over a block's differences
+gives all intersections. n_links counts the other rows that a row links with: those of linked sets and the other rows of its own.
 
 Rules for odd rows: null and empty texts have no shingles, link with nothing and are their own component; repeated
 rows give repeated result rows; a null doc_id gives a null component_id unless a linked row has an id; columns other
-than id and text are ignored.
+than id and text are ignored, whatever their names; an empty table gives no rows. Texts of any length are taken whole, one at a time.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiflume.llm.components import components
 from lexiflume.llm.scratch import Scratch
@@ -31,12 +34,16 @@ from lexiflume.llm.words import row_shingles
 
 #: Cells of the table of hashed counts, and of each piece in which it travels.
 CELLS, PIECE = 1 << 21, 1 << 17
+#: Tables that one task adds up, on each of two levels.
+FAN = 512
 #: Bits of the parity bitmap that all sets have; larger sets have a wider one besides, as many bits as shingles at least.
 BITS = 1024
 #: Candidate ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket's block.
-BLOCK = 256
+BLOCK = 4096
+#: Members of a block whose links are counted, and shingles in which they differ from their component's first set, about.
+LINKED, DIFFERING = 1024, 1 << 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -57,20 +64,23 @@ def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
             if sets:
                 cells += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
         if cells.any():
-            yield pa.RecordBatch.from_pydict({"piece": list(range(CELLS // PIECE)), "counts": [zlib.compress(cells[i : i + PIECE].astype(np.int32).tobytes(), 1) for i in range(0, CELLS, PIECE)]})
+            pieces = [zlib.compress(cells[i : i + PIECE].astype(np.int32).tobytes(), 1) for i in range(0, CELLS, PIECE)]
+            yield pa.RecordBatch.from_pydict({"piece": list(range(len(pieces))), "meet": [TaskContext.get().partitionId() // FAN] * len(pieces), "counts": pieces})
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
+            for piece, meet, counts in zip(*(batch.column(c).to_pylist() for c in ("piece", "meet", "counts")), strict=True):
+                sums[piece, meet] = sums.get((piece, meet), 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_pydict({"piece": list(sums), "counts": [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()]})
+            yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in sums], "meet": [m for _, m in sums], "counts": [zlib.compress(np.minimum(x, 2**31 - 1).astype(np.int32).tobytes(), 1) for x in sums.values()]})
 
-    counts = docs.mapInArrow(count, "piece long, counts binary").repartition(CELLS // PIECE, "piece").mapInArrow(add, "piece long, counts binary")
+    schema = "piece long, meet long, counts binary"
+    counts = docs.mapInArrow(count, schema).repartition("piece", "meet").mapInArrow(add, schema)
+    counts = counts.withColumn("meet", F.lit(0).cast("long")).repartition("piece").mapInArrow(add, schema)
     total = np.zeros(CELLS, np.int64)
-    for row in counts.collect():  # a fixed 8 MB
-        total[row.piece * PIECE : (row.piece + 1) * PIECE] += np.frombuffer(row.counts, np.int32)
+    for row in counts.collect():  # 8 MB at most
+        total[row.piece * PIECE : (row.piece + 1) * PIECE] += np.frombuffer(zlib.decompress(row.counts), np.int32)
     mean = total.sum() / CELLS
     over = total - (mean + 6 * np.sqrt(mean) + 16)
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
@@ -184,6 +194,19 @@ def _bits(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
 
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scratch: Scratch, tag: str) -> DataFrame:
+    """node, shingles (8 bytes each, sorted) of the wanted nodes, made again from one text each; rows can repeat."""
+
+    def resets(batches):
+        for _, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    ids = scratch.keep(f"{tag}-ids", wanted.join(nodes.select("node", "home", "home_hash"), "node").select("home", "home_hash"))
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(near, docs.doc_id.eqNullSafe(ids.home) & (docs.text_hash == ids.home_hash), "left_semi")
+    return texts.mapInArrow(resets, "node long, shingles binary")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
     """Of pairs (u, v) of nodes, those whose whole sets reach the threshold."""
 
@@ -198,10 +221,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
                     keep[i] = _apart(left[i], right[i]) <= both - 2 * -(-percent * both // (100 + percent))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
 
-    def resets(batches):
-        for batch, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-
     def verify(batches):
         for b in batches:
             keep = []
@@ -213,143 +232,194 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
     small = nodes.select("node", "n", "bits", "wide")
     wide = pairs.join(small.toDF("u", "ln", "lb", "lw"), "u").join(small.toDF("v", "rn", "rb", "rw"), "v")
-    left = scratch.keep(f"{tag}-near", wide.select("u", "v", "ln", "rn", "lb", "rb", "lw", "rw").mapInArrow(near, "u long, v long"), tidy=True)
-    ids = scratch.keep(f"{tag}-ids", left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "home", "home_hash"), "node").select("home", "home_hash"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(ids.home) & (docs.text_hash == ids.home_hash), "left_semi")
+    left = scratch.keep(f"{tag}-near", wide.select("u", "v", "ln", "rn", "lb", "rb", "lw", "rw").mapInArrow(near, "u long, v long"))
     # Dealt out by node once: both joins below stand on the same exchange.
-    sets = texts.mapInArrow(resets, "node long, shingles binary").dropDuplicates(["node"])
+    sets = _whole_sets(left.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, k, scratch, tag).dropDuplicates(["node"])
     whole = left.join(sets.toDF("v", "rs"), "v").join(sets.toDF("u", "ls"), "u").select("u", "v", "ls", "rs")
-    links = scratch.keep(f"{tag}-links", whole.mapInArrow(verify, "u long, v long"), tidy=True)
+    links = scratch.keep(f"{tag}-links", whole.mapInArrow(verify, "u long, v long"))
     scratch.drop(f"{tag}-near", f"{tag}-ids")
     return links
 
 
+def _size_class(n: str, percent: int) -> Column:
+    """Sets that link lie in the same class or in adjacent ones."""
+    return F.floor(F.log(F.col(n)) / max(1.001 * math.log(100 / percent), 1e-3)).cast("int")
+
+
+def _cells(rows: DataFrame, group: str, load: Column, cap: int, most: int) -> DataFrame:
+    """Deals the members of groups into cells (group, c, kind, i, j) so that any two that can match meet in one, but for two that
+    both are ``top``. rows: group, node, n_class, top. A cell holds two blocks of about ``cap`` members, with ``load`` about
+    ``most`` in sum. Within a cell every member meets the others (kind 0, i = j), or side 0 meets side 1."""
+    per = rows.groupBy(group, "n_class").agg(F.count(F.when(~F.col("top"), 1)).alias("outs"), F.count(F.when(F.col("top"), 1)).alias("ins"), F.sum(load).alias("load"))
+    room = F.least(F.lit(float(cap)), F.greatest(F.lit(1.0), F.lit(float(most)) * (F.col("outs") + F.col("ins")) / F.greatest(F.col("load"), F.lit(1))))
+    per = per.withColumns({"no": F.ceil(F.col("outs") / room).cast("int"), "ni": F.ceil(F.col("ins") / room).cast("int")})
+    # A map has one entry for each size class: some dozens.
+    sizes = per.groupBy(group).agg(
+        F.map_from_entries(F.collect_list(F.struct("n_class", F.struct("no", "ni")))).alias("m"),
+        ((F.sum(F.col("outs") + F.col("ins")) <= cap) & (F.sum("load") <= most)).alias("small"), F.sum("outs").alias("outs"),
+    ).where("outs > 0").drop("outs")
+    at = rows.join(sizes, group)
+    one = at.where("small").select("*", F.expr("struct(0 as c, 0 as kind, 0 as i, 0 as j, 0 as side) as cell"))
+    run = lambda kind, c: f"if(coalesce(try_element_at(m, {c}).{kind}, 0) > 0, sequence(0, try_element_at(m, {c}).{kind} - 1), cast(array() as array<int>))"
+    cell = lambda c, kind, i, j, side: f"struct({c} as c, {kind} as kind, {i} as i, {j} as j, {side} as side)"
+    many = at.where("not small").withColumn("b", F.expr("cast(pmod(xxhash64(node), if(top, m[n_class].ni, m[n_class].no)) as int)"))
+    outer = [
+        f"transform({run('no', 'n_class')}, x -> {cell('n_class', 0, 'least(x, b)', 'greatest(x, b)', 'if(b <= x, 0, 1)')})",
+        f"transform({run('no', 'n_class + 1')}, x -> {cell('n_class', 1, 'b', 'x', 0)})",
+        f"transform({run('no', 'n_class - 1')}, x -> {cell('n_class - 1', 1, 'x', 'b', 1)})",
+        *(f"transform({run('ni', f'n_class + {d}')}, x -> {cell('n_class', 3 + d, 'b', 'x', 0)})" for d in (-1, 0, 1)),
+    ]
+    inner = [f"transform({run('no', f'n_class - {d}')}, x -> {cell(f'n_class - {d}', 3 + d, 'x', 'b', 1)})" for d in (-1, 0, 1)]
+    spread = many.withColumn("cell", F.explode(F.expr(f"if(top, concat({', '.join(inner)}), concat({', '.join(outer)}))"))).drop("b")
+    out = one.unionByName(spread).select(*rows.columns, "cell.*")
+    key = [group, "c", "kind", "i", "j"]
+    return out.repartition(*key).sortWithinPartitions(*key, "side", "node")
+
+
+def _by_cell(batches, group: str, at_once: int) -> Iterator[pa.Table]:
+    """Tables of whole cells, of at_once rows or one cell at least."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(done: bool) -> Iterator[pa.Table]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in (group, "c", "kind", "i", "j")])
+        until = t.num_rows if done else int(np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))[-1])
+        held[:] = t.slice(until).to_batches()
+        if until:
+            yield t.slice(0, until)
+
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= at_once:
+            yield from cut(False)
+            rows = 0
+    if held:
+        yield from cut(True)
+
+
+def _run_ends(keys: np.ndarray) -> np.ndarray:
+    """For each of the sorted columns the end of the run of columns equal to it."""
+    run = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])
+    return np.searchsorted(run, run, "right")
+
+
+def _partners(t: pa.Table, group: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of whole cells the run [start, end) of rows that it meets, and whether its cell is one block."""
+    key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in (group, "c", "kind", "i", "j", "side")])
+    cell_end, side_end = _run_ends(key[:5]), _run_ends(key)
+    same = (key[2] == 0) & (key[3] == key[4])
+    return np.where(same, np.arange(t.num_rows) + 1, np.where(key[5] == 0, side_end, cell_end)), cell_end, same
+
+
 def _rest(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """entries (tok, node, n, pos, comp, top: comp is the pivot's), bitmaps (node, bits). Candidate pairs across components, at least
     one of the two outside the pivot's component; buckets go block against block."""
-    sizes = entries.groupBy("tok").agg(F.count(F.when(~F.col("top"), 1)).alias("outs"), F.count(F.when(F.col("top"), 1)).alias("ins"))
-    cut = entries.join(sizes.where("outs > 0"), "tok").withColumns({"no": F.ceil(F.col("outs") / BLOCK).cast("int"), "ni": F.ceil(F.col("ins") / BLOCK).cast("int"), "h": F.xxhash64("node")})
-    out = cut.where("not top").withColumn("b", F.expr("cast(pmod(h, no) as int)"))
-    # Block b of the outer members meets the outer blocks from b on and all inner blocks.
-    sides = out.select("*", F.expr("""explode(concat(
-        transform(sequence(0, no - 1), x -> struct(least(x, b) as i, greatest(x, b) as j, false as inner)),
-        transform(if(ni > 0, sequence(0, ni - 1), array()), x -> struct(b as i, x as j, true as inner))))""").alias("at"))
-    inner = cut.where("top").withColumn("b", F.expr("cast(pmod(h, ni) as int)")).select("*", F.expr("explode(transform(sequence(0, no - 1), x -> struct(x as i, b as j, true as inner)))").alias("at"))
-    keyed = sides.union(inner).select("tok", "at.*", "node", "n", "pos", "comp", F.when(F.col("at.inner"), F.col("top").cast("int")).otherwise(0).alias("side"))
-    parts = keyed.join(bitmaps, "node").repartition("tok", "i", "j", "inner").sortWithinPartitions("tok", "inner", "i", "j", "side", "node")
+    rows = entries.withColumn("n_class", _size_class("n", percent)).join(bitmaps, "node")
+    parts = _cells(rows, "tok", F.lit(1), BLOCK, BLOCK)
 
     def meet(batches):
-        held: list[pa.RecordBatch] = []
-
-        def blocks(t: pa.Table, done: bool):
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("tok", "inner", "i", "j")])
-            begins = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1])
-            until = t.num_rows if done else int(begins[-1])
-            held[:] = t.slice(until).to_batches()
-            if not until:
-                return
-            t = t.slice(0, until)
-            n, pos, comp, node, side = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "node", "side"))
+        for t in _by_cell(batches, "tok", 20_000):
+            n, pos, comp, node = (t.column(c).to_numpy() for c in ("n", "pos", "comp", "node"))
             bits = _bits(t.column("bits").combine_chunks()).view(np.uint64)
-            begins = begins[begins < until]
-            end = np.repeat(np.concatenate([begins[1:], [until]]), np.diff(np.concatenate([begins, [until]])))
-            # Pairs (x, x + d) of a block, for all blocks at once; rows whose block ends before x + d drop out.
-            x, d = np.arange(until), 0
+            start, end, _ = _partners(t, "tok")
+            # Pairs (x, start + d) for all rows at once; rows whose run ends before that drop out.
+            x, d = np.arange(t.num_rows), -1
             while True:
                 d += 1
-                x = x[x + d < end[x]]
+                x = x[start[x] + d < end[x]]
                 if not len(x):
                     break
-                u, v = x, x + d
+                u, v = x, start[x] + d
                 both = n[u] + n[v]
-                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & ((side[u] == 0) | (side[v] == 0)) & (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= _need(both, percent))
+                ok = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= _need(both, percent))
                 u, v, both = u[ok], v[ok], both[ok]
                 near = np.bitwise_count(bits[u] ^ bits[v]).sum(-1) <= both - 2 * _need(both, percent)
                 if near.any():
                     u, v = node[u[near]], node[v[near]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 20_000:
-                yield from blocks(pa.Table.from_batches(held), False)
-        if held:
-            yield from blocks(pa.Table.from_batches(held), True)
-
     return parts.mapInArrow(meet, "u long, v long").distinct()
 
 
-def _group_pairs(entries: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """entries (tok, grp, n, pos), marks (grp, bits of the leader, single: it is the only member). All candidate pairs of groups;
-    bitmaps filter pairs of single ones only, members of others have their own."""
-    sizes = entries.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1")
-    cut = entries.join(sizes, "tok").withColumn("no", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(grp), no) as int)"))
-    # Block b meets each block once.
-    sides = cut.select("*", F.expr("explode(transform(sequence(0, no - 1), x -> struct(least(x, b) as i, greatest(x, b) as j))) as at"))
-    keyed = sides.select("tok", "at.*", "grp", "n", "pos", (F.col("b") == F.col("at.i")).cast("int").alias("side"))
-    parts = keyed.join(marks, "grp").repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "grp")
-
-    def meet(batches):
-        held: list[pa.RecordBatch] = []
-
-        def out(found):
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-        def blocks(t: pa.Table, done: bool):
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("tok", "i", "j")])
-            begins = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1])
-            until = t.num_rows if done else int(begins[-1])
-            held[:] = t.slice(until).to_batches()
-            if not until:
-                return
-            t = t.slice(0, until)
-            n, pos, grp, side, single = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "grp", "side", "single"))
-            same = key[1, :until] == key[2, :until]
-            bits = _bits(t.column("bits").combine_chunks()).view(np.uint64)
-            begins = begins[begins < until]
-            end = np.repeat(np.concatenate([begins[1:], [until]]), np.diff(np.concatenate([begins, [until]])))
-            # Pairs (x, x + d) of a block, for all blocks at once; rows whose block ends before x + d drop out.
-            x, d, found, held_pairs = np.arange(until), 0, [], 0
-            while True:
-                d += 1
-                x = x[x + d < end[x]]
-                if not len(x):
-                    break
-                u, v = x, x + d
-                both = n[u] + n[v]
-                ok = (same[u] | (side[u] != side[v])) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= _need(both, percent))
-                u, v, both = u[ok], v[ok], both[ok]
-                near = (single[u] & single[v]) == 0
-                near |= np.bitwise_count(bits[u] ^ bits[v]).sum(-1) <= both - 2 * _need(both, percent)
-                if near.any():
-                    u, v = grp[u[near]], grp[v[near]]
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-                    held_pairs += len(u)
-                if held_pairs > 1_000_000:
-                    yield out(found)
-                    found, held_pairs = [], 0
-            if found:
-                yield out(found)
-
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 20_000:
-                yield from blocks(pa.Table.from_batches(held), False)
-        if held:
-            yield from blocks(pa.Table.from_batches(held), True)
-
-    return parts.mapInArrow(meet, "u long, v long").distinct()
+def _differing(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    both, times = np.unique(np.concatenate([own, first]), return_counts=True)
+    return both[times == 1]
+
+
+def _shared(cols: np.ndarray, rows: np.ndarray, left: int, n_rows: int) -> np.ndarray:
+    """How many columns each of the first ``left`` rows shares with each row; entries (column, row) come in any order."""
+    _, back, times = np.unique(cols, return_inverse=True, return_counts=True)
+    several = times[back] > 1
+    cols, rows = back[several], rows[several]
+    order = np.argsort(cols, kind="stable")
+    cols, rows = cols[order], rows[order]
+    new = np.concatenate([[0], np.cumsum(cols[1:] != cols[:-1])]) if len(cols) else cols
+    out, step = np.zeros((left, n_rows), np.float32), 2048
+    for a in range(0, int(new[-1]) + 1 if len(new) else 0, step):
+        lo, hi = np.searchsorted(new, [a, a + step])
+        m = np.zeros((n_rows, step), np.float32)
+        m[rows[lo:hi], new[lo:hi] - a] = 1
+        out += m[:left] @ m.T
+    return out
+
+
+def _link_counts(comps: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """comps (node, component). Returns node, others: rows of other sets that link with the node's."""
+    members = scratch.keep("members", comps.join(nodes.select("node", "n", "copies"), "node"))
+    sized = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("copies").alias("all"))
+    # Two nodes make a component by their link alone.
+    pairs = members.join(sized.where("size = 2"), "component").select("node", (F.col("all") - F.col("copies")).alias("others"))
+    more = members.join(sized.where("size > 2").select("component"), "component")
+    sets = scratch.keep("member-sets", _whole_sets(more.select("node"), nodes, docs, k, scratch, "member").dropDuplicates(["node"]))
+
+    def differ(batches):
+        for b in batches:
+            cut = [_differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("shingles").to_pylist(), b.column("first").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "node", "n", "copies")), pa.array([len(x) for x in cut], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["component", "node", "n", "copies", "d", "differing"])
 
+    # A component is named by its least node, whose set is the one that the others' are told by.
+    whole = more.join(sets, "node").join(sets.toDF("component", "first"), "component").select("component", "node", "n", "copies", "shingles", "first")
+    told = scratch.keep("told", whole.mapInArrow(differ, "component long, node long, n long, copies long, d long, differing binary"))
+    scratch.drop("member-sets", "member-ids")
+    rows = told.withColumns({"n_class": _size_class("n", percent), "top": F.lit(False)})
+    parts = _cells(rows, "component", F.col("d"), LINKED, DIFFERING)
 
-def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    def count(batches):
+        for t in _by_cell(batches, "component", 1):
+            start, end, same = _partners(t, "component")
+            n, d, copies, node = (t.column(c).to_numpy() for c in ("n", "d", "copies", "node"))
+            bounds = [0, *np.unique(end).tolist()]
+            for a, z in zip(bounds, bounds[1:], strict=False):
+                left = z - a if same[a] else int(start[a]) - a
+                if z - a == 1 or left == z - a and not same[a]:  # nobody to meet
+                    continue
+                cols = np.frombuffer(b"".join(t.column("differing").slice(a, z - a).to_pylist()), np.uint64)
+                shared = _shared(cols, np.repeat(np.arange(z - a), d[a:z]), left, z - a)
+                twice = (n[a:z] - d[a:z])[:left, None] + (n[a:z] - d[a:z])[None] + 2 * shared  # of the intersection
+                linked = (100 + percent) * twice >= 2 * percent * (n[a:z][:left, None] + n[a:z][None])
+                if same[a]:
+                    np.fill_diagonal(linked, False)
+                    others = linked @ copies[a:z]
+                else:
+                    linked = linked[:, left:]
+                    others = np.concatenate([linked @ copies[a + left : z], linked.T @ copies[a : a + left]])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:z]), pa.array(others.astype(np.int64))], ["node", "others"])
+
+    counted = parts.select("component", "c", "kind", "i", "j", "side", "node", "n", "copies", "d", "differing").mapInArrow(count, "node long, others long")
+    found = scratch.keep("degrees", counted.groupBy("node").agg(F.sum("others").alias("others")).union(pairs))
+    scratch.drop("members", "told")
+    return found
+
+
+def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Returns doc_id, text_hash (xxhash64 of the text), n_shingles, node (null without shingles) and component_id
     for each row: the least doc_id reachable by links of at least ``percent`` / 100 Jaccard similarity over
-    ``k``-word shingles; comp_node names the component itself. With ``links`` all
-    links are verified, and n_links is the number of other rows that link with a row; without, only those that components need."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
+    ``k``-word shingles; comp_node names the component itself. With ``links`` all links are counted, and
+    n_links is the number of other rows that link with a row; without, only those that components need are verified."""
+    scratch = scratch or Scratch(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = shingle_levels(docs.select("text"), k)
     base = scratch.keep("base", signatures(docs, k, percent, levels))
@@ -357,7 +427,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
     # Nodes: one per set. home is the row from which its set can be made again.
     some = base.where("n > 0")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("home"), F.min_by("text_hash", "doc_id").alias("home_hash"), F.first("text_hash").alias("any_hash"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
-    nodes = scratch.keep("nodes", nodes.withColumn("home_hash", F.coalesce("home_hash", "any_hash")).drop("any_hash"), tidy=True)
+    nodes = scratch.keep("nodes", nodes.withColumn("home_hash", F.coalesce("home_hash", "any_hash")).drop("any_hash"))
     # Groups: same prefix and size; the leader is the member with the fewest rare shingles.
     groups = nodes.groupBy("grp").agg(F.min(F.struct("rare", "node")).alias("lead"), F.count("*").alias("members")).select("grp", F.col("lead.node").alias("gid"), "members")
     big = scratch.keep("big", groups.where("members > 1").select("grp", "gid"))
@@ -365,57 +435,37 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, id_c
     leaders = nodes.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "node", "left_anti")
     tokens = leaders.select("node", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", F.col("node").alias("gid"), F.expr("shiftleft(n, 32) | pos").alias("np"))
     shared = tokens.repartition("tok").sortWithinPartitions("tok", "np").mapInArrow(lambda it: _partnered(it, percent), "tok long, gid long, np long")
-    if links:
-        lead = leaders.select(F.col("node").alias("gid"), "grp")
-        entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid").select("tok", "grp", "n", "pos"), tidy=True)
-        marks = leaders.select("grp", "bits").join(big.select("grp", F.lit(0).alias("several")), "grp", "left").select("grp", "bits", F.when(F.col("several").isNull(), 1).otherwise(0).alias("single"))
-        met = scratch.keep("met", _group_pairs(entries, marks, percent), tidy=True)
-        scratch.drop("entries")
-
-        # Expanded: members of the one group against members of the other, and a group's members among themselves.
-        member = nodes.select("grp", "node")
-        opened = met.join(member.toDF("u", "a"), "u").join(member.toDF("v", "b"), "v").select("a", "b")
-        within = member.join(big.select("grp"), "grp")
-        inside = within.toDF("grp", "a").join(within.toDF("grp", "b"), "grp").where("a < b").select("a", "b")
-        pairs = scratch.keep("pairs", opened.union(inside).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), tidy=True)
-        pairs = _verified(pairs, nodes, docs, k, percent, scratch, "all")
-        scratch.drop("met", "pairs", "big", "others")
-        final = scratch.keep("final", components(pairs, scratch, "cc"))
-        copies = nodes.select(F.col("node").alias("v"), "copies")
-        degrees = scratch.keep("degrees", pairs.union(pairs.select("v", "u")).toDF("node", "v").join(copies, "v").groupBy("node").agg(F.sum("copies").alias("others")))
-        scratch.drop("all-links")
-    else:
-        lead = nodes.select(F.col("node").alias("gid"), "rare", "grp")
-        entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid"), tidy=True)
-
-        # Each group meets its bucket's pivot, each member its group's leader.
-        pivots = entries.groupBy("tok").agg(F.min(F.struct("rare", "gid", "n", "pos")).alias("p")).select("tok", "p.*")
-        l, r = entries.alias("l"), pivots.alias("r")
-        stars = l.join(r, "tok").where("l.gid <> r.gid").where(_filter(percent)).select(F.col("r.gid").alias("gid"), F.col("l.grp").alias("grp")).distinct()
-        # Expanded: the pivot (leader of its group) against every member of the other group.
-        member = nodes.select("grp", "node")
-        opened = stars.join(member, "grp").select(F.col("gid").alias("u"), F.col("node").alias("v"))
-        inside = nodes.join(big.toDF("grp", "u"), "grp").where("node <> u").select("u", F.col("node").alias("v"))
-        pairs = opened.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        first = _verified(pairs, nodes, docs, k, percent, scratch, "star")
-        comps = scratch.keep("comps", components(first, scratch, "star-cc"))
-
-        # What still lies in another component than its bucket's pivot meets the bucket.
-        as_bucket = nodes.join(big, "grp").select(F.col("grp").alias("tok"), "node", "n", F.lit(0).cast("long").alias("pos"), F.col("gid").alias("pivot"))
-        by_token = entries.join(member, "grp").join(pivots.select("tok", F.col("gid").alias("pivot")), "tok").select("tok", "node", "n", "pos", "pivot")
-        named = comps.select("node", "component")
-        at = by_token.union(as_bucket).join(named, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        at = at.join(named.toDF("pivot", "pc"), "pivot", "left").withColumn("top", F.col("comp") == F.coalesce("pc", "pivot"))
-        # A member outside can link only within the size ratio; buckets all inside the pivot's component are done.
-        mixed = at.groupBy("tok").agg(F.min("top").alias("pure")).where("not pure").select("tok")
-        rest = scratch.keep("rest", at.join(mixed, "tok", "left_semi").select("tok", "node", "n", "pos", "comp", "top"), tidy=True)
-        scratch.drop("entries")
-        pairs = scratch.keep("rest-pairs", _rest(rest, nodes.select("node", "bits"), percent), tidy=True)
-        more = _verified(pairs, nodes, docs, k, percent, scratch, "rest")
-        scratch.drop("rest", "rest-pairs", "big", "others")
-        final = scratch.keep("final", components(first.union(more), scratch, "cc"))
-        scratch.drop("comps", "star-links", "rest-links")
-        degrees = None
+    lead = nodes.select(F.col("node").alias("gid"), "rare", "grp")
+    entries = scratch.keep("entries", shared.select("tok", "gid", F.expr("shiftright(np, 32)").alias("n"), F.expr("np & 4294967295L").alias("pos")).join(lead, "gid"))
+
+    # Each group meets its bucket's pivot, each member its group's leader.
+    pivots = entries.groupBy("tok").agg(F.min(F.struct("rare", "gid", "n", "pos")).alias("p")).select("tok", "p.*")
+    l, r = entries.alias("l"), pivots.alias("r")
+    stars = l.join(r, "tok").where("l.gid <> r.gid").where(_filter(percent)).select(F.col("r.gid").alias("gid"), F.col("l.grp").alias("grp")).distinct()
+    # Expanded: the pivot (leader of its group) against every member of the other group.
+    member = nodes.select("grp", "node")
+    opened = stars.join(member, "grp").select(F.col("gid").alias("u"), F.col("node").alias("v"))
+    inside = nodes.join(big.toDF("grp", "u"), "grp").where("node <> u").select("u", F.col("node").alias("v"))
+    pairs = opened.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = _verified(pairs, nodes, docs, k, percent, scratch, "star")
+    comps = scratch.keep("comps", components(first, scratch, "star-cc"))
+
+    # What still lies in another component than its bucket's pivot meets the bucket.
+    as_bucket = nodes.join(big, "grp").select(F.col("grp").alias("tok"), "node", "n", F.lit(0).cast("long").alias("pos"), F.col("gid").alias("pivot"))
+    by_token = entries.join(member, "grp").join(pivots.select("tok", F.col("gid").alias("pivot")), "tok").select("tok", "node", "n", "pos", "pivot")
+    named = comps.select("node", "component")
+    at = by_token.union(as_bucket).join(named, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    at = at.join(named.toDF("pivot", "pc"), "pivot", "left").withColumn("top", F.col("comp") == F.coalesce("pc", "pivot"))
+    # A member outside can link only within the size ratio; buckets all inside the pivot's component are done.
+    mixed = at.groupBy("tok").agg(F.min("top").alias("pure")).where("not pure").select("tok")
+    rest = scratch.keep("rest", at.join(mixed, "tok", "left_semi").select("tok", "node", "n", "pos", "comp", "top"))
+    scratch.drop("entries")
+    pairs = scratch.keep("rest-pairs", _rest(rest, nodes.select("node", "bits"), percent))
+    more = _verified(pairs, nodes, docs, k, percent, scratch, "rest")
+    scratch.drop("rest", "rest-pairs", "big", "others")
+    final = scratch.keep("final", components(first.union(more), scratch, "cc"))
+    scratch.drop("comps", "star-links", "rest-links")
+    degrees = _link_counts(final, nodes, docs, k, percent, scratch) if links else None
 
     least = nodes.join(final, "node", "left").withColumn("comp_node", F.coalesce("component", "node"))
     least = least.join(degrees, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))) if links else least.withColumn("n_links", F.lit(None).cast("long"))

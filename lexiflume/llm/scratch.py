@@ -1,45 +1,71 @@
 """Intermediate tables that every executor and the driver can read.
 
-They go below ``spark.checkpoint.dir``. Only where the session has no such setting (tests, a laptop) a
-folder is made and the setting filled in; a cluster always names its own shared folder.
+They go below ``spark.checkpoint.dir``. Only a local session without that setting (tests, a laptop) gets a folder of its own;
+elsewhere the cluster must name its shared folder. A run's folder goes with ``close``, or when the driver ends.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Spark deletes a job's shuffle files when its SQL execution ends; a kept table is never made again from them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(KEY, None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexiflume-")
         spark.conf.set(KEY, where)
     return where.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator run: ``keep`` writes one and reads it back, ``drop`` deletes it."""
+    """Tables of one operator run: ``keep`` writes one and reads it back, ``drop`` deletes it, ``close`` deletes all.
+
+    Results of operators read from here, so whoever hands over a Scratch closes it after the result is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
-
-    def keep(self, name: str, df: DataFrame, tidy: bool = False) -> DataFrame:
-        """tidy: shuffle files of the plan just written are no longer needed; a collection of the driver's garbage lets
-        Spark's cleaner delete them now rather than some time later."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        self.paths[name] = path
-        if tidy:
-            self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.spark, self.root, self.paths, self.marked = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}, False
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _path(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        where = f"{self.root}/{name}"
+        if not self.marked:
+            path, system = self._path(self.root)
+            system.mkdirs(path)
+            self.marked = system.deleteOnExit(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+        self.paths[name] = where
+        return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(conf).delete(path, True)
+            path, system = self._path(self.paths.pop(name))
+            system.delete(path, True)
+
+    def close(self) -> None:
+        path, system = self._path(self.root)
+        system.delete(path, True)
+        self.paths.clear()

@@ -88,11 +88,13 @@ def test_bitmaps_never_pass_the_true_difference():
         assert j._apart(x, y) <= j._apart(wx or x, wy or y) <= true
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_links_are_whole(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "differing"), [(1024, 1 << 20), (4, 1 << 20), (1024, 40)])
+def test_links_are_whole(spark, monkeypatch, block, differing):
     from lexiflume.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LINKED", block)
+    monkeypatch.setattr(jaccard_join, "DIFFERING", differing)
     rows = corpus(4, 150)
     rows += [(500, rows[7][1]), (7, rows[7][1].upper()), (None, rows[9][1]), (501, None), (502, "")]
     sets = []
@@ -106,3 +108,26 @@ def test_links_are_whole(spark, monkeypatch, block):
     assert sorted(((x.doc_id, x.n_links) for x in got), key=str) == want
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows, 3, 70)
     assert max(n for _, n in want) > 10
+
+
+def test_templates_with_many_variants(spark):
+    r = random.Random(3)
+    body = [f"t{i}" for i in range(140)]
+    rows = []
+    for i in range(600):
+        w = list(body)
+        for slot in range(7):
+            w[10 + 18 * slot] = f"s{slot}v{r.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for w in (t.split() for _, t in rows)]
+    got = {x.doc_id: x for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 90, links=True).collect()}
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got.values()), key=str) == brute(rows, 4, 90)
+    for i in range(0, 600, 40):
+        assert got[i].n_links == sum(100 * len(sets[i] & s) >= 90 * len(sets[i] | s) for s in sets) - 1
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-9_000])), (3, " ".join(words[:50_000]))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, links=True).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in got) == [(1, 199_997, 1, 1), (2, 190_997, 1, 1), (3, 49_997, 3, 0)]
