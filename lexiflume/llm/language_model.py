@@ -1,17 +1,21 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation in numpy.
 
-The model predicts the class of the next token from the classes of the two before it. Classes are the CLASSES - 2 most
-frequent tokens of the training rows, one for the end, one for all other tokens. A context's predicted vector is
-sum_j C_j * r(class_j) (C_j diagonal), and a class scores its dot product with that vector plus a bias. Training never normalises:
-noise-contrastive estimation tells true next classes from draws of the class frequencies. After it, one batched matrix
-product over all CLASSES^2 contexts gives the normaliser of each context, so token probabilities add up to 1.
-A token of the last class then shares that class's probability by its smoothed count.
-
-Every training row is trained on: each task runs over its own rows' trigrams in random order, and the tasks' parameters are
-averaged by tokens, for ROUNDS rounds. Counts cover all training rows. Words are identified by 64-bit hashes.
-
-Null and empty texts are one end token. Rows with a null doc_id are training rows (their crc32 is not 0). Repeated rows count
-as often as they occur.
+The model predicts a token from the tokens before it in two steps: its group among SIDE groups, then its class among the
+SIDE classes of that group; SIDE grows with the fourth root of the vocabulary, so there are as many classes as a multiple of its square
+root. A word's group comes from its last two letters. In each group most classes are one frequent word's own; the
+words left share the others by their last three letters. A context's predicted vector is m1 * r(c1) + m2 * r(c2) + m3 * (sum of r(c)
+over the WIDE tokens before) with diagonal m and a vector r for each class; a group or class scores its dot product with that vector plus a
+bias. Training never normalises: noise-contrastive estimation tells true next groups and classes from draws of their
+frequencies. When scoring, batched matrix products over all groups, and over all classes of the token's group, give the normalisers, so
+probabilities add up to 1. A word of a shared class has the class's probability times its smoothed share of the class's count.
+
+All training texts are trained on, equal ones once. They are dealt by hash into ROUNDS slices and into parts of about PART tokens;
+a part is trained on in the order of hashes, and a round ends with the average of its parts' parameters, summed as whole numbers. So
+the model does not depend on how rows are partitioned, and a lost task repeats itself exactly. Counts cover all training rows,
+repeated ones as often as they occur. Words are identified by 64-bit hashes.
+
+Null and empty texts are one end token; texts of any length count whole. Rows with a null doc_id are training rows (their crc32 is not 0).
+An empty table gives no rows; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,27 +24,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lexiflume.llm.scratch import Scratch
-from lexiflume.llm.words import hashed_words
+from lexiflume.llm.words import mix, tailed_words
 
-CLASSES, DIM, CONTEXT = 512, 16, 2
-ROUNDS, NOISE, SHARED, BATCH, RATE = 1, 8, 32, 16_384, 0.3
-#: Tokens that a task trains on at once; more follow in further calls.
-HELD = 4_000_000
+DIM, WIDE = 16, 16
+ROUNDS, PART, RATE = 3, 1_000_000, 0.25
+#: True tokens stand against NOISE draws each; draws are shared by a batch, or by its tokens of one group.
+NOISE, SHARED, BATCH = 8, 4, 16_384
 #: Counts of the most frequent words that every task holds (16 bytes each); other words' counts come by a shuffle.
 FREQUENT = 100_000
+#: Hashes of texts by which a task leaves out texts it has passed on already; later ones meet after the shuffle.
+SEEN = 200_000
 ALPHA, FOLDS = 0.1, 10
-END, REST = 0, 1
-#: Groups into which tasks' parameters are averaged before the driver averages those.
-MEETS = 16
-
-
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
+#: Models that one task adds up, on each of two levels; parameters are summed as multiples of 1 / UNIT.
+FAN, UNIT = 256, 1 << 24
 #: The end token's key among the words' hashes.
 END_KEY = -1
 
@@ -52,6 +53,11 @@ class Lookup:
     keys: np.ndarray
     values: np.ndarray
 
+    @staticmethod
+    def of(keys: np.ndarray, values: np.ndarray) -> Lookup:
+        order = np.argsort(keys)
+        return Lookup(keys[order], values[order])
+
     def __call__(self, keys: np.ndarray, default: int) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), default)
@@ -59,211 +65,328 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.values[at], default)
 
 
+@dataclass
+class Classes:
+    """Class = group * side + place; the last places of a group are shared."""
+
+    side: int
+    own: Lookup
+
+    @property
+    def shared(self) -> int:
+        return max(1, self.side // 4)
+
+    def group(self, tails: np.ndarray) -> np.ndarray:
+        return (mix((tails & 0xFFFF).astype(np.uint64)) % np.uint64(self.side)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        place = self.side - self.shared + (mix(tails.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(self.shared)).astype(np.int64)
+        own = self.own(keys, -1)
+        return np.where(own >= 0, own, self.group(tails) * self.side + place)
+
+    @staticmethod
+    def new(n_types: int, keys: np.ndarray, tails: np.ndarray) -> Classes:
+        """keys and tails of the most frequent tokens, most frequent first."""
+        made = Classes(max(16, int(np.ceil(2 * n_types**0.25))), Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        group = made.group(tails)
+        order = np.argsort(group, kind="stable")
+        rank = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        kept = order[rank < made.side - made.shared]
+        made.own = Lookup.of(keys[kept], group[kept] * made.side + rank[rank < made.side - made.shared])
+        return made
+
+
 @dataclass
 class Bilinear:
-    target: np.ndarray  # CLASSES x DIM
-    source: np.ndarray  # CLASSES x DIM
-    mixing: np.ndarray  # CONTEXT x DIM
-    bias: np.ndarray  # CLASSES
+    source: np.ndarray  # classes x DIM
+    mixing: np.ndarray  # 3 x DIM: the token before, the one before that, the sum of WIDE
+    top: np.ndarray  # side x DIM
+    top_bias: np.ndarray
+    member: np.ndarray  # classes x DIM
+    member_bias: np.ndarray
 
     @staticmethod
-    def new(log_share: np.ndarray, seed: int = 11) -> Bilinear:
+    def new(mass: np.ndarray, side: int, seed: int = 11) -> Bilinear:
+        """mass: smoothed counts of the classes."""
         r = np.random.default_rng(seed)
-        draw = lambda *s: (0.1 * r.standard_normal(s)).astype(np.float32)
-        return Bilinear(draw(CLASSES, DIM), draw(CLASSES, DIM), np.ones((CONTEXT, DIM), np.float32) / CONTEXT, log_share.astype(np.float32))
+        draw = lambda n: (0.1 * r.standard_normal((n, DIM))).astype(np.float32)
+        groups = mass.reshape(side, side).sum(1)
+        mixing = np.ones((3, DIM), np.float32) / np.array([[2], [4], [WIDE]], np.float32)
+        return Bilinear(draw(len(mass)), mixing, draw(side), np.log(groups / mass.sum()).astype(np.float32), draw(len(mass)), np.log(mass / np.repeat(groups, side)).astype(np.float32))
 
     def parts(self):
-        return self.target, self.source, self.mixing, self.bias
+        return self.source, self.mixing, self.top, self.top_bias, self.member, self.member_bias
 
-    def pack(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64).tobytes()
+    def pack(self) -> np.ndarray:
+        return np.concatenate([np.rint(p.ravel().astype(np.float64) * UNIT).astype(np.int64) for p in self.parts()])
 
-    def like(self, flat: np.ndarray) -> Bilinear:
+    def like(self, total: np.ndarray, n: int) -> Bilinear:
         cuts = np.cumsum([p.size for p in self.parts()])[:-1]
-        return Bilinear(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts(), strict=True)))
-
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.source[contexts[:, j]] * self.mixing[j] for j in range(CONTEXT))
-
-    def normalisers(self) -> np.ndarray:
-        """Natural log of each context's sum over classes, by CLASSES * first + second."""
-        out = np.empty((CLASSES, CLASSES), np.float32)
-        second = self.source * self.mixing[1]
-        for a in range(CLASSES):
-            s = (self.source[a] * self.mixing[0] + second) @ self.target.T + self.bias
-            top = s.max(1)
-            out[a] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return out.ravel()
-
-
-def train(model: Bilinear, codes: np.ndarray, share: np.ndarray, rate: float, seed: int) -> Bilinear:
-    """One pass of noise-contrastive estimation over trigrams (packed first, second, next), in random order."""
-    r = np.random.default_rng(seed)
-    noise_cdf = np.cumsum(share)
-    log_noise = np.log(NOISE * share + 1e-12).astype(np.float32)
-    model = Bilinear(*(p.copy() for p in model.parts()))
-    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.parts()]
-
-    def gathered(rows: np.ndarray, grads: np.ndarray) -> np.ndarray:
-        """Sums of gradient rows by class, through sorting: faster than adding in place."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out = np.zeros((CLASSES, *grads.shape[1:]), np.float32)
-        out[rows[first]] = np.add.reduceat(grads[order], first, axis=0)
+        return Bilinear(*((x / (n * UNIT)).reshape(p.shape).astype(np.float32) for x, p in zip(np.split(total, cuts), self.parts(), strict=True)))
+
+    def predicted(self, c: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predicted vector of each token's context, and the three vectors (before mixing) that make it."""
+        r = self.source[c]
+        at = np.arange(len(c))
+        seen = np.zeros((3, len(c), DIM), np.float32)
+        for j in (1, 2):
+            some = at - j >= begin
+            seen[j - 1, some] = r[at[some] - j]
+        # Whole numbers: a running sum that does not depend on what came before the text.
+        sums = np.zeros((len(c) + 1, DIM), np.int64)
+        np.cumsum(np.rint(r * np.float32(65536)).astype(np.int64), axis=0, out=sums[1:])
+        seen[2] = (sums[at] - sums[np.maximum(begin, at - WIDE)]).astype(np.float32) / np.float32(65536)
+        return (seen * self.mixing[:, None]).sum(0), seen
+
+    def log_probabilities(self, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Natural log of each token's class given its context."""
+        side = len(self.top)
+        q, _ = self.predicted(c, begin)
+        group = c // side
+        out = _log_softmax(q @ self.top.T + self.top_bias, group)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(side + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows, here = order[cuts[g] : cuts[g + 1]], slice(g * side, (g + 1) * side)
+            out[rows] += _log_softmax(q[rows] @ self.member[here].T + self.member_bias[here], c[rows] - g * side)
         return out
 
-    order = r.permutation(codes)
-    for i in range(0, len(order), BATCH):
-        code, n = np.unique(order[i : i + BATCH], return_counts=True)
-        weight = (n / BATCH).astype(np.float32)
-        want = (code % CLASSES).astype(np.int64)
-        ctx = np.stack([code // CLASSES**2, code // CLASSES % CLASSES], 1)
-        q = model.predicted(ctx)
-        # One set of noise classes serves the batch: all its scores are one matrix product.
-        noise = np.searchsorted(noise_cdf, r.random(NOISE * SHARED) * noise_cdf[-1]).clip(0, CLASSES - 1)
-        true = (q * model.target[want]).sum(1) + model.bias[want] - log_noise[want]
-        fake = q @ model.target[noise].T + model.bias[noise] - log_noise[noise]
-        d_true = weight / (1 + np.exp(true))
-        d_fake = -(weight[:, None] / SHARED) / (1 + np.exp(-fake))
-        dq = d_true[:, None] * model.target[want] + d_fake @ model.target[noise]
-        d_target = gathered(np.concatenate([want, noise]), np.concatenate([d_true[:, None] * q, d_fake.T @ q]))
-        d_bias = gathered(np.concatenate([want, noise]), np.concatenate([d_true, d_fake.sum(0)])[:, None])[:, 0]
-        d_source = sum(gathered(ctx[:, j], dq * model.mixing[j]) for j in range(CONTEXT))
-        d_mixing = np.stack([(dq * model.source[ctx[:, j]]).sum(0) for j in range(CONTEXT)])
-        # AdaGrad; the bias starts at the class's own frequency and moves slowly.
-        for part, total, grad, speed in zip(model.parts(), seen, (d_target, d_source, d_mixing, d_bias), (1.0, 1.0, 0.3, 0.1), strict=True):
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    scores -= scores.max(1, keepdims=True)
+    got = scores[np.arange(len(at)), at]
+    return got - np.log(np.exp(scores).sum(1))
+
+
+def _sums(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
+    """Sums of gradients by sorted row numbers."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    out = np.zeros((n, *grads.shape[1:]), np.float32)
+    out[rows[first]] = np.add.reduceat(grads, first, axis=0)
+    return out
+
+
+def _contrast(q, vectors, bias, true, share, r, weight):
+    """Noise-contrastive gradients for rows q whose true outcomes are ``true`` (sorted): for q, vectors and bias."""
+    draws = np.searchsorted(share, r.random(NOISE * SHARED) * share[-1], "right").clip(0, len(share) - 1)
+    draws.sort()
+    log_noise = np.log(NOISE * np.diff(share, prepend=0) / share[-1] + 1e-12).astype(np.float32)
+    yes = (q * vectors[true]).sum(1) + bias[true] - log_noise[true]
+    no = q @ vectors[draws].T + bias[draws] - log_noise[draws]
+    d_yes = weight / (1 + np.exp(yes))
+    d_no = -(weight / SHARED) / (1 + np.exp(-no))
+    dq = d_yes[:, None] * vectors[true] + d_no @ vectors[draws]
+    d_vectors = _sums(true, d_yes[:, None] * q, len(vectors)) + _sums(draws, d_no.T @ q, len(vectors))
+    d_bias = _sums(true, d_yes, len(vectors)) + _sums(draws, d_no.sum(0), len(vectors))
+    return dq, d_vectors, d_bias
+
+
+def train(model: Bilinear, texts: list[np.ndarray], mass: np.ndarray, rate: float, seed: int) -> Bilinear:
+    """One pass of noise-contrastive estimation over texts (classes of their tokens), a batch of neighbouring texts at a time."""
+    r, side = np.random.default_rng(seed), len(model.top)
+    groups = mass.reshape(side, side)
+    top_share, member_share = np.cumsum(groups.sum(1)), np.cumsum(groups, 1)
+    model = Bilinear(*(p.copy() for p in model.parts()))
+    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.parts()]
+    tokens = np.concatenate(texts).astype(np.int64)
+    starts = np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), [len(t) for t in texts])
+    for a in range(0, len(tokens), BATCH):
+        c = tokens[a : a + BATCH]
+        begin = np.maximum(starts[a : a + BATCH] - a, 0)
+        q, parts = model.predicted(c, begin)
+        order = np.argsort(c, kind="stable")
+        qs, cs = q[order], c[order]
+        gs = cs // side
+        weight = np.float32(1 / len(c))
+        dq, d_top, d_top_bias = _contrast(qs, model.top, model.top_bias, gs, top_share, r, weight)
+        d_member, d_member_bias = np.zeros_like(model.member), np.zeros_like(model.member_bias)
+        cuts = np.searchsorted(gs, np.arange(side + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows, here = slice(cuts[g], cuts[g + 1]), slice(g * side, (g + 1) * side)
+            more, d_member[here], d_member_bias[here] = _contrast(qs[rows], model.member[here], model.member_bias[here], cs[rows] - g * side, member_share[g], r, weight)
+            dq[rows] += more
+        back = np.empty_like(dq)
+        back[order] = dq
+        d_mixing = (parts * back).sum(1)
+        # What each token's own vector gets from the tokens after it.
+        at = np.arange(len(c))
+        end = np.searchsorted(begin, begin, "right")
+        own = np.zeros_like(back)
+        for j in (1, 2):
+            some = at + j < end
+            own[some] += back[at[some] + j] * model.mixing[j - 1]
+        sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(back.astype(np.float64), axis=0)])
+        own += ((sums[np.minimum(at + WIDE + 1, end)] - sums[at + 1]) * model.mixing[2]).astype(np.float32)
+        d_source = _sums(cs, own[order], len(model.source))
+        # AdaGrad; biases start at the frequencies and move slowly.
+        for part, total, grad, speed in zip(model.parts(), seen, (d_source, d_mixing, d_top, d_top_bias, d_member, d_member_bias), (1.0, 0.1, 1.0, 0.1, 1.0, 0.1), strict=True):
             total += grad * grad
             part += rate * speed * grad / np.sqrt(total)
     return model
 
 
 def _tokens(batches):
-    """(batch of rows, keys of all their tokens with their ends, lengths)."""
+    """(batch of rows, keys of all their tokens with their ends, lengths, tails)."""
     for whole in batches:
-        for at, hashes, counts in hashed_words(whole.column("text")):
-            keys = _signed(hashes)
+        for at, hashes, counts, tails in tailed_words(whole.column("text")):
+            keys = hashes.view(np.int64)
             keys = np.where(keys == END_KEY, END_KEY - 1, keys)
-            yield whole.slice(at, len(counts)), np.insert(keys, np.cumsum(counts), END_KEY), counts + 1
+            ends = np.cumsum(counts)
+            yield whole.slice(at, len(counts)), np.insert(keys, ends, END_KEY), counts + 1, np.insert(tails, ends, 0)
+
+
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """The place of each token's text's first token."""
+    return np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    got, back = np.unique(keys, return_inverse=True)
-    return got, np.bincount(back, counts, len(got)).astype(np.int64)
+def _trains(batch: pa.RecordBatch) -> np.ndarray:
+    return ~batch.column("held_out").to_numpy(zero_copy_only=False)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """key, n over the training rows."""
+    """key, tail, n over the training rows."""
 
     def count(batches):
-        keys, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        for batch, k, lengths in _tokens(batches):
-            train_ = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), lengths)
-            waiting.append(np.unique(k[train_], return_counts=True))
-            held += len(waiting[-1][0])
-            if held > 1_000_000:
-                keys, counts = _summed(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-                waiting, held = [], 0
-                if len(keys) > 2_000_000:  # a task's memory stays bounded; the shuffle adds the parts up
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, counts = _summed(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-
-    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _averaged(docs: DataFrame, model: Bilinear, classes: Lookup, share: np.ndarray, rate: float, seed: int) -> Bilinear:
-    sent = docs.sparkSession.sparkContext.broadcast((model, classes, share))
-
-    def run(batches):
-        now, classes, share = sent.value
-        total, held, n, calls = 0, [], 0, 0
-
-        def fit():
-            nonlocal now, held, n, calls
-            codes = np.concatenate(held)
-            now = train(now, codes, share, rate / (1 + calls), seed + int(codes.sum() % 1000))
-            held, n, calls = [], 0, calls + 1
-
-        for batch, keys, lengths in _tokens(batches):
-            c = np.where(keys == END_KEY, END, classes(keys, REST))
-            codes = (_contexts(c) * CLASSES + c)[np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), lengths)]
-            held.append(codes)
-            total, n = total + len(codes), n + len(codes)
-            if n > HELD:
-                fit()
-        if n:
-            fit()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([now.pack()])], ["weight", "model"])
-
-    def meet(batches):
-        weight, total = 0, None
+        held, n = [], 0
+
+        def summed():
+            keys, tails, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            got, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            return got, tails[first], np.bincount(back, counts, len(got)).astype(np.int64)
+
+        for batch, keys, lengths, tails in _tokens(batches):
+            some = np.repeat(_trains(batch), lengths)
+            got, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
+            held.append((got, tails[some][first], counts))
+            n += len(got)
+            if n > 3_000_000:
+                held = [summed()]
+                n = len(held[0][0])
+                if n > 2_000_000:  # a task's memory stays bounded; the shuffle adds the parts up
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "tail", "n"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["key", "tail", "n"])
+
+    return docs.mapInArrow(count, "key long, tail long, n long").groupBy("key").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"))
+
+
+def class_mass(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """Smoothed counts of the classes; each has room for one unknown token."""
+    sent = counts.sparkSession.sparkContext.broadcast(classes)
+
+    def add(batches):
+        total = np.zeros((classes.side**2, 2), np.int64)
         for b in batches:
-            for w, m in zip(b.column("weight").to_pylist(), b.column("model").to_pylist(), strict=True):
-                x = np.frombuffer(m, np.float64) * w
-                weight, total = weight + w, x if total is None else total + x
-        if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()])], ["weight", "model"])
+            c = sent.value(b.column("key").to_numpy(), b.column("tail").to_numpy())
+            total[:, 0] += np.bincount(c, b.column("n").to_numpy(), len(total)).astype(np.int64)
+            total[:, 1] += np.bincount(c, minlength=len(total))
+        some = np.flatnonzero(total[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some, 0]), pa.array(total[some, 1])], ["c", "n", "types"])
+
+    mass = np.full(classes.side**2, ALPHA)
+    for x in counts.mapInArrow(add, "c long, n long, types long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():  # a row for each class
+        mass[x.c] += x.n + ALPHA * x.types
+    return mass
+
+
+def learn(docs: DataFrame, classes: Classes, mass: np.ndarray, n_tokens: int, scratch: Scratch) -> Bilinear:
+    spark, kind = docs.sparkSession, "<u2" if classes.side**2 <= 1 << 16 else "<u4"
+    parts = max(1, round(n_tokens / ROUNDS / PART))
+    sent = spark.sparkContext.broadcast(classes)
+
+    def encode(batches):
+        seen: set[int] = set()
+        for batch, keys, lengths, tails in _tokens(batches):
+            codes = sent.value(keys, tails).astype(kind)
+            ends, out = np.cumsum(lengths).tolist(), []
+            for used, n, end in zip(_trains(batch).tolist(), lengths.tolist(), ends, strict=True):
+                if used:
+                    raw = codes[end - n : end].tobytes()
+                    h = xxhash.xxh3_64_intdigest(raw)
+                    if h not in seen:
+                        out.append((h, raw))
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(h)
+            yield pa.RecordBatch.from_arrays([pa.array([h % ROUNDS for h, _ in out], pa.int32()), pa.array([h // ROUNDS % parts for h, _ in out], pa.int64()), pa.array([h - 2**63 for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["round", "part", "h", "codes"])
+
+    texts = scratch.keep("texts", docs.mapInArrow(encode, "round int, part long, h long, codes binary"))
+    model = Bilinear.new(mass, classes.side)
+    for i in range(ROUNDS):
+        model = _round(texts.where(F.col("round") == i), model, mass, RATE / (1 + i), i, kind)
+    scratch.drop("texts")
+    return model
 
-    parts = docs.mapInArrow(run, "weight long, model binary").repartition(MEETS).mapInArrow(meet, "weight long, model binary").collect()  # MEETS rows
-    if not parts:
-        return model
-    weights = np.array([p.weight for p in parts], float)
-    return model.like(sum(w * np.frombuffer(p.model, np.float64) for w, p in zip(weights, parts, strict=True)) / weights.sum())
 
+def _round(texts: DataFrame, model: Bilinear, mass: np.ndarray, rate: float, seed: int, kind: str) -> Bilinear:
+    """The average of the models trained on each part."""
+    sent = texts.sparkSession.sparkContext.broadcast((model, mass))
 
-def _contexts(c: np.ndarray) -> np.ndarray:
-    """CLASSES * (class two before) + (class before) for each token; before a text's start stands END."""
-    one = np.concatenate([[END], c[:-1]])
-    two = np.concatenate([[END, END], c[:-2]])[: len(c)]
-    two = np.where(one == END, END, two)
-    return two * CLASSES + one
+    def fit(batches):
+        model, mass = sent.value
+        total, n, part, last, held = 0, 0, None, None, []
 
+        def trained():
+            return train(model, held, mass, rate, 1000 * seed + part % 1000).pack()
 
-def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for b in batches:
+            for p, h, codes in zip(b.column("part").to_pylist(), b.column("h").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                if p != part and held:
+                    total, n, held = total + trained(), n + 1, []
+                if h != last:  # equal texts of several tasks
+                    held.append(np.frombuffer(codes, kind))
+                part, last = p, h
+        if held:
+            total, n = total + trained(), n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()])], ["meet", "n", "model"])
+
+    def add(batches):
+        sums: dict[int, list] = {}
+        for b in batches:
+            for meet, n, m in zip(*(b.column(c).to_pylist() for c in ("meet", "n", "model")), strict=True):
+                old = sums.setdefault(meet, [0, 0])
+                old[0], old[1] = old[0] + n, old[1] + np.frombuffer(m, np.int64)
+        for meet, (n, m) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([meet], pa.int64()), pa.array([n], pa.int64()), pa.array([m.tobytes()])], ["meet", "n", "model"])
+
+    schema = "meet long, n long, model binary"
+    found = texts.repartition("part").sortWithinPartitions("part", "h").select("part", "h", "codes").mapInArrow(fit, schema)
+    found = found.repartition("meet").mapInArrow(add, schema).withColumn("meet", F.lit(0).cast("long"))
+    one = found.repartition("meet").mapInArrow(add, schema).collect()  # one row
+    return model.like(np.frombuffer(one[0].model, np.int64), one[0].n) if one else model
+
+
+def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_token."""
     spark = documents.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)))
     counts = scratch.keep("counts", token_counts(docs))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # a fixed number of rows
-    keys, ns = top.column("key").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(keys)
-    frequent = Lookup(keys[order], ns[order])
-    rank = keys[keys != END_KEY][: CLASSES - 2]
-    order = np.argsort(rank)
-    classes = Lookup(rank[order], order + 2)
-    in_class = np.zeros(CLASSES, np.int64)
-    in_class[2:][: len(rank)] = ns[keys != END_KEY][: CLASSES - 2]
-    in_class[END] = ns[keys == END_KEY].sum()
-    in_class[REST] = n - in_class.sum()
-    rest_mass = float(in_class[REST] + ALPHA * (v + 1 - len(rank) - (in_class[END] > 0)))
-    smooth = (in_class + ALPHA) / (in_class + ALPHA).sum()
-    model = Bilinear.new(np.log(smooth))
-    for i in range(ROUNDS):
-        model = _averaged(docs, model, classes, smooth, RATE / (i + 1), 1000 * (i + 1))
-    sent = spark.sparkContext.broadcast((model, model.normalisers(), classes, frequent))
+    keys, tails, ns = (top.column(c).to_numpy() for c in ("key", "tail", "n"))
+    frequent, classes = Lookup.of(keys, ns), Classes.new(v, keys, tails)
+    mass = class_mass(counts, classes)
+    model = learn(docs, classes, mass, n, scratch)
+    sent = spark.sparkContext.broadcast((model, classes, frequent, np.log10(mass)))
     base_mass = n + ALPHA * (v + 1)
 
     def score(batches):
-        model, norms, classes, frequent = sent.value
+        model, classes, frequent, log_mass = sent.value
         wanted = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "tf")
-        for batch, keys, lengths in _tokens(batches):
-            rows = np.repeat(np.arange(len(lengths)), lengths)
-            c = np.where(keys == END_KEY, END, classes(keys, REST))
-            ctx = _contexts(c)
-            seen, back = np.unique(ctx * CLASSES + c, return_inverse=True)
-            a, b, w = seen // CLASSES**2, seen // CLASSES % CLASSES, seen % CLASSES
-            q = model.source[a] * model.mixing[0] + model.source[b] * model.mixing[1]
-            log_p = ((q * model.target[w]).sum(1) + model.bias[w] - norms[seen // CLASSES]) / np.log(10)
+        for batch, keys, lengths, tails in _tokens(batches):
+            rows, total = np.repeat(np.arange(len(lengths)), lengths), lambda x: np.bincount(rows, x, len(lengths))  # noqa: E731, B023
+            c = classes(keys, tails)
+            log_p = model.log_probabilities(c, _begins(lengths)).astype(np.float64) / np.log(10) - log_mass[c]
+            # Of words in a class of their own the count's smoothing is shared with the unknown one.
             count = frequent(keys, 0)
-            known, total = count > 0, lambda x: np.bincount(rows, x, len(lengths))
-            base = np.where(known, np.log10((count + ALPHA) / base_mass), 0.0)
-            rest = np.where(known & (c == REST), np.log10((count + ALPHA) / rest_mass), 0.0)
+            known = count > 0
+            own = np.where(known, np.log10(np.maximum(count, 1) + ALPHA), 0.0)
+            base = np.where(known, own - np.log10(base_mass), 0.0)
             # Words not among the frequent ones: their counts come by a join, once for each row and word.
             away = np.nonzero(~known)[0]
             by = np.lexsort([keys[away], rows[away]])
@@ -273,7 +396,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cuts = np.searchsorted(r[first], np.arange(len(lengths) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(log_p[back] + rest)),
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(log_p + own)),
                     pa.ListArray.from_arrays(cuts, pa.array(k[first])), pa.ListArray.from_arrays(cuts, pa.array(tf)),
                 ],
                 list(wanted),
@@ -282,9 +405,9 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, tf array<long>"
     rows = scratch.keep("rows", docs.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.tf").alias("tf"))
-    met = rare.join(counts, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    log = lambda mass: F.sum(F.col("tf") * F.log10((F.col("c") + ALPHA) / F.lit(mass)))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), log(base_mass).alias("b"), log(rest_mass).alias("s"))
+    met = rare.join(counts.select("key", "n"), "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    log = F.log10(F.col("c") + ALPHA)
+    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * (log - np.log10(base_mass))).alias("b"), F.sum(F.col("tf") * log).alias("s"))
     out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     score_ = F.col("score") + zero("s")

@@ -71,10 +71,10 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts data[edges[i]:edges[i + 1]], and how many each text has."""
+def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts data[edges[i]:edges[i + 1]], how many each text has, and the words' last three bytes."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64), np.zeros(0, np.int64)
     word = ~_BLANK[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
@@ -86,11 +86,13 @@ def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), np.diff(np.searchsorted(a, edges))
+    tails = sum(np.where(b - a > i, _LOWER[data[b - 1 - i]], 0) << (8 * i) for i in range(3))
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), np.diff(np.searchsorted(a, edges)), tails
 
 
-def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The words of each text of a string column, hashed in slices of whole texts: (first row, hashes, words per row).
+def tailed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of each text of a string column, hashed in slices of whole texts: (first row, hashes, words per row, last
+    three bytes of each word, the last one lowest).
 
     Words are as split_words cuts them, A-Z lower-cased; null counts as empty."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
@@ -99,11 +101,17 @@ def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
-        hashes, counts = _hashed(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
-        yield at, hashes, counts
+        hashes, counts, tails = _hashed(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, hashes, counts, tails
         at = end
 
 
+def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As tailed_words, without the last bytes."""
+    for at, hashes, counts, _ in tailed_words(column):
+        yield at, hashes, counts
+
+
 def row_shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The set of k-word shingles of each text, as sorted hashes."""
     for _, hashes, counts in hashed_words(column):

@@ -37,18 +37,57 @@ def test_base_matches_brute_force_and_model_beats_it(spark, monkeypatch):
     assert out and sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
+def small(side=16, n=3000):
+    r = np.random.default_rng(1)
+    mass = r.dirichlet(np.ones(side * side)) * 1000
+    texts = [r.integers(0, side * side, r.integers(1, 60)) for _ in range(n // 30)]
+    return L.train(L.Bilinear.new(mass, side), texts, mass, 0.3, 1)
+
+
 def test_probabilities_of_a_context_sum_to_one():
-    share = np.random.default_rng(1).dirichlet(np.ones(L.CLASSES))
-    m = L.train(L.Bilinear.new(np.log(share)), np.random.default_rng(2).integers(0, L.CLASSES**3, 5000), share, 0.3, 1)
-    z = m.normalisers()
-    for a, b in ((0, 0), (3, 400), (511, 7)):
-        s = m.predicted(np.array([[a, b]]))[0] @ m.target.T + m.bias
-        assert np.exp(s - z[a * L.CLASSES + b]).sum() == pytest.approx(1, abs=1e-4)
+    m = small()
+    for before in ([], [5], [5, 200, 7, 7, 91] * 6):
+        total = sum(math.exp(m.log_probabilities(np.array([*before, c]), np.zeros(len(before) + 1, np.int64))[-1]) for c in range(256))
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_contexts_stay_within_a_text():
-    c = np.array([5, 6, 7, 0, 0, 8, 9, 0])
-    assert [(x // L.CLASSES, x % L.CLASSES) for x in L._contexts(c)] == [(0, 0), (0, 5), (5, 6), (6, 7), (0, 0), (0, 0), (0, 8), (8, 9)]
+    m, texts = small(), [[5, 6, 7], [8], [9, 10, 11, 12] * 9]
+    lengths = np.array([len(t) for t in texts])
+    together = m.log_probabilities(np.concatenate(texts), L._begins(lengths))
+    alone = np.concatenate([m.log_probabilities(np.array(t), np.zeros(len(t), np.int64)) for t in texts])
+    assert together == pytest.approx(alone, abs=1e-4)
+
+
+def test_gradients_are_those_of_the_contrastive_loss():
+    r = np.random.default_rng(3)
+    q, v, bias = r.normal(size=(6, 4)), r.normal(size=(5, 4)), r.normal(size=5)
+    true, share = np.sort(r.integers(0, 5, 6)), np.cumsum(r.dirichlet(np.ones(5)))
+
+    def loss(q, v, bias):
+        draws = np.sort(np.searchsorted(share, np.random.default_rng(8).random(L.NOISE * L.SHARED) * share[-1], "right").clip(0, 4))
+        noise = np.log(L.NOISE * np.diff(share, prepend=0) / share[-1] + 1e-12)
+        yes = (q * v[true]).sum(1) + bias[true] - noise[true]
+        no = q @ v[draws].T + bias[draws] - noise[draws]
+        return -np.log1p(np.exp(-yes)).sum() - np.log1p(np.exp(no)).sum() / L.SHARED
+
+    found = L._contrast(q, v, bias, true, share, np.random.default_rng(8), 1.0)
+    for x, grad in zip((q, v, bias), found, strict=True):
+        for at in np.ndindex(x.shape):
+            old, ends = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = old + step
+                ends.append(loss(q, v, bias))
+            x[at] = old
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(grad[at], abs=1e-3)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART", 500)  # several parts a round
+    rows = corpus(300)
+    got = [{(x.doc_id, x.n_tokens): x.score for x in L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()} for n in (2, 5)]
+    assert got[0].keys() == got[1].keys()
+    assert all(x == pytest.approx(got[1][k], rel=1e-5) for k, x in got[0].items())
 
 
 def test_empty_table(spark):
