@@ -2,37 +2,43 @@
 
 Seeds are the fixed patterns' finds. The words around each identifier-like token (many digits, or many letters and
 digits mixed) are its lexical patterns. Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
-instances it has met, an instance as good as the patterns it has been met in; seeds stay at 1. Instances that end above the
-threshold, met in at least two patterns that are themselves good and have seen several seeds, are new identifiers.
+instances it has met, an instance as good as the patterns it has been met in; seeds stay at 1. Instances above the
+threshold, met in at least two patterns that are themselves good and have seen several supporters, are new identifiers; they
+support patterns in the next round, until a round finds nothing new.
 
 Counts and scores cover all documents. Null and empty texts have no spans. Repeated rows give repeated result rows and
-count once in the graph. A null doc_id is a value like another.
+count once in the graph. A null doc_id is a value like another; an empty table gives no rows; columns other than id and text are
+ignored by the search and kept by the redaction, whatever their names. Time grows with a text's length, also within one unbroken run.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexiflume.llm.scratch import Scratch
+from lexiflume.llm.scratch import Scratch, unused
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, ACCEPT, MIN_SEEDS, DOUBT = 3, 0.5, 3, 2.0
 #: Rows of found spans that may be broadcast to the redaction; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The fixed patterns, cut so that no start is tried twice: an address around each @, whole chains of numbers, and the rest as given.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A token that may be an identifier: letters, digits and inner marks around at least one digit.
-_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.:/@+-]*[0-9][A-Za-z0-9_.:/@+-]*")
-_NEAR = re.compile(r"[^\x20\x09-\x0D]+")
+#: A token that may be an identifier lies in a run of letters, digits and inner marks with at least one digit.
+_RUN = re.compile(r"[A-Za-z0-9_.:/@+-]*+")
+_MARKS = "_.:/@+-"
+_NEAR = re.compile(r"[^\x20\x09-\x0D]++")
 
 
 def luhn(digits: str) -> bool:
@@ -43,17 +49,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        run, domain = _LOCAL.match(text[free:at][::-1]).end(), _DOMAIN.match(text, at + 1)
+        if run and domain:
+            found.append((at - run, domain.end(), "email"))
+        free = domain.end() if run and domain else at + 1
+        at = text.find("@", free)
+    return found
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind in the order of KINDS."""
     if not text:
         return []
-    found = []
-    if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+    found = _emails(text)
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
-                found.append((*m.span(), "ip"))
+        for m in _CHAIN.finditer(text):
+            parts = m[0].split(".")
+            at = m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
+                    found.append((at, end, "ip"))
+                at = end + 1
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -73,26 +94,44 @@ def _looks_like_id(token: str) -> bool:
     return len(token) >= 8 and digits >= 4 and (2 * digits >= len(token) or len(token) >= 12)
 
 
-def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns at a span: the word before, the word after, both, the two words before."""
-    before = _NEAR.findall(text[max(0, start - 80) : start].lower())[-2:]
-    after = _NEAR.findall(text[end : end + 60].lower())[:1]
-    left, right = (before or ["^"])[-1], (after or ["$"])[0]
-    left2 = before[0] if len(before) == 2 else "^"
-    return [_hash("l", left), _hash("r", right), _hash("lr", left, right), _hash("ll", left2, left)]
+def _identifiers(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Identifier-like tokens that touch no span already taken."""
+    found, free, ends, starts = [], 0, [], []
+    for a, b, _ in sorted(taken):  # merged
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    digit = _DIGIT.search(text)
+    while digit:
+        at = digit.start()
+        start, free = at - _RUN.match(text[free:at][::-1]).end(), _RUN.match(text, at).end()
+        token = text[start:free].lstrip(_MARKS)
+        start, end = free - len(token), free - len(token) + len(token.rstrip(_MARKS))
+        i = bisect_right(ends, start)
+        # A key before the value (key=value) is context, not part of the identifier; runs have no '='.
+        if _looks_like_id(text[start:end]) and _DIGIT.search(text, start + 1, end) and not (i < len(starts) and starts[i] < end):
+            found.append((start, end))
+        digit = _DIGIT.search(text, free)
+    return found
 
 
 def occurrences(text: str | None, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Seeds and identifier-like tokens outside them, with their patterns."""
+    """Seeds and identifier-like tokens outside them, with their lexical patterns: the word before, the word after, both, the
+    two words before. Neighbouring words are looked for up to the next span on that side."""
     if not text or not (base or _DIGIT.search(text)):
         return []
-    out = [{"start": s, "end": e, "inst": _hash("seed", k, text[s:e].lower()), "seed": True, "pats": contexts(text, s, e)} for s, e, k in base]
-    taken = [(s, e) for s, e, _ in base]
-    for m in _TOKEN.finditer(text):
-        s, e = m.start(), m.start() + len(m[0].rstrip("_.:/@+-"))
-        # A key before the value (key=value) is context, not part of the identifier; _TOKEN has no '='.
-        if _looks_like_id(text[s:e]) and not any(s < b and a < e for a, b in taken):
-            out.append({"start": s, "end": e, "inst": _hash("id", text[s:e].lower()), "seed": False, "pats": contexts(text, s, e)})
+    spans = sorted([*((s, e, _hash("seed", k, text[s:e].lower()), True) for s, e, k in base), *((s, e, _hash("id", text[s:e].lower()), False) for s, e in _identifiers(text, base))])
+    starts, out, last = [s for s, *_ in spans], [], (0, 0)
+    for s, e, inst, seed in spans:
+        before = text[last[1] if last[1] <= s else last[0] : s].lower().rsplit(None, 2)[-2:]
+        last = s, e
+        i = bisect_left(starts, e)
+        after = _NEAR.search(text, e, starts[i] if i < len(starts) else len(text))
+        left, right = (before or ["^"])[-1], after[0].lower() if after else "$"
+        left2 = before[0] if len(before) == 2 else "^"
+        out.append({"start": s, "end": e, "inst": inst, "seed": seed, "pats": [_hash("l", left), _hash("r", right), _hash("lr", left, right), _hash("ll", left2, left)]})
     return out
 
 
@@ -123,22 +162,29 @@ def _scan(batches):
 
 
 def graph_scores(occ: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """occ (inst, seed, pats), one row per occurrence. Returns inst and score of new instances to accept."""
+    """occ (inst, seed, pats), one row per occurrence. Returns inst and score of new instances to accept, after ``rounds`` rounds
+    at least and as many as find new ones."""
     edges = scratch.keep("edges", occ.select("inst", "seed", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    # DOUBT stands for unseen occurrences that were no identifiers, so rare patterns start low.
-    score = edges.select("inst", "seed").distinct().withColumn("conf", F.col("seed").cast("double"))
-    for i in range(rounds):
-        pats = edges.join(score.select("inst", "conf"), "inst").groupBy("pat").agg((F.sum(F.col("n") * F.col("conf")) / (F.sum("n") + DOUBT)).alias("good"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
+    score = edges.select("inst", "seed").distinct().select("inst", F.col("seed").cast("double").alias("conf"), F.col("seed").alias("sure"))
+    done, i, accepted = False, 0, 0
+    while not done:
+        # DOUBT stands for unseen occurrences that were no identifiers, so rare patterns start low.
+        pats = edges.join(score, "inst").groupBy("pat").agg((F.sum(F.col("n") * F.col("conf")) / (F.sum("n") + DOUBT)).alias("good"), F.count(F.when(F.col("sure"), 1)).alias("support"))
         pats = scratch.keep(f"pats-{i}", pats)
         met = edges.join(pats, "pat").groupBy("inst", "seed").agg(
             (F.sum(F.col("n") * F.col("good")) / F.sum("n")).alias("mean"),
-            F.count(F.when((F.col("good") >= ACCEPT) & (F.col("seeds") >= MIN_SEEDS), 1)).alias("strong"),
+            F.count(F.when((F.col("good") >= ACCEPT) & (F.col("support") >= MIN_SEEDS), 1)).alias("strong"),
         )
-        score = scratch.keep(f"score-{i}", met.withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(F.col("mean"))))
-        if i:
-            scratch.drop(f"pats-{i - 1}", f"score-{i - 1}")
-    found = scratch.keep("found", score.where("not seed").where((F.col("conf") >= ACCEPT) & (F.col("strong") >= 2)).select("inst", F.col("conf").alias("score")))
-    scratch.drop("edges", f"pats-{rounds - 1}", f"score-{rounds - 1}")
+        new = (F.col("mean") >= ACCEPT) & (F.col("strong") >= 2)
+        before = score.select("inst", F.col("sure").alias("was"))  # once accepted, an instance counts as a seed does
+        now = met.join(before, "inst").select("inst", "seed", "mean", (F.col("was") | new).alias("sure"))
+        score = scratch.keep(f"score-{i}", now.withColumn("conf", F.when(F.col("sure"), 1.0).otherwise(F.col("mean"))))
+        scratch.drop(f"pats-{i}", *([f"score-{i - 1}"] if i else []))
+        last, accepted = accepted, score.where("sure and not seed").count()
+        score, whole, i = score.select("inst", "conf", "sure"), score, i + 1
+        done = i >= rounds and accepted == last
+    found = scratch.keep("found", whole.where("sure and not seed").select("inst", F.col("mean").alias("score")))
+    scratch.drop("edges", f"score-{i - 1}")
     return found
 
 
@@ -155,10 +201,10 @@ def _found(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     return new.groupBy("rkey").agg(F.collect_set(F.struct("start", "end", F.lit("id").alias("kind"))).alias("more"))
 
 
-def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, counts and digest of the fixed patterns' spans, and all spans (string
     kind:start:end by start; n_found of them are new identifiers, of kind id)."""
-    scratch = Scratch(documents.sparkSession)
+    scratch = scratch or Scratch(documents.sparkSession)
     scanned = scratch.keep("scanned", _keyed(documents, id_col, text_col).mapInArrow(_scan, _SCHEMA))
     more = scratch.keep("more", _found(scanned, scratch))
     scratch.drop("occ")
@@ -169,17 +215,18 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return all_spans.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.expr("array_join(transform(list, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"))
 
 
-def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The same rows and columns with each span's text replaced by its kind in square brackets; null texts stay."""
-    scratch = Scratch(documents.sparkSession)
+    scratch = scratch or Scratch(documents.sparkSession)
     keyed = _keyed(documents, id_col, text_col)
     scanned = scratch.keep("scanned", keyed.mapInArrow(_scan, _SCHEMA).where(F.size("occ") > 0))
     more = scratch.keep("more", _found(scanned, scratch))
     scratch.drop("occ", "scanned")
-    more = more.toDF("__rkey", "__more")
+    key = unused("rkey", documents.columns)
+    more = more.toDF(key, unused("more", documents.columns))
     at = documents.columns.index(text_col)
-    wide = documents.withColumn("__rkey", F.xxhash64(F.col(id_col).cast("long"), text_col))
-    wide = wide.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "__rkey", "left").drop("__rkey")
+    wide = documents.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text_col))
+    wide = wide.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, key, "left").drop(key)
 
     def cut(batches):
         for batch in batches:

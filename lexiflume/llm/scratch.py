@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one operator run: ``keep`` writes one and reads it back, ``drop`` deletes it, ``close`` deletes all.
 
