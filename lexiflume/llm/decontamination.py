@@ -9,7 +9,8 @@ not fingerprinted, which loses nothing.
 
 Benchmarks are broadcast in blocks of ITEM_WORDS words, one pass over the documents for each block, so any size of
 benchmark works. Null and empty texts are clean; items without words match nothing; repeated rows give repeated rows;
-documents and items may have a null id.
+documents and items may have a null id; an empty table gives no finds; other columns are kept or ignored, whatever their names.
+Of windows equally similar to an item the first stands. Texts are fingerprinted STRETCH words at a time, so memory does not grow with their length.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from lexiflume.llm.words import hashed_words, shingles
 K, RADIUS, THRESHOLD = 5, 15, 0.8
 #: Words of benchmark items that are broadcast at once.
 ITEM_WORDS = 1_000_000
+#: Items of a block up to which the index holds each value near an item's (17 kB an item); beyond, the near values of a window's are
+#: looked up among the items' own (24 bytes an item). Both find the same.
+FLIPPED = 4096
+#: Windows that are fingerprinted at once.
+STRETCH = 4096
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -43,38 +49,42 @@ def simhash(hashes: np.ndarray) -> int:
     return int(_packed(signs(hashes).sum(0, keepdims=True))[0])
 
 
-_FLIPS = [m for r in range(RADIUS // 4 + 1) for m in (sum(1 << b for b in c) for c in combinations(range(16), r))]
+_FLIPS = np.array([m for r in range(RADIUS // 4 + 1) for m in (sum(1 << b for b in c) for c in combinations(range(16), r))], np.uint16)
 
 
 class Index:
-    """The items of one block with the same shingle size k and the same number of words."""
+    """The fingerprints of the items of one block with the same shingle size k and the same number of words."""
 
-    def __init__(self, items: list[dict]):
-        self.items = items
-        prints = np.array([i["print"] for i in items], np.uint64)
-        self.prints, flips = prints, np.array(_FLIPS, np.uint64)
-        self.tables = []
+    def __init__(self, items: list[dict], flipped: bool = True):
+        self.prints, self.flipped, self.tables = np.array([i["print"] for i in items], np.uint64), flipped, []
         for b in range(4):
-            part = (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            values = (part[:, None] ^ flips).ravel()
-            owners = np.repeat(np.arange(len(items)), len(flips))
+            values, owners = self._part(self.prints, b), np.arange(len(items), dtype=np.int32)
+            if flipped:
+                values, owners = (values[:, None] ^ _FLIPS).ravel(), np.repeat(owners, len(_FLIPS))
             order = np.argsort(values, kind="stable")
             self.tables.append((values[order], owners[order]))
 
+    @staticmethod
+    def _part(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+
     def within(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window number, item number) whose fingerprints differ in at most RADIUS bits."""
-        found = []
-        for b, (values, owners) in enumerate(self.tables):
-            part = (windows >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            a, z = np.searchsorted(values, part, "left"), np.searchsorted(values, part, "right")
-            n = z - a
-            w = np.repeat(np.arange(len(windows)), n)
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            o = owners[at]
-            near = np.bitwise_count(windows[w] ^ self.prints[o]) <= RADIUS
-            found.append(w[near] * len(self.items) + o[near])
+        found, step, items = [np.zeros(0, np.int64)], len(windows) if self.flipped else 256, len(self.prints)
+        for first in range(0, len(windows), max(step, 1)):
+            some = windows[first : first + step]
+            for b, (values, owners) in enumerate(self.tables):
+                part, number = self._part(some, b), np.arange(first, first + len(some))
+                if not self.flipped:
+                    part, number = (part[:, None] ^ _FLIPS).ravel(), np.repeat(number, len(_FLIPS))
+                a, z = np.searchsorted(values, part, "left"), np.searchsorted(values, part, "right")
+                n = z - a
+                w = np.repeat(number, n)
+                o = owners[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                near = np.bitwise_count(windows[w] ^ self.prints[o]) <= RADIUS
+                found.append(w[near] * items + o[near])
         both = np.unique(np.concatenate(found))
-        return both // len(self.items), both % len(self.items)
+        return both // items, both % items
 
 
 def similarity(window: np.ndarray, item: dict) -> float:
@@ -87,49 +97,74 @@ def similarity(window: np.ndarray, item: dict) -> float:
     return float((item["weights"] * np.minimum(mine, item["counts"])).sum() / upper)
 
 
+class Flat:
+    """Items of one shingle size and length in a few arrays."""
+
+    def __init__(self, items: list[dict], flipped: bool):
+        self.index = Index(items, flipped)
+        self.row, self.item_id = np.array([i["row"] for i in items], np.int64), [i["item_id"] for i in items]
+        self.ends = np.cumsum([len(i["keys"]) for i in items])
+        self.keys, self.weights = (np.concatenate([i[c] for i in items]) for c in ("keys", "weights"))
+        self.counts = np.concatenate([i["counts"] for i in items]).astype(np.int32)
+
+    def __getitem__(self, i: int) -> dict:
+        cut = slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+        return {"row": int(self.row[i]), "item_id": self.item_id[i], "keys": self.keys[cut], "counts": self.counts[cut], "weights": self.weights[cut]}
+
+
 class Block:
     """Items in reach of one pass, by shingle size."""
 
     def __init__(self, rows: list[dict]):
         self.by_size: dict[int, dict] = {}
         for k in sorted({r["k"] for r in rows}):
-            items = [r for r in rows if r["k"] == k]
-            lengths = sorted({r["n_shingles"] for r in items})
-            keys = np.concatenate([r["keys"] for r in items])
-            of = np.repeat([lengths.index(r["n_shingles"]) for r in items], [len(r["keys"]) for r in items])
+            by_length: dict[int, list[dict]] = {}
+            for r in rows:
+                if r["k"] == k:
+                    by_length.setdefault(r["n_shingles"], []).append(r)
+            lengths = sorted(by_length)
+            keys = np.concatenate([r["keys"] for n in lengths for r in by_length[n]])
+            of = np.repeat(np.arange(len(lengths)), [sum(len(r["keys"]) for r in by_length[n]) for n in lengths])
             pairs = np.unique(np.stack([keys, of.astype(np.uint64)]), axis=1)  # which lengths a shingle leads to
-            self.by_size[k] = {"lengths": lengths, "keys": np.unique(keys), "pairs": (pairs[0], pairs[1].astype(np.int64)), "index": [Index([r for r in items if r["n_shingles"] == n]) for n in lengths]}
+            self.by_size[k] = {"lengths": lengths, "pairs": (pairs[0], pairs[1].astype(np.int32)), "items": [Flat(by_length[n], len(rows) <= FLIPPED) for n in lengths]}
 
     def search(self, k: int, grams: np.ndarray, threshold: float) -> list[tuple]:
         """(item id, similarity, start, words) for one document: the best window of each item that reaches the threshold."""
         part = self.by_size[k]
-        at = np.minimum(np.searchsorted(part["keys"], grams), len(part["keys"]) - 1)
-        anchors = np.flatnonzero(part["keys"][at] == grams)
+        keys, of = part["pairs"]
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        anchors = np.flatnonzero(keys[at] == grams)
         best: dict[int, tuple] = {}
         if not len(anchors):
             return []
         reach = part["lengths"][-1]
         for region in np.split(anchors, np.flatnonzero(np.diff(anchors) >= 2 * reach) + 1):
             lo, hi = max(0, int(region[0]) - reach + 1), min(len(grams), int(region[-1]) + reach)
-            here = grams[lo:hi]
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(here), 0)])
-            keys, of = part["pairs"]
-            spans = np.unique(grams[region])
-            a, z = np.searchsorted(keys, spans, "left"), np.searchsorted(keys, spans, "right")
-            for which in sorted({int(x) for i, j in zip(a, z, strict=True) for x in of[i:j]}):
-                n = min(part["lengths"][which], len(here))  # less than the item's only if the whole document is shorter
-                index = part["index"][which]
+            for first in range(lo, hi, STRETCH):
+                here = grams[first : min(hi, first + STRETCH + reach - 1)]
+                hits = region[slice(*np.searchsorted(region, [first, first + len(here)]))] - first
+                if not len(hits):
+                    continue
+                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(here), 0)])
+                spans = np.unique(here[hits])
+                a, z = np.searchsorted(keys, spans, "left"), np.searchsorted(keys, spans, "right")
                 hit = np.zeros(len(here) + 1, np.int64)
-                hit[1:][region - lo] = 1
+                hit[1:][hits] = 1
                 hit = np.cumsum(hit)
-                starts = np.flatnonzero(hit[n:] > hit[:-n])
-                prints = _packed(sums[starts + n] - sums[starts])
-                for w, i in zip(*index.within(prints), strict=True):
-                    item, start = index.items[i], int(starts[w])
-                    s = similarity(here[start : start + n], item)
-                    key = (-s, lo + start)
-                    if s >= threshold and (item["row"] not in best or key < best[item["row"]][0]):
-                        best[item["row"]] = (key, (item["item_id"], s, lo + start, n + k - 1))
+                for which in sorted({int(x) for i, j in zip(a, z, strict=True) for x in of[i:j]}):
+                    n = min(part["lengths"][which], len(grams))  # less than the item's only if the whole document is shorter
+                    if n > len(here):
+                        continue
+                    items = part["items"][which]
+                    starts = np.flatnonzero(hit[n:] > hit[:-n])
+                    starts = starts[starts < STRETCH]
+                    prints = _packed(sums[starts + n] - sums[starts])
+                    for w, i in zip(*items.index.within(prints), strict=True):
+                        item, start = items[int(i)], int(starts[w])
+                        s = similarity(here[start : start + n], item)
+                        key = (-s, first + start)
+                        if s >= threshold and (item["row"] not in best or key < best[item["row"]][0]):
+                            best[item["row"]] = (key, (item["item_id"], s, first + start, n + k - 1))
         return [v for _, v in best.values()]
 
 
@@ -153,10 +188,9 @@ def prepared(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return items.mapInArrow(cut, "item_id long, n_words long, k long, n_shingles long, keys array<long>, counts array<long>, print long").where("n_words > 0")
 
 
-def _blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
+def _blocks(benchmark: DataFrame, scratch: Scratch, id_col: str = "item_id", text_col: str = "text"):
     """Broadcast blocks of items, made one after another."""
     spark = benchmark.sparkSession
-    scratch = Scratch(spark)
     items = scratch.keep("items", prepared(benchmark, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     held = scratch.keep("held", items.dropDuplicates(["keys", "counts"]).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")))
     weighted = items.select("row", F.posexplode("keys").alias("pos", "key")).join(held, "key").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df"))), lambda x: 1.0 / x["df"]).alias("weights"))
@@ -179,11 +213,11 @@ def _found(batch, block: Block, column: int, threshold: float):
             yield [x for k in block.by_size if n >= k for x in block.search(k, whole[k][end - n : end - k + 1], threshold)]
 
 
-def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: for each document and item that it contains, the best window."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = []
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, scratch or Scratch(documents.sparkSession)):
 
         def find(batches, block=block):
             for batch in batches:
@@ -199,10 +233,10 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float
     return out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The documents, with all their columns, in which no item is found."""
     at = documents.columns.index(text_col)
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, scratch or Scratch(documents.sparkSession)):
 
         def clean(batches, block=block):
             for batch in batches:

@@ -117,3 +117,49 @@ def test_repeated_items_hide_no_finds(spark):
         got = sorted((x.doc_id, x.item_id, round(x.similarity, 9)) for x in d.contaminations(a, b).collect())
         assert got == [(1, i, round(50 / 60, 9)) for i in range(copies)]
         assert [x.doc_id for x in d.drop_contaminated(a, b).collect()] == [2]
+
+
+def test_near_values_of_items_or_of_windows_find_the_same():
+    r = np.random.default_rng(5)
+    prints = r.integers(0, 2**63, 300, np.uint64)
+    windows = np.concatenate([r.integers(0, 2**63, 200, np.uint64), *[prints[:40] ^ np.bitwise_or.reduce(np.uint64(1) << r.choice(64, n, False).astype(np.uint64)) for n in range(12, 18)]])
+    items = [{"print": p} for p in prints]
+    one, two = d.Index(items).within(windows), d.Index(items, False).within(windows)
+    assert all((x == y).all() for x, y in zip(one, two, strict=True)) and len(one[0]) > 100
+
+
+def test_many_short_items_keep_the_index_small(monkeypatch):
+    import pickle
+
+    r = np.random.default_rng(6)
+    rows = [{"item_id": i, "row": i, "k": 5, "n_shingles": n, "keys": np.sort(r.integers(0, 2**63, n, np.uint64)), "counts": np.ones(n, np.int64), "weights": np.ones(n), "print": np.uint64(r.integers(0, 2**63))} for i, n in enumerate(r.integers(1, 21, 50_000).tolist())]
+    for i in (5, 77):
+        rows[i]["print"] = np.uint64(d.simhash(rows[i]["keys"]))
+    block = d.Block(rows)
+    assert len(pickle.dumps(block)) < 200_000_000
+    grams = np.concatenate([r.integers(0, 2**63, 30, np.uint64), rows[5]["keys"], rows[77]["keys"]])
+    assert {x[0] for x in block.search(5, grams, 0.8)} == {5, 77}
+
+
+def test_long_texts_go_in_stretches(spark, monkeypatch):
+    docs, items = cases(6)
+    whole = (77, " ".join(t or "" for _, t in docs))
+    a, b = spark.createDataFrame([whole], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, d.contaminations(a, b).collect()), key=str)
+    monkeypatch.setattr(d, "STRETCH", 7)
+    assert sorted(map(tuple, d.contaminations(a, b).collect()), key=str) == want and len(want) > 8
+
+
+def test_recall_at_the_threshold():
+    """Of items with words changed to a similarity of 0.8 or more, nearly all lie within the radius."""
+    r = np.random.default_rng(7)
+    found = total = 0
+    for n in (20, 40, 80, 160):
+        for _ in range(120):
+            item = np.unique(r.integers(0, 2**63, n, np.uint64))
+            window = item.copy()
+            change = r.integers(1, max(2, int(0.111 * n) + 1))  # s = (n - c) / (n + c) from 0.8 up
+            window[:change] = r.integers(0, 2**63, change, np.uint64)
+            total += 1
+            found += int(np.uint64(d.simhash(item)) ^ np.uint64(d.simhash(window))).bit_count() <= d.RADIUS
+    assert found / total >= 0.97
