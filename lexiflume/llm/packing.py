@@ -1,12 +1,16 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Each document is tokenised whole (a vocabulary file of the tokenizers library) and ends with one closing id. Only
-longer documents are cut, into full pieces and a last shorter one. Pieces are dealt by hash into lots of about LOT
-pieces; in each lot, longest first, a piece goes to the fullest open sequence that still holds it (best-fit
-decreasing), found through a segment tree over remaining capacities in logarithmic time. A lot leaves at most a few
-sequences partly filled, out of thousands.
+longer documents are cut, into full pieces and a last shorter one. Longest first, a piece goes to the fullest open sequence
+that still holds it (best-fit decreasing), found through a segment tree over remaining capacities in logarithmic time.
 
-Null and empty texts give the closing id alone. Repeated rows are packed as often as they occur.
+Pieces of one length are alike, and so are sequences with one remaining capacity. So the driver packs the table of lengths and
+their numbers, of as many rows as a sequence has tokens at most, with runs of alike sequences as the tree's leaves:
+the whole corpus is packed at once, as by best-fit decreasing piece by piece. Spark then numbers the pieces of each length, and a
+number gives the place.
+
+Null and empty texts give the closing id alone. Repeated rows are packed as often as they occur; an empty table gives no rows; pieces of
+equal length go by doc_id, piece and ids within runs of rows; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +19,15 @@ import os
 import re
 import zlib
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lexiflume.llm.numbering import numbered, run_of, spread
 from lexiflume.llm.scratch import Scratch
 
-#: Pieces in a lot, about.
-LOT = 16_384
 #: Words that one Python worker remembers at most.
 MEMO = 700_000
 #: Words encoded by one call, with a mark between them.
@@ -93,22 +97,22 @@ def encoder(path: str) -> Encoder:
 
 
 class Capacities:
-    """Segment tree over remaining capacities 0..size; a leaf holds the open bins that have it."""
+    """Segment tree over remaining capacities 0..size; a leaf holds the runs of open sequences (first, number) that have it."""
 
     def __init__(self, size: int):
         self.leaves = 1 << size.bit_length()
         self.any = bytearray(2 * self.leaves)
-        self.bins: list[list[int]] = [[] for _ in range(size + 1)]
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
 
-    def put(self, capacity: int, bin_: int) -> None:
-        self.bins[capacity].append(bin_)
+    def put(self, capacity: int, first: int, n: int) -> None:
+        self.runs[capacity].append((first, n))
         at = capacity + self.leaves
         while at and not self.any[at]:
             self.any[at] = 1
             at >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """The open bin with the least capacity of at least ``need``, removed; with its capacity."""
+    def take(self, need: int) -> tuple[int, int, int] | None:
+        """A run of the open sequences with the least capacity of at least ``need``, removed: capacity, first, number."""
         at = need + self.leaves
         if not self.any[at]:
             while at > 1 and (at & 1 or not self.any[at + 1]):
@@ -119,33 +123,64 @@ class Capacities:
             while at < self.leaves:
                 at = 2 * at if self.any[2 * at] else 2 * at + 1
         capacity = at - self.leaves
-        bin_ = self.bins[capacity].pop()
-        if not self.bins[capacity]:
+        run = self.runs[capacity].pop()
+        if not self.runs[capacity]:
             while at and not (at < self.leaves and (self.any[2 * at] or self.any[2 * at + 1])):
                 self.any[at] = 0
                 at >>= 1
-        return capacity, bin_
-
-
-def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each item; items come longest first."""
-    tree, bins, where, offsets = Capacities(size), 0, [], []
-    for n in lengths:
-        found = tree.take(n)
-        if found is None:
-            found = size, bins
-            bins += 1
-        capacity, bin_ = found
-        where.append(bin_)
-        offsets.append(size - capacity)
-        if capacity > n:
-            tree.put(capacity - n, bin_)
-    return where, offsets
-
-
-def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return capacity, *run
+
+
+@dataclass
+class Places:
+    """Where the pieces of one length go: those from number ``start[i]`` on lie ``per[i]`` to a sequence, from sequence ``first[i]``
+    and offset ``offset[i]`` on."""
+
+    length: int
+    start: np.ndarray
+    per: np.ndarray
+    first: np.ndarray
+    offset: np.ndarray
+
+    def __call__(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.start, numbers, "right") - 1
+        past = numbers - self.start[at]
+        return self.first[at] + past // self.per[at], self.offset[at] + past % self.per[at] * self.length
+
+
+def best_fit_decreasing(counts: dict[int, int], size: int) -> dict[int, Places]:
+    """counts: how many pieces have each length from 1 to size. The places of each length's pieces."""
+    tree, made, out = Capacities(size), 0, {}
+    for length in sorted(counts, reverse=True):
+        left, rows = counts[length], []
+        while left:
+            found = tree.take(length)
+            if found is None:
+                found = size, made, -(-left // (size // length))
+                made += found[2]
+            capacity, first, n = found
+            # A sequence that still holds the length stays the tightest one, so it is filled up before the next.
+            per = capacity // length
+            full, rest = (n, 0) if left >= n * per else divmod(left, per)
+            if full:
+                rows.append((counts[length] - left, per, first, size - capacity))
+                left -= full * per
+                if capacity > per * length:
+                    tree.put(capacity - per * length, first, full)
+            if rest:
+                rows.append((counts[length] - left, per, first + full, size - capacity))
+                left -= rest
+                tree.put(capacity - rest * length, first + full, 1)
+            if full + (rest > 0) < n:
+                tree.put(capacity, first + full + (rest > 0), n - full - (rest > 0))
+        if rows:
+            out[length] = Places(length, *(np.array(c, np.int64) for c in zip(*rows, strict=True)))
+    return out
+
+
+def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
-    scratch = Scratch(documents.sparkSession)
+    scratch = scratch or Scratch(documents.sparkSession)
 
     def pieces(batches):
         end, encode = end_id.to_bytes(4, "little"), encoder(tokenizer_path).encode
@@ -162,18 +197,21 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))], list(out))
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = scratch.keep("pieces", docs.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    lots = max(1, made.count() // LOT)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-        where, offsets = best_fit_decreasing(pdf["length"].tolist(), size)
-        pdf["sequence_id"] = [pdf["lot"].iat[0] + lots * b for b in where]
-        pdf["offset"] = offsets
-        return pdf.drop(columns="lot")
-
-    # Equal rows would meet in one lot by any hash of theirs; the place within the kept file's partition tells them apart.
-    dealt = made.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id() % 1024), F.lit(lots)))
-    dealt = scratch.keep("dealt", dealt)
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    made = scratch.keep("pieces", docs.mapInArrow(pieces, columns).withColumn("spread", spread()))
+    counts = {x.length: x.n for x in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
+    places = documents.sparkSession.sparkContext.broadcast(best_fit_decreasing(counts, size))
+    dealt = scratch.keep("dealt", made.withColumn("run", run_of(sum(counts.values()), "doc_id", "piece", "ids_crc32", "spread")).drop("spread"))
     scratch.drop("pieces")
-    return dealt.groupBy("lot").applyInPandas(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+    def place(batches):
+        for b in batches:
+            length, number = b.column("length").to_numpy(), b.column("number").to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for n in np.unique(length).tolist():
+                here = length == n
+                sequence[here], offset[here] = places.value[n](number[here])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
+
+    ranked = numbered(dealt, "length", ["doc_id", "piece", "ids_crc32"])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, columns + ", sequence_id long, offset long")

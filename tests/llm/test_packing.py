@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+from lexiflume.llm import numbering
 from lexiflume.llm.packing import Encoder, best_fit_decreasing, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -44,23 +45,35 @@ def test_memo_starts_afresh(monkeypatch):
     assert [e.encode([t])[0] for t in texts] == whole(texts)
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_best_fit_against_a_scan(seed):
     r, size = random.Random(seed), 100
-    lengths = sorted((r.randint(1, 100) for _ in range(400)), reverse=True)
-    where, offsets = best_fit_decreasing(lengths, size)
+    lengths = sorted((r.randint(1, 100 if seed % 2 else 30) for _ in range(400)), reverse=True)
+    counts = Counter(lengths)
+    places = best_fit_decreasing(counts, size)
     left = {}
-    for n, b, o in zip(lengths, where, offsets, strict=True):
-        tight = min((c for c in left.values() if c >= n), default=None)
-        if tight is None:
-            assert b not in left and o == 0
-            left[b] = size - n
-        else:
-            assert left[b] == tight and o == size - tight
-            left[b] -= n
-
-
-def test_pack(spark):
+    for n in sorted(counts, reverse=True):
+        where, offsets = places[n](np.arange(counts[n]))
+        for b, o in zip(where.tolist(), offsets.tolist(), strict=True):
+            tight = min((c for c in left.values() if c >= n), default=None)
+            if tight is None:
+                assert b not in left and o == 0
+                left[b] = size - n
+            else:
+                assert left[b] == tight and o == size - tight
+                left[b] -= n
+
+
+def test_places_do_not_grow_with_the_corpus():
+    r = np.random.default_rng(2)
+    few = {n: int(c) for n, c in enumerate(r.integers(1, 50, 2048), 1)}
+    rows = [sum(len(p.start) for p in best_fit_decreasing({n: c * times for n, c in few.items()}, 2048).values()) for times in (1, 1000, 1_000_000)]
+    assert max(rows) < 100_000 and rows[2] < 2 * rows[0]
+
+
+@pytest.mark.parametrize("run", [2000, 20])
+def test_pack(spark, monkeypatch, run):
+    monkeypatch.setattr(numbering, "RUN", run)
     r = random.Random(1)
     rows = [(i, " ".join(r.choice(["alpha", "Beta,", "gamma's", "x"]) for _ in range(r.randint(0, 90)))) for i in range(300)]
     rows += [(7, rows[7][1]), (None, "null id"), (900, None), (901, ""), (902, "word " * 500)]
@@ -84,7 +97,13 @@ def test_pack(spark):
             assert o == at
             at += n
         assert at <= 64
-    assert len(bins) <= 1.02 * sum(p.length for p in out) / 64 + 1
+    plain = []
+    for n in sorted((p.length for p in out), reverse=True):
+        tight = min((c for c in plain if c >= n), default=64)
+        if tight in plain:
+            plain.remove(tight)
+        plain.append(tight - n)
+    assert sorted(64 - sum(n for _, n in x) for x in bins.values()) == sorted(plain)
 
 
 def test_empty_table(spark):
