@@ -3,7 +3,7 @@ import random
 import zlib
 from collections import defaultdict
 
-from lexiflume.llm import sharding
+from lexiflume.llm import numbering, sharding
 
 
 def frame(spark, rows):
@@ -50,14 +50,32 @@ def test_against_plain_scheduling(spark):
     assert sorted(loads(got, 7)) == sorted(x for x, _ in heap)
 
 
-def test_bundles_keep_balance(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HEADS", 20)
-    monkeypatch.setattr(sharding, "BUNDLES", 200)
-    monkeypatch.setattr(sharding, "RUN", 10)
+def test_sizes_are_dealt_as_by_a_plain_heap():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(1, 9)
+        loads = [r.choice([0, r.randint(0, 500)]) for _ in range(n)]
+        mine, plain = list(loads), [(x, s) for s, x in enumerate(loads)]
+        heapq.heapify(plain)
+        for size in sorted((r.randint(1, 90) for _ in range(r.randint(1, 5))), reverse=True):
+            m, counts = r.choice([1, 5, 40, 400]), defaultdict(int)
+            for _ in range(m):
+                load, s = heapq.heappop(plain)
+                counts[s] += 1
+                heapq.heappush(plain, (load + size, s))
+            got = sharding.deal(mine, size, m)
+            assert {s: k for s, k in got.items() if k} == dict(counts)
+        assert mine == [x for x, _ in sorted(plain, key=lambda p: p[1])]
+
+
+def test_rounded_sizes_and_heavy_groups_keep_balance(spark, monkeypatch):
+    for name, value in (("DIGITS", 6), ("HEAVY", 50)):
+        monkeypatch.setattr(sharding, name, value)
+    monkeypatch.setattr(numbering, "RUN", 10)
     rows = corpus(2000)
     got = sharding.lpt_shards(frame(spark, rows), 5).collect()
     check(rows, got, 5)
-    assert max(loads(got, 5)) < 1.03 * sum(loads(got, 5)) / 5
+    assert max(loads(got, 5)) < 1.01 * sum(loads(got, 5)) / 5
 
 
 def test_files_and_empty_table(spark, tmp_path):
