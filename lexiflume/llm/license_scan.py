@@ -2,15 +2,20 @@
 
 Texts become lower-case words joined by single spaces. A notice with at most k edits, cut into k + 1 pieces, must hold
 one piece unchanged, so one pass of an Aho-Corasick automaton over all pieces finds every candidate place; there the
-regex library's bounded-error matching decides, counts edits and gives the span.
+regex library's bounded-error matching decides, counts edits and gives the span. Words that tell one license from
+another (EXACT) bear no edit. Each place is matched on its own, so notices that follow each other are all found.
 
-Null and empty texts have no words and no finds. Every row gives one row, so repeated rows repeat.
+Null and empty texts have no words and no finds. Every row gives one row, so repeated rows repeat and an empty table gives
+none; columns other than id and text are ignored, whatever their names. Of overlapping finds the one with the smallest share of edits
+stands, then the longer one, then the earlier one. Time grows with a text's length, however often it repeats a notice.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -26,15 +31,35 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2 0": "apache",
     "licensed under the gnu general public license version": "gpl",
+    "licensed under the gnu lesser general public license version": "lgpl",
+    "licensed under the gnu affero general public license version": "agpl",
+    "under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
+    "distributed under the terms of the bsd 2 clause license": "bsd",
+    "distributed under the terms of the bsd 3 clause license": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "licensed under the mozilla public license version 2 0": "mpl",
+    "licensed under the eclipse public license version": "epl",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under a creative commons attribution": "cc",
+    "licensed under a creative commons attribution sharealike": "cc-by-sa",
+    "licensed under a creative commons attribution noncommercial": "cc-by-nc",
+    "licensed under a creative commons attribution noderivatives": "cc-by-nd",
 }
 
+#: Short names with their versions, as whole words: all of them are EXACT.
+NAMES = {f"cc {kind} {major} {minor}": f"cc-{kind.replace(' ', '-')}" for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for major, minor in ("10", "20", "25", "30", "40")} | {"cc0 1 0": "cc0", "mpl 2 0": "mpl"}
+
+# Words that tell licenses apart.
+EXACT = frozenset("mit bsd mpl cc cc0 by sa nc nd lesser affero 0 1 2 3 4 5".split())
+
+ALL = tuple((NOTICES | NAMES).items())
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: ASCII letters to lower case, other ASCII but digits to blanks, bytes of other characters as they are.
 _TABLE = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -47,62 +72,81 @@ def edits_allowed(notice: str) -> int:
 
 @functools.cache
 def _search(notices: tuple[tuple[str, str], ...]):
-    seeds, patterns = ahocorasick.Automaton(), []
+    seeds, patterns, exact = ahocorasick.Automaton(), [], []
     places: dict[str, list[tuple[int, int]]] = {}
     for at, (notice, _) in enumerate(notices):
         k = edits_allowed(notice)
         patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
+        exact.append([w for w in notice.split() if w in EXACT])
         cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             places.setdefault(notice[a:b], []).append((at, a))
     for piece, where in places.items():
         seeds.add_word(piece, (len(piece), where))
     seeds.make_automaton()
-    return seeds, patterns
+    return seeds, patterns, exact
+
+
+def _whole(words: list[str], exact: list[str]) -> bool:
+    """The words hold the exact ones in their order, and no other exact ones."""
+    return [w for w in words if w in EXACT] == exact
 
 
 def fuzzy_places(joined: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, int, int]]:
     """(notice number, start, end, edits) in the joined words; one for each place, the best of overlapping ones."""
-    seeds, patterns = _search(notices)
-    windows: dict[int, list[list[int]]] = {}
+    seeds, patterns, exact = _search(notices)
+    starts: dict[int, list[int]] = {}
     for end, (length, where) in seeds.iter(joined):
         for at, offset in where:
-            k, start = edits_allowed(notices[at][0]), end + 1 - length - offset
-            a, b = max(0, start - k), min(len(joined), start + len(notices[at][0]) + k)
-            spans = windows.setdefault(at, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
-            else:
-                spans.append([a, b])
-    found = []
-    for at, spans in windows.items():
-        for a, b in spans:
-            found += [(at, m.start(), m.end(), sum(m.fuzzy_counts)) for m in patterns[at].finditer(joined, a, b)]
+            starts.setdefault(at, []).append(end + 1 - length - offset)
+    found, known = set(), {}
+    for at, hits in starts.items():
+        notice, k, words = notices[at][0], edits_allowed(notices[at][0]), notices[at][0].split()
+        hits, done = sorted(set(hits)), 0
+        while done < len(hits):
+            # Starts within the edits of each other are one place.
+            first, done = hits[done], bisect_right(hits, hits[done] + k)
+            a, b = max(0, first - k), min(len(joined), hits[done - 1] + len(notice) + k)
+            window = joined[a:b]
+            if (at, window) not in known:
+                # An edit spoils one word at most, so all others stand in the window.
+                hope = sum(w in window for w in words) >= len(words) - k and all(w in window for w in exact[at])
+                m = patterns[at].search(window) if hope else None
+                known[at, window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+            if got := known[at, window]:
+                s, e = a + got[0], a + got[1]
+                left, right = joined.rfind(" ", 0, s + (joined[s] == " ")) + 1, joined.find(" ", e - (joined[e - 1] == " "))
+                if _whole(joined[left : right if right >= 0 else len(joined)].split(), exact[at]):
+                    found.add((at, s, e, got[2]))
     # Of notices that overlap, the one with the smallest share of edits stands; then the longer one.
-    kept: list[tuple[int, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[3] / len(notices[x[0]][0]), x[1] - x[2], x[1], x[0])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+    kept: list[tuple[int, int, int, int]] = []  # by start; none overlap
+    for at, s, e, edits in sorted(found, key=lambda x: (x[3] / len(notices[x[0]][0]), x[1] - x[2], x[1], x[0])):
+        i = bisect_left(kept, (s,))
+        if (i == 0 or kept[i - 1][1] <= s) and (i == len(kept) or e <= kept[i][0]):
+            insort(kept, (s, e, at, edits))
+    return [(at, s, e, edits) for s, e, at, edits in kept]
 
 
-def scan_text(text: str | None, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items())) -> dict:
+def scan_text(text: str | None, notices: tuple[tuple[str, str], ...] = ALL) -> dict:
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
     joined = b" ".join(words)
     padded = b" " + joined + b" "
     base, labels = [], set()
+    places = None
     for phrase, label in PHRASES.items():
         want, at = f" {phrase} ".encode(), -1
         while (at := padded.find(want, at + 1)) >= 0:
-            base.append(padded.count(b" ", 0, at))
+            places = places or list(accumulate((len(w) + 1 for w in words), initial=0))
+            base.append(bisect_left(places, at))
             labels.add(label)
     plain = joined.decode("utf-8", "replace")
     fuzzy = fuzzy_places(plain, notices)
     spans = []
     if fuzzy:
         starts = [m.span() for m in _WORD.finditer(text)]
+        begins = list(accumulate((len(w) + 1 for w in plain.split(" ")), initial=0))
         for at, a, b, edits in fuzzy:
-            first, last = plain.count(" ", 0, a + 1 if plain[a : a + 1] == " " else a), plain.count(" ", 0, b - 1)
+            first, last = bisect_right(begins, a + (plain[a] == " ")) - 1, bisect_right(begins, b - 1 - (plain[b - 1] == " ")) - 1
             spans.append((notices[at][1], starts[first][0], starts[last][1], edits, 1 - edits / len(notices[at][0])))
     return {
         "n_words": len(words),

@@ -36,3 +36,36 @@ def test_edited_notices_are_found_with_spans_and_edits():
         assert label in scan_text(f"before it {changed} after")["labels"].split(",")
         assert scan_text(notice)["score"] == 1.0
     assert scan_text("released under the seal of a committee")["labels"] == ""
+
+
+def test_words_that_tell_licenses_apart_bear_no_edit():
+    labels = lambda t: scan_text(t)["labels"]
+    assert labels("licensed under cc by nd 4 0") == "cc-by-nd"
+    assert labels("released under the bit license") == ""
+    assert labels("Licensed under CC BY 4.0") == "cc-by"
+    assert labels("CC BY-NC-SA 4.0") == "cc-by-nc-sa"
+    assert labels("licensed under the gnu lesser genral public licence version") == "lgpl"
+    assert labels("licensed under the gnu general public licence version") == "gpl"
+
+
+def test_adjacent_notices_are_all_found():
+    got = scan_text("licensd undr the apache license version 2 0 licensed under the apache license version 2 0")["spans"]
+    assert got == "apache:0:43:2,apache:44:89:0"
+
+
+def counted(text):
+    """As plain, for one phrase after another: MIT and Apache only."""
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    at = [i for i in range(len(words) - 1) if words[i + 1] == "license" and words[i] in ("mit", "apache")]
+    return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({words[i] for i in at}))
+
+
+def test_long_texts_take_time_by_their_length():
+    import time
+
+    for text, n in (("Licensd under the Apache License, Version 2.0. " * 20_000, 20_000), ("mit license " * 80_000, 0), ("license under the gnu " * 45_000, 0)):
+        began = time.time()
+        got = scan_text(text)
+        assert time.time() - began < 10
+        assert got["spans"].count(":") == 3 * n
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == counted(text)
