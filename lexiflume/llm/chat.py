@@ -4,8 +4,9 @@ Logs often hold a conversation again and again as it grows. Each turn gets the h
 pair of sums over hashes of (position, role, text). A conversation whose full hash is some longer one's prefix hash is
 a snapshot of it and goes (an anti-join); of equal conversations the one with the least id stays. Those left are rendered.
 
-Turns are ordered by turn (nulls first), then role and text hash. A null role is "unknown", a null text is empty;
-rows with a null conv_id form one conversation. Repeated rows are turns of their own. "<|" inside texts becomes "< |",
+Turns are ordered by turn (nulls first), then role, then text. A null role is "unknown", a null text is empty;
+rows with a null conv_id form one conversation; columns other than conv_id, turn, role and text are ignored; an empty table
+gives no rows; texts of any length are taken whole. Repeated rows are turns of their own. "<|" inside texts becomes "< |",
 so a text can't close its turn. A conversation is one output row, so its turns must fit in a task.
 """
 
@@ -20,12 +21,12 @@ def _clean(conversations: DataFrame) -> DataFrame:
 
 
 def _order() -> list[Column]:
-    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("h")]
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
 
 
 def prefixes(clean: DataFrame) -> DataFrame:
     """conv_id, pos, s1, s2: the rolling hash after each turn, in two sums that can't overflow."""
-    turns = clean.select("conv_id", "turn", "role", "h").withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy(*_order())))
+    turns = clean.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy(*_order())))
     mixed = turns.withColumn("m", F.xxhash64("pos", "h"))
     so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     low, high = F.col("m").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("m", 32)
@@ -48,7 +49,7 @@ def chat_format(conversations: DataFrame) -> DataFrame:
     kept = maximal(conversations).withColumnRenamed("conv_id", "kept_id")
     clean = _clean(conversations)
     rows = clean.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    turn = F.struct(F.col("turn"), F.col("role"), F.col("h"), F.col("text"))
+    turn = F.struct(F.col("turn"), F.col("role"), F.col("text"))
     grouped = rows.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.sort_array(F.collect_list(turn)).alias("turns"))
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     chat = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("<|im_start|>"), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit("<|im_end|>\n"))), "")

@@ -5,7 +5,8 @@ sum-of-squares identity, covers all pairs of features in time linear in their nu
 sample of labelled rows; every row is scored.
 
 Labels, lang, source and doc_id are no inputs of a score. Null and empty texts are scored from their (zero)
-statistics. Without labelled rows every score is 0.5. Repeated rows give repeated rows; other columns are ignored.
+statistics, texts of any length whole. Without labelled rows every score is 0.5. Repeated rows give repeated rows, an empty table
+none; other columns are ignored, whatever their names. Scores do not depend on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -115,11 +116,14 @@ def learn(documents: DataFrame, labels: DataFrame) -> Machine:
                 indices, values, lengths, dense = features(part.column("text").to_pylist(), memo)
                 cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(cuts, pa.array(indices.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(values)), pa.array(dense.tolist(), pa.list_(pa.float32())), part.column("y")],
-                    ["i", "v", "d", "y"],
+                    [pa.ListArray.from_arrays(cuts, pa.array(indices.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(values)), pa.array(dense.tolist(), pa.list_(pa.float32())), part.column("y"), part.column("key")],
+                    ["i", "v", "d", "y", "key"],
                 )
 
-    got = labelled(documents, labels, "quality", FOLDS).mapInArrow(measure, "i array<int>, v array<float>, d array<float>, y int").toArrow()
+    sample = labelled(documents, labels, "quality", FOLDS).withColumn("key", F.xxhash64("text", "y"))
+    got = sample.mapInArrow(measure, "i array<int>, v array<float>, d array<float>, y int, key long").toArrow()
+    # Sorted by their hashes and contents: the order in which rows arrive never matters.
+    got = got.take(np.lexsort([*np.array(got.column("d").to_pylist(), np.float32).reshape(-1, len(RATIOS)).T, got.column("key").to_numpy()]))
     y = got.column("y").to_numpy().astype(float)
     dense = np.array(got.column("d").to_pylist(), np.float32).reshape(-1, len(RATIOS))
     flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in got.column(c).chunks)]).astype(kind)

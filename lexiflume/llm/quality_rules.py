@@ -5,7 +5,8 @@ walks all trees level by level without a loop over rows. Symbols, repeated lines
 are constrained to never raise the score.
 
 Null and empty texts have no words and fail. Without any labelled row the trees keep every text that passes the fixed
-rules. Repeated rows give repeated rows; columns other than id and text are ignored.
+rules. Repeated rows give repeated rows, an empty table none; columns other than id and text are ignored (keep_good keeps
+them), whatever their names. Texts of any length are counted whole; ties at the threshold are kept.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ def test_matches_brute_force(spark):
     rows = [(c, t, *talk[t]) for c, n in ((1, 2), (2, 5), (3, 5), (4, 3), (5, 1)) for t in range(n)]
     rows += [(6, 0, "user", "hi"), (6, 1, "assistant", "other"), (None, 0, "user", "alone"), (7, None, "user", "null turn"), (7, 0, "assistant", "then"), (8, 1, "user", ""), (9, 1, "user", None)]
     rows += [(10, 0, "user", "hi"), (10, 0, "user", "hi"), (11, 0, "userh", "i")]
+    rows += [(12, 3, "user", x) for x in ("b", "a", "é", "Z", "a")] + [(13, 3, "user", x) for x in ("é", "a", "b", "a", "Z")]  # ties go by text
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, pos int, s1 int").repartition(3)
     assert sorted(map(tuple, chat_format(df).collect()), key=str) == brute(rows)
 
