@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lexiflume.llm.scratch import Scratch
-from lexiflume.llm.words import mix, tailed_words
+from lexiflume.llm.words import SLICE, mix, tailed_words
 
 DIM, WIDE = 16, 16
 ROUNDS, PART, RATE = 3, 1_000_000, 0.25
@@ -37,6 +37,8 @@ ROUNDS, PART, RATE = 3, 1_000_000, 0.25
 NOISE, SHARED, BATCH = 8, 4, 16_384
 #: Counts of the most frequent words that every task holds (16 bytes each); other words' counts come by a shuffle.
 FREQUENT = 100_000
+#: Tasks among which a round's parts are dealt at most.
+TASKS = 20_000
 #: Hashes of texts by which a task leaves out texts it has passed on already; later ones meet after the shuffle.
 SEEN = 200_000
 ALPHA, FOLDS = 0.1, 10
@@ -79,10 +81,16 @@ class Classes:
     def group(self, tails: np.ndarray) -> np.ndarray:
         return (mix((tails & 0xFFFF).astype(np.uint64)) % np.uint64(self.side)).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    def unowned(self, tails: np.ndarray) -> np.ndarray:
+        """Classes of words without one of their own."""
         place = self.side - self.shared + (mix(tails.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(self.shared)).astype(np.int64)
+        return self.group(tails) * self.side + place
+
+    def __call__(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
         own = self.own(keys, -1)
-        return np.where(own >= 0, own, self.group(tails) * self.side + place)
+        left = own < 0
+        own[left] = self.unowned(tails[left])
+        return own
 
     @staticmethod
     def new(n_types: int, keys: np.ndarray, tails: np.ndarray) -> Classes:
@@ -143,19 +151,30 @@ class Bilinear:
         side = len(self.top)
         q, _ = self.predicted(c, begin)
         group = c // side
-        out = _log_softmax(q @ self.top.T + self.top_bias, group)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(side + 1))
+        # No score is beyond this, so most often sums of powers need no shift.
+        far = max(float(np.abs(b).max()) + float(np.sqrt((q * q).sum(1).max(initial=0) * (v * v).sum(1).max())) for v, b in ((self.top, self.top_bias), (self.member, self.member_bias)))
+        order = _by_class(group)
+        q, c, group = q[order], c[order], group[order]
+        found = _log_softmax(q @ self.top.T + self.top_bias, group, far > 60)
+        cuts = np.searchsorted(group, np.arange(side + 1))
         for g in np.flatnonzero(np.diff(cuts)):
-            rows, here = order[cuts[g] : cuts[g + 1]], slice(g * side, (g + 1) * side)
-            out[rows] += _log_softmax(q[rows] @ self.member[here].T + self.member_bias[here], c[rows] - g * side)
+            rows, here = slice(cuts[g], cuts[g + 1]), slice(g * side, (g + 1) * side)
+            found[rows] += _log_softmax(q[rows] @ self.member[here].T + self.member_bias[here], c[rows] - g * side, far > 60)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
-def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores -= scores.max(1, keepdims=True)
+def _by_class(c: np.ndarray) -> np.ndarray:
+    """Order by small whole numbers; 16 bits sort in time linear in their number."""
+    return np.argsort(c.astype(np.uint16) if len(c) and c.max() < 1 << 16 else c, kind="stable")
+
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray, shift: bool) -> np.ndarray:
+    if shift:
+        scores -= scores.max(1, keepdims=True)
     got = scores[np.arange(len(at)), at]
-    return got - np.log(np.exp(scores).sum(1))
+    return got - np.log(np.exp(scores, out=scores).sum(1))
 
 
 def _sums(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
@@ -194,7 +213,7 @@ def train(model: Bilinear, texts: list[np.ndarray], mass: np.ndarray, rate: floa
         c = tokens[a : a + BATCH]
         begin = np.maximum(starts[a : a + BATCH] - a, 0)
         q, parts = model.predicted(c, begin)
-        order = np.argsort(c, kind="stable")
+        order = _by_class(c)
         qs, cs = q[order], c[order]
         gs = cs // side
         weight = np.float32(1 / len(c))
@@ -225,10 +244,10 @@ def train(model: Bilinear, texts: list[np.ndarray], mass: np.ndarray, rate: floa
     return model
 
 
-def _tokens(batches):
-    """(batch of rows, keys of all their tokens with their ends, lengths, tails)."""
+def _tokens(batches, size: int = SLICE):
+    """(batch of rows, keys of all their tokens with their ends, lengths, tails), in slices of about size bytes of text."""
     for whole in batches:
-        for at, hashes, counts, tails in tailed_words(whole.column("text")):
+        for at, hashes, counts, tails in tailed_words(whole.column("text"), size):
             keys = hashes.view(np.int64)
             keys = np.where(keys == END_KEY, END_KEY - 1, keys)
             ends = np.cumsum(counts)
@@ -252,14 +271,19 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
         def summed():
             keys, tails, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            got, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            return got, tails[first], np.bincount(back, counts, len(got)).astype(np.int64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            return keys[first], tails[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
 
         for batch, keys, lengths, tails in _tokens(batches):
             some = np.repeat(_trains(batch), lengths)
-            got, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
-            held.append((got, tails[some][first], counts))
-            n += len(got)
+            keys, tails = keys[some], tails[some]
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            held.append((keys[first], tails[order[first]], np.diff(np.append(first, len(keys)))))
+            n += len(first)
             if n > 3_000_000:
                 held = [summed()]
                 n = len(held[0][0])
@@ -315,12 +339,12 @@ def learn(docs: DataFrame, classes: Classes, mass: np.ndarray, n_tokens: int, sc
     texts = scratch.keep("texts", docs.mapInArrow(encode, "round int, part long, h long, codes binary"))
     model = Bilinear.new(mass, classes.side)
     for i in range(ROUNDS):
-        model = _round(texts.where(F.col("round") == i), model, mass, RATE / (1 + i), i, kind)
+        model = _round(texts.where(F.col("round") == i), model, mass, RATE / (1 + i), i, kind, parts)
     scratch.drop("texts")
     return model
 
 
-def _round(texts: DataFrame, model: Bilinear, mass: np.ndarray, rate: float, seed: int, kind: str) -> Bilinear:
+def _round(texts: DataFrame, model: Bilinear, mass: np.ndarray, rate: float, seed: int, kind: str, parts: int) -> Bilinear:
     """The average of the models trained on each part."""
     sent = texts.sparkSession.sparkContext.broadcast((model, mass))
 
@@ -353,7 +377,8 @@ def _round(texts: DataFrame, model: Bilinear, mass: np.ndarray, rate: float, see
             yield pa.RecordBatch.from_arrays([pa.array([meet], pa.int64()), pa.array([n], pa.int64()), pa.array([m.tobytes()])], ["meet", "n", "model"])
 
     schema = "meet long, n long, model binary"
-    found = texts.repartition("part").sortWithinPartitions("part", "h").select("part", "h", "codes").mapInArrow(fit, schema)
+    # A number of its own: the optimizer would join parts, small in bytes, into few tasks.
+    found = texts.repartition(min(4 * parts, TASKS), "part").sortWithinPartitions("part", "h").select("part", "h", "codes").mapInArrow(fit, schema)
     found = found.repartition("meet").mapInArrow(add, schema).withColumn("meet", F.lit(0).cast("long"))
     one = found.repartition("meet").mapInArrow(add, schema).collect()  # one row
     return model.like(np.frombuffer(one[0].model, np.int64), one[0].n) if one else model
@@ -369,23 +394,25 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # a fixed number of rows
     keys, tails, ns = (top.column(c).to_numpy() for c in ("key", "tail", "n"))
-    frequent, classes = Lookup.of(keys, ns), Classes.new(v, keys, tails)
+    frequent, classes = Lookup.of(keys, np.arange(len(keys))), Classes.new(v, keys, tails)
+    known_class = classes(keys, tails)
     mass = class_mass(counts, classes)
     model = learn(docs, classes, mass, n, scratch)
-    sent = spark.sparkContext.broadcast((model, classes, frequent, np.log10(mass)))
+    sent = spark.sparkContext.broadcast((model, classes, frequent, np.append(ns, 0), np.append(known_class, 0), np.log10(mass)))
     base_mass = n + ALPHA * (v + 1)
 
     def score(batches):
-        model, classes, frequent, log_mass = sent.value
+        model, classes, frequent, ns, known_class, log_mass = sent.value
+        log_count = np.log10(ns + ALPHA)
         wanted = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "tf")
-        for batch, keys, lengths, tails in _tokens(batches):
+        for batch, keys, lengths, tails in _tokens(batches, 4 * SLICE):
             rows, total = np.repeat(np.arange(len(lengths)), lengths), lambda x: np.bincount(rows, x, len(lengths))  # noqa: E731, B023
-            c = classes(keys, tails)
+            at = frequent(keys, -1)
+            known, c = at >= 0, known_class[at]
+            c[~known] = classes.unowned(tails[~known])
             log_p = model.log_probabilities(c, _begins(lengths)).astype(np.float64) / np.log(10) - log_mass[c]
             # Of words in a class of their own the count's smoothing is shared with the unknown one.
-            count = frequent(keys, 0)
-            known = count > 0
-            own = np.where(known, np.log10(np.maximum(count, 1) + ALPHA), 0.0)
+            own = np.where(known, log_count[at], 0.0)
             base = np.where(known, own - np.log10(base_mass), 0.0)
             # Words not among the frequent ones: their counts come by a join, once for each row and word.
             away = np.nonzero(~known)[0]

@@ -90,9 +90,9 @@ def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), np.diff(np.searchsorted(a, edges)), tails
 
 
-def tailed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def tailed_words(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of each text of a string column, hashed in slices of whole texts: (first row, hashes, words per row, last
-    three bytes of each word, the last one lowest).
+    three bytes of each word, the last one lowest). A slice has ``size`` bytes, or one text.
 
     Words are as split_words cuts them, A-Z lower-cased; null counts as empty."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
@@ -100,7 +100,7 @@ def tailed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         hashes, counts, tails = _hashed(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         yield at, hashes, counts, tails
         at = end
