@@ -1,77 +1,193 @@
-"""BM25: index tables, scores for many queries at once, ranked hits."""
+"""BM25: a stored index, scores for many queries at once, ranked hits.
+
+The index is a forward one: a row for each document with its terms' 64-bit hashes and counts. A search sends the asked terms
+with their weights to all tasks, a block of queries at a time; a task scores its documents in numpy and passes on the best k for each
+query. So postings are never shuffled, frequent terms are no hot keys, and documents that share no term take
+part with a score of 0.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexiflume.config import DEFAULTS
 from lexiflume.functions.text import tokens
+from lexiflume.operators.topk import CELLS, Best
+from lexiflume.sources.store import exists, kept, shared_dir
+
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 2048
+_TABLES = ("documents", "terms", "corpus")
+
+
+class _Asked:
+    """The asked terms of a block of queries: for each term's hash the queries that ask it and their weights."""
+
+    def __init__(self, keys: np.ndarray, queries: np.ndarray, weights: np.ndarray, n_queries: int, avgdl: float, k1: float, b: float):
+        order = np.argsort(keys, kind="stable")
+        self.terms, self.first = np.unique(keys[order], return_index=True)
+        self.queries, self.weights = queries[order], weights[order]
+        self.times = np.diff(np.append(self.first, len(keys)))
+        self.n_queries, self.avgdl, self.k1, self.b = n_queries, avgdl, k1, b
+
+    def scores(self, lengths: np.ndarray, counts: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of documents (lengths, number of terms each, then all terms and their counts): a row for each query; and how many
+        asked terms each has."""
+        n = len(lengths)
+        if not len(self.terms) or not len(terms):
+            return np.zeros((self.n_queries, n)), np.zeros((self.n_queries, n))
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        hit = self.terms[at] == terms
+        at, doc, tf = at[hit], np.repeat(np.arange(n), counts)[hit], tf[hit].astype(float)
+        low = tf + self.k1 * (1 - self.b + self.b * (lengths[doc] / self.avgdl if self.avgdl > 0 else lengths[doc]))
+        part = tf * (self.k1 + 1) / np.where(low == 0, 1.0, low)
+        times = self.times[at]
+        pair = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cell = self.queries[pair] * n + np.repeat(doc, times)
+        shape = (self.n_queries, n)
+        return np.bincount(cell, np.repeat(part, times) * self.weights[pair], self.n_queries * n).reshape(shape), np.bincount(cell, minlength=self.n_queries * n).reshape(shape)
 
 
 @dataclass
 class Bm25Index:
-    """postings (term, doc_id, tf), docs (doc_id, dl), terms (term, df, idf), corpus (n, avgdl; one row)."""
+    """documents (doc_id, dl, terms, tfs), terms (term, key, df, idf), corpus (n, avgdl; one row)."""
 
-    postings: DataFrame
-    docs: DataFrame
+    documents: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
     @staticmethod
     def build(docs: DataFrame, text_col: str = "text", epsilon: float = DEFAULTS.epsilon) -> Bm25Index:
-        words = docs.select("doc_id", tokens(text_col).alias("words"))
-        lengths = words.select("doc_id", F.size("words").cast("long").alias("dl"))
-        postings = words.select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
+        words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(text_col).alias("words"))
+
+        def count(batches):
+            for b in batches:
+                ids, column = b.column("doc_id"), b.column("keys")
+                ends = column.offsets.to_numpy()
+                flat, lengths = column.values.to_numpy(), np.diff(ends)
+                rows = np.repeat(np.arange(len(lengths)), lengths)
+                flat = flat[ends[0] : ends[-1]]
+                order = np.lexsort((flat, rows))
+                flat, rows = flat[order], rows[order]
+                new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])]) if len(flat) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                cuts = np.searchsorted(rows[first], np.arange(len(lengths) + 1)).astype(np.int32)
+                tfs = np.diff(np.append(first, len(flat))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lengths.astype(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(flat[first])), pa.ListArray.from_arrays(cuts, pa.array(tfs))], ["doc_id", "dl", "terms", "tfs"])
+
+        hashed = words.select("doc_id", F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("keys"))
+        documents = hashed.mapInArrow(count, "doc_id long, dl long, terms array<long>, tfs array<int>")
+        corpus = words.select(F.coalesce(F.size("words"), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
         raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean = raw.agg(F.avg("raw").alias("mean"))
-        terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        return Bm25Index(postings, lengths, terms, corpus)
+        terms = raw.crossJoin(F.broadcast(mean)).select("term", F.xxhash64("term").alias("key"), "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        return Bm25Index(documents, terms, corpus)
 
     def save(self, path: str) -> None:
-        for name in ("postings", "docs", "terms", "corpus"):
+        for name in _TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "corpus")))
+        return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in _TABLES))
+
+    @staticmethod
+    def stored(spark: SparkSession, table: str) -> Bm25Index:
+        """The index of a Parquet table, built when there is none for its files yet, below the shared folder."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path))
+        where = f"{shared_dir(spark)}/bm25-{hashlib.sha256(repr(files).encode()).hexdigest()[:24]}"
+        if not exists(spark, where):
+            new = f"{where}-{uuid.uuid4().hex}"
+            Bm25Index.build(spark.read.parquet(table)).save(new)
+            made, goal = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, where))
+            goals = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+            if not goals.rename(made, goal):  # another driver was faster
+                goals.delete(made, True)
+        return Bm25Index.load(spark, where)
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, doc_id, tf."""
+        flat = self.documents.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", F.col("x.terms").alias("key"), F.col("x.tfs").cast("long").alias("tf"))
+        return flat.join(self.terms.select("term", "key"), "key").select("term", "doc_id", "tf")
+
+    def _blocks(self, queries: DataFrame, k1: float, b: float):
+        """Blocks of queries: their ids and a broadcast of their terms."""
+        asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        weighted = asked.join(self.terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("key", (F.col("qtf") * F.col("idf")).alias("w"))).alias("asked"))
+        every = kept(queries.select(F.col("query_id").cast("long").alias("query_id")).distinct().join(weighted, "query_id", "left"))
+        avgdl = self.corpus.first().avgdl
+        n_blocks = max(1, -(-every.count() // QUERY_BLOCK))
+        for i in range(n_blocks):
+            rows = every.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).orderBy("query_id").collect()  # about QUERY_BLOCK
+            pairs = [(q, x.key, x.w) for q, r in enumerate(rows) for x in sorted(r.asked or [])]
+            at, keys, weights = (np.array(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if rows:
+                yield np.array([r.query_id for r in rows], np.int64), self.documents.sparkSession.sparkContext.broadcast(_Asked(keys.astype(np.int64), at.astype(np.int64), weights.astype(float), len(rows), avgdl, k1, b))
+
+    def _each(self, queries: DataFrame, k1: float, b: float, work) -> DataFrame:
+        """work(ids, asked, batches) over the documents for each block of queries."""
+        parts = [self.documents.mapInArrow(lambda it, ids=ids, sent=sent: work(ids, sent.value, _slices(it, len(ids))), "query_id long, doc_id long, score double") for ids, sent in self._blocks(queries, k1, b)]
+        out = parts[0] if parts else self.documents.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
 
     def scores(self, queries: DataFrame, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b) -> DataFrame:
         """query_id, doc_id, score of all documents that share a term; repeated query words count each time."""
-        asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        # Terms first: only postings of asked terms go on.
-        hits = asked.join(self.terms, "term").join(self.postings, "term").join(self.docs, "doc_id").crossJoin(F.broadcast(self.corpus))
-        norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.col("dl").cast("double"))
-        low = F.col("tf") + k1 * (1 - b + b * norm)
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / F.when(low == 0, 1.0).otherwise(low)
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+        def all_of(ids, asked, slices):
+            for keys, *doc in slices:
+                score, shared = asked.scores(*doc)
+                q, d = np.nonzero(shared)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[d]), pa.array(score[q, d])], ["query_id", "doc_id", "score"])
+
+        return self._each(queries, k1, b, all_of)
 
     def search(self, queries: DataFrame, k: int = DEFAULTS.bm25_candidates, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, doc_id, score, bm25_rank: the best k for each query, ties by doc_id. Documents without a shared term
         have score 0 and fill up. allowed (query_id, doc_id) restricts the candidates before ranking."""
-        scored = self.scores(queries)
-        if allowed is not None:
-            full = allowed.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+        def best_of(ids, asked, slices):
+            best = Best(len(ids), k)
+            for keys, *doc in slices:
+                best.add(keys, asked.scores(*doc)[0])
+            yield best.batch(ids, ("query_id", "doc_id", "score"))
+
+        if allowed is None:
+            full = self._each(queries, DEFAULTS.k1, DEFAULTS.b, best_of)
         else:
-            # At most k of the first 2k documents by id can be needed to fill a list up.
-            first = self.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-            fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).join(scored, ["query_id", "doc_id"], "left_anti")
-            full = scored.unionByName(fill.withColumn("score", F.lit(0.0)))
-        # Ranked by the rounded score: sums in another order must not change ranks.
+            full = allowed.join(self.scores(queries), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
         by = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
         return full.withColumn("bm25_rank", F.row_number().over(by)).where(F.col("bm25_rank") <= k)
 
 
+def _slices(batches, n_queries: int):
+    """(doc_id, dl, number of terms, terms, tfs) of so many documents that their scores stay within CELLS."""
+    step = max(1, CELLS // max(1, n_queries))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            b = whole.slice(at, step)
+            terms, tfs = b.column("terms"), b.column("tfs")
+            yield b.column("doc_id").to_numpy(), b.column("dl").to_numpy(), np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), tfs.flatten().to_numpy()
+
+
 #: DuckDB: postings, lengths, corpus figures and terms over documents(doc_id, text), then scores of questions.
-SQL = r"""tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents),
-postings as (select term, doc_id, count(*) as tf from tok group by all),
+SQL = r"""tok as materialized (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents),
+postings as materialized (select term, doc_id, count(*) as tf from tok group by all),
 lengths as (select d.doc_id, coalesce(x.dl, 0) as dl from documents d left join (select doc_id, count(*) as dl from tok group by 1) x using (doc_id)),
 corpus as (select count(*) as n, coalesce(avg(dl), 0) as avgdl from lengths),
-raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from postings, corpus group by term),
-terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
+raw as materialized (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from postings, corpus group by term),
+terms as materialized (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
 SCORES = (
     SQL
     + r""",

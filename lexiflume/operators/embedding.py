@@ -28,6 +28,6 @@ def hashed_vectors(texts: DataFrame, prefix: str = "") -> DataFrame:
 
 def sparse_weights(index: Bm25Index, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b) -> DataFrame:
     """doc_id, term, weight: what a term of a document adds to a BM25 score."""
-    rows = index.postings.join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id").crossJoin(F.broadcast(index.corpus))  # one row
+    rows = index.postings.join(index.terms.select("term", "idf"), "term").join(index.documents.select("doc_id", "dl"), "doc_id").crossJoin(F.broadcast(index.corpus))  # one row
     norm = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.col("dl").cast("double"))
     return rows.select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))).alias("weight"))

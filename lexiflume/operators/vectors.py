@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexiflume.operators.topk import CELLS, Best
+
 #: Query vectors that one pass over the corpus holds.
 QUERY_BLOCK = 4096
 
@@ -33,62 +35,129 @@ def cosine(a: str, b: str) -> Column:
     return F.when(both > 0, dot(a, b) / both).otherwise(F.lit(0.0))
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
-    rows = np.array(column.to_pylist(), np.float64)
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(n > 0, n, 1)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, same_partition: tuple[str, str] | None = None, metric: str = "cosine") -> DataFrame:
-    """queries (query_id, embedding) against corpus (vec_id, embedding): query_id, vec_id, score, rank of the best k.
-
-    Queries go in blocks; each batch of the corpus meets a block in one matrix product and passes on its best k for each
-    query, so the ranking sees k rows per query and batch. A batch's own best k always holds its share of the result."""
+def _met(queries: DataFrame, corpus: DataFrame, metric: str, work, schema: str) -> DataFrame:
+    """work(ids, pairs of (keys, scores)) over the corpus for each block of queries with vectors of one length; a slice's scores
+    stay within CELLS. Null vectors take no part, and vectors of another length do not meet."""
     parts = []
-    rows = queries.select("query_id", "embedding")
-    n_blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    for b in range(n_blocks):
-        some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()
-        ids, wanted = some.column("query_id").to_numpy(), some.column("embedding").to_pylist()
-        if not len(ids):
-            continue
-        sent = corpus.sparkSession.sparkContext.broadcast((ids, np.array(wanted, np.float64)))
-
-        def search(batches, sent=sent):
-            ids, q = sent.value
-            if metric == "cosine":
-                n = np.linalg.norm(q, axis=1, keepdims=True)
-                q = q / np.where(n > 0, n, 1)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column("vec_id").to_numpy()
-                if metric == "cosine":
-                    scores = q @ _unit_rows(batch.column("embedding")).T
-                else:
-                    c = np.array(batch.column("embedding").to_pylist(), np.float64)
-                    scores = np.maximum(0, 1 - ((q * q).sum(1)[:, None] - 2 * q @ c.T + (c * c).sum(1)))
-                scores = np.round(scores, 6)
-                # Ties by id, as in the final ranking.
-                best = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(keys[best.ravel()]), pa.array(scores[at, best.ravel()])], ["query_id", "vec_id", "score"])
-
-        parts.append(corpus.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, score double"))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    found = parts[0]
+    sized = queries.where("embedding is not null").select("query_id", "embedding", F.size("embedding").alias("dim"))
+    for dim, n in sorted((r.dim, r.n) for r in sized.groupBy("dim").agg(F.count("*").alias("n")).where("dim > 0").collect()):  # one row for each length
+        n_blocks = -(-n // QUERY_BLOCK)
+        fitting = corpus.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("vec_id", "embedding")
+        for block in range(n_blocks):
+            some = sized.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)).orderBy("query_id").toArrow()
+            if not some.num_rows:
+                continue
+            q = _rows(some.column("embedding").combine_chunks(), dim)
+            sent = corpus.sparkSession.sparkContext.broadcast((some.column("query_id").to_numpy(), _unit_rows(q) if metric == "cosine" else q))
+
+            def pairs(batches, q, dim=dim):
+                step = max(1, CELLS // len(q))
+                for whole in batches:
+                    for at in range(0, whole.num_rows, step):
+                        b = whole.slice(at, step)
+                        c = _rows(b.column("embedding"), dim)
+                        if metric == "cosine":
+                            scores = q @ _unit_rows(c).T
+                        else:
+                            scores = np.maximum(0, 1 - ((q * q).sum(1)[:, None] - 2 * q @ c.T + (c * c).sum(1)))
+                        yield b.column("vec_id").to_numpy(), scores
+
+            parts.append(fitting.mapInArrow(lambda it, sent=sent, pairs=pairs: work(sent.value[0], pairs(it, sent.value[1])), schema))
+    out = parts[0] if parts else corpus.sparkSession.createDataFrame([], schema)
     for p in parts[1:]:
-        found = found.union(p)
+        out = out.union(p)
+    return out
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """queries (query_id, embedding) against corpus (vec_id, embedding): query_id, vec_id, score, rank of the best k.
+
+    Queries go in blocks; a slice of the corpus meets a block in one matrix product, and a task passes on its best k for each
+    query. Null vectors are left out, and vectors meet those of their own length only; zero vectors have cosine 0."""
+
+    def search(ids, pairs):
+        best = Best(len(ids), k)
+        for keys, scores in pairs:
+            best.add(keys, np.round(scores, 6))  # ties by id, as in the final ranking
+        yield best.batch(ids, ("query_id", "vec_id", "score"))
+
+    found = _met(queries, corpus, metric, search, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def similarity_stats(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", others_only: bool = False) -> DataFrame:
+    """query_id, n, total, best: number, sum and maximum of each query's similarities to the whole corpus (V09), or to the vectors
+    with another id (J11); a task adds its own up."""
+
+    def add(ids, pairs):
+        n, total, best = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.full(len(ids), -np.inf)
+        for keys, scores in pairs:
+            own = (keys == ids[:, None]) if others_only else np.zeros((1, len(keys)), bool)
+            n, total = n + (~own).sum(1), total + np.where(own, 0, scores).sum(1)
+            best = np.maximum(best, np.where(own, -np.inf, scores).max(1))
+        some = n > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, n, total, best)], ["query_id", "n", "total", "best"])
+
+    parts = _met(queries, corpus, metric, add, "query_id long, n long, total double, best double")
+    return parts.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+
+
+def _collected(cells: DataFrame, *key: str) -> DataFrame:
+    """cells (key, i, x): a vector for each key."""
+    return cells.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+
+
+def pooled(token_vectors: DataFrame, how: str = "average", normalise: bool = False) -> DataFrame:
+    """doc_id, embedding of token vectors (doc_id, pos, mask, embedding): the mean of the tokens with a mask of 1, or the first token's
+    vector (zero if masked) for "cls"; at length 1 if asked (V06). Documents without an unmasked token have no mean."""
+    if how == "cls":
+        first = token_vectors.groupBy("doc_id").agg(F.min_by(F.struct("mask", "embedding"), "pos").alias("t"))
+        out = first.select("doc_id", F.transform(F.col("t.embedding").cast("array<double>"), lambda x: x * F.col("t.mask")).alias("embedding"))
+    elif how == "average":
+        cells = token_vectors.where("mask = 1").select("doc_id", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        out = _collected(cells, "doc_id")
+    else:
+        raise ValueError(f"unknown pooling: {how}")
+    return out.select("doc_id", unit("embedding").alias("embedding")) if normalise else out
+
+
 def pooled_spans(token_vectors: DataFrame, spans: DataFrame, max_length: int | None = None) -> DataFrame:
     """Late chunking: the unit mean of the token vectors (doc_id, pos, embedding) in each span (doc_id, span, start,
     end), end exclusive and clipped to max_length - 1; spans without tokens give no row."""
     end = F.least(F.col("end"), F.lit(max_length - 1)) if max_length else F.col("end")
     inside = spans.join(token_vectors, "doc_id").where((F.col("pos") >= F.col("start")) & (F.col("pos") < end))
     cells = inside.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "span", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = cells.groupBy("doc_id", "span").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    return rows.select("doc_id", "span", unit("embedding").alias("embedding"))
+    return _collected(cells, "doc_id", "span").select("doc_id", "span", unit("embedding").alias("embedding"))
+
+
+def late_ingest(chunks: DataFrame, embed_tokens, budget: int = 8192, group: str = "source", order: str = "doc_id") -> DataFrame:
+    """Late-chunk ingest (R20): chunks (chunk_id, group, order, n_tokens) are packed in order into batches of a token budget, a batch is
+    embedded as one text, and each chunk's vector is the unit mean of its own span of token vectors. embed_tokens takes packed
+    chunks (batch_id, pos, chunk_id, n_tokens) and returns (doc_id = batch_id, pos, embedding). Returns chunk_id, batch_id, start,
+    end, embedding."""
+    from lexiflume.operators.chunking import pack_batches
+
+    packed = pack_batches(chunks.withColumn("_n", F.col("n_tokens") + 2), group, order, "_n", budget)
+    packed = packed.withColumn("batch_id", F.xxhash64(group, "batch"))
+    before = Window.partitionBy("batch_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    spans = packed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("n_tokens"))
+    pieces = embed_tokens(spans.select("batch_id", "start", "chunk_id", "n_tokens"))
+    wanted = spans.select(F.col("batch_id").alias("doc_id"), F.col("chunk_id").alias("span"), "start", "end")
+    # The spans of a batch do not overlap: each token finds its span by counting starts, not by a range join.
+    marks = wanted.select("doc_id", F.col("start").alias("pos"), "span", F.lit(0).alias("kind")).unionByName(pieces.select("doc_id", "pos", F.lit(1).alias("kind"), "embedding"), allowMissingColumns=True)
+    upto = Window.partitionBy("doc_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marks.withColumn("span", F.last("span", True).over(upto)).where("kind = 1 and span is not null")
+    cells = inside.select("span", F.posexplode("embedding").alias("i", "x")).groupBy("span", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vectors = _collected(cells, "span").select(F.col("span").alias("chunk_id"), unit("embedding").alias("embedding"))
+    return spans.select("chunk_id", "batch_id", "start", "end").join(vectors, "chunk_id")

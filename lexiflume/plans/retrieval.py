@@ -64,7 +64,7 @@ class Retriever:
     providers: Providers = DEFAULT
 
     def candidates(self, queries: DataFrame) -> DataFrame:
-        hits = self.index.search(queries, self.config.bm25_candidates)
+        hits = kept(self.index.search(queries, self.config.bm25_candidates))
         return fusion.hybrid(hits, dense_scores(hits, self.embeddings), self.config.dense_candidates)
 
     def select(self, queries: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
 
 
 def _index(spark, d):
-    return Bm25Index.build(table(spark, d, "documents"))
+    return Bm25Index.stored(spark, f"{d}/documents.parquet")
 
 
 def _hits(spark, d, k=100):
@@ -122,8 +122,7 @@ def v05(spark, d):
 
 @query("V09", "select q.vec_id as query_id, count(*) as n, round(avg(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[]))), 4) as mean from embeddings q cross join embeddings c where q.vec_id % 50 = 0 group by 1")
 def v09(spark, d):
-    corpus = table(spark, d, "embeddings")
-    return vectors.nearest(_vector_queries(spark, d), corpus, corpus.count()).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"))
+    return vectors.similarity_stats(_vector_queries(spark, d), table(spark, d, "embeddings")).select("query_id", "n", F.round(F.col("total") / F.col("n"), 4).alias("mean"))
 
 
 @query("K12", f"with {_NEAR} select query_id, max(rank) as n, round(min(score), 4) as last from near where rank <= 100 group by query_id")
@@ -136,7 +135,7 @@ def r16(spark, d):
     return _near(spark, d, 5).join(table(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "lang", F.col("rank").cast("long").alias("rank"))
 
 
-for _name in ("V07", "R20"):
+for _name in ("V07",):
 
     @query(_name, """with s as (select e.label as doc_id, e.vec_id % 3 as span, i, avg(cast(e.embedding[i] as double)) as x from embeddings e, generate_series(1, 64) g(i) group by all)
 select doc_id, cast(span as int) as span, cast(i as int) as i, round(x / sqrt(sum(x * x) over (partition by doc_id, span)), 4) as x from s""")
@@ -148,11 +147,6 @@ select doc_id, cast(span as int) as span, cast(i as int) as i, round(x / sqrt(su
         return pooled.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).select("doc_id", "span", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x"))
 
 
-@query("V06", "select label, round(avg(cast(embedding[1] as double)), 4) as first from embeddings group by label")
-def v06(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 4).alias("first"))
-
-
 _DENSE = f"""{bm25.RANKED},
 dense as (select h.query_id, h.doc_id, h.bm25_rank, round(coalesce(round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4), 0.5), 4) + 0.0 as dense_score
     from hits h left join embeddings q on q.vec_id = h.query_id left join embeddings e on e.vec_id = h.doc_id),
@@ -163,13 +157,13 @@ top20 as (select * from (select *, row_number() over (partition by query_id orde
 
 @query("J01", f"with {_DENSE} select query_id, doc_id, dense_score from dense")
 def j01(spark, d):
-    hits = _hits(spark, d)
+    hits = kept(_hits(spark, d))
     scored = retrieval.dense_scores(hits, table(spark, d, "embeddings"))
     return hits.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("dense_score", F.lit(0.5)), 4).alias("dense_score"))
 
 
 def _hybrid(spark, d):
-    hits = _hits(spark, d)
+    hits = kept(_hits(spark, d))
     return fusion.hybrid(hits, retrieval.dense_scores(hits, table(spark, d, "embeddings")))
 
 
@@ -360,7 +354,7 @@ uni as (select query_id, doc_id, rank, action, 'internal' as origin from ac wher
 
 
 def _crag(spark, d):
-    hits = _hits(spark, d)
+    hits = kept(_hits(spark, d))
     p = F.expr(_P) * F.when(F.col("query_id") % 3 == 0, 0.3).otherwise(1.0)
     inside = hits.where("bm25_rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), F.col("bm25_rank").alias("rank"), p.alias("p"))
     outside = hits.where("bm25_rank > 20").select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("bm25_rank") - 20).alias("rank"))
