@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexiflume.config import DEFAULTS
 
@@ -66,16 +67,48 @@ def similarity_chunks(sentences: DataFrame, threshold: float) -> DataFrame:
     return sentences.withColumn("chunk", F.sum(F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0))).over(so_far))
 
 
-def pack_batches(lengths: Column, budget: int, reserve: int = 100) -> Column:
-    """Batch number of each length in order: a new one starts where the sum would pass budget - reserve."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def add(acc, n):
-        over = (acc["sum"] > 0) & (acc["sum"] + n > budget - reserve)
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(over, n).otherwise(acc["sum"] + n).alias("sum"), batch.alias("batch"), F.array_append(acc["out"], batch).alias("out"))
-
-    return F.aggregate(F.transform(lengths, lambda x: x.cast("long")), start, add, lambda acc: acc["out"])
+def pack_batches(rows: DataFrame, group: str, order: str, length: str, budget: int, reserve: int = 100) -> DataFrame:
+    """rows with batch: in order, a new batch starts where the sum of lengths would pass budget - reserve (W06). A row's batch
+    depends on all before it, so a group's rows pass through one task, which holds a running sum only."""
+    columns = rows.columns
+
+    def pack(batches):
+        last, total, number = None, 0, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b.column(columns.index(group)).to_pylist(), b.column(columns.index(length)).to_pylist(), strict=True):
+                if g != last:
+                    last, total, number = g, 0, 0
+                n = n or 0
+                if total > 0 and total + n > budget - reserve:
+                    total, number = 0, number + 1
+                total += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "batch"])
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(pack, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
+
+
+def shift_spans(spans: DataFrame, n_instruction: int = 0, prefix: bool = True, sep: bool = True) -> DataFrame:
+    """spans (doc_id, i, start, end; end exclusive) moved for the tokens a model puts around a text (C09): all ends by the leading token and
+    the instruction, all starts but the first one's, which takes these tokens in (without ``prefix`` it moves too); the
+    last end takes in the closing token if ``sep``."""
+    lead = 1 + n_instruction
+    by = Window.partitionBy("doc_id")
+    moved = spans.withColumn("_first", F.min("i").over(by) == F.col("i")).withColumn("_last", F.max("i").over(by) == F.col("i"))
+    start = F.when(F.col("_first") & F.lit(prefix), F.col("start")).otherwise(F.col("start") + lead)
+    end = F.col("end") + lead + F.when(F.col("_last") & F.lit(sep), 1).otherwise(0)
+    return moved.withColumns({"start": start, "end": end}).drop("_first", "_last")
+
+
+def truncated(text: Column | str, title: Column | str, most: int) -> Column:
+    """The text up to the end of the last token that fits with the title's tokens (C10); without room or tokens it is empty."""
+    from lexiflume.functions.text import WORD, tokens
+
+    c = F.col(text) if isinstance(text, str) else text
+    room = F.greatest(F.lit(0), F.lit(most) - F.size(tokens(title)))
+    kept = F.slice(F.regexp_extract_all(c, F.lit(f"[^\\p{{L}}\\p{{N}}_]*{WORD}+"), F.lit(0)), 1, room)
+    return F.array_join(F.coalesce(kept, F.array().cast("array<string>")), "")
 
 
 CHUNKERS = {"markdown": header_split, "sentences": sentence_runs, "semantic": similarity_chunks}

@@ -21,8 +21,7 @@ m as (select query_id, hit, mrr, "precision", round(case when n_rel > 0 then dcg
 
 
 def _judged(spark, d):
-    docs = table(spark, d, "documents")
-    hits = Bm25Index.build(docs).search(questions(spark, d))
+    hits = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d))
     pairs = hits.join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").join(questions(spark, d), "query_id")
     return pairs.select("query_id", "doc_id", F.col("bm25_rank").alias("rank"), E.relevant().cast("int").alias("rel"), "question_type")
 
@@ -44,7 +43,7 @@ for _name, _col in (("E03", "hit"), ("E04", "mrr"), ("W03", "mrr"), ("E06", "pre
 @query("E05", f"with {_REL}, t as (select query_id, gt_article, cast(unnest(case when len(gt_clauses) = 0 then [0] else gt_clauses || [99] end) as int) as clause from questions), x as (select t.query_id, t.clause, bool_or(c.article_no = t.gt_article and (t.clause = 0 or list_contains(c.clause_nos, t.clause))) as ok from t join hits h using (query_id) join chunks c using (doc_id) group by all) select query_id, round(avg(ok::int), 4) as recall from x group by query_id")
 def e05(spark, d):
     truth = questions(spark, d).select("query_id", "gt_article", F.explode(F.when(F.size("gt_clauses") == 0, F.array(F.lit(0))).otherwise(F.array_append("gt_clauses", F.lit(99)))).alias("clause"))
-    found = Bm25Index.build(table(spark, d, "documents")).search(questions(spark, d)).join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").select(F.col("query_id").alias("q"), "article_no", "clause_nos")
+    found = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d)).join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").select(F.col("query_id").alias("q"), "article_no", "clause_nos")
     on = (F.col("query_id") == F.col("q")) & (F.col("article_no") == F.col("gt_article")) & ((F.col("clause") == 0) | F.array_contains("clause_nos", F.col("clause")))
     return E.recall_of_items(truth, found, on)
 
@@ -95,10 +94,22 @@ def e12(spark, d):
     return _answers(spark, d).select("conv_id", "turn", F.round(M.token_f1(F.col("a"), F.col("b")), 4).alias("f1"), M.exact_match("text", "answer").alias("em"))
 
 
-@query("E13", f"with {_QA} select conv_id, turn, round(case when len(b) > 0 then len(list_filter(list_distinct(b), lambda x: list_contains(a, x)))::double / len(list_distinct(b)) else 0 end, 4) as faithfulness_proxy from qa")
+_W = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
+_SHARE = "round(case when len({0}) > 0 then len(list_filter({0}, lambda x: list_contains({1}, x)))::double / len({0}) else 0 end, 4)"
+
+
+@query("E13", f"""with q as (select conv_id, turn, text, lead(text) over w as answer, lag(text) over w as before, lead(text, 2) over w as truth from conversations window w as (partition by conv_id order by turn)),
+c as (select *, list_filter([before, text], lambda x: x is not null) as ctx, coalesce(truth, '') as t0 from q where answer is not null),
+k as (select *, {_W.format("text")} as qw, {_W.format("answer")} as aw, {_W.format("t0")} as tw, {_W.format("array_to_string(ctx, ' ')")} as cw from c)
+select conv_id, turn, {_SHARE.format("aw", "cw")} as faithfulness, {_SHARE.format("qw", "aw")} as answer_relevancy, {_SHARE.format("tw", "cw")} as context_recall,
+    round(len(list_filter(ctx, lambda x: list_has_any({_W.format("x")}, tw)))::double / len(ctx), 4) as context_precision from k""")
 def e13(spark, d):
-    b = F.array_distinct("b")
-    return _answers(spark, d).select("conv_id", "turn", F.round(F.when(F.size(b) > 0, F.size(F.array_intersect(b, "a")) / F.size(b)).otherwise(0.0), 4).alias("faithfulness_proxy"))
+    from lexiflume.operators.generation import judged_answers
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.lead("text").over(w).alias("answer"), F.lag("text").over(w).alias("before"), F.coalesce(F.lead("text", 2).over(w), F.lit("")).alias("truth")).where("answer is not null")
+    rows = c.withColumn("contexts", F.filter(F.array("before", "question"), lambda x: x.isNotNull()))
+    return judged_answers(rows).select("conv_id", "turn", "faithfulness", "answer_relevancy", "context_precision", "context_recall")
 
 
 def _rows(spark, d):
@@ -151,12 +162,12 @@ i as (select *, (select sum(1 / log2(g + 1)) from generate_series(1, 1000) s(g)
 select k, round(avg(dcg / ideal), 4) as ndcg, round(avg(ap / n_rel), 4) as map, round(avg(found::double / n_rel), 4) as recall, round(avg(found::double / k), 4) as "precision", round(avg(rr), 4) as mrr from i group by k""")
     def e14(spark, d):
         qrels = questions(spark, d).join(chunks(spark, d), F.col("article_no") == F.col("gt_article")).where(E.relevant()).select("query_id", "doc_id")
-        run = Bm25Index.build(table(spark, d, "documents")).search(questions(spark, d)).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
+        run = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d)).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
         return E.ir_metrics(run, qrels, [1, 5, 10, 100])
 
 
 # Reports and increments over the event log: user_id stands for a case, ts for the time of writing.
-for _name in ("S23", "T01", "S21"):
+for _name in ("S23",):
 
     @query(_name, "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
     def s23(spark, d):
@@ -182,7 +193,10 @@ def t04(spark, d):
 def s19(spark, d):
     from lexiflume.sources.store import eval_cases
 
-    raw = questions(spark, d).groupBy().agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("query").alias("question"), "question_type")).alias("data"))).alias("json"))
+    # Files of a few cases each, half of them sets (data), half reports (detailed_results).
+    case = F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("query").alias("question"), "question_type"))
+    files = questions(spark, d).groupBy(F.floor(F.col("query_id") / 16).alias("file")).agg(case.alias("cases"))
+    raw = files.select(F.when(F.col("file") % 2 == 0, F.to_json(F.struct(F.col("cases").alias("data")))).otherwise(F.to_json(F.struct(F.col("cases").alias("detailed_results")))).alias("json"))
     return eval_cases(raw, ["factual", "definition"]).select(F.col("id").alias("item_id"), F.col("question").alias("text"))
 
 

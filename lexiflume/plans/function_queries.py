@@ -216,7 +216,7 @@ def _markdown(spark, d):
 _C01 = """select doc_id, source, 'Chương ' || (doc_id % 9 + 1) as chapter, case when doc_id % 2 = 0 then 'Mục ' || (doc_id % 5 + 1) end as section, 'Điều ' || (doc_id % 50 + 1) as article, md5(trim(text, ' ')) as digest from documents
 union all select doc_id, source, 'Chương X', null, null, md5(lang) from documents union all select doc_id, source, 'Chương X', null, 'Điều 99', md5('[clause] 1 ' || lang) from documents"""
 
-for _name in ("C01", "S01"):
+for _name in ("C01",):
 
     @query(_name, _C01)
     def c01(spark, d):
@@ -276,14 +276,20 @@ def c06(spark, d):
     return chunking.similarity_chunks(s, 0.1).select("doc_id", "pos", F.col("chunk").cast("long").alias("chunk"))
 
 
-@query("C09", "select doc_id, cast(0 + 1 as bigint) as start, cast(n_chars + 1 as bigint) as \"end\" from documents")
+_SPANS = f"w as (select doc_id, len({_TOKENS}) as n from documents), sp as (select doc_id, n, cast(i as int) as i, i * 64 as s, least(n, i * 64 + 64) as e, (n - 1) // 64 as last from w, unnest(generate_series(0, (n - 1) // 64)) g(i) where n > 0)"
+
+
+@query("C09", f"with {_SPANS} select 'whole' as kind, doc_id, i, cast(s + case when i = 0 then 0 else 4 end as bigint) as start, cast(e + 4 + case when i = last then 1 else 0 end as bigint) as \"end\" from sp union all select 'inner', doc_id, i, cast(s + 1 as bigint), cast(e + 1 as bigint) from sp")
 def c09(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("start"), (F.col("n_chars") + 1).cast("long").alias("end"))
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.windows(X.tokens("text"), 64)).alias("i", "c"))
+    spans = t.select("doc_id", "i", (F.col("i") * 64).cast("long").alias("start"), (F.col("i") * 64 + F.size("c")).cast("long").alias("end"))
+    whole = chunking.shift_spans(spans, 3).select(F.lit("whole").alias("kind"), "doc_id", "i", "start", "end")
+    return whole.unionByName(chunking.shift_spans(spans, prefix=False, sep=False).select(F.lit("inner").alias("kind"), "doc_id", "i", "start", "end"))
 
 
-@query("C10", f"with t as (select doc_id, {_TOKENS} as l from documents) select doc_id, cast(least(len(l), 8192) as int) as n from t")
+@query("C10", "with t as (select doc_id, regexp_extract_all(text, '[^\\p{L}\\p{N}_]*[\\p{L}\\p{N}_]+') as l, len(regexp_extract_all(lower(lang || ' ' || source), '[\\p{L}\\p{N}_]+')) as m from documents) select doc_id, md5(array_to_string(l[1 : greatest(0, 256 - m)], '')) as digest from t")
 def c10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.slice(X.tokens("text"), 1, 8192)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(chunking.truncated("text", F.concat_ws(" ", "lang", "source"), 256)).alias("digest"))
 
 
 @query("C11", f"with t as (select doc_id, {_TOKENS} as l from documents), s as (select doc_id, unnest(generate_series(0, (len(l) - 1) // 64)) as i from t where len(l) > 0) select doc_id || '~' || i as id from s")
@@ -292,11 +298,24 @@ def c11(spark, d):
     return t.select(F.concat_ws("~", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("id"))
 
 
-@query("W06", None)
+@query("C07", f"with {_SENT.removeprefix('with ')} select 'sentences' as strategy, count(*) as n from (select doc_id, before // 3 from c group by all) union all select 'markdown', 3 * count(*) from documents union all select 'unknown chunking strategy: none', 0")
+def c07(spark, d):
+    runs = chunking.chunker("sentences")(_words(spark, d), 3).select("doc_id", "chunk").distinct().agg(F.count("*").alias("n")).select(F.lit("sentences").alias("strategy"), "n")
+    parts = chunking.chunker("markdown")(_markdown(spark, d)).agg(F.count("*").alias("n")).select(F.lit("markdown").alias("strategy"), "n")
+    try:
+        chunking.chunker("none")
+    except ValueError as e:
+        said = str(e)
+    return runs.unionByName(parts).unionByName(spark.createDataFrame([(said, 0)], "strategy string, n long"))
+
+
+@query("W06", """with recursive o as (select source, n_chars as n, row_number() over (partition by source order by doc_id) as i from documents),
+r as (select source, i, n as total, 0 as batch from o where i = 1 union all
+    select r.source, o.i, case when r.total > 0 and r.total + o.n > 8092 then o.n else r.total + o.n end, case when r.total > 0 and r.total + o.n > 8092 then r.batch + 1 else r.batch end from r join o on o.source = r.source and o.i = r.i + 1)
+select source, count(*) as n, cast(max(batch) as int) as last_batch from r group by source""")
 def w06(spark, d):
-    grouped = table(spark, d, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("n"))
-    packed = grouped.select("source", chunking.pack_batches(F.col("n"), 8192).alias("b"))
-    return packed.select("source", F.size("b").cast("long").alias("n"), F.array_max("b").alias("last_batch"))
+    packed = chunking.pack_batches(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 8192)
+    return packed.groupBy("source").agg(F.count("*").alias("n"), F.max("batch").alias("last_batch"))
 
 
 @query("V08", f"with t as (select doc_id, len({_TOKENS}) as n from documents), s as (select doc_id, n, unnest(generate_series(0, cast(greatest(0, ceil((n - 1024) / 512.0)) as int))) as i from t where n > 0) select doc_id, cast(i * 512 as int) as start, cast(least(n, i * 512 + 1024) as int) as \"end\", cast(case when i = 0 then 0 else i * 512 + 512 end as int) as first_kept from s")

@@ -47,11 +47,6 @@ def s08(spark, d):
     return out
 
 
-@query("S09", "select n_nationkey, n_name, n_regionkey from nation")
-def s09(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-
-
 @query("S10", "select vec_id, cast(len(embedding) as bigint) as dim from embeddings")
 def s10(spark, d):
     missing = store.vectors_or_empty(spark, store.scratch_path(spark, "nothing")).select("vec_id", F.size("embedding").cast("long").alias("dim"))
@@ -100,7 +95,7 @@ def s26(spark, d):
     return containing(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents"))
 
 
-for _name in ("S12", "S28"):
+for _name in ("S28",):
 
     @query(_name, "select 'vector' as store, count(*) as n from embeddings union all select 'graph', count(*) from nation union all select 'chunks', count(*) from documents")
     def s28(spark, d):
@@ -109,11 +104,3 @@ for _name in ("S12", "S28"):
         c.register("graph", table(spark, d, "nation"))
         c.register("chunks", table(spark, d, "documents"))
         return c.status(spark)
-
-
-@query("S20", "select lang as signature, count(*) as n, round(avg(n_chars), 4) as mean from documents group by lang")
-def s20(spark, d):
-    path = store.scratch_path(spark, "reports")
-    rows = table(spark, d, "documents").groupBy(F.col("lang").alias("signature")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))
-    rows.write.partitionBy("signature").json(path)
-    return spark.read.schema("n long, mean double, signature string").json(path).select("signature", "n", "mean")

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lexiflume.plans import embedding_queries, evaluation_queries, function_queries, graph_queries, relation_queries, retrieval_queries, source_queries  # noqa: E402, F401
+from lexiflume.plans import embedding_queries, evaluation_queries, function_queries, graph_queries, relation_queries, retrieval_queries, service_queries, source_queries  # noqa: E402, F401

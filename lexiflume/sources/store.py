@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,13 +13,25 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lexiflume.operators.vectors import unit
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a local session without one gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexiflume-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{root}/{name}"
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
@@ -65,6 +78,19 @@ class VectorStore:
         return self.spark.read.parquet(self.path)
 
 
+def routed_search(local: VectorStore, remote: Callable[[DataFrame, int], DataFrame], queries: DataFrame, k: int, prefer_local: bool = True) -> DataFrame:
+    """Nearest vectors from the local store if it is there and preferred, else from the remote one (V04); a local store that fails to
+    open counts as missing. Adds route."""
+    from lexiflume.operators.vectors import nearest
+
+    if prefer_local:
+        try:
+            return nearest(queries, local.load(), k).withColumn("route", F.lit("local"))
+        except Exception:
+            pass  # the remote store answers
+    return remote(queries, k).withColumn("route", F.lit("remote"))
+
+
 def vectors_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """A vector table, or an empty one where there is none."""
     if exists(spark, path):
@@ -72,6 +98,11 @@ def vectors_or_empty(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "vec_id long, embedding array<double>")
 
 
+def sample_order(id_col: str, seed: int):
+    """A fixed random order of ids: the md5 of id and seed."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 _CASE = "array<struct<id:bigint,question:string,question_type:string>>"
 
 
@@ -82,7 +113,7 @@ def eval_cases(files: DataFrame, types: list[str] | None = None, limit: int | No
     if types:
         out = out.where(F.col("question_type").isin(types))
     if limit:
-        out = (out.orderBy("id") if sample_seed is None else out.orderBy(F.xxhash64("id", F.lit(sample_seed)), "id")).limit(limit)
+        out = (out.orderBy("id") if sample_seed is None else out.orderBy(sample_order("id", sample_seed), "id")).limit(limit)
     return out
 
 
@@ -123,6 +154,18 @@ def external_search(queries: DataFrame, corpus: DataFrame, search: Callable[[Dat
     return hits.withColumn("rank", n).select("query_id", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit("mcp_law_"), n.cast("string"))).alias("id"), "content", "score", "rank", F.lit("external").alias("source"))
 
 
+#: What a collection of points consists of (S15): named vectors, then payload fields that filters use.
+COLLECTION = (("dense", "vector", "cosine"), ("sparse", "vector", "idf"), ("article_no", "payload", "integer"), ("chapter_no", "payload", "integer"), ("section_no", "payload", "integer"), ("clause_nos", "payload", "integer"))
+
+
+def create_collection(spark: SparkSession, path: str, size: int = 768, recreate: bool = False) -> DataFrame:
+    """Writes the collection's description (field, kind, setting, size) unless it is there, or anew (S15); returns it."""
+    if recreate or not exists(spark, f"{path}/_SUCCESS"):
+        rows = [(*row, size if row[0] == "dense" else None) for row in COLLECTION]
+        spark.createDataFrame(rows, "field string, kind string, setting string, size int").coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("field string, kind string, setting string, size int").json(path)
+
+
 def upsert_points(points: DataFrame, send: Callable[[list], None], batch_size: int = 100) -> None:
     """Sends rows to a remote store in batches from the executors."""
 

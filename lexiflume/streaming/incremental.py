@@ -4,41 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from lexiflume.sources.parts import PartTable, latest
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the greatest order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+__all__ = ["current", "latest", "run_upserts"]
 
 
 def run_upserts(spark: SparkSession, source: DataFrame, path: str, key: str, order: str, on_batch: Callable[[DataFrame], None] | None = None) -> None:
-    """Drains the streaming ``source``: each micro-batch is merged into a new version of the table below ``path``.
-
-    Versions are named by batch, so a batch that is run again after a failure writes the same rows again; the stream's own
-    checkpoint lies in the same folder."""
-    table, conf = f"{path}/table", spark._jsc.hadoopConfiguration()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    """Drains the streaming ``source``: each micro-batch is merged into the table below ``path``, which writes the touched parts
+    only. Versions are named by batch, so a batch that is run again after a failure writes the same version again; the
+    stream's own checkpoint lies in the same folder."""
+    table = PartTable(spark, f"{path}/table")
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = latest(batch, key, order)
-        old = hadoop(f"{table}/v{n - 1}")
-        if n > 0 and old.getFileSystem(conf).exists(old):
-            before = spark.read.parquet(f"{table}/v{n - 1}")
-            new = latest(before.unionByName(new), key, order)
-        new.write.mode("overwrite").parquet(f"{table}/v{n}")
-        if n > 1:
-            gone = hadoop(f"{table}/v{n - 2}")
-            gone.getFileSystem(conf).delete(gone, True)
+        table.upsert(batch, key, order, n)
         if on_batch:
-            on_batch(spark.read.parquet(f"{table}/v{n}"))
+            on_batch(table.read())
 
     source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the table."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root)]
-    return spark.read.parquet(f"{path}/table/v{max(versions)}")
+    """The newest whole version of the table."""
+    found = PartTable(spark, f"{path}/table").read()
+    if found is None:
+        raise FileNotFoundError(path)
+    return found

@@ -76,8 +76,8 @@ def test_markdown_headers(spark):
 
 
 def test_packing_and_clauses(spark):
-    df = spark.createDataFrame([([50, 60, 900, 10, 2000, 5],)], "n array<int>")
-    assert df.select(chunking.pack_batches(F.col("n"), 1000).alias("b")).first().b == [0, 0, 1, 2, 3, 4]
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate([50, 60, 900, 10, 2000, 5])], "g int, i int, n int")
+    assert [x.batch for x in chunking.pack_batches(df, "g", "i", "n", 1000).orderBy("i").collect()] == [0, 0, 1, 2, 3, 4]
     t = spark.createDataFrame([("head\n[clause] 1 aa\n[clause] 2 bb\n[clause] 3 cc",)], "t string")
     assert t.select(chunking.clause_pack("t", 20).alias("c")).first().c == ["head\n[clause] 1 aa", "[clause] 2 bb", "[clause] 3 cc"]
     with pytest.raises(ValueError):
