@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiflume.functions.text import rewritten
 from lexiflume.operators import bm25, embedding, fusion, vectors
 from lexiflume.operators.bm25 import Bm25Index
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources.tables import questions, table
 
 

@@ -8,7 +8,7 @@ from lexiflume.functions import metrics as M, text as X
 from lexiflume.operators import bm25, evaluation as E
 from lexiflume.operators.bm25 import Bm25Index
 from lexiflume.plans.relation_queries import _JUDGED, judged
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
 from lexiflume.streaming.incremental import latest
 
@@ -84,7 +84,9 @@ def e10(spark, d):
     return _answers(spark, d).select("conv_id", "turn", F.round(M.bleu1(F.col("a"), F.col("b")), 4).alias("bleu1"))
 
 
-@query("E11", None)
+@query("E11", f"""with {_QA},
+l as (select conv_id, turn, a, b, list_reduce(a, lambda r, x: list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], case when b[k] = x then (case when k > 1 then r[k - 1] else 0 end) + 1 else 0 end)))), list_transform(b, lambda y: 0::bigint)) as last from qa)
+select conv_id, turn, round(case when coalesce(last[-1], 0) > 0 then 2 * last[-1]::double / (len(a) + len(b)) else 0 end, 4) as rouge_l from l""")
 def e11(spark, d):
     return _answers(spark, d).select("conv_id", "turn", F.round(M.rouge_l("a", "b"), 4).alias("rouge_l"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflume.functions import text as X
 from lexiflume.operators import chunking
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources.tables import table
 
 # Sample wordings, the same in both engines; {n} are small numbers from the id.

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lexiflume.operators import graph
 from lexiflume.plans import retrieval
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources.tables import CHUNKS, chunks, table
 
 _TAG = "case when {0} is not null and cast({0} as varchar) <> '' then '[{0}: ' || {0} || ']' end"

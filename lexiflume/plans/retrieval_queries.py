@@ -8,7 +8,7 @@ from lexiflume.functions import text as X
 from lexiflume.operators import bm25, correction, fusion, vectors
 from lexiflume.operators.bm25 import Bm25Index
 from lexiflume.plans import retrieval
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources.store import kept
 from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
 

@@ -11,7 +11,7 @@ from lexiflume.plans import retrieval
 from lexiflume.plans.function_queries import _C01, _markdown
 from lexiflume.plans.relation_queries import _JUDGED, judged
 from lexiflume.providers import DEFAULT, Providers, coverage
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.service import NliService, Service, checked
 from lexiflume.sources import markdown, store
 from lexiflume.sources.graph_store import GraphStore, read_inputs

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflume.operators.bm25 import RANKED, SQL, Bm25Index
 from lexiflume.operators.vectors import nearest
-from lexiflume.registry import query
+from lexiflume.registered import query
 from lexiflume.sources import store
 from lexiflume.sources.tables import CHUNKS, chunks, questions, table
 

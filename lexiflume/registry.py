@@ -1,25 +1,9 @@
-"""Query name -> DataFrame function, and query name -> SQL over the same tables."""
+"""All registered queries: importing this module loads the modules that register them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexiflume.registered import ORACLE, QUERIES, query
 
-from pyspark.sql import DataFrame, SparkSession
+from lexiflume.plans import embedding_queries, evaluation_queries, function_queries, graph_queries, relation_queries, retrieval_queries, service_queries, source_queries  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-from lexiflume.plans import embedding_queries, evaluation_queries, function_queries, graph_queries, relation_queries, retrieval_queries, service_queries, source_queries  # noqa: E402, F401
+__all__ = ["ORACLE", "QUERIES", "query"]
