@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -33,17 +34,25 @@ def header_split(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clause_pack(c: Column | str, size: int = DEFAULTS.chunk_size) -> Column:
-    """Pieces cut before [clause] lines, merged greedily up to ``size`` characters; a longer piece stays whole."""
-    pieces = F.split(c, r"\n(?=\[clause\])")
-    start = F.array().cast("array<string>")
-
-    def add(acc, p):
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = last.isNotNull() & (F.length(last) + 1 + F.length(p) <= size)
-        merged = F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.concat(last, F.lit("\n"), p))
-        return F.when(fits, merged).otherwise(F.array_append(acc, p))
-
-    return F.aggregate(pieces, start, add)
+    """Pieces cut before [clause] lines, merged greedily up to ``size`` characters; a longer piece stays whole (C02). Null gives null. Merging
+    goes through the pieces once, in Arrow batches: appending within an expression would copy the pieces before each time."""
+
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else merged(t) for t in texts], dtype=object)
+
+    def merged(text: str) -> list[str]:
+        first, *rest = text.split("\n[clause]")
+        out, held, n = [], [first], len(first)
+        for piece in (f"[clause]{p}" for p in rest):
+            if n + 1 + len(piece) <= size:
+                held.append(piece)
+                n += 1 + len(piece)
+            else:
+                out.append("\n".join(held))
+                held, n = [piece], len(piece)
+        return [*out, "\n".join(held)]
+
+    return F.pandas_udf(pack, "array<string>")(F.col(c) if isinstance(c, str) else c)
 
 
 def windows(tokens: Column, size: int, step: int | None = None) -> Column:

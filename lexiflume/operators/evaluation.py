@@ -90,3 +90,11 @@ def patch(rows: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
     new = batch.select("query_id", *[F.col(c).alias(f"__{c}") for c in columns])
     out = rows.join(new.withColumn("__hit", F.lit(True)), "query_id", "left")
     return out.select("query_id", *[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns if c != "query_id"])
+
+
+def backfill(rows: DataFrame, computed: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with the given columns filled from the computed ones where they are absent or NaN (T04); what is there stays."""
+    new = computed.select("query_id", *[F.col(c).alias(f"_{c}") for c in columns])
+    there = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    out = rows.join(new, "query_id", "left")
+    return out.select(*[F.coalesce(there(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])

@@ -186,9 +186,11 @@ for _name in ("S22", "T03"):
         return E.patch(rows, batch, ["a"]).select(F.col("query_id").alias("event_id"), "a")
 
 
-@query("T04", f"with {_JUDGED} select event_id, coalesce(b, 0.0)::double as b from j")
+@query("T04", f"with {_JUDGED} select event_id, coalesce(case when isnan(a) then null else a end, case when event_id % 2 = 0 then value * 3 end) as a, coalesce(b, case when event_id % 2 = 0 then value end) as b from j join (select event_id, value from events) using (event_id)")
 def t04(spark, d):
-    return judged(spark, d).select("event_id", F.coalesce("b", F.lit(0.0)).alias("b"))
+    rows = judged(spark, d).select(F.col("event_id").alias("query_id"), "a", "b")
+    computed = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("query_id"), (F.col("value") * 3).alias("a"), F.col("value").alias("b"))
+    return E.backfill(rows, computed, ["a", "b"]).withColumnRenamed("query_id", "event_id")
 
 
 @query("S19", "select item_id, text from benchmark where item_id % 4 in (0, 2)")

@@ -58,10 +58,10 @@ def s13(spark, d):
     return store.assert_unique(table(spark, d, "events"), "user_id")
 
 
-@query("S14", "with recursive r as (select n_nationkey as k, 0 as depth from nation where n_nationkey = 0 union all select k + 1, depth + 1 from r where depth < 5) select r.k as nation, depth, n_name from r join nation on n_nationkey = k")
+@query("S14", "with recursive r as (select n_nationkey as k, 0 as depth from nation where n_nationkey = 3 union all select k + 1, depth + 1 from r where depth < 5) select r.k as nation, depth, n_name from r join nation on n_nationkey = k")
 def s14(spark, d):
-    table(spark, d, "nation").createOrReplaceTempView("lexiflume_nation")
-    return spark.sql("with recursive r as (select n_nationkey as k, 0 as depth from lexiflume_nation where n_nationkey = 0 union all select k + 1, depth + 1 from r where depth < 5) select r.k as nation, depth, n_name from r join lexiflume_nation on n_nationkey = k")
+    text = "with recursive r as (select n_nationkey as k, 0 as depth from {nation} where n_nationkey = :start union all select k + 1, depth + 1 from r where depth < :depth) select r.k as nation, depth, n_name from r join {nation} on n_nationkey = k"
+    return store.raw_query(spark, text, {"start": 3, "depth": 5}, nation=table(spark, d, "nation"))
 
 
 @query("S17", "with n as (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q cross join embeddings c where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from n) select query_id, vec_id from r where rank <= 20")

@@ -120,7 +120,7 @@ def eval_cases(files: DataFrame, types: list[str] | None = None, limit: int | No
 def latest_report(reports: DataFrame, signature: str | None = None) -> DataFrame:
     """reports (signature, written, ...): the newest with the signature, else the newest of all."""
     wanted = (F.col("signature") == signature) if signature else F.lit(False)
-    return reports.withColumn("__n", F.row_number().over(Window.orderBy(F.desc(wanted), F.desc("written")))).where("__n = 1").drop("__n")
+    return reports.orderBy(F.desc(wanted), F.desc("written")).limit(1)
 
 
 @dataclass
@@ -166,6 +166,11 @@ def create_collection(spark: SparkSession, path: str, size: int = 768, recreate:
     return spark.read.schema("field string, kind string, setting string, size int").json(path)
 
 
+def raw_query(spark: SparkSession, text: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Rows of a raw SQL text with named parameters (:name) over tables given by name ({name})."""
+    return spark.sql(text, args=params, **tables)
+
+
 def upsert_points(points: DataFrame, send: Callable[[list], None], batch_size: int = 100) -> None:
     """Sends rows to a remote store in batches from the executors."""
 
