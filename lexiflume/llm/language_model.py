@@ -33,6 +33,8 @@ from lexiflume.llm.words import SLICE, mix, tailed_words
 
 DIM, WIDE = 16, 16
 ROUNDS, PART, RATE = 3, 1_000_000, 0.25
+#: Tokens whose scores are computed at once.
+AT_ONCE = 1024
 #: True tokens stand against NOISE draws each; draws are shared by a batch, or by its tokens of one group.
 NOISE, SHARED, BATCH = 8, 4, 16_384
 #: Counts of the most frequent words that every task holds (16 bytes each); other words' counts come by a shuffle.
@@ -140,31 +142,46 @@ class Bilinear:
         for j in (1, 2):
             some = at - j >= begin
             seen[j - 1, some] = r[at[some] - j]
-        # Whole numbers: a running sum that does not depend on what came before the text.
-        sums = np.zeros((len(c) + 1, DIM), np.int64)
-        np.cumsum(np.rint(r * np.float32(65536)).astype(np.int64), axis=0, out=sums[1:])
-        seen[2] = (sums[at] - sums[np.maximum(begin, at - WIDE)]).astype(np.float32) / np.float32(65536)
+        seen[2] = _window_sums(r, begin)
         return (seen * self.mixing[:, None]).sum(0), seen
 
     def log_probabilities(self, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Natural log of each token's class given its context."""
         side = len(self.top)
-        q, _ = self.predicted(c, begin)
+        r, at = self.source[c], np.arange(len(c))
+        q = np.ones((len(c), DIM + 1), np.float32)  # the last place takes the bias
+        q[:, :DIM] = _window_sums(r, begin) * self.mixing[2]
+        for j in (1, 2):
+            some = np.flatnonzero(at - j >= begin)
+            q[some, :DIM] += r[some - j] * self.mixing[j - 1]
+        top, member = (np.concatenate([v, b[:, None]], 1) for v, b in ((self.top, self.top_bias), (self.member, self.member_bias)))
         group = c // side
         # No score is beyond this, so most often sums of powers need no shift.
-        far = max(float(np.abs(b).max()) + float(np.sqrt((q * q).sum(1).max(initial=0) * (v * v).sum(1).max())) for v, b in ((self.top, self.top_bias), (self.member, self.member_bias)))
+        far = float(np.sqrt((q * q).sum(1).max(initial=0) * max((v * v).sum(1).max() for v in (top, member))))
         order = _by_class(group)
         q, c, group = q[order], c[order], group[order]
-        found = _log_softmax(q @ self.top.T + self.top_bias, group, far > 60)
+        found = np.empty(len(c), np.float32)
+        for a in range(0, len(c), AT_ONCE):  # scores stay within a processor's cache
+            rows = slice(a, a + AT_ONCE)
+            found[rows] = _log_softmax(q[rows] @ top.T, group[rows], far > 60)
         cuts = np.searchsorted(group, np.arange(side + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             rows, here = slice(cuts[g], cuts[g + 1]), slice(g * side, (g + 1) * side)
-            found[rows] += _log_softmax(q[rows] @ self.member[here].T + self.member_bias[here], c[rows] - g * side, far > 60)
+            found[rows] += _log_softmax(q[rows] @ member[here].T, c[rows] - g * side, far > 60)
         out = np.empty_like(found)
         out[order] = found
         return out
 
 
+def _window_sums(r: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the WIDE rows before each row, from its text's begin on. Running sums are whole numbers modulo 2^32, so they depend
+    neither on what came before the text nor on its length."""
+    sums = np.zeros((len(r) + 1, DIM), np.int32)
+    np.cumsum(np.rint(r * np.float32(65536)).astype(np.int32), axis=0, dtype=np.int32, out=sums[1:])
+    at = np.arange(len(r))
+    return (sums[:-1] - sums[np.maximum(begin, at - WIDE)]).astype(np.float32) / np.float32(65536)
+
+
 def _by_class(c: np.ndarray) -> np.ndarray:
     """Order by small whole numbers; 16 bits sort in time linear in their number."""
     return np.argsort(c.astype(np.uint16) if len(c) and c.max() < 1 << 16 else c, kind="stable")
@@ -174,7 +191,7 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray, shift: bool) -> np.ndarray:
     if shift:
         scores -= scores.max(1, keepdims=True)
     got = scores[np.arange(len(at)), at]
-    return got - np.log(np.exp(scores, out=scores).sum(1))
+    return got - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
 
 def _sums(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
@@ -405,7 +422,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         model, classes, frequent, ns, known_class, log_mass = sent.value
         log_count = np.log10(ns + ALPHA)
         wanted = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "tf")
-        for batch, keys, lengths, tails in _tokens(batches, 4 * SLICE):
+        for batch, keys, lengths, tails in _tokens(batches):
             rows, total = np.repeat(np.arange(len(lengths)), lengths), lambda x: np.bincount(rows, x, len(lengths))  # noqa: E731, B023
             at = frequent(keys, -1)
             known, c = at >= 0, known_class[at]
