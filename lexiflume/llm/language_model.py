@@ -394,8 +394,9 @@ def _round(texts: DataFrame, model: Bilinear, mass: np.ndarray, rate: float, see
             yield pa.RecordBatch.from_arrays([pa.array([meet], pa.int64()), pa.array([n], pa.int64()), pa.array([m.tobytes()])], ["meet", "n", "model"])
 
     schema = "meet long, n long, model binary"
-    # A number of its own: the optimizer would join parts, small in bytes, into few tasks.
-    found = texts.repartition(min(4 * parts, TASKS), "part").sortWithinPartitions("part", "h").select("part", "h", "codes").mapInArrow(fit, schema)
+    # A task for each part: by hash some would get several, and the optimizer would join parts, small in bytes, into few tasks.
+    tasks = min(parts, TASKS)
+    found = texts.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "h").select("part", "h", "codes").mapInArrow(fit, schema)
     found = found.repartition("meet").mapInArrow(add, schema).withColumn("meet", F.lit(0).cast("long"))
     one = found.repartition("meet").mapInArrow(add, schema).collect()  # one row
     return model.like(np.frombuffer(one[0].model, np.int64), one[0].n) if one else model
