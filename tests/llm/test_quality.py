@@ -106,3 +106,16 @@ def test_pairwise_term_matches_all_pairs():
         want.append(1 / (1 + np.exp(-s)))
         at += n
     assert np.allclose(m.score(x), want, rtol=1e-3, atol=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    import random
+
+    from lexiflume.llm import quality_model
+
+    r = random.Random(12)
+    docs = [(i, " ".join(r.choice(("good", "fine", "prose") if i % 2 else ("spam", "buy", "now!!!")) + str(r.randint(0, 9)) for _ in range(r.randint(5, 60)))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, two = ({x.doc_id: x.score for x in quality_model.quality_scores(df.repartition(n), labels.repartition(n)).collect()} for n in (2, 5))
+    assert one == two and len(one) == 200
