@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexiflume.llm import chat, decontamination, language_model, license_scan, packing, pii, quality_model, quality_rules, sharding
+from lexiflume.llm import chat, decontamination, golden_record, language_model, license_scan, line_dedup, packing, pii, quality_model, quality_rules, sharding, vector_codes
 from lexiflume.llm.jaccard_join import jaccard_components
 
 
@@ -57,6 +57,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.lpt_shards(_table(spark, sf_dir, "documents"), 40).drop("grp")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_record.golden_records(_table(spark, sf_dir, "clients"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_vector_code_compression": op12_vector_code_compression,
+    "op13_golden_record": op13_golden_record,
 }
 
-ORACLE: dict[str, str] = {"op2_chat_format": chat.SQL}
+ORACLE: dict[str, str] = {"op2_chat_format": chat.SQL, "op11_line_dedup": line_dedup.SQL, "op12_vector_code_compression": vector_codes.SQL, "op13_golden_record": golden_record.SQL}
