@@ -23,6 +23,7 @@ class EngineConfig:
     original_weight: float = 3.0
     tau_high: float = 0.70
     tau_low: float = 0.20
+    choices: int = 4
     crag_upper: float = 0.75
     crag_lower: float = 0.35
     crag_external: int = 3

@@ -18,28 +18,40 @@ def choice_score(p_yes: Column, p_no: Column, floor: float = 0.25) -> Column:
     return F.when(both < floor, F.lit(0.5)).otherwise(p_yes / both)
 
 
-def filter_rerank(hits: DataFrame, top_k: int = DEFAULTS.rerank_limit, tau_high: float = DEFAULTS.tau_high, tau_low: float = DEFAULTS.tau_low) -> DataFrame:
-    """hits (query_id, chunk_id, rank, score, choice: 0-based place in the reranker's choice, null if not chosen): easy
-    ones keep their score, hard ones get 0.95 - 0.10 * choice or max(0.10, 0.4 * score); if all would be dropped the best
-    four stay (R08, W04, K06, K07)."""
+def screened(hits: DataFrame, tau_high: float = DEFAULTS.tau_high, tau_low: float = DEFAULTS.tau_low, n_rescued: int = DEFAULTS.choices) -> DataFrame:
+    """hits (query_id, chunk_id, rank, score) with kind keep or hard, without those to drop; if all of a query's would go the best stay as hard ones
+    (K07). place: of a hard one among its query's, from 0, in the order of the hits (of those rescued by score)."""
     kind = trichotomy(F.col("score"), tau_high, tau_low, ("keep", "drop", "hard"))
     per = Window.partitionBy("query_id")
     marked = hits.withColumn("kind", kind).withColumn("left", F.count(F.when(F.col("kind") != "drop", 1)).over(per))
     best = F.row_number().over(per.orderBy(F.desc("score"), "rank"))
-    rescued = marked.withColumn("kind", F.when((F.col("left") == 0) & (best <= 4), "keep").otherwise(F.col("kind"))).where("kind <> 'drop'")
-    hard = F.when(F.col("choice").isNotNull(), F.greatest(F.lit(0.0), 0.95 - 0.10 * F.col("choice"))).otherwise(F.greatest(F.lit(0.10), F.col("score") * 0.4))
-    final = rescued.withColumn("final_score", F.round(F.when(F.col("kind") == "hard", hard).otherwise(F.col("score")), 4))
-    by = per.orderBy(F.desc("final_score"), "rank")
-    return final.withColumn("final_rank", F.row_number().over(by)).where(F.col("final_rank") <= top_k).drop("left")
+    rescued = marked.withColumn("best", best).withColumn("kind", F.when((F.col("left") == 0) & (F.col("best") <= n_rescued), "hard").otherwise(F.col("kind"))).where("kind <> 'drop'")
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.when(F.col("left") == 0, F.col("best")).otherwise(F.col("rank")), "rank")) - 1
+    return rescued.withColumn("place", F.when(F.col("kind") == "hard", place)).drop("left", "best")
+
+
+def merged(hits: DataFrame, top_k: int = DEFAULTS.rerank_limit, n_choices: int = DEFAULTS.choices) -> DataFrame:
+    """Screened hits with choice (0-based place in the reranker's choice, null if not chosen) by final_score: those kept have their score, of the hard
+    ones the first n_choices get 0.95 - 0.10 * choice, or max(0.10, 0.4 * score), the others 0.3 * score (W04, K06)."""
+    chosen = F.when(F.col("choice").isNotNull(), 0.95 - 0.10 * F.col("choice")).otherwise(F.greatest(F.lit(0.10), F.col("score") * 0.4))
+    hard = F.when(F.col("place") < n_choices, chosen).otherwise(F.col("score") * 0.3)
+    final = hits.withColumn("final_score", F.round(F.when(F.col("kind") == "hard", hard).otherwise(F.col("score")), 4))
+    by = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("kind"), "rank")  # on ties those kept go first
+    return final.withColumn("final_rank", F.row_number().over(by)).where(F.col("final_rank") <= top_k)
+
+
+def filter_rerank(hits: DataFrame, top_k: int = DEFAULTS.rerank_limit, tau_high: float = DEFAULTS.tau_high, tau_low: float = DEFAULTS.tau_low) -> DataFrame:
+    """Screens and merges hits that have their choice already."""
+    return merged(screened(hits, tau_high, tau_low), top_k)
 
 
 def crag(hits: DataFrame, external: DataFrame, upper: float = DEFAULTS.crag_upper, lower: float = DEFAULTS.crag_lower, k: int = DEFAULTS.crag_external) -> DataFrame:
     """hits (query_id, chunk_id, rank, p) and external hits (query_id, chunk_id, rank): action per query is its best label; correct
-    keeps the correct ones, ambiguous the correct and ambiguous plus external, incorrect external only (R11, A14)."""
+    and ambiguous keep what is not incorrect, ambiguous adds external hits, incorrect has these only (R11, A14)."""
     label = trichotomy(F.col("p"), upper, lower, ("correct", "incorrect", "ambiguous"))
     level = F.when(label == "correct", 2).when(label == "ambiguous", 1).otherwise(0)
     marked = hits.withColumn("label", label).withColumn("level", level).withColumn("action", F.max("level").over(Window.partitionBy("query_id")))
-    inside = marked.where("action > 0 and level > 0 and (action = 1 or level = 2)").select("query_id", "chunk_id", "rank", "action", F.lit("internal").alias("origin"))
+    inside = marked.where("action > 0 and level > 0").select("query_id", "chunk_id", "rank", "action", F.lit("internal").alias("origin"))
     asked = marked.groupBy("query_id").agg(F.max("action").alias("action")).where("action < 2")
     outside = external.where(F.col("rank") <= k).join(asked, "query_id").select("query_id", "chunk_id", "rank", "action", F.lit("external").alias("origin"))
     names = F.element_at(F.array(*map(F.lit, ("incorrect", "ambiguous", "correct"))), F.col("action") + 1)

@@ -61,12 +61,17 @@ def expand_references(selected: DataFrame, chunks: DataFrame, per_article: int =
     return found.withColumn("position", F.row_number().over(by)).select("query_id", "chunk_id", "article_no", "position")
 
 
-def context(blocks: DataFrame, limit: int = DEFAULTS.max_context_chars, marker: str = "...") -> DataFrame:
-    """blocks (query_id, position, block) joined by blank lines up to ``limit`` characters; the first that goes over is cut
-    and marked, later ones are left out (W05, R04)."""
+#: Fixed value: what follows a block that was cut.
+CUT = "\n[đã rút gọn]"
+
+
+def context(blocks: DataFrame, limit: int = DEFAULTS.max_context_chars, marker: str = CUT) -> DataFrame:
+    """blocks (query_id, position, block) joined by blank lines up to ``limit`` characters, marker included; the first that goes over is
+    cut, if the marker and more fit, and later ones are left out (W05, R04)."""
     upto = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     run = blocks.withColumn("ends", F.sum(F.length("block") + 2).over(upto) - 2).withColumn("starts", F.col("ends") - F.length("block"))
-    kept = run.where(F.col("starts") < limit)
-    cut = F.when(F.col("ends") <= limit, F.col("block")).otherwise(F.concat(F.expr(f"substring(block, 1, cast({limit} - starts as int))"), F.lit(marker)))
-    parts = kept.select("query_id", F.struct("position", cut.alias("text")).alias("p"))
+    kept = run.where((F.col("ends") <= limit) | (F.col("starts") < limit - len(marker)))
+    cut = F.rtrim(F.expr(f"substring(block, 1, cast({limit - len(marker)} - starts as int))"), F.lit(" \t\n\x0b\x0c\r"))
+    text = F.when(F.col("ends") <= limit, F.col("block")).otherwise(F.concat(cut, F.lit(marker)))
+    parts = kept.select("query_id", F.struct("position", text.alias("text")).alias("p"))
     return parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "\n\n").alias("context"), F.count("*").alias("n_blocks"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflume.functions.text import rewritten
 from lexiflume.operators import bm25, embedding, fusion, vectors
-from lexiflume.operators.bm25 import Bm25Index
+from lexiflume.plans.indexed import index
 from lexiflume.registered import query
 from lexiflume.sources.tables import questions, table
 
@@ -43,7 +43,7 @@ def v12(spark, d):
 
 @query("V11", f"with {bm25.SQL} select doc_id, term, round(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 4) as weight from postings join terms using (term) join lengths using (doc_id), corpus")
 def v11(spark, d):
-    return embedding.sparse_weights(Bm25Index.stored(spark, f"{d}/documents.parquet")).select("doc_id", "term", F.round("weight", 4).alias("weight"))
+    return embedding.sparse_weights(index(spark, d)).select("doc_id", "term", F.round("weight", 4).alias("weight"))
 
 
 @query("V02", "select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 4) + 0.0 as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -56,7 +56,7 @@ def v02(spark, d):
 @query("K04", f"""with {bm25.RANKED}, h as (select query_id, doc_id, bm25_rank as rank, case when doc_id % 3 = 0 then null else doc_id % 5 / 5.0::double end as rerank_score, case when doc_id % 4 = 0 then null else doc_id % 7 / 7.0::double end as dense_score from hits where bm25_rank <= 20),
 o as (select *, row_number() over (partition by query_id order by rerank_score desc nulls last, dense_score desc nulls last, rank) as final_rank from h) select query_id, doc_id, final_rank from o where final_rank <= 5""")
 def k04(spark, d):
-    hits = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d), 20)
+    hits = index(spark, d).search(questions(spark, d), 20)
     scored = hits.select("query_id", "doc_id", F.col("bm25_rank").alias("rank"), F.expr("case when doc_id % 3 = 0 then null else doc_id % 5 / 5.0D end").alias("rerank_score"), F.expr("case when doc_id % 4 = 0 then null else doc_id % 7 / 7.0D end").alias("dense_score"))
     return fusion.rerank(scored).select("query_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lexiflume.functions import metrics as M, text as X
 from lexiflume.operators import bm25, evaluation as E
-from lexiflume.operators.bm25 import Bm25Index
+from lexiflume.plans.indexed import index
 from lexiflume.plans.relation_queries import _JUDGED, judged
 from lexiflume.registered import query
 from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
@@ -21,7 +21,7 @@ m as (select query_id, hit, mrr, "precision", round(case when n_rel > 0 then dcg
 
 
 def _judged(spark, d):
-    hits = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d))
+    hits = index(spark, d).search(questions(spark, d))
     pairs = hits.join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").join(questions(spark, d), "query_id")
     return pairs.select("query_id", "doc_id", F.col("bm25_rank").alias("rank"), E.relevant().cast("int").alias("rel"), "question_type")
 
@@ -43,7 +43,7 @@ for _name, _col in (("E03", "hit"), ("E04", "mrr"), ("W03", "mrr"), ("E06", "pre
 @query("E05", f"with {_REL}, t as (select query_id, gt_article, cast(unnest(case when len(gt_clauses) = 0 then [0] else gt_clauses || [99] end) as int) as clause from questions), x as (select t.query_id, t.clause, bool_or(c.article_no = t.gt_article and (t.clause = 0 or list_contains(c.clause_nos, t.clause))) as ok from t join hits h using (query_id) join chunks c using (doc_id) group by all) select query_id, round(avg(ok::int), 4) as recall from x group by query_id")
 def e05(spark, d):
     truth = questions(spark, d).select("query_id", "gt_article", F.explode(F.when(F.size("gt_clauses") == 0, F.array(F.lit(0))).otherwise(F.array_append("gt_clauses", F.lit(99)))).alias("clause"))
-    found = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d)).join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").select(F.col("query_id").alias("q"), "article_no", "clause_nos")
+    found = index(spark, d).search(questions(spark, d)).join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id").select(F.col("query_id").alias("q"), "article_no", "clause_nos")
     on = (F.col("query_id") == F.col("q")) & (F.col("article_no") == F.col("gt_article")) & ((F.col("clause") == 0) | F.array_contains("clause_nos", F.col("clause")))
     return E.recall_of_items(truth, found, on)
 
@@ -164,7 +164,7 @@ i as (select *, (select sum(1 / log2(g + 1)) from generate_series(1, 1000) s(g)
 select k, round(avg(dcg / ideal), 4) as ndcg, round(avg(ap / n_rel), 4) as map, round(avg(found::double / n_rel), 4) as recall, round(avg(found::double / k), 4) as "precision", round(avg(rr), 4) as mrr from i group by k""")
     def e14(spark, d):
         qrels = questions(spark, d).join(chunks(spark, d), F.col("article_no") == F.col("gt_article")).where(E.relevant()).select("query_id", "doc_id")
-        run = Bm25Index.stored(spark, f"{d}/documents.parquet").search(questions(spark, d)).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
+        run = index(spark, d).search(questions(spark, d)).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
         return E.ir_metrics(run, qrels, [1, 5, 10, 100])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lexiflume.operators import graph
 from lexiflume.plans import retrieval
+from lexiflume.plans.retrieval_queries import LINES
 from lexiflume.registered import query
 from lexiflume.sources.tables import CHUNKS, chunks, table
 
@@ -36,12 +37,22 @@ def p04(spark, d):
     return t.select("doc_id", F.md5(F.coalesce(F.expr("case when doc_id % 2 = 0 then text end"), "lang")).alias("content"), F.expr("coalesce(case when doc_id % 3 = 0 then n_chars / 10.0D end, cast(n_chars as double))").alias("dense_score"))
 
 
-_BLOCK = "concat_ws(chr(10), '[Đoạn ' || (doc_id + 1) || ']', 'Nguồn: ' || nullif(source, ''), 'Chương: ' || nullif(chapter, ''), 'Mục: ' || nullif(section, ''), 'Điều: ' || nullif(article, ''), 'Số điều: ' || article_no, content)"
+#: Scores and origins of some of the chunks, by name.
+_SCORED = {
+    "bm25_score": "case when doc_id % 3 > 0 then length(content) / cast(7 as double) end",
+    "dense_score": "case when doc_id % 4 > 0 then doc_id / cast(9 as double) end",
+    "rrf": "case when doc_id % 5 > 0 then 1 / (doc_id + cast(60 as double)) end",
+    "rerank_score": "case when doc_id % 2 > 0 then length(article) / cast(13 as double) end",
+    "origin": "case when doc_id % 2 = 0 then 'reference' else 'reranked' end",
+    "referenced_article_no": "case when doc_id % 2 = 0 then article_no end",
+}
+_WITH_SCORES = [f"{e} as {n}" for n, e in _SCORED.items()]
 
 
-@query("P05", f"with {CHUNKS} select doc_id, md5({_BLOCK}) as digest from chunks")
+@query("P05", f"with {CHUNKS}, s as (select *, {', '.join(_WITH_SCORES)} from chunks) select doc_id, md5(concat_ws(chr(10), '[Đoạn ' || (doc_id + 1) || ']', {LINES})) as digest from s")
 def p05(spark, d):
-    return chunks(spark, d).select("doc_id", F.md5(retrieval.context_block(F.col("doc_id") + 1)).alias("digest"))
+    s = chunks(spark, d).selectExpr("*", *_WITH_SCORES)
+    return s.select("doc_id", F.md5(retrieval.context_block(F.col("doc_id") + 1, s)).alias("digest"))
 
 
 @query("P07", f"with {CHUNKS} select chunk_id, article_no, chapter_no, source, md5(content) as content from chunks")

@@ -5,40 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lexiflume.functions import text as X
-from lexiflume.operators import bm25, correction, fusion, vectors
-from lexiflume.operators.bm25 import Bm25Index
+from lexiflume.operators import bm25, correction, embedding, fusion, vectors
+from lexiflume.operators.bm25 import tags
 from lexiflume.plans import retrieval
+from lexiflume.plans.indexed import index
+from lexiflume.providers import Providers
 from lexiflume.registered import query
 from lexiflume.sources.store import kept
-from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
-
-
-def _index(spark, d):
-    return Bm25Index.stored(spark, f"{d}/documents.parquet")
+from lexiflume.sources.tables import ASKED, CHUNKS, QUESTIONS, asked, chunks, questions, table
 
 
 def _hits(spark, d, k=100):
-    return _index(spark, d).search(questions(spark, d), k)
+    return index(spark, d).search(questions(spark, d), k)
 
 
 @query("A01", f"with {bm25.SQL} select term, count(*) as df, cast(sum(tf) as bigint) as tf from postings group by term")
 def a01(spark, d):
-    return _index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("A01_corpus", f"with {bm25.SQL} select n, round(avgdl, 4) as avgdl from corpus")
 def a01c(spark, d):
-    return _index(spark, d).corpus.select("n", F.round("avgdl", 4).alias("avgdl"))
+    return index(spark, d).corpus.select("n", F.round("avgdl", 4).alias("avgdl"))
 
 
 @query("A02", f"with {bm25.SQL} select term, df, round(idf, 6) as idf from terms")
 def a02(spark, d):
-    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("B01", f"with {bm25.SCORES} select query_id, doc_id, round(score, 4) as score from scored")
 def b01(spark, d):
-    return _index(spark, d).scores(questions(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return index(spark, d).scores(questions(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("K01", f"with {bm25.RANKED} select query_id, doc_id, bm25_rank, round(score, 4) as score from hits")
@@ -51,29 +49,30 @@ def b02(spark, d):
     return _hits(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"), F.min_by("doc_id", "bm25_rank").alias("top_doc"))
 
 
-@query("W01", f"with {bm25.SCORES} select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from scored join documents using (doc_id) where lang = 'en'")
+@query("W01", f"""with {bm25.SCORES}, e as (select b.item_id as query_id, d.doc_id, coalesce(s.score, 0) as score from benchmark b cross join documents d left join scored s on s.query_id = b.item_id and s.doc_id = d.doc_id where lang = 'en'),
+r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from e) select query_id, doc_id, rank from r where rank <= 100""")
 def w01(spark, d):
-    english = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    by = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
-    return _index(spark, d).scores(questions(spark, d)).join(english, "doc_id").select("query_id", "doc_id", F.row_number().over(by).cast("long").alias("rank"))
+    english = questions(spark, d).withColumn("tags", tags(lang=(F.lit("en"), False)))
+    return index(spark, d).search(english, relax=False).select("query_id", "doc_id", F.col("bm25_rank").cast("long").alias("rank"))
 
 
-_FILTERED = f"with {bm25.SCORES}, {CHUNKS}, {QUESTIONS}, m as (select s.query_id, s.doc_id, (article_no = gt_article and list_has_all(clause_nos, gt_clauses)) as ok from scored s join chunks using (doc_id) join questions using (query_id))"
+_FILTERED = f"""with {bm25.SCORES}, {CHUNKS}, {QUESTIONS}, m as (select q.query_id, c.doc_id, coalesce(score, 0) as score, article_no = gt_article and list_has_all(clause_nos, gt_clauses) as ok
+    from questions q cross join chunks c left join scored s on s.query_id = q.query_id and s.doc_id = c.doc_id), flagged as (select *, bool_or(ok) over (partition by query_id) as any_ok from m)"""
 
 
-def _filtered(spark, d):
-    pairs = _index(spark, d).scores(questions(spark, d)).join(chunks(spark, d).select("doc_id", "article_no", "clause_nos"), "doc_id")
-    return pairs.join(questions(spark, d).select("query_id", F.col("gt_article").alias("f_article"), F.col("gt_clauses").alias("f_clauses")), "query_id")
+def _with_truth(spark, d):
+    """Questions that ask for their true article and all of their true clauses."""
+    return questions(spark, d).withColumn("tags", tags(article_no=(F.col("gt_article"), False), clause_nos=(F.col("gt_clauses"), True)))
 
 
-@query("F03", f"{_FILTERED} select query_id, doc_id from m where ok")
+@query("F03", f"{_FILTERED}, r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from flagged where ok) select query_id, doc_id, rank from r where rank <= 100")
 def f03(spark, d):
-    return _filtered(spark, d).where(fusion.matches_filter()).select("query_id", "doc_id")
+    return index(spark, d).search(_with_truth(spark, d), relax=False).select("query_id", "doc_id", F.col("bm25_rank").cast("long").alias("rank"))
 
 
-@query("F04", f"{_FILTERED} select query_id, doc_id, not any_ok as filter_relaxed from (select *, bool_or(ok) over (partition by query_id) as any_ok from m) where ok or not any_ok")
+@query("F04", f"{_FILTERED}, r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from flagged where ok or not any_ok) select query_id, doc_id, rank, not any_ok as filter_relaxed from r where rank <= 100")
 def f04(spark, d):
-    return fusion.relaxed(_filtered(spark, d), fusion.matches_filter()).select("query_id", "doc_id", "filter_relaxed")
+    return index(spark, d).search(_with_truth(spark, d)).select("query_id", "doc_id", F.col("bm25_rank").cast("long").alias("rank"), "filter_relaxed")
 
 
 _UNIT = "list_transform(embedding, lambda x: cast(x as double))"
@@ -96,7 +95,7 @@ def _vector_queries(spark, d):
 
 
 def _near(spark, d, k=20):
-    return vectors.nearest(_vector_queries(spark, d), table(spark, d, "embeddings"), k)
+    return vectors.VectorIndex.stored(spark, f"{d}/embeddings.parquet").search(_vector_queries(spark, d), k)
 
 
 @query("V03", f"with {_NEAR} select query_id, vec_id, rank, round(score, 4) as score from near where rank <= 20")
@@ -147,14 +146,29 @@ select doc_id, cast(span as int) as span, cast(i as int) as i, round(x / sqrt(su
         return pooled.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).select("doc_id", "span", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x"))
 
 
-_DENSE = f"""{bm25.RANKED},
-dense as (select h.query_id, h.doc_id, h.bm25_rank, round(coalesce(round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4), 0.5), 4) + 0.0 as dense_score
+_BASE = f"{bm25.RANKED}, {CHUNKS}, {QUESTIONS}"
+# Questions whose texts filter; those without words take no part.
+_ASKED = f"""{bm25.SQL}, {CHUNKS}, {ASKED}, {bm25.scores_sql("asked_questions", "query_id", "query")},
+pairs as (select q.query_id, c.doc_id, coalesce(s.score, 0) as score, coalesce(f_article, f_chapter, f_section) is not null as filtered,
+    coalesce(f_article is null or article_no = f_article, false) and coalesce(f_chapter is null or chapter_no = f_chapter, false) and coalesce(f_section is null or section_no = f_section, false) as ok
+    from asked_questions q cross join chunks c left join scored s on s.query_id = q.query_id and s.doc_id = c.doc_id where has_words),
+flagged as (select *, bool_or(ok) over (partition by query_id) as any_ok from pairs),
+hits as (select * from (select query_id, doc_id, score, filtered and not any_ok as filter_relaxed, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as bm25_rank from flagged where ok or not any_ok) where bm25_rank <= 100),
+questions as (select query_id, query from asked_questions)"""
+
+
+def _dense_sql(base: str) -> str:
+    return f"""{base},
+dense as (select h.query_id, h.doc_id, h.bm25_rank, h.score as bm25_score, round(coalesce(round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4), 0.5), 4) + 0.0 as dense_score
     from hits h left join embeddings q on q.vec_id = h.query_id left join embeddings e on e.vec_id = h.doc_id),
 ranked as (select *, row_number() over (partition by query_id order by dense_score desc, bm25_rank) as dense_rank from dense),
 fused as (select *, 1.0::double / (60 + bm25_rank) + 1.0::double / (60 + dense_rank) as rrf from ranked),
 top20 as (select * from (select *, row_number() over (partition by query_id order by round(rrf, 10) desc, bm25_rank) as rank from fused) where rank <= 20)"""
 
 
+_DENSE = _dense_sql(_BASE)
+
+
 @query("J01", f"with {_DENSE} select query_id, doc_id, dense_score from dense")
 def j01(spark, d):
     hits = kept(_hits(spark, d))
@@ -167,9 +181,11 @@ def _hybrid(spark, d):
     return fusion.hybrid(hits, retrieval.dense_scores(hits, table(spark, d, "embeddings")))
 
 
-@query("R01", f"with {_DENSE} select query_id, doc_id, bm25_rank, dense_rank, rank, round(rrf, 6) as rrf from top20")
+@query("R01", f"with {_dense_sql(_ASKED)} select t.query_id, t.doc_id, bm25_rank, dense_rank, rank, round(rrf, 6) as rrf, filter_relaxed from top20 t join (select distinct query_id, filter_relaxed from hits) using (query_id)")
 def r01(spark, d):
-    return _hybrid(spark, d).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("bm25_rank", "dense_rank", "rank")], F.round("rrf", 6).alias("rrf"))
+    r = _retriever(spark, d)
+    found = r.candidates(r.understood(asked(spark, d)))
+    return found.select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("bm25_rank", "dense_rank", "rank")], F.round("rrf", 6).alias("rrf"), "filter_relaxed")
 
 
 @query("W02", f"with {_DENSE} select query_id, doc_id, dense_rank from top20 where dense_rank <= 10")
@@ -182,11 +198,21 @@ def k03(spark, d):
     return _hybrid(spark, d).groupBy("query_id").agg(F.max("rank").cast("long").alias("n"), F.min_by("doc_id", "rank").alias("first_doc"))
 
 
-@query("R09", f"with {bm25.RANKED} select h.query_id, h.doc_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 4) + 0.0 as dense_score from hits h join embeddings q on q.vec_id = case when h.query_id % 2 = 0 then h.query_id + 1 else h.query_id end join embeddings e on e.vec_id = h.doc_id")
+_CELL = "(select id, cast(('0x' || substr(md5(w), 1, 4))::int % 64 as int) as dim, cast(sum(case when ('0x' || substr(md5(w), 5, 4))::int % 2 = 0 then 1 else -1 end) as bigint) as value from (select {1} as id, unnest(regexp_extract_all(lower({2}), '[\\p{{L}}\\p{{N}}_]+')) as w from {0}) group by all)"
+
+
+@query("R09", f"""with {_BASE}, hv as {_CELL.format("questions", "query_id", "'The answer to this: ' || query")}, dv as {_CELL.format("documents", "doc_id", "text")},
+hn as (select id, sqrt(sum(value * value)::double) as n from hv group by 1), dn as (select id, sqrt(sum(value * value)::double) as n from dv group by 1),
+dots as (select h.query_id, h.doc_id, sum(hv.value * dv.value)::double as dot from hits h join hv on hv.id = h.query_id join dv on dv.id = h.doc_id and dv.dim = hv.dim group by all),
+ds as (select h.query_id, h.doc_id, h.bm25_rank, case when dn.id is null then 0.5 when hn.n * dn.n > 0 then round(coalesce(dot, 0) / (hn.n * dn.n), 4) + 0.0 else 0.0 end as dense_score from hits h left join dots using (query_id, doc_id) left join hn on hn.id = h.query_id left join dn on dn.id = h.doc_id),
+rk as (select *, row_number() over (partition by query_id order by dense_score desc, bm25_rank) as dense_rank from ds),
+fu as (select *, row_number() over (partition by query_id order by round(1.0::double / (60 + bm25_rank) + 1.0::double / (60 + dense_rank), 10) desc, bm25_rank) as rank from rk)
+select query_id, doc_id, dense_score, rank from fu where rank <= 20""")
 def r09(spark, d):
-    e = table(spark, d, "embeddings")
-    hyde = e.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("query_id"), "embedding")
-    return retrieval.dense_scores(_hits(spark, d), e, hyde)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    r = _retriever(spark, d, embeddings=kept(embedding.hashed_vectors(texts).withColumnRenamed("id", "vec_id")), pre=("hyde",))
+    found = r.candidates(r.understood(questions(spark, d)))
+    return found.select("query_id", "doc_id", "dense_score", F.col("rank").cast("long").alias("rank"))
 
 
 # Token overlap F1 of a query and a content, as in the lexical reranker.
@@ -199,14 +225,19 @@ def f1_sql(a: str, b: str) -> str:
     return f"case when {o} > 0 then 2 * ({o} / len({a})::double) * ({o} / len({b})::double) / ({o} / len({a})::double + {o} / len({b})::double) else 0.0 end"
 
 
-_RERANKED = f"""{_DENSE}, {CHUNKS}, {QUESTIONS},
+def _reranked_sql(base: str) -> str:
+    return f"""{_dense_sql(base)},
 toks as (select t.*, {_TOKS.format("q.query")} as qt, {_TOKS.format("c.content")} as ct from top20 t join questions q using (query_id) join chunks c using (doc_id)),
-rr as (select query_id, doc_id, rank, dense_score, round({f1_sql("qt", "ct")}, 4) as rerank_score from toks),
+rr as (select query_id, doc_id, rank, bm25_score, dense_score, rrf, round({f1_sql("qt", "ct")}, 4) as rerank_score from toks),
 selected as (select * from (select *, row_number() over (partition by query_id order by rerank_score desc nulls last, dense_score desc nulls last, rank) as final_rank from rr) where final_rank <= 5)"""
 
 
-def _retriever(spark, d):
-    return retrieval.Retriever(_index(spark, d), chunks(spark, d), table(spark, d, "embeddings"))
+_RERANKED = _reranked_sql(_BASE)
+
+
+def _retriever(spark, d, **options):
+    embeddings = options.pop("embeddings", None)
+    return retrieval.Retriever(index(spark, d), chunks(spark, d), table(spark, d, "embeddings") if embeddings is None else embeddings, **options)
 
 
 @query("R02", f"with {_RERANKED} select query_id, doc_id, final_rank, rerank_score from selected")
@@ -214,14 +245,15 @@ def r02(spark, d):
     return _retriever(spark, d).select(questions(spark, d)).select("query_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"), "rerank_score")
 
 
-@query("J13", f"with {_DENSE}, {QUESTIONS} select t.query_id, t.doc_id, md5(q.query || '|' || d.text) as pair from top20 t join questions q using (query_id) join documents d using (doc_id)")
+@query("J13", f"with {_DENSE} select t.query_id, t.doc_id, md5(q.query || '|' || d.text) as pair from top20 t join questions q using (query_id) join documents d using (doc_id)")
 def j13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return _hybrid(spark, d).join(questions(spark, d), "query_id").join(docs, "doc_id").select("query_id", "doc_id", F.md5(F.concat_ws("|", "query", "text")).alias("pair"))
 
 
-_EXPANDED = f"""{_RERANKED},
-sel as (select s.query_id, s.final_rank as rank, c.chunk_id, c.ref_article_nos from selected s join chunks c using (doc_id)),
+def _expanded_sql(base: str) -> str:
+    return f"""{_reranked_sql(base)},
+sel as (select s.query_id, s.final_rank as rank, bm25_score, dense_score, rrf, rerank_score, c.chunk_id, c.ref_article_nos from selected s join chunks c using (doc_id)),
 cited as (select query_id, rank, pos, ref_article_nos[pos] as article_no from sel, unnest(generate_series(1, len(ref_article_nos))) g(pos)),
 ordered as (select query_id, article_no, min(rank * 1000 + pos) as first from cited group by all),
 numbered as (select * from (select chunk_id, article_no, row_number() over (partition by article_no order by doc_id) as n from chunks) where n <= 20),
@@ -229,6 +261,9 @@ expanded as (select o.query_id, n.chunk_id, n.article_no, row_number() over (par
     from ordered o join numbered n using (article_no) where not exists (select 1 from sel s where s.query_id = o.query_id and s.chunk_id = n.chunk_id))"""
 
 
+_EXPANDED = _expanded_sql(_BASE)
+
+
 def _expanded(spark, d):
     chosen = _retriever(spark, d).select(questions(spark, d)).select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "ref_article_nos")
     return fusion.expand_references(chosen, chunks(spark, d))
@@ -241,35 +276,45 @@ for _name in ("J04", "R03"):
         return _expanded(spark, d).select("query_id", "chunk_id", "article_no", F.col("position").cast("long").alias("position"))
 
 
-_BLOCK = """concat_ws(chr(10), '[Đoạn ' || position || ']', 'Nguồn: ' || nullif(source, ''), 'Chương: ' || nullif(chapter, ''), 'Mục: ' || nullif(section, ''), 'Điều: ' || nullif(article, ''), 'Số điều: ' || article_no, content)"""
-_CONTEXT = f"""{_EXPANDED},
-together as (select query_id, chunk_id, rank as position from sel union all select query_id, chunk_id, position + 1000 from expanded),
-numb as (select query_id, chunk_id, row_number() over (partition by query_id order by position) as position from together),
-blocks as (select n.query_id, n.position, {_BLOCK} as block from numb n join chunks c using (chunk_id)),
+LINES = """'Nguồn: ' || nullif(source, ''), 'Chương: ' || nullif(chapter, ''), 'Mục: ' || nullif(section, ''), 'Điều: ' || nullif(article, ''), 'Số điều: ' || article_no, 'Số chương: ' || chapter_no, 'Số mục: ' || section_no,
+    case when len(clause_nos) > 0 then 'Số khoản: [' || array_to_string(clause_nos, ', ') || ']' end, case when len(ref_article_nos) > 0 then 'Số điều viện dẫn: [' || array_to_string(ref_article_nos, ', ') || ']' end,
+    'Điểm BM25: ' || printf('%.4f', round(bm25_score, 4)), 'Điểm truy xuất dense: ' || printf('%.4f', round(dense_score, 4)), 'Điểm RRF: ' || printf('%.6f', round(rrf, 6)), 'Điểm xếp hạng lại: ' || printf('%.4f', round(rerank_score, 4)),
+    'Nguồn truy xuất: ' || origin, 'Số điều được viện dẫn: ' || referenced_article_no, 'Nội dung:', coalesce(content, '')"""
+
+
+def _context_sql(base: str) -> str:
+    return f"""{_expanded_sql(base)},
+together as (select query_id, chunk_id, rank as position, bm25_score, dense_score, rrf, rerank_score, 'reranked' as origin, null::int as referenced_article_no from sel
+    union all select query_id, chunk_id, position + 1000, null, null, null, null, 'reference', article_no from expanded),
+numb as (select * exclude (position), row_number() over (partition by query_id order by position) as position from together),
+blocks as (select n.query_id, n.position, concat_ws(chr(10), '[Đoạn ' || position || ']', {LINES}) as block from numb n join chunks c using (chunk_id)),
 runs as (select *, sum(length(block) + 2) over (partition by query_id order by position) - 2 as ends from blocks),
-cut as (select query_id, position, case when ends <= 12000 then block else substr(block, 1, cast(12000 - (ends - length(block)) as int)) || '...' end as txt from runs where ends - length(block) < 12000),
+cut as (select query_id, position, case when ends <= 12000 then block else rtrim(substr(block, 1, cast(12000 - 13 - (ends - length(block)) as int)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || '[đã rút gọn]' end as txt
+    from runs where ends <= 12000 or ends - length(block) < 12000 - 13),
 ctx as (select query_id, string_agg(txt, chr(10) || chr(10) order by position) as context, count(*) as n_blocks from cut group by query_id)"""
 
 
+_CONTEXT = _context_sql(_BASE)
+
+
 @query("R04", f"with {_CONTEXT} select query_id, md5(context) as digest, cast(length(context) as bigint) as n_chars from ctx")
 def r04(spark, d):
     return _retriever(spark, d).retrieve(questions(spark, d)).select("query_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
 
 
-@query("W05", f"with {_CONTEXT} select query_id, n_blocks from ctx")
+@query("W05", f"with {_CONTEXT} select query_id, n_blocks, length(context) <= 12000 as fits from ctx")
 def w05(spark, d):
-    r = _retriever(spark, d)
-    chosen = kept(r.select(questions(spark, d)).select("query_id", "final_rank", "chunk_id", "ref_article_nos"))
-    more = fusion.expand_references(chosen.select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "ref_article_nos"), r.chunks)
-    order = chosen.select("query_id", "chunk_id", F.col("final_rank").alias("p")).union(more.select("query_id", "chunk_id", F.col("position") + 1000))
-    numbered = order.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("p")))
-    blocks = numbered.join(r.chunks, "chunk_id").select("query_id", "position", retrieval.context_block(F.col("position")).alias("block"))
-    return fusion.context(blocks).select("query_id", "n_blocks")
+    found = _retriever(spark, d).retrieve(questions(spark, d)).where("context <> ''")
+    n = F.size(F.regexp_extract_all("context", F.lit(r"(?:^|\n\n)(\[Đoạn [0-9]+\]\n)"), F.lit(1)))
+    return found.select("query_id", n.cast("long").alias("n_blocks"), (F.length("context") <= 12000).alias("fits"))
 
 
-@query("R05", f"with {_CONTEXT}, s1 as (select query_id, string_agg(chunk_id, ',' order by rank) as selected from sel group by 1), e1 as (select query_id, string_agg(chunk_id, ',' order by position) as expanded from expanded group by 1) select q.query_id, coalesce(selected, '') as selected, coalesce(expanded, '') as expanded from questions q left join s1 using (query_id) left join e1 using (query_id)")
+@query("R05", f"""with {_context_sql(_ASKED)}, s1 as (select query_id, string_agg(chunk_id, ',' order by rank) as selected from sel group by 1), e1 as (select query_id, string_agg(chunk_id, ',' order by position) as expanded from expanded group by 1),
+fl as (select distinct query_id, filter_relaxed from hits)
+select q.query_id, coalesce(f_article, f_chapter, f_section) is not null and has_words and not coalesce(filter_relaxed, false) as filter_applied, coalesce(filter_relaxed, false) as filter_relaxed, coalesce(selected, '') as selected, coalesce(expanded, '') as expanded, md5(coalesce(context, '')) as digest
+from asked_questions q left join s1 using (query_id) left join e1 using (query_id) left join ctx using (query_id) left join fl using (query_id)""")
 def r05(spark, d):
-    return _retriever(spark, d).retrieve(questions(spark, d)).select("query_id", "selected", "expanded")
+    return _retriever(spark, d).retrieve(asked(spark, d)).select("query_id", "filter_applied", "filter_relaxed", "selected", "expanded", F.md5("context").alias("digest"))
 
 
 @query("P06", f"with {_CONTEXT} select q.query_id, md5('<context>' || chr(10) || coalesce(context, '') || chr(10) || '</context>' || chr(10) || chr(10) || '<question>' || chr(10) || query || chr(10) || '</question>') as prompt from questions q left join ctx using (query_id)")
@@ -291,12 +336,12 @@ for _name in ("R06", "A11"):
 
     @query(_name, f"with {_FUSION} select query_id, doc_id, rank, round(score, 6) as score from fr")
     def r06(spark, d):
-        return retrieval.rag_fusion(_index(spark, d), questions(spark, d)).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+        return retrieval.fused_variants(index(spark, d), questions(spark, d)).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("K05", f"with {_FUSION} select query_id, doc_id from fr where rank <= 5")
 def k05(spark, d):
-    return retrieval.rag_fusion(_index(spark, d), questions(spark, d), top_k=5).select("query_id", "doc_id")
+    return retrieval.fused_variants(index(spark, d), questions(spark, d), top_k=5).select("query_id", "doc_id")
 
 
 @query("R07", f"with {QUESTIONS} select query_id, unnest({_FRAMES}[2:]) as variant from questions")
@@ -306,38 +351,57 @@ def r07(spark, d):
 
 # Scores that stand in for a model's: arithmetic of the ids.
 _P = "cast((doc_id * 37 + query_id * 11) % 100 as double) / 100"
-_FR = f"""{bm25.RANKED},
-h as (select query_id, doc_id, bm25_rank as rank, {_P} as score, case when bm25_rank <= 2 then bm25_rank - 1 end as choice from hits where bm25_rank <= 20),
-k as (select *, case when score >= 0.7 then 'keep' when score <= 0.2 then 'drop' else 'hard' end as kind from h),
-l as (select *, count(*) filter (kind <> 'drop') over (partition by query_id) as lft, row_number() over (partition by query_id order by score desc, rank) as best from k),
-r as (select *, case when lft = 0 and best <= 4 then 'keep' else kind end as kind2 from l),
-f as (select query_id, doc_id, kind2 as kind, rank, round(case when kind2 = 'hard' then case when choice is not null then greatest(0.0, 0.95 - 0.10 * choice) else greatest(0.10, score * 0.4) end else score end, 4) as final_score from r where kind2 <> 'drop'),
-o as (select *, row_number() over (partition by query_id order by final_score desc, rank) as final_rank from f)"""
 
 
-def _choices(spark, d):
+def _screen_sql(base: str, high: str = "0.7", low: str = "0.2") -> str:
+    """h (query_id, doc_id, rank, score) to f, with kind, place and choice from a table c (query_id, place, choice)."""
+    return f"""{base},
+k as (select *, case when score >= {high} then 'keep' when score <= {low} then 'drop' else 'hard' end as kind0 from h),
+l as (select *, count(*) filter (kind0 <> 'drop') over (partition by query_id) as lft, row_number() over (partition by query_id order by score desc, rank) as best from k),
+r as (select *, case when lft = 0 and best <= 4 then 'hard' else kind0 end as kind from l),
+p as (select *, case when kind = 'hard' then row_number() over (partition by query_id, kind order by case when lft = 0 then best else rank end, rank) - 1 end as place from r where kind <> 'drop')"""
+
+
+_MERGE = """f as (select p.*, choice, round(case when kind = 'keep' then score when p.place >= 4 then score * 0.3 when choice is not null then 0.95 - 0.10 * choice else greatest(0.10, score * 0.4) end, 4)::double as final_score from p left join c on c.query_id = p.query_id and c.place = p.place),
+o as (select *, row_number() over (partition by query_id order by final_score desc, kind desc, rank) as final_rank from f)"""
+_GIVEN = f"{bm25.RANKED}, h as (select query_id, doc_id, bm25_rank as rank, {_P} as score from hits where bm25_rank <= 20)"
+_FR = f"{_screen_sql(_GIVEN)}, c as (select query_id, place, place // 2 as choice from p where place % 2 = 0 and place < 4), {_MERGE}"
+
+
+def _screened(spark, d, **options):
     h = _hits(spark, d).where("bm25_rank <= 20")
-    return h.select("query_id", F.col("doc_id").alias("chunk_id"), F.col("bm25_rank").alias("rank"), F.expr(_P).alias("score"), F.expr("case when bm25_rank <= 2 then bm25_rank - 1 end").alias("choice"))
+    h = h.select("query_id", F.col("doc_id").alias("chunk_id"), F.col("bm25_rank").alias("rank"), F.expr(_P).alias("score"))
+    return correction.screened(h, **options).withColumn("choice", F.expr("case when place % 2 = 0 and place < 4 then place div 2 end"))
+
+
+# The strategy: nearest chunks, judged by the share of the question's tokens that they have; what is undecided is chosen by token overlap.
+_SHARE = "round(len(list_filter(list_distinct({0}), lambda t: list_contains({1}, t)))::double / len(list_distinct({0})), 4)"
+_STRATEGY = f"""{_BASE}, near as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) + 0.0 as score
+    from embeddings q join questions on query_id = q.vec_id cross join embeddings c join documents on doc_id = c.vec_id)) where rank <= 20),
+nt as (select n.query_id, n.vec_id as doc_id, rank, {_TOKS.format("q.query")} as qt, {_TOKS.format("c.content")} as ct, {_TOKS.format("substr(c.content, 1, 1200)")} as pt from near n join questions q using (query_id) join chunks c on c.doc_id = n.vec_id),
+h as (select *, {_SHARE.format("qt", "ct")} as share, case when share > 0 then share else 0.5 end as score from nt)"""
+_STRATEGY = f"""{_screen_sql(_STRATEGY)}, g as (select query_id, place, round({f1_sql("qt", "pt")}, 4) as s from p where place < 4), c as (select query_id, place, row_number() over (partition by query_id order by s desc, place) - 1 as choice from g where s > 0), {_MERGE}"""
 
 
-@query("R08", f"with {_FR} select query_id, doc_id, kind, final_rank, cast(final_score as double) as final_score from o where final_rank <= 5")
+@query("R08", f"with {_STRATEGY} select query_id, doc_id, kind, final_rank, final_score from o where final_rank <= 5")
 def r08(spark, d):
-    return correction.filter_rerank(_choices(spark, d)).select("query_id", F.col("chunk_id").alias("doc_id"), "kind", F.col("final_rank").cast("long").alias("final_rank"), "final_score")
+    found = _retriever(spark, d, advanced="filter_rerank").select(questions(spark, d))
+    return found.select("query_id", "doc_id", "kind", F.col("final_rank").cast("long").alias("final_rank"), "final_score")
 
 
-@query("W04", f"with {_FR} select query_id, doc_id, cast(final_score as double) as final_score from o where kind = 'hard'")
+@query("W04", f"with {_FR} select query_id, doc_id, final_score from o where kind = 'hard'")
 def w04(spark, d):
-    return correction.filter_rerank(_choices(spark, d), top_k=1000).where("kind = 'hard'").select("query_id", F.col("chunk_id").alias("doc_id"), "final_score")
+    return correction.merged(_screened(spark, d), top_k=1000).where("kind = 'hard'").select("query_id", F.col("chunk_id").alias("doc_id"), "final_score")
 
 
 @query("K06", f"with {_FR} select query_id, doc_id from o where final_rank <= 3")
 def k06(spark, d):
-    return correction.filter_rerank(_choices(spark, d), top_k=3).select("query_id", F.col("chunk_id").alias("doc_id"))
+    return correction.merged(_screened(spark, d), top_k=3).select("query_id", F.col("chunk_id").alias("doc_id"))
 
 
-@query("K07", f"with {bm25.RANKED}, h as (select query_id, doc_id, bm25_rank as rank, {_P} as score from hits where bm25_rank <= 20), b as (select *, row_number() over (partition by query_id order by score desc, rank) as best from h) select query_id, doc_id, score from b where best <= 4")
+@query("K07", f"with {bm25.RANKED}, h as (select query_id, doc_id, bm25_rank as rank, {_P} as score from hits where bm25_rank <= 20), b as (select *, row_number() over (partition by query_id order by score desc, rank) as best from h) select query_id, doc_id, score, best - 1 as place from b where best <= 4")
 def k07(spark, d):
-    return correction.filter_rerank(_choices(spark, d), top_k=1000, tau_high=2.0, tau_low=1.5).select("query_id", F.col("chunk_id").alias("doc_id"), "score")
+    return _screened(spark, d, tau_high=2.0, tau_low=1.5).select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("place").cast("long").alias("place"))
 
 
 @query("F07", f"with {bm25.RANKED} select query_id, doc_id, case when {_P} >= 0.7 then 'keep' when {_P} <= 0.2 then 'drop' else 'hard' end as kind from hits")
@@ -345,35 +409,45 @@ def f07(spark, d):
     return _hits(spark, d).select("query_id", "doc_id", correction.trichotomy(F.expr(_P), 0.7, 0.2, ("keep", "drop", "hard")).alias("kind"))
 
 
-_CRAG = f"""{bm25.RANKED},
-h as (select query_id, doc_id, bm25_rank as rank, {_P} * case when query_id % 3 = 0 then 0.3 else 1.0 end as p from hits where bm25_rank <= 5),
-lv as (select *, case when p >= 0.75 then 2 when p <= 0.35 then 0 else 1 end as level from h),
+# Corrective retrieval: entailment by the share of the question's tokens; the external source answers with hits 21 to 23 of the index.
+_CRAG = f"""{_RERANKED},
+jt as (select s.query_id, s.doc_id, final_rank as rank, {_TOKS.format("q.query")} as qt, {_TOKS.format("c.content")} as ct from selected s join questions q using (query_id) join chunks c using (doc_id)),
+lv as (select *, {_SHARE.format("qt", "ct")} as p, case when p >= 0.75 then 2 when p <= 0.35 then 0 else 1 end as level from jt),
 ac as (select *, max(level) over (partition by query_id) as action from lv),
-uni as (select query_id, doc_id, rank, action, 'internal' as origin from ac where action > 0 and level > 0 and (action = 1 or level = 2)
-    union all select x.query_id, x.doc_id, x.bm25_rank - 20, a.action, 'external' from hits x join (select distinct query_id, action from ac) a on a.query_id = x.query_id where a.action < 2 and x.bm25_rank between 21 and 23)"""
+uni as (select query_id, doc_id, rank, action, 'reranked' as origin from ac where action > 0 and level > 0
+    union all select x.query_id, x.doc_id, 1000 + x.bm25_rank - 20, a.action, 'external' from hits x join (select distinct query_id, action from ac) a on a.query_id = x.query_id where a.action < 2 and x.bm25_rank between 21 and 23),
+cr as (select *, row_number() over (partition by query_id order by rank) as final_rank from uni)"""
 
 
-def _crag(spark, d):
-    hits = kept(_hits(spark, d))
-    p = F.expr(_P) * F.when(F.col("query_id") % 3 == 0, 0.3).otherwise(1.0)
-    inside = hits.where("bm25_rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), F.col("bm25_rank").alias("rank"), p.alias("p"))
-    outside = hits.where("bm25_rank > 20").select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("bm25_rank") - 20).alias("rank"))
-    return correction.crag(inside, outside)
+def _outside(spark, d):
+    def search(queries):
+        hits = index(spark, d).search(queries, 23).where("bm25_rank > 20").join(table(spark, d, "documents"), "doc_id")
+        return hits.select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), (F.col("bm25_rank") - 20).alias("rank"))
+
+    return Providers(external=search)
+
+
+def _corrected(spark, d):
+    return _retriever(spark, d, providers=_outside(spark, d), post=("crag",)).select(questions(spark, d))
 
 
-for _name in ("R11", "U03"):
+@query("R11", f"with {_CRAG} select query_id, doc_id, final_rank, ['incorrect', 'ambiguous', 'correct'][action + 1] as action, origin from cr")
+def r11(spark, d):
+    return _corrected(spark, d).select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), F.col("final_rank").cast("long").alias("final_rank"), "action", "origin")
 
-    @query(_name, f"with {_CRAG} select query_id, doc_id, rank, ['incorrect', 'ambiguous', 'correct'][action + 1] as action, origin from uni")
-    def r11(spark, d):
-        return _crag(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "action", "origin")
+
+@query("U03", f"with {_CRAG} select query_id, count(*) filter (origin = 'reranked') as n_internal, count(*) filter (origin = 'external') as n_external from cr group by 1")
+def u03(spark, d):
+    n = lambda origin, name: F.count(F.when(F.col("origin") == origin, 1)).alias(name)
+    return _corrected(spark, d).groupBy("query_id").agg(n("reranked", "n_internal"), n("external", "n_external"))
 
 
 @query("A14", f"with {_CRAG} select query_id, ['incorrect', 'ambiguous', 'correct'][max(level) + 1] as action from lv group by query_id")
 def a14(spark, d):
-    names = F.element_at(F.array(*map(F.lit, ("incorrect", "ambiguous", "correct"))), F.max("level") + 1)
-    p = F.expr(_P) * F.when(F.col("query_id") % 3 == 0, 0.3).otherwise(1.0)
-    level = F.when(p >= 0.75, 2).when(p <= 0.35, 0).otherwise(1)
-    return _hits(spark, d, 5).withColumn("level", level).groupBy("query_id").agg(names.alias("action"))
+    rows = _retriever(spark, d).select(questions(spark, d)).select("query_id", "chunk_id", F.col("final_rank").alias("rank"), F.round(retrieval.DEFAULT.entail(F.col("query"), F.col("content")), 4).alias("p"))
+    nothing = spark.createDataFrame([], "query_id long, chunk_id string, rank int")
+    acted = correction.crag(rows, nothing).groupBy("query_id").agg(F.first("action").alias("action"))
+    return rows.select("query_id").distinct().join(acted, "query_id", "left").select("query_id", F.coalesce("action", F.lit("incorrect")).alias("action"))
 
 
 _STRIPS = r"""st0 as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) >= 20) as l from documents),
@@ -403,13 +477,22 @@ for _name in ("R13", "K08"):
         return correction.keep_strips(_strips(spark, d), top_n=3).select(F.col("id").alias("doc_id"), "pos")
 
 
-@query("R14", f"with {_STRIPS}, t as (select *, cast(len(regexp_extract_all(lower(strip), '[\\p{{L}}\\p{{N}}_]+')) as bigint) as n from strips), a as (select *, sum(n) over (partition by doc_id order by score desc, pos) as used, row_number() over (partition by doc_id order by score desc, pos) as rn from t) select doc_id, cast(sum(n) as bigint) as origin_tokens, cast(sum(case when used <= 500 or rn = 1 then n else 0 end) as bigint) as compressed_tokens, round(1 - sum(case when used <= 500 or rn = 1 then n else 0 end) / nullif(sum(n), 0), 4) as saving_ratio from a group by doc_id")
+_SENTENCES = r"""cs0 as (select s.query_id, final_rank, c.content, string_split(regexp_replace(content, '([.!?;\n])\s+', '\1' || chr(1), 'g'), chr(1)) as raw from selected s join chunks c using (doc_id)),
+cs1 as (select *, list_filter(list_transform(raw, lambda s: trim(s, ' ')), lambda s: length(s) >= 20) as l0 from cs0),
+cs2 as (select query_id, final_rank, case when len(l0) > 0 then l0 else [content] end as l from cs1),
+cs3 as (select query_id, final_rank, i - 1 as pos, l[i] as strip from cs2, unnest(generate_series(1, len(l))) g(i))"""
+
+
+@query("R14", f"""with {_RERANKED}, {_SENTENCES}, t as (select c.*, {_TOKS.format("q.query")} as qt, {_TOKS.format("strip")} as st, row_number() over (partition by c.query_id order by final_rank, pos) - 1 as place from cs3 c join questions q using (query_id)),
+sc as (select query_id, place, strip, len(st)::bigint as n, {_SHARE.format("qt", "st")} as score from t),
+a as (select *, sum(n) over (partition by query_id order by score desc, place) as used, row_number() over (partition by query_id order by score desc, place) as rn from sc)
+select query_id, md5(string_agg(strip, ' ' order by place) filter (used <= 500 or rn = 1)) as digest, cast(sum(n) as bigint) as origin_tokens, cast(sum(case when used <= 500 or rn = 1 then n else 0 end) as bigint) as compressed_tokens, round(1 - sum(case when used <= 500 or rn = 1 then n else 0 end) / nullif(sum(n), 0), 4) as saving_ratio from a group by query_id""")
 def r14(spark, d):
-    s = _strips(spark, d).select(F.col("id").alias("query_id"), "pos", F.col("strip").alias("sentence"), "score", F.size(X.tokens("strip")).cast("long").alias("n_tokens"))
-    return correction.compress(s).select(F.col("query_id").alias("doc_id"), "origin_tokens", "compressed_tokens", "saving_ratio")
+    found = _retriever(spark, d, post=("prompt_compression",)).select(questions(spark, d)).where("final_rank = 1")
+    return found.select("query_id", F.md5("compressed").alias("digest"), "origin_tokens", "compressed_tokens", "saving_ratio")
 
 
-@query("R15", f"with {_DENSE}, {QUESTIONS}, t as (select t.query_id, t.doc_id, list_distinct({_TOKS.format('q.query')}) as qt, {_TOKS.format('d.text')} as dt from top20 t join questions q using (query_id) join documents d using (doc_id)), p as (select query_id, doc_id, round(len(list_filter(qt, lambda x: list_contains(dt, x)))::double / len(qt), 4) as p from t) select query_id, doc_id, case when p >= 0.5 then 'entailment' else 'other' end as label, greatest(p, 1 - p) as confidence from p")
+@query("R15", f"with {_DENSE}, t as (select t.query_id, t.doc_id, list_distinct({_TOKS.format('q.query')}) as qt, {_TOKS.format('d.text')} as dt from top20 t join questions q using (query_id) join documents d using (doc_id)), p as (select query_id, doc_id, round(len(list_filter(qt, lambda x: list_contains(dt, x)))::double / len(qt), 4) as p from t) select query_id, doc_id, case when p >= 0.5 then 'entailment' else 'other' end as label, greatest(p, 1 - p) as confidence from p")
 def r15(spark, d):
     from lexiflume.providers import nli
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lexiflume.functions import text as X
 from lexiflume.operators import bm25, generation, vectors
-from lexiflume.operators.bm25 import Bm25Index
+from lexiflume.plans.indexed import index
 from lexiflume.plans import retrieval
 from lexiflume.plans.function_queries import _C01, _markdown
 from lexiflume.plans.relation_queries import _JUDGED, judged
@@ -242,17 +242,23 @@ def r18(spark, d):
     return spark.createDataFrame(rows, "name string, outcome string")
 
 
-@query("R19", f"with {bm25.RANKED} select count(distinct query_id) as queries, 'ValueError' as unknown from hits")
+@query("R19", f"with {QUESTIONS} select s.name, count(*) as queries, 'ValueError' as unknown from questions cross join (values ('filter_rerank'), ('rag_fusion')) s(name) where query_id in (select vec_id from embeddings) and exists (select 1 from embeddings join documents on doc_id = vec_id) group by 1")
 def r19(spark, d):
-    found = retrieval.strategy("rag_fusion")(Bm25Index.stored(spark, f"{d}/documents.parquet"), questions(spark, d), top_k=3)
+    """Each strategy by its name answers the questions that have a vector."""
     try:
         unknown = str(retrieval.strategy("none"))
     except ValueError:
         unknown = "ValueError"
-    return found.agg(F.countDistinct("query_id").alias("queries"), F.lit(unknown).alias("unknown"))
+    asked = questions(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id")), "query_id")
+    out = None
+    for name in sorted(retrieval.STRATEGIES):
+        r = retrieval.Retriever(index(spark, d), chunks(spark, d), table(spark, d, "embeddings"), advanced=name)
+        row = r.select(asked).agg(F.countDistinct("query_id").alias("queries")).select(F.lit(name).alias("name"), "queries", F.lit(unknown).alias("unknown"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@query("R25", "select * from (values ('advanced', 'filter_rerank'), ('advanced', 'rag_fusion'), ('pre', 'base'), ('pre', 'hyde'), ('post', 'base'), ('post', 'crag'), ('post', 'prompt_compression')) t(kind, name)")
+@query("R25", "select * from (values ('advanced', 'filter_rerank'), ('advanced', 'rag_fusion'), ('pre', 'base'), ('pre', 'hyde'), ('post', 'base'), ('post', 'crag'), ('post', 'filter_rerank'), ('post', 'prompt_compression')) t(kind, name)")
 def r25(spark, d):
     known = {"advanced": retrieval.STRATEGIES, "pre": retrieval.PREPROCESS, "post": retrieval.POSTPROCESS}
     return spark.createDataFrame([(kind, name) for kind, names in known.items() for name in sorted(names)], "kind string, name string")
@@ -318,7 +324,7 @@ def r24(spark, d):
 
 
 def _service(spark, d) -> Service:
-    r = retrieval.Retriever(Bm25Index.stored(spark, f"{d}/documents.parquet"), chunks(spark, d), table(spark, d, "embeddings"))
+    r = retrieval.Retriever(index(spark, d), chunks(spark, d), table(spark, d, "embeddings"))
     return Service(r, store.scratch_path(spark, "reports"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiflume.functions.metrics import let, token_f1
 from lexiflume.functions.text import tokens
@@ -37,14 +37,38 @@ def templates(query: Column, n: int = 4) -> Column:
     return F.slice(F.array(*[F.concat(F.lit(a), query, F.lit(b)) for a, b in (f.split("{}") for f in frames)]), 1, n)
 
 
+def yes_no(query: Column, text: Column) -> Column:
+    """Probabilities of the answers yes and no to "is the text relevant": its share of the query's tokens, and the rest. A text with none of
+    them gives neither answer."""
+    return let(lambda p: F.struct(p.alias("p_yes"), F.when(p > 0, 1 - p).otherwise(F.lit(0.0)).alias("p_no")), F.round(coverage(query, text), 4))
+
+
+def choose(query: Column, passages: Column) -> Column:
+    """Answer of a multiple-choice model: letters of the passages that share tokens with the query, best first."""
+    scored = F.transform(passages, lambda p, i: F.struct((-lexical_score(query, p)).alias("s"), i.alias("i")))
+    letters = F.transform(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), lambda x: F.concat(F.lit("("), F.char(x["i"] + 65), F.lit(")")))
+    return F.concat(F.lit("Correct Answer: "), F.array_join(letters, ", "))
+
+
+def hypothetical(query: Column) -> Column:
+    """Stand-in for a passage that a model would write to answer the query."""
+    return F.concat(F.lit("The answer to this: "), query)
+
+
 @dataclass(frozen=True)
 class Providers:
-    """Functions of columns; ``available`` tells whether a remote one may be asked."""
+    """Functions of columns; ``available`` tells whether a remote one may be asked (R24). embed turns texts (id, text) into (id, embedding); external
+    gives hits (query_id, chunk_id, content, rank) of another source for queries (query_id, query)."""
 
     rerank: Callable[[Column, Column], Column] = lexical_score
     entail: Callable[[Column, Column], Column] = coverage
     expand: Callable[[Column], Column] = templates
     rewrite: Callable[[Column], Column] = field(default=lambda q: q)
+    yes_no: Callable[[Column, Column], Column] = yes_no
+    choose: Callable[[Column, Column], Column] = choose
+    hypothetical: Callable[[Column], Column] = hypothetical
+    embed: Callable[[DataFrame], DataFrame] | None = None
+    external: Callable[[DataFrame], DataFrame] | None = None
     available: Callable[[], bool] = field(default=lambda: True)
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexiflume.operators.vectors import unit
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; only a local session without one gets a folder of its own."""
@@ -59,6 +59,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def stored_for(spark: SparkSession, table: str, kind: str, save: Callable[[str], None], prepare: Callable | None = None, *more) -> str:
+    """The path of what save makes of a Parquet table, below the shared folder: found again by the names, sizes and times of the table's files, made when it
+    is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path))
+    known = (files, prepare and f"{prepare.__module__}.{prepare.__qualname__}", *more)
+    where = f"{shared_dir(spark)}/{kind}-{hashlib.sha256(repr(known).encode()).hexdigest()[:24]}"
+    if not exists(spark, where):
+        new = f"{where}-{uuid.uuid4().hex}"
+        save(new)
+        made, goal = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, where))
+        goals = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not goals.rename(made, goal):  # another driver was faster
+            goals.delete(made, True)
+    return where
+
+
 class VectorStore:
     """Chunks with unit vectors as Parquet."""
 
@@ -67,6 +85,8 @@ class VectorStore:
 
     def save(self, vectors: DataFrame) -> None:
         """vectors (vec_id, embedding); the unit vector is stored, so searches need no norms."""
+        from lexiflume.operators.vectors import unit
+
         vectors.withColumn("embedding", unit("embedding")).write.mode("overwrite").parquet(self.path)
 
     def is_available(self) -> bool:
@@ -86,7 +106,7 @@ def routed_search(local: VectorStore, remote: Callable[[DataFrame, int], DataFra
     if prefer_local:
         try:
             return nearest(queries, local.load(), k).withColumn("route", F.lit("local"))
-        except Exception:
+        except (FileNotFoundError, AnalysisException):
             pass  # the remote store answers
     return remote(queries, k).withColumn("route", F.lit("remote"))
 

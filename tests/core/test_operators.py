@@ -58,15 +58,18 @@ def test_filter_relaxes_per_query(spark):
 
 def test_context_cuts_the_block_that_goes_over(spark):
     df = spark.createDataFrame([(1, 1, "a" * 6), (1, 2, "b" * 6), (1, 3, "c" * 6)], "query_id long, position int, block string")
-    assert fusion.context(df, 10).first().context == "aaaaaa\n\nbb..."
-    assert fusion.context(df, 14).first().context == "aaaaaa\n\nbbbbbb"
+    assert fusion.context(df, 13, "..").first().context == "aaaaaa\n\nbbb.."
+    assert fusion.context(df, 10, "..").first().context == "aaaaaa"  # the marker alone would not say anything
+    assert fusion.context(df, 14, "..").first().context == "aaaaaa\n\nbbbbbb"
+    assert len(fusion.context(df.withColumn("block", F.repeat("block", F.lit(9))), 60).first().context) == 54
+    assert fusion.context(df.withColumn("block", F.repeat("block", F.lit(9))), 80).first().context == "a" * 54 + "\n\n" + "b" * 11 + fusion.CUT
 
 
 def test_crag_branches(spark):
     hits = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.5), (2, "a", 1, 0.5), (2, "b", 2, 0.1), (3, "a", 1, 0.1)], "query_id long, chunk_id string, rank int, p double")
     outside = spark.createDataFrame([(q, f"x{i}", i) for q in (1, 2, 3) for i in (1, 2, 3, 4)], "query_id long, chunk_id string, rank int")
     got = sorted((x.query_id, x.chunk_id) for x in correction.crag(hits, outside).collect())
-    assert got == [(1, "a"), (2, "a"), (2, "x1"), (2, "x2"), (2, "x3"), (3, "x1"), (3, "x2"), (3, "x3")]
+    assert got == [(1, "a"), (1, "b"), (2, "a"), (2, "x1"), (2, "x2"), (2, "x3"), (3, "x1"), (3, "x2"), (3, "x3")]
 
 
 def test_markdown_headers(spark):
@@ -123,14 +126,6 @@ def test_strategies_and_methods():
         retrieval.checked_methods(None, ["nope"], [])
 
 
-def test_chain_keeps_rows_on_error(spark):
-    df = spark.range(3)
-    bad = lambda x: x.select("nothing")
-    assert retrieval.chain(df, [bad], on_error="keep").count() == 3
-    with pytest.raises(Exception, match="nothing"):
-        retrieval.chain(df, [bad])
-
-
 def test_catalog_and_vector_store(spark, tmp_path):
     c = store.Catalog()
     c.register("vector", spark.range(3))
