@@ -4,7 +4,8 @@ Items and windows are bags of five-word shingles (an item with fewer words is on
 64-bit fingerprint is looked up in four tables, one for each block of 16 bits, which hold every value within RADIUS // 4 bits of an
 item's block: two fingerprints within RADIUS bits agree within RADIUS // 4 in some block, so none is missed. Candidates
 are verified by weighted similarity: sum of w * min(counts) over sum of w * max(counts), where an item's shingle weighs
-1 / (different items that hold it), any other 1: repeats of an item change nothing. A document shorter than an item is one window as a whole. Windows without any shingle of an item have similarity 0 with it and are
+1 / (different items that hold it), any other 1: repeats of an item change nothing. Where the same sums with all weights 1 give more, that counts, so
+a template that many items share hides no near copy of one of them. A document shorter than an item is one window as a whole. Windows without any shingle of an item have similarity 0 with it and are
 not fingerprinted, which loses nothing.
 
 Benchmarks are broadcast in blocks of ITEM_WORDS words, one pass over the documents for each block, so any size of
@@ -88,13 +89,13 @@ class Index:
 
 
 def similarity(window: np.ndarray, item: dict) -> float:
-    """Weighted: window is its shingles, item has sorted distinct shingles, counts and weights."""
+    """The greater of the weighted and the plain one: window is its shingles, item has sorted distinct shingles, counts and weights."""
     got, counts = np.unique(window, return_counts=True)
     at = np.minimum(np.searchsorted(got, item["keys"]), len(got) - 1)
     mine = np.where(got[at] == item["keys"], counts[at], 0)
     shared = mine.sum()
-    upper = (item["weights"] * np.maximum(mine, item["counts"])).sum() + (len(window) - shared)
-    return float((item["weights"] * np.minimum(mine, item["counts"])).sum() / upper)
+    low, high, other = np.minimum(mine, item["counts"]), np.maximum(mine, item["counts"]), len(window) - shared
+    return max(float((item["weights"] * low).sum() / ((item["weights"] * high).sum() + other)), float(low.sum() / (high.sum() + other)))
 
 
 class Flat:

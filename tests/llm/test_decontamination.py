@@ -11,7 +11,7 @@ def cut(text, k):
 
 
 def brute(docs, items):
-    """Best window of each item over all windows, by plain weighted similarity."""
+    """Best window of each item over all windows, by the greater of weighted and unweighted similarity."""
     bags = []
     for item, text in items:
         w = (text or "").encode().lower().split()
@@ -30,13 +30,15 @@ def brute(docs, items):
             best = None
             for start in range(len(words) - n + 1):
                 window = mine[start : start + len(grams)]
-                low = high = 0
+                low = high = some = every = 0
                 for g in set(window) | set(grams):
                     a, b = window.count(g), grams.count(g)
                     weight = 1 / df[g] if g in grams else 1
                     low, high = low + weight * min(a, b), high + weight * max(a, b)
-                if low / high >= 0.8 - 1e-12 and (best is None or low / high > best[0] + 1e-12):
-                    best = (low / high, start)
+                    some, every = some + min(a, b), every + max(a, b)
+                s = max(low / high, some / every)
+                if s >= 0.8 - 1e-12 and (best is None or s > best[0] + 1e-12):
+                    best = (s, start)
             if best:
                 out.append((doc, item, round(best[0], 9), best[1], n))
     return sorted(out, key=str)
@@ -119,6 +121,18 @@ def test_repeated_items_hide_no_finds(spark):
         assert [x.doc_id for x in d.drop_contaminated(a, b).collect()] == [2]
 
 
+def test_items_on_one_template_hide_no_near_finds(spark):
+    """45 of 60 words are the template's; one of these is changed in the copies."""
+    template = [f"t{i}" for i in range(45)]
+    for n in (1, 2, 5, 20):
+        items = [[*template[:20], *[f"i{j}x{k}" for k in range(15)], *template[20:]] for j in range(n)]
+        docs = [(j, " ".join(["before", *items[j][:50], "changed", *items[j][51:], "after"])) for j in range(n)] + [(100, " ".join(template)), (101, " ".join([*template[:20], *[f"other{k}" for k in range(15)], *template[20:]]))]
+        a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+        got = sorted((x.doc_id, x.item_id, round(x.similarity, 9)) for x in d.contaminations(a, b).collect())
+        assert got == [(j, j, round(51 / 61, 9)) for j in range(n)]
+        assert sorted(x.doc_id for x in d.drop_contaminated(a, b).collect()) == [100, 101]
+
+
 def test_near_values_of_items_or_of_windows_find_the_same():
     r = np.random.default_rng(5)
     prints = r.integers(0, 2**63, 300, np.uint64)
