@@ -2,16 +2,18 @@
 
 Texts become lower-case words joined by single spaces. A notice with at most k edits, cut into k + 1 pieces, must hold
 one piece unchanged, so one pass of an Aho-Corasick automaton over all pieces finds every candidate place; there the
-regex library's bounded-error matching decides, counts edits and gives the span. Words that tell one license from
-another (EXACT) bear no edit. Each place is matched on its own, so notices that follow each other are all found.
+regex library's bounded-error matching decides, counts edits and gives the span. In each notice the words that name its license, and those that tell it from a
+notice of another license so near that edits could turn one into the other, bear no edit; and the other notice's may not stand in the span. All other words
+may be misspelt, missing or added. Each place is matched on its own, so notices that follow each other are all found.
 
 Null and empty texts have no words and no finds. Every row gives one row, so repeated rows repeat and an empty table gives
-none; columns other than id and text are ignored, whatever their names. Of overlapping finds the one with the smallest share of edits
-stands, then the longer one, then the earlier one. Time grows with a text's length, however often it repeats a notice.
+none; columns other than id and text are ignored, whatever their names. A find of a notice that is part of a longer one gives way to a find of
+that one; of other overlapping finds the one with the smallest share of edits stands, then the longer one, then the earlier one. Time grows with a text's length, however often it repeats a notice.
 """
 
 from __future__ import annotations
 
+import difflib
 import functools
 import re
 from bisect import bisect_left, bisect_right, insort
@@ -52,11 +54,19 @@ NOTICES = {
     "licensed under a creative commons attribution noderivatives": "cc-by-nd",
 }
 
-#: Short names with their versions, as whole words: all of them are EXACT.
-NAMES = {f"cc {kind} {major} {minor}": f"cc-{kind.replace(' ', '-')}" for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for major, minor in ("10", "20", "25", "30", "40")} | {"cc0 1 0": "cc0", "mpl 2 0": "mpl"}
+# Short names of licenses and their versions, as whole words without any edit; the identifiers behind SPDX tags.
+_GNU = ("gpl", "lgpl", "agpl")
+SPDX = {"mit": "mit", "apache 2 0": "apache", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "mpl 2 0": "mpl", "epl 2 0": "epl", "isc": "isc", "unlicense": "unlicense", "cc0 1 0": "cc0"}
+NAMES = (
+    {f"cc {kind} {version}": f"cc-{kind.replace(' ', '-')}" for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for version in ("1 0", "2 0", "2 5", "3 0", "4 0", "3", "4")}
+    | {"cc0 1 0": "cc0", "mpl 2 0": "mpl"}
+    | {f"{name} {version}": name for name in _GNU for version in ("v2", "v3", "version 2", "version 3")}
+    | {f"gnu {name}": name for name in _GNU}
+    | {f"spdx license identifier {tag}": label for tag, label in SPDX.items()}
+)
 
-# Words that tell licenses apart.
-EXACT = frozenset("mit bsd mpl cc cc0 by sa nc nd lesser affero 0 1 2 3 4 5".split())
+# Words that name a license wherever a notice has them, and the parts of cc names.
+NAMING, CC_PARTS = frozenset("mit bsd mpl cc cc0 lesser affero".split()), frozenset("by sa nc nd".split())
 
 ALL = tuple((NOTICES | NAMES).items())
 
@@ -70,26 +80,59 @@ def edits_allowed(notice: str) -> int:
     return min(4, len(notice) // 12)
 
 
+def _differences(a: list[str], b: list[str]) -> tuple[int, set[str], set[str]]:
+    """How many characters turn the words a into words within b, about; and which words only one of them has there."""
+    cost, mine, others = 0, set(), set()
+    steps = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    for kind, i, j, k, m in steps:
+        outside = i == j and (i == 0 or i == len(a))  # what b has before and after
+        if kind != "equal" and not outside:
+            cost += max(len(" ".join(a[i:j])), len(" ".join(b[k:m])))
+            mine, others = mine | set(a[i:j]), others | set(b[k:m])
+    return cost, mine, others
+
+
+@functools.cache
+def marks(notices: tuple[tuple[str, str], ...]) -> list[tuple[list[str], frozenset[str]]]:
+    """Of each notice: its words that bear no edit, in order, and all words that count when a span is held against these."""
+    out = []
+    for notice, label in notices:
+        words = notice.split()
+        if notice in NAMES:
+            out.append((words, frozenset(words) | CC_PARTS))
+            continue
+        own, others = NAMING & set(words), set()
+        if "cc" in words:
+            own, others = own | CC_PARTS & set(words), others | CC_PARTS
+        for other, its in notices:
+            if its != label and other not in NAMES:
+                cost, mine, theirs = _differences(words, other.split())
+                if cost <= max(edits_allowed(notice), edits_allowed(other)):
+                    own, others = own | mine, others | theirs
+        out.append(([w for w in words if w in own], frozenset(own | others - set(words))))
+    return out
+
+
 @functools.cache
 def _search(notices: tuple[tuple[str, str], ...]):
-    seeds, patterns, exact = ahocorasick.Automaton(), [], []
+    seeds, patterns = ahocorasick.Automaton(), []
     places: dict[str, list[tuple[int, int]]] = {}
     for at, (notice, _) in enumerate(notices):
         k = edits_allowed(notice)
         patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
-        exact.append([w for w in notice.split() if w in EXACT])
         cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             places.setdefault(notice[a:b], []).append((at, a))
     for piece, where in places.items():
         seeds.add_word(piece, (len(piece), where))
     seeds.make_automaton()
-    return seeds, patterns, exact
+    return seeds, patterns, marks(notices)
 
 
-def _whole(words: list[str], exact: list[str]) -> bool:
-    """The words hold the exact ones in their order, and no other exact ones."""
-    return [w for w in words if w in EXACT] == exact
+@functools.cache
+def _longer(notices: tuple[tuple[str, str], ...]) -> list[list[int]]:
+    """Of each notice the others that hold it."""
+    return [[j for j, (other, _) in enumerate(notices) if notice != other and notice in other] for notice, _ in notices]
 
 
 def fuzzy_places(joined: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, int, int]]:
@@ -110,14 +153,31 @@ def fuzzy_places(joined: str, notices: tuple[tuple[str, str], ...]) -> list[tupl
             window = joined[a:b]
             if (at, window) not in known:
                 # An edit spoils one word at most, so all others stand in the window.
-                hope = sum(w in window for w in words) >= len(words) - k and all(w in window for w in exact[at])
+                hope = sum(w in window for w in words) >= len(words) - k and all(w in window for w in exact[at][0])
                 m = patterns[at].search(window) if hope else None
                 known[at, window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
             if got := known[at, window]:
                 s, e = a + got[0], a + got[1]
                 left, right = joined.rfind(" ", 0, s + (joined[s] == " ")) + 1, joined.find(" ", e - (joined[e - 1] == " "))
-                if _whole(joined[left : right if right >= 0 else len(joined)].split(), exact[at]):
+                unedited, counting = exact[at]
+                if [w for w in joined[left : right if right >= 0 else len(joined)].split() if w in counting] == unedited:
                     found.add((at, s, e, got[2]))
+    # A notice that begins or ends within a longer one gives way to it.
+    by_notice: dict[int, list[tuple[int, int]]] = {}
+    for at, s, e, _ in found:
+        by_notice.setdefault(at, []).append((s, e))
+    for spans in by_notice.values():
+        spans.sort()
+
+    def within(at: int, s: int, e: int) -> bool:
+        for longer in _longer(notices)[at]:
+            spans = by_notice.get(longer, ())
+            i = bisect_right(spans, (s, len(joined)))
+            if i and spans[i - 1][1] >= e:
+                return True
+        return False
+
+    found = {x for x in found if not within(*x[:3])}
     # Of notices that overlap, the one with the smallest share of edits stands; then the longer one.
     kept: list[tuple[int, int, int, int]] = []  # by start; none overlap
     for at, s, e, edits in sorted(found, key=lambda x: (x[3] / len(notices[x[0]][0]), x[1] - x[2], x[1], x[0])):

@@ -1,6 +1,7 @@
+import random
 import re
 
-from lexiflume.llm.license_scan import NOTICES, edits_allowed, license_scan, scan_text
+from lexiflume.llm.license_scan import ALL, NAMES, NOTICES, edits_allowed, license_scan, marks, scan_text
 
 
 def plain(text):
@@ -48,6 +49,56 @@ def test_words_that_tell_licenses_apart_bear_no_edit():
     assert labels("licensed under the gnu general public licence version") == "gpl"
 
 
+def test_words_that_separate_nothing_may_be_edited():
+    labels = lambda t: scan_text(t)["labels"]
+    assert "lgpl" in labels("under the terms of the GNU Lesser General Public License as published be the Free Software Foundation")
+    assert labels("licensed under the Mozilla Public License, Version 2") == "mpl"
+    assert labels("Permission to use, copy, modify, and/or by distribute this software for any purpose") == "isc"
+    assert labels("under GPL v3") == labels("the GNU GPL") == labels("SPDX-License-Identifier: GPL-3.0-or-later") == "gpl"
+    assert labels("CC-BY-SA-4") == "cc-by-sa" and labels("SPDX-License-Identifier: MIT") == "mit"
+    for at, (notice, label) in enumerate(ALL):
+        if notice in NAMES:
+            continue
+        words, (exact, _) = notice.split(), marks(ALL)[at]
+        for i, w in enumerate(words):
+            if w not in exact:
+                for other in (w[1:], w + "q", "q" + w[1:]):
+                    assert label in labels(" ".join(["before", *words[:i], *([other] if other else []), *words[i + 1 :], "after"])).split(","), (notice, w, other)
+
+
+def least_edits(notice, text):
+    """Fewest edits that turn the notice into some part of the text (Sellers)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        above, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (c != t)))
+    return min(row)
+
+
+def test_fuzzy_finds_against_a_plain_edit_distance_scan():
+    """A notice within its edits is found wherever the words that bear none stand; beyond them it is not."""
+    r, near, far = random.Random(11), 0, 0
+    for _ in range(150):
+        at = r.randrange(len(NOTICES))
+        notice, label = ALL[at]
+        chars = list(notice)
+        for _ in range(r.randint(0, edits_allowed(notice) + 2)):
+            i = r.randrange(len(chars))
+            chars[i : i + r.randint(0, 1)] = r.choice(["", "q", "z"])
+        changed = " ".join("".join(chars).split())
+        text, exact = f"some words {changed} more words", marks(ALL)[at][0]
+        edits = least_edits(notice, text)
+        found = label in scan_text(text)["labels"].split(",")
+        if edits <= edits_allowed(notice) and [w for w in changed.split() if w in exact] == exact:
+            near += 1
+            assert found, text
+        elif all(least_edits(n, text) > edits_allowed(n) for n, x in ALL if x == label):
+            far += 1
+            assert not found or label in scan_text(text)["base_labels"], text
+    assert near > 50 and far > 10
+
+
 def test_adjacent_notices_are_all_found():
     got = scan_text("licensd undr the apache license version 2 0 licensed under the apache license version 2 0")["spans"]
     assert got == "apache:0:43:2,apache:44:89:0"
