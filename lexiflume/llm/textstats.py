@@ -64,6 +64,6 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, folds: int, b
     of several texts of an id the least is taken."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
     rate = min(1.0, bound / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))).groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y")).limit(2 * bound)
+    picked = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(int(rate * (1 << 62)))).groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y")).limit(2 * bound)
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
