@@ -177,7 +177,7 @@ def j11(spark, d):
     return similarity_stats(q, e, others_only=True).select("query_id", "n", F.round("best", 4).alias("best"))
 
 
-for _name in ("J12", "G03"):
+for _name in ("J12",):
 
     @query(_name, "select doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l using (doc_id) union all select -1, 5")
     def j12(spark, d):
