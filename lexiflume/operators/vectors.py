@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexiflume.operators.topk import CELLS, Best
@@ -373,13 +374,81 @@ def pooled(token_vectors: DataFrame, how: str = "average", normalise: bool = Fal
     return out.select("doc_id", unit("embedding").alias("embedding")) if normalise else out
 
 
+#: Positions of a document whose running sums one task makes.
+RUN = 4096
+
+
+def _running(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, block, pos, kind, span, edge, embedding), sorted by (doc_id, block, pos, kind), to running sums within each block: one for each mark (kind 0: the sum of the
+    vectors before it), and one for the whole block, without a span. The state is one vector."""
+    now, total, n, out = None, None, 0, []
+
+    def closed():
+        if now is not None and n:
+            out.append((now[0], now[1], None, None, n, total.tolist()))
+
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in ("doc_id", "block", "kind", "span", "edge")]
+        vectors, flat = b.column("embedding"), None
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+        for i, (doc, block, kind, span, edge) in enumerate(zip(*columns, strict=True)):
+            if now != (doc, block):
+                closed()
+                now, total, n = (doc, block), None, 0
+            if kind:
+                v = flat[ends[i - 1] if i else 0 : ends[i]]
+                total, n = v.copy() if total is None else total + v, n + 1
+            else:
+                out.append((doc, block, span, edge, n, None if total is None else total.tolist()))
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "block", "span", "edge", "n", "total"), r, strict=True)) for r in out], schema=_RUNNING)
+            out.clear()
+    closed()
+    if out:
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "block", "span", "edge", "n", "total"), r, strict=True)) for r in out], schema=_RUNNING)
+
+
+def _carried(batches) -> Iterator[pa.RecordBatch]:
+    """The same sums, sorted by (doc_id, block, marks first), with those of the document's blocks before added; marks only."""
+    doc, total, n = object(), None, 0
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if r["doc_id"] != doc:
+                doc, total, n = r["doc_id"], None, 0
+            own = None if r["total"] is None else np.array(r["total"])
+            both = own if total is None else total if own is None else total + own
+            if r["edge"] is None:
+                total, n = both, n + r["n"]
+            else:
+                out.append(r | {"n": n + r["n"], "total": None if both is None else both.tolist()})
+        yield pa.RecordBatch.from_pylist(out, schema=_RUNNING)
+
+
+_RUNNING = pa.schema([("doc_id", pa.string()), ("block", pa.int64()), ("span", pa.string()), ("edge", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+
 def pooled_spans(token_vectors: DataFrame, spans: DataFrame, max_length: int | None = None) -> DataFrame:
     """Late chunking: the unit mean of the token vectors (doc_id, pos, embedding) in each span (doc_id, span, start,
-    end), end exclusive and clipped to max_length - 1; spans without tokens give no row."""
+    end), end exclusive and clipped to max_length - 1; spans without tokens give no row. Spans may overlap, and repeat.
+
+    A span's sum is the difference of two running sums, so each token is read once, however many spans hold it. Running sums are made for blocks of RUN positions
+    by tasks of their own, then a document's blocks, one vector each, are added up in order. Token vectors are shuffled once."""
+    key, name = spans.schema["doc_id"].dataType.simpleString(), spans.schema["span"].dataType.simpleString()
     end = F.least(F.col("end"), F.lit(max_length - 1)) if max_length else F.col("end")
-    inside = spans.join(token_vectors, "doc_id").where((F.col("pos") >= F.col("start")) & (F.col("pos") < end))
-    cells = inside.select("doc_id", "span", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "span", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return _collected(cells, "doc_id", "span").select("doc_id", "span", unit("embedding").alias("embedding"))
+    marked = spans.where(F.col("start") < end).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("span").cast("string").alias("span"), F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(0).alias("edge")), F.struct(end.cast("long").alias("pos"), F.lit(1).alias("edge")))).alias("m"))
+    marked = marked.select("doc_id", "span", "m.pos", "m.edge", F.lit(0).alias("kind"), F.lit(None).cast("array<double>").alias("embedding"))
+    tokens = token_vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("span"), F.col("pos").cast("long").alias("pos"), F.lit(None).cast("int").alias("edge"), F.lit(1).alias("kind"), as_double("embedding").alias("embedding"))
+    both = marked.unionByName(tokens).withColumn("block", F.floor(F.col("pos") / RUN).cast("long"))
+    schema = "doc_id string, block long, span string, edge int, n long, total array<double>"
+    within = both.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "pos", "kind").select("doc_id", "block", "kind", "span", "edge", "embedding").mapInArrow(_running, schema)
+    sums = within.repartition("doc_id").sortWithinPartitions("doc_id", "block", F.col("edge").isNull()).mapInArrow(_carried, schema)
+    ends = sums.groupBy("doc_id", "span").agg(*[F.max(F.when(F.col("edge") == e, F.struct("n", "total"))).alias(c) for e, c in ((0, "a"), (1, "z"))])
+    zero = F.transform("z.total", lambda x: F.lit(0.0))
+    mean = F.zip_with("z.total", F.coalesce("a.total", zero), lambda z, a: (z - a) / (F.col("z.n") - F.col("a.n")))
+    out = ends.where("z.n > a.n").select(F.col("doc_id").cast(key).alias("doc_id"), F.col("span").cast(name).alias("span"), mean.alias("embedding"))
+    return out.select("doc_id", "span", unit("embedding").alias("embedding"))
 
 
 def late_ingest(chunks: DataFrame, embed_tokens, budget: int = 8192, group: str = "source", order: str = "doc_id") -> DataFrame:
@@ -395,10 +464,5 @@ def late_ingest(chunks: DataFrame, embed_tokens, budget: int = 8192, group: str
     spans = packed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("n_tokens"))
     pieces = embed_tokens(spans.select("batch_id", "start", "chunk_id", "n_tokens"))
     wanted = spans.select(F.col("batch_id").alias("doc_id"), F.col("chunk_id").alias("span"), "start", "end")
-    # The spans of a batch do not overlap: each token finds its span by counting starts, not by a range join.
-    marks = wanted.select("doc_id", F.col("start").alias("pos"), "span", F.lit(0).alias("kind")).unionByName(pieces.select("doc_id", "pos", F.lit(1).alias("kind"), "embedding"), allowMissingColumns=True)
-    upto = Window.partitionBy("doc_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inside = marks.withColumn("span", F.last("span", True).over(upto)).where("kind = 1 and span is not null")
-    cells = inside.select("span", F.posexplode("embedding").alias("i", "x")).groupBy("span", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vectors = _collected(cells, "span").select(F.col("span").alias("chunk_id"), unit("embedding").alias("embedding"))
+    vectors = pooled_spans(pieces, wanted).select(F.col("span").alias("chunk_id"), "embedding")
     return spans.select("chunk_id", "batch_id", "start", "end").join(vectors, "chunk_id")

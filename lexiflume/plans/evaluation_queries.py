@@ -9,6 +9,8 @@ from lexiflume.operators import bm25, evaluation as E
 from lexiflume.plans.indexed import index
 from lexiflume.plans.relation_queries import _JUDGED, judged
 from lexiflume.registered import query
+from lexiflume.sources import store
+from lexiflume.sources.reports import fingerprint, resumable
 from lexiflume.sources.tables import CHUNKS, QUESTIONS, chunks, questions, table
 from lexiflume.streaming.incremental import latest
 
@@ -169,12 +171,49 @@ select k, round(avg(dcg / ideal), 4) as ndcg, round(avg(ap / n_rel), 4) as map,
 
 
 # Reports and increments over the event log: user_id stands for a case, ts for the time of writing.
-for _name in ("S23",):
+# Sessions: documents stand for them. Their configurations have the sixteen settings that count; lists in any order, nulls and empty texts alike.
+_CONFIG = """to_json({{'eval_file': lang || '.json', 'retriever_mode': 'hybrid', 'advanced_method': case when {0} % 2 = 0 then '' end, 'preprocessing': case when {0} % 3 = 0 then ['b', 'a'] else ['a', 'b'] end, 'postprocessing': ['crag'], 'llm_service': 'x', 'llm_model': source,
+    'sub_llm_service': null, 'sub_llm_model': '', 'ragas_service': 'judge' || ({0} % 4), 'skip_ragas': {0} % 8 < 6, 'limit': 10, 'random_sample': false, 'seed': 42, 'top_k': 5, 'collection_name': 'c', 'noise': {0}}})"""
+_SPARK_CONFIG = """to_json(named_struct('eval_file', concat(lang, '.json'), 'retriever_mode', 'hybrid', 'advanced_method', case when {0} % 2 = 0 then '' end, 'preprocessing', case when {0} % 3 = 0 then array('b', 'a') else array('a', 'b') end, 'postprocessing', array('crag'), 'llm_service', 'x', 'llm_model', source,
+    'sub_llm_service', cast(null as string), 'sub_llm_model', '', 'ragas_service', concat('judge', {0} % 4), 'skip_ragas', {0} % 8 < 6, 'limit', 10, 'random_sample', false, 'seed', 42, 'top_k', 5, 'collection_name', 'c', 'noise', {0}))"""
 
-    @query(_name, "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
-    def s23(spark, d):
-        rows = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-        return latest(rows, "user_id", "at").select("user_id", "event_id", "value")
+
+def _sessions(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id as session", "n_chars as written", "concat(lang, '_', source) as signature", f"{_SPARK_CONFIG.format('doc_id')} as config", "cast(doc_id % 5 as bigint) as n_done")
+
+
+@query("J15", "select lang, source, case when doc_id % 8 < 6 then '' else 'judge' || (doc_id % 4) end as judge, doc_id % 8 < 6 as skipped, count(*) as sessions from documents group by all")
+def j15(spark, d):
+    """Sessions of one critical configuration, counted by its fingerprint."""
+    s = _sessions(spark, d).withColumn("print", fingerprint(F.parse_json("config")))
+    same = s.groupBy("print").agg(F.count("*").alias("sessions"), F.min("session").alias("doc_id"))
+    skipped = F.col("doc_id") % 8 < 6
+    return same.join(table(spark, d, "documents"), "doc_id").select("lang", "source", F.when(skipped, "").otherwise(F.concat(F.lit("judge"), F.col("doc_id") % 4)).alias("judge"), skipped.alias("skipped"), "sessions")
+
+
+@query("T02", f"""with s as (select doc_id as session, n_chars as written, lang || '_' || source as signature, lang || source || case when doc_id % 8 < 6 then '' else cast(doc_id % 4 as varchar) end || (doc_id % 8 < 6) as fp, doc_id % 5 as n_done from documents),
+o as (select * from (select *, row_number() over (order by written desc, session) as age, row_number() over (partition by signature order by written desc, session desc) as own from s)),
+r as (select doc_id as run, lang || '_' || source as asked, lang || source || case when doc_id % 8 < 6 then '' else cast(doc_id % 4 as varchar) end || (doc_id % 8 < 6) as fp from documents),
+m as (select run, session, case when signature = asked and own = 1 then 0 else age end as age from r join o using (fp) where n_done > 0 and (age <= 20 or signature = asked and own = 1))
+select run, min_by(session, age) as session from m group by run""")
+def t02(spark, d):
+    runs = table(spark, d, "documents").selectExpr("doc_id as run", "concat(lang, '_', source) as signature", f"{_SPARK_CONFIG.format('doc_id')} as config")
+    return resumable(_sessions(spark, d), runs)
+
+
+@query("S23", """with s as (select doc_id as session, n_chars as written, lang || '_' || source as signature from documents), w as (select distinct signature from s union all select 'none')
+select w.signature, coalesce((select max_by(session, (written, -session)) from s where s.signature = w.signature), (select max_by(session, (written, -session)) from s)) as session from w""")
+def s23(spark, d):
+    """The newest report of each signature, or of all where it has none."""
+    reports = _sessions(spark, d)
+    asked = reports.select("signature").distinct().unionByName(spark.createDataFrame([("none",)], "signature string"))
+    return store.latest_reports(reports, asked)
+
+
+@query("S23_users", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def s23_users(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return latest(rows, "user_id", "at").select("user_id", "event_id", "value")
 
 
 for _name in ("S22", "T03"):

@@ -137,7 +137,7 @@ def j03(spark, d):
     return table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "lang")
 
 
-for _name in ("J05", "T02"):
+for _name in ("J05",):
 
     @query(_name, "select doc_id from documents where doc_id not in (select doc_id from labels)")
     def j05(spark, d):
@@ -195,13 +195,6 @@ def j14(spark, d):
     return kept.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("item_id").alias("queries"))
 
 
-@query("J15", "select user_id, count(*) as n from events where coalesce(event_type, '') = 'signup' group by user_id having count(*) >= 1")
-def j15(spark, d):
-    session = F.struct(F.coalesce("event_type", F.lit("")).alias("t"), F.array_sort(F.array(F.lit("b"), F.lit("a"))).alias("l"))
-    wanted = F.struct(F.lit("signup").alias("t"), F.array(F.lit("a"), F.lit("b")).alias("l"))
-    return table(spark, d, "events").where(session.eqNullSafe(wanted)).groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 1")
-
-
 @query("A08", "select min(n_chars) as least, max(n_chars) as most, round(avg(n_chars), 4) as mean, min(doc_id) filter (n_chars = (select max(n_chars) from documents)) as longest from documents")
 def a08(spark, d):
     t = table(spark, d, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiflume.operators import graph
@@ -28,9 +30,7 @@ class GraphStore:
         return PartTable(self.spark, f"{self.path}/{name}").read()
 
     def _put(self, name: str, rows: DataFrame, key: str) -> None:
-        known = PartTable(self.spark, f"{self.path}/{name}")
-        n = len(known.versions()) and known.versions()[-1] + 1
-        known.upsert(rows.withColumn("_at", F.lit(n)), key, "_at")
+        PartTable(self.spark, f"{self.path}/{name}").upsert(rows.withColumn("_at", F.lit(time.time_ns())), key, "_at")
 
     def text_units(self, rows: DataFrame) -> None:
         self._put("TextUnit", rows.withColumn("id", F.col("id").cast("string")), "id")

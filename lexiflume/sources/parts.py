@@ -1,12 +1,13 @@
-"""A table of rows by key that batches are merged into: only touched parts are written anew, and readers see whole versions."""
+"""A table of rows by key that batches are merged into: Spark's dynamic partition overwrite replaces the touched parts only."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-PARTS = 32
+from lexiflume.sources.store import kept
+
+#: Rows of the first batch for each part, and the most parts a table gets.
+ROWS, MOST = 50_000, 4096
 _PART = "_part"
 
 
@@ -16,55 +17,38 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class PartTable:
-    """Rows lie in PARTS parts by the hash of their key. A version's manifest names the folder of each part; the manifest is written
-    last, so a version without one does not exist. A batch that is run again writes the same version again."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, where: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        root, fs = self._fs(f"{self.path}/manifest")
-        if not fs.exists(root):
-            return []
-        numbers = [int(s.getPath().getName()) for s in fs.listStatus(root)]
-        return sorted(n for n in numbers if fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[0]))
-
-    def _manifest(self, n: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{n}").first().value)
-
-    def read(self, version: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
-        """The newest version, or an earlier one; None if there is none."""
-        known = self.versions()
-        if not known:
-            return None
-        m = self._manifest(known[-1] if version is None else version)
-        found = [f"{self.path}/data/{v}/{_PART}={p}" for p, v in m["parts"].items() if parts is None or int(p) in parts]
-        from pyspark.sql.types import StructType
-
-        schema = StructType.fromJson(m["schema"])
-        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
-
-    def upsert(self, batch: DataFrame, key: str, order: str, version: int | None = None) -> None:
-        """The row with the greatest order counts for each key."""
-        before = [v for v in self.versions() if version is None or v < version]
-        n = version if version is not None else (before[-1] + 1 if before else 0)
-        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
-        old = self._manifest(before[-1])["parts"] if before else {}
-        touched = sorted(r.p for r in batch.select(part.alias("p")).distinct().collect())  # PARTS at most
-        rows = batch
-        if before and touched:
-            rows = self.read(before[-1], touched).unionByName(batch, allowMissingColumns=True)
-        latest(rows, key, order).withColumn(_PART, part).repartition(_PART).write.mode("overwrite").partitionBy(_PART).parquet(f"{self.path}/data/{n}")
-        manifest = json.dumps({"parts": old | {str(p): n for p in touched}, "schema": rows.schema.jsonValue()})
-        self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{n}")
-        # Readers of the version before may still be at work; older ones go.
-        if len(before) > 1:
-            used = {v for m in (before[-1], n) for v in self._manifest(m)["parts"].values()}
-            for v in before[:-1]:
-                for where in [f"{self.path}/manifest/{v}"] + ([] if v in used else [f"{self.path}/data/{v}"]):
-                    path, fs = self._fs(where)
-                    fs.delete(path, True)
+    """Rows lie in parts by the hash of their key, as many as the first batch asks for (or n_parts); the folder's name tells. A batch that is merged again after a
+    failure leaves the same rows, as the greatest order counts."""
+
+    def __init__(self, spark: SparkSession, path: str, n_parts: int | None = None):
+        self.spark, self.path, self.n_parts = spark, path.rstrip("/"), n_parts
+
+    def _found(self) -> tuple[str, int] | None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+        sizes = [int(n.removeprefix("parts-")) for n in names if n.startswith("parts-")]
+        return (f"{self.path}/parts-{sizes[0]}", sizes[0]) if sizes else None
+
+    def read(self) -> DataFrame | None:
+        """All rows; None if there is no table yet."""
+        found = self._found()
+        return found and self.spark.read.option("mergeSchema", True).parquet(found[0]).drop(_PART)
+
+    def upsert(self, batch: DataFrame, key: str, order: str) -> None:
+        """The row with the greatest order counts for each key. New columns are null in earlier rows."""
+        found = self._found()
+        if not found:
+            n = self.n_parts or max(8, min(MOST, -(-batch.count() // ROWS)))
+            found = f"{self.path}/parts-{n}", n
+            rows = batch
+        else:
+            part = F.pmod(F.xxhash64(key), F.lit(found[1])).cast("int")
+            touched = [r.p for r in batch.select(part.alias("p")).distinct().collect()]  # MOST at most
+            if not touched:
+                return
+            old = self.spark.read.option("mergeSchema", True).parquet(found[0]).where(F.col(_PART).isin(touched)).drop(_PART)
+            rows = old.unionByName(batch, allowMissingColumns=True)
+        merged = latest(rows, key, order).withColumn(_PART, F.pmod(F.xxhash64(key), F.lit(found[1])).cast("int"))
+        merged = kept(merged)  # the parts are read before they are replaced
+        merged.repartition(_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PART).parquet(found[0])

@@ -137,10 +137,13 @@ def eval_cases(files: DataFrame, types: list[str] | None = None, limit: int | No
     return out
 
 
-def latest_report(reports: DataFrame, signature: str | None = None) -> DataFrame:
-    """reports (signature, written, ...): the newest with the signature, else the newest of all."""
-    wanted = (F.col("signature") == signature) if signature else F.lit(False)
-    return reports.orderBy(F.desc(wanted), F.desc("written")).limit(1)
+def latest_reports(reports: DataFrame, asked: DataFrame) -> DataFrame:
+    """reports (session, signature, written, ...) and asked (signature): of each signature asked for the newest report that has it, else the newest of all (S23);
+    of those written at one time the least session."""
+    age = F.struct("written", (-F.col("session")).alias("s"))
+    own = reports.groupBy("signature").agg(F.max_by("session", age).alias("own"))
+    newest = reports.agg(F.max_by("session", age).alias("newest"))  # one row
+    return asked.join(own, "signature", "left").crossJoin(F.broadcast(newest)).select("signature", F.coalesce("own", "newest").alias("session"))
 
 
 @dataclass

@@ -54,14 +54,46 @@ def test_nearest_passes_over_null_and_odd_vectors(spark):
 
 
 def test_parts_are_written_where_touched_only(spark, tmp_path):
-    t = PartTable(spark, f"file://{tmp_path}/t")
+    t = PartTable(spark, f"file://{tmp_path}/t", 16)
     assert t.read() is None
-    t.upsert(spark.createDataFrame([(i, 1, f"a{i}") for i in range(50)], "id long, at int, v string"), "id", "at")
-    t.upsert(spark.createDataFrame([(3, 2, "b"), (99, 2, "new"), (7, 0, "old")], "id long, at int, v string"), "id", "at")
-    assert {x.id: x.v for x in t.read().collect()} == {i: f"a{i}" for i in range(50)} | {3: "b", 99: "new"}
-    assert len(list((tmp_path / "t/data/1").glob("_part=*"))) <= 3
-    (tmp_path / "t/manifest/5").mkdir()  # a version that was not finished
-    assert t.versions() == [0, 1] and t.read().count() == 51
+    t.upsert(spark.createDataFrame([(i, 1, f"a{i}") for i in range(200)], "id long, at int, v string"), "id", "at")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    batch = spark.createDataFrame([(3, 2, "b", 1.0), (999, 2, "new", None), (7, 0, "old", 2.0)], "id long, at int, v string, more double")
+    for _ in range(2):  # a batch that comes again changes nothing
+        t.upsert(batch, "id", "at")
+        assert {x.id: (x.v, x.more) for x in t.read().collect()} == {i: (f"a{i}", None) for i in range(200)} | {3: ("b", 1.0), 999: ("new", None)}
+    left = [f for f, at in before.items() if f.exists() and f.stat().st_mtime_ns == at]
+    assert len(before) == 16 and len(left) >= 13
+
+
+def test_state_of_a_stream_survives_a_failure_and_grows_by_its_changes(spark, tmp_path):
+    from lexiflume.streaming import incremental
+
+    schema, seen = "id long, at int, v string", []
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = f"file://{tmp_path}/out"
+    write([(i, 0, "x" * 50) for i in range(3000)])
+    incremental.run_upserts(spark, stream(), out, "id", "at")
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "out").rglob("*") if f.is_file())
+    first = size()
+    for n in range(1, 21):
+        write([(n, n, f"v{n}"), (n, -1, "late"), (5000 + n, n, "new")])
+
+    def fails(batch, n):
+        seen.append((n, sorted(x.id for x in batch.collect())))
+        if len(seen) == 8:
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        incremental.run_upserts(spark, stream(), out, "id", "at", fails)
+    incremental.run_upserts(spark, stream(), out, "id", "at", lambda batch, n: seen.append((n, sorted(x.id for x in batch.collect()))))
+    assert len({n for n, _ in seen}) == 20 and sum(len(ids) for _, ids in dict(seen).items()) == 40
+    want = {i: (0, "x" * 50) for i in range(3000)} | {n: (n, f"v{n}") for n in range(1, 21)} | {5000 + n: (n, "new") for n in range(1, 21)}
+    assert {x.id: (x["at"], x.v) for x in incremental.current(spark, out).collect()} == want
+    assert size() - first < 20 * first  # twenty batches together are no twenty copies of the state
+    with pytest.raises(FileNotFoundError):
+        incremental.current(spark, f"file://{tmp_path}/none")
 
 
 def test_retry_waits_and_gives_up():

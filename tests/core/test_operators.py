@@ -112,10 +112,10 @@ def test_stream_of_upserts_equals_the_batch(spark, tmp_path):
     seen = []
     for _ in range(2):  # the second run finds nothing new
         stream = spark.readStream.schema("id long, seq long, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        incremental.run_upserts(spark, stream, f"file://{tmp_path}/out", "id", "seq", lambda df: seen.append(df.count()))
+        incremental.run_upserts(spark, stream, f"file://{tmp_path}/out", "id", "seq", lambda df, n: seen.append(df.count()))
     want = incremental.latest(spark.createDataFrame(rows, "id long, seq long, v double"), "id", "seq")
     assert sorted(map(tuple, incremental.current(spark, f"file://{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
-    assert len(seen) == 4 and seen[-1] == 7
+    assert seen == [7] * 4  # every batch changed all seven
 
 
 def test_strategies_and_methods():
@@ -138,3 +138,72 @@ def test_catalog_and_vector_store(spark, tmp_path):
         v.load()
     v.save(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>"))
     assert sorted(x.embedding for x in v.load().collect()) == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_spans_of_running_sums(spark, monkeypatch):
+    r = random.Random(3)
+    tokens = [(doc, pos, [r.gauss(0, 1) for _ in range(3)]) for doc, n in ((1, 9000), (2, 5), (3, 1)) for pos in range(n) if pos % 7]
+    spans = [(1, f"s{i}", a, a + n) for i, (a, n) in enumerate([(0, 10), (5, 10), (4090, 20), (0, 9000), (8000, 5000), (7, 1), (3, 0), (20, -4)])] + [(2, "s0", 1, 3), (3, "s0", 0, 9), (4, "s0", 0, 5), (2, "again", 1, 3)]
+    t = spark.createDataFrame(tokens, "doc_id long, pos int, embedding array<double>").repartition(5)
+    s = spark.createDataFrame(spans, "doc_id long, span string, start int, end int")
+    for most in (None, 4100):
+        want = {}
+        for doc, name, a, z in spans:
+            z = z if most is None else min(z, most - 1)
+            inside = [v for d, p, v in tokens if d == doc and a <= p < z]
+            if inside:
+                mean = [sum(c) / len(inside) for c in zip(*inside, strict=True)]
+                want[doc, name] = [round(x / math.hypot(*mean), 6) + 0.0 for x in mean]
+        got = {(x.doc_id, x.span): [round(c, 6) + 0.0 for c in x.embedding] for x in vectors.pooled_spans(t, s, most).collect()}
+        assert got == want
+
+
+def test_passages_in_one_pass(spark):
+    from lexiflume.operators.passages import containing
+
+    docs = [(1, "the cat sat on the mat"), (2, "a cat sat."), (3, None), (4, ""), (5, "x" * 50_000 + "needle" + "é" * 9)]
+    asked = [(1, "cat sat"), (2, "cat sat"), (3, "t"), (4, "needleé"), (5, "dog"), (6, None), (7, ""), (8, "the cat sat on the mat!")]
+    q, d = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = sorted((i, j) for i, p in asked for j, t in docs if p is not None and t is not None and p in t)
+    for block in (1_000_000, 8):
+        assert sorted((x.query_id, x.doc_id) for x in containing(q, d, block).collect()) == want
+
+
+def test_longest_common_subsequence_by_bits():
+    from lexiflume.functions.metrics import lcs_length
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(2)
+    for _ in range(60):
+        a, b = ([r.choice("abcde"[: r.randint(1, 5)]) for _ in range(r.randint(0, 200))] for _ in range(2))
+        assert lcs_length(a, b) == plain(a, b)
+    a, b = ([str(r.randint(0, 500)) for _ in range(20_000)] for _ in range(2))
+    import time
+
+    began = time.time()
+    assert 0 < lcs_length(a, b) < 20_000
+    assert time.time() - began < 2
+
+
+def test_sessions_match_by_their_critical_settings(spark):
+    import json
+
+    from lexiflume.sources.reports import CRITICAL, resumable
+
+    base = {k: k for k in CRITICAL} | {"preprocessing": ["b", "a"], "skip_ragas": False, "limit": 5}
+    sessions = [
+        ("other", 9, "x", base | {"top_k": 9}, 3), ("lists", 5, "x", base | {"preprocessing": ["a", "b"], "noise": 1}, 3), ("newer", 6, "y", base, 2), ("empty", 8, "z", base, 0),
+        ("skips", 7, "s", base | {"skip_ragas": True, "ragas_service": "one"}, 1), ("null", 4, "n", base | {"seed": None}, 1),
+    ]
+    runs = [("a", "none", base), ("b", "x", base), ("c", "y", base | {"skip_ragas": True, "ragas_service": "two"}), ("d", "n", base | {"seed": ""}), ("e", "n", base | {"seed": 1})]
+    s = spark.createDataFrame([(n, w, g, json.dumps(c), d) for n, w, g, c, d in sessions], "session string, written int, signature string, config string, n_done int")
+    w = spark.createDataFrame([(n, g, json.dumps(c)) for n, g, c in runs], "run string, signature string, config string")
+    assert dict(map(tuple, resumable(s, w).collect())) == {"a": "newer", "b": "newer", "c": "skips", "d": "null"}
+    assert dict(map(tuple, resumable(s.where("session <> 'other'"), w).collect()))["b"] == "lists"
