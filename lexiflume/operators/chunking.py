@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexiflume.config import DEFAULTS
+from lexiflume.functions.text import tokens
+from lexiflume.operators.vectors import cosine
+from lexiflume.sources.store import kept
 
 # Header marks and the metadata they set.
 LEVELS = {"source": 1, "chapter": 2, "section": 3, "article": 4}
@@ -76,6 +81,37 @@ def similarity_chunks(sentences: DataFrame, threshold: float) -> DataFrame:
     return sentences.withColumn("chunk", F.sum(F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0))).over(so_far))
 
 
+# Fixed value: a sentence with the marks and blanks that end it; sentences tile a text.
+SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
+
+
+def sentence_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, start, end, token_start, token_end, text of the sentences of docs (doc_id, text): spans in characters and in tokens, ends exclusive. No token
+    crosses the end of a sentence, so running sums of both lengths give both offsets."""
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("pos", "text"))
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sized = cut.withColumn("n", F.length("text").cast("long")).withColumn("m", F.size(tokens("text")).cast("long"))
+    ends = sized.withColumn("end", F.sum("n").over(upto)).withColumn("token_end", F.sum("m").over(upto))
+    return ends.select("doc_id", "pos", (F.col("end") - F.col("n")).alias("start"), "end", (F.col("token_end") - F.col("m")).alias("token_start"), "token_end", "text")
+
+
+def semantic_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], quantile: float = 0.95) -> DataFrame:
+    """doc_id, chunk, start, end, token_start, token_end: sentences in runs that end where the similarity of neighbours drops most, by more than the quantile of a
+    document's drops (C06). embed turns (id, text) into (id, embedding); a sentence without a vector is like its neighbours. The spans tile the text."""
+    sentences = kept(sentence_spans(docs))
+    ids = F.concat_ws(":", "doc_id", "pos")
+    vectors = embed(sentences.select(ids.alias("id"), "text"))
+    met = sentences.drop("text").withColumn("id", ids).join(vectors, "id", "left")
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    drops = met.withColumn("before", F.lag("embedding").over(by))
+    drops = drops.withColumn("drop", F.when(F.col("before").isNotNull() & F.col("embedding").isNotNull(), F.round(1 - cosine("embedding", "before"), 6))).drop("before", "embedding")
+    drops = kept(drops)
+    limits = drops.groupBy("doc_id").agg(F.round(F.percentile("drop", F.lit(quantile)), 6).alias("limit"))
+    cut = drops.join(limits, "doc_id").withColumn("breaks", F.coalesce((F.col("drop") > F.col("limit")).cast("int"), F.lit(0)))
+    numbered = cut.withColumn("chunk", F.sum("breaks").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("token_start").alias("token_start"), F.max("token_end").alias("token_end"))
+
+
 def pack_batches(rows: DataFrame, group: str, order: str, length: str, budget: int, reserve: int = 100) -> DataFrame:
     """rows with batch: in order, a new batch starts where the sum of lengths would pass budget - reserve (W06). A row's batch
     depends on all before it, so a group's rows pass through one task, which holds a running sum only."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -60,9 +62,9 @@ def classification(rows: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", F.round(ratio("1.0D * (tp + tn)", "tp + fp + fn + tn"), 4).alias("accuracy"), F.round(ratio("1.0D * tp", "tp + fp"), 4).alias("precision"), F.round(ratio("1.0D * tp", "tp + fn"), 4).alias("recall"), F.round(f1, 4).alias("f1"), F.round((f1 + f0) / 2, 4).alias("macro_f1"))
 
 
-def ir_metrics(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
+def ir_metrics(run: DataFrame, qrels: DataFrame, ks: list[int], subsets: DataFrame | None = None) -> DataFrame:
     """run (query_id, doc_id, rank), qrels (query_id, doc_id): ndcg, map, recall, precision, mrr at each k (E14), mean over
-    queries that have qrels."""
+    queries that have qrels; with subsets (query_id, subset) for each of these (E20)."""
     total = qrels.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     judged = run.join(qrels.withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     seen = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,7 +79,28 @@ def ir_metrics(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
-    return per.groupBy("k").agg(mean(F.col("dcg") / ideal, "ndcg"), mean(F.col("ap") / F.col("n_rel"), "map"), mean(F.col("found") / F.col("n_rel"), "recall"), mean(F.col("found") / F.col("k"), "precision"), mean(F.col("rr"), "mrr"))
+    if subsets is not None:
+        per = per.join(subsets, "query_id")
+    return per.groupBy(*(["k"] if subsets is None else ["subset", "k"])).agg(mean(F.col("dcg") / ideal, "ndcg"), mean(F.col("ap") / F.col("n_rel"), "map"), mean(F.col("found") / F.col("n_rel"), "recall"), mean(F.col("found") / F.col("k"), "precision"), mean(F.col("rr"), "mrr"))
+
+
+def main_scores(run: DataFrame, qrels: DataFrame, subsets: DataFrame, k: int = 10) -> DataFrame:
+    """subset, n (queries with qrels), main_score: ndcg at k of each subset, and of all as the mean of the subsets' (E20)."""
+    each = ir_metrics(run, qrels, [k], subsets).select("subset", F.col("ndcg").alias("main_score"))
+    n = qrels.select("query_id").distinct().join(subsets, "query_id").groupBy("subset").agg(F.count("*").alias("n"))
+    each = each.join(n, "subset").select("subset", "n", "main_score")
+    return each.unionByName(each.agg(F.lit("all").alias("subset"), F.sum("n").alias("n"), F.round(F.avg("main_score") + 1e-9, 4).alias("main_score")))
+
+
+def kernel_density(values: DataFrame, column: str, points: int = 20) -> DataFrame:
+    """x, density of a Gaussian kernel estimate at evenly spaced points from the least to the greatest value, bandwidth by Scott's rule (A15). Equal values are added up
+    first; no spread gives no rows."""
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    whole = values.select(F.col(column).cast("double").alias("v")).agg(F.count("v").alias("total"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"))  # one row
+    grid = whole.where("sd > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), (F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("h"))
+    grid = grid.withColumn("x", F.col("low") + F.col("i") * (F.col("high") - F.col("low")) / (points - 1))
+    bumps = counted.crossJoin(F.broadcast(grid))  # so many points
+    return bumps.groupBy("i").agg(F.first("x").alias("x"), (F.sum(F.col("n") * F.exp(-F.pow((F.col("x") - F.col("v")) / F.col("h"), F.lit(2)) / 2)) / F.first(F.col("total") * F.col("h")) / F.lit((2 * math.pi) ** 0.5)).alias("density")).drop("i")
 
 
 def pending(questions: DataFrame, done: DataFrame) -> DataFrame:

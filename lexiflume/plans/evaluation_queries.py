@@ -156,7 +156,23 @@ select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, r
         return E.classification(rows)
 
 
-for _name in ("E14", "E20"):
+_PER = f"""{_REL}, qr as (select query_id, doc_id from questions join chunks on article_no = gt_article where len(gt_clauses) = 0 or list_has_any(clause_nos, gt_clauses)),
+tot as (select query_id, count(*) as n_rel from qr group by 1), j2 as (select *, sum(rel) over (partition by query_id order by rank) as so_far from judged),
+ats as (select t.query_id, n_rel, k, rank, so_far, rel * (rank <= k)::int as x from tot t cross join (select unnest([1, 5, 10, 100]) as k) left join j2 using (query_id)),
+per as (select query_id, n_rel, k, coalesce(sum(x / log2(rank + 1)), 0) as dcg, coalesce(sum(x * so_far / rank), 0) as ap, coalesce(sum(x), 0) as found, coalesce(1.0::double / min(rank) filter (x = 1), 0) as rr from ats group by all),
+i as (select *, (select sum(1 / log2(g + 1)) from generate_series(1, 1000) s(g) where g <= least(n_rel, k)) as ideal from per)"""
+
+
+@query("E20", f"""with {_PER}, sc as (select coalesce(question_type, 'unknown') as subset, count(distinct query_id) as n, round(avg(dcg / ideal), 4) as main_score from i join questions using (query_id) where k = 10 group by 1)
+select * from sc union all select 'all', sum(n)::bigint, round(avg(main_score) + 1e-9, 4) from sc""")
+def e20(spark, d):
+    q = questions(spark, d)
+    qrels = q.join(chunks(spark, d), F.col("article_no") == F.col("gt_article")).where(E.relevant()).select("query_id", "doc_id")
+    run = index(spark, d).search(q).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
+    return E.main_scores(run, qrels, q.select("query_id", F.coalesce("question_type", F.lit("unknown")).alias("subset")))
+
+
+for _name in ("E14",):
 
     @query(_name, f"""with {_REL}, qr as (select query_id, doc_id from questions join chunks on article_no = gt_article where len(gt_clauses) = 0 or list_has_any(clause_nos, gt_clauses)),
 tot as (select query_id, count(*) as n_rel from qr group by 1), j2 as (select *, sum(rel) over (partition by query_id order by rank) as so_far from judged),

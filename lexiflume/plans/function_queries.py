@@ -188,9 +188,11 @@ def x27(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.concat_ws(" ", F.nullif(F.col("lang"), F.lit("en")), "text")).alias("digest"))
 
 
-@query("X28", "select unnest([1, 3, 5, 10, 20, 100, 1000]) as k")
+@query("X28", f"with n as (select max(greatest(1, len(l) // 50 + case when len(l) % 50 >= 10 then 1 else 0 end)) as most from (select {_WORDS} as l from documents) where len(l) > 0) select unnest([1, 3, 5, 10, 20] || list_filter([100, 1000, 10000, 100000, 1000000, 10000000], lambda x: x < 100 * most)) as k from n")
 def x28(spark, d):
-    return spark.createDataFrame([(k,) for k in X.usable_k(50)], "k int")
+    """Cut-offs for the document with the most chunks."""
+    most = table(spark, d, "documents").agg(F.max(F.size(X.word_windows("text")))).first()[0]
+    return spark.createDataFrame([(k,) for k in X.usable_k(most)], "k int")
 
 
 @query("X29", f"with {_T}, {_NUMS} select doc_id, trim(regexp_replace(lower(law), '\\s+', ' ', 'g'), ' ') as query, articles[1] as article_no, chapters[1] as chapter_no, sections[1] as section_no, array_to_string(clauses, ',') as clause_nos from n")
@@ -264,8 +266,23 @@ def c05(spark, d):
     return chunking.sentence_runs(_words(spark, d), 1).groupBy("doc_id", F.col("chunk").cast("long").alias("sentence")).agg(F.min("pos").alias("start"), (F.max("pos") + 1).cast("int").alias("end"))
 
 
-@query("C06", "with s as (select label, vec_id, list_cosine_similarity(cast(embedding as double[]), cast(lag(embedding) over (partition by label order by vec_id) as double[])) as sim from embeddings) select label as doc_id, vec_id as pos, cast(sum(case when sim < 0.1 then 1 else 0 end) over (partition by label order by vec_id) as bigint) as chunk from s")
+_CELLS06 = "(select doc_id, pos, cast(('0x' || substr(md5(w), 1, 4))::int % 64 as int) as dim, cast(sum(case when ('0x' || substr(md5(w), 5, 4))::int % 2 = 0 then 1 else -1 end) as bigint) as value from (select doc_id, pos, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+')) as w from st) group by all)"
+
+
+@query("C06", f"""with s0 as (select doc_id, regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+[ \\t\\r\\n]*|[^.!?\\n]+') as l from documents), st as materialized (select doc_id, unnest(l) as s, generate_subscripts(l, 1) - 1 as pos from s0),
+o as (select doc_id, pos, sum(length(s)) over w as "end", sum(length(s)) over w - length(s) as start, sum(len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'))) over w as token_end, sum(len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'))) over w - len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+')) as token_start from st window w as (partition by doc_id order by pos)),
+c as materialized {_CELLS06}, nn as (select doc_id, pos, sqrt(sum(value * value)::double) as n from c group by all), dots as (select a.doc_id, a.pos, sum(a.value * b.value)::double as dot from c a join c b on a.doc_id = b.doc_id and b.pos = a.pos - 1 and a.dim = b.dim group by all),
+dr as (select o.*, case when x.n is not null and y.n is not null then round(1 - case when x.n * y.n > 0 then coalesce(dot, 0) / (x.n * y.n) else 0 end, 6) end as drop_ from o left join nn x on x.doc_id = o.doc_id and x.pos = o.pos left join nn y on y.doc_id = o.doc_id and y.pos = o.pos - 1 left join dots d on d.doc_id = o.doc_id and d.pos = o.pos),
+li as (select doc_id, round(quantile_cont(drop_, 0.95), 6) as lim from dr group by 1), nu as (select dr.*, sum(coalesce((drop_ > lim)::int, 0)) over (partition by doc_id order by pos) as chunk from dr join li using (doc_id))
+select doc_id, chunk::bigint as chunk, min(start)::bigint as start, max("end")::bigint as "end", min(token_start)::bigint as token_start, max(token_end)::bigint as token_end from nu group by doc_id, chunk""")
 def c06(spark, d):
+    from lexiflume.operators.embedding import hashed_vectors
+
+    return chunking.semantic_chunks(table(spark, d, "documents").select("doc_id", "text"), hashed_vectors)
+
+
+@query("C06_vectors", "with s as (select label, vec_id, list_cosine_similarity(cast(embedding as double[]), cast(lag(embedding) over (partition by label order by vec_id) as double[])) as sim from embeddings) select label as doc_id, vec_id as pos, cast(sum(case when sim < 0.1 then 1 else 0 end) over (partition by label order by vec_id) as bigint) as chunk from s")
+def c06_vectors(spark, d):
     from pyspark.sql import Window
 
     from lexiflume.operators.vectors import cosine

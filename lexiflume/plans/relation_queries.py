@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from lexiflume.operators import graph
+from lexiflume.operators import evaluation, graph
 from lexiflume.plans import retrieval
 from lexiflume.plans.retrieval_queries import LINES
 from lexiflume.registered import query
@@ -220,7 +220,7 @@ def a10(spark, d):
     return t.groupBy("query_id", F.regexp_replace("chunk", "~[^~]*$", "").alias("doc")).agg(F.max("n_chars").alias("score"))
 
 
-for _name in ("A12", "G08", "A17"):
+for _name in ("A12", "G08"):
 
     @query(_name, "select 'lang' as kind, lang as name, count(*) as n from documents group by lang union all select 'event', event_type, count(*) from events group by event_type")
     def a12(spark, d):
@@ -233,6 +233,13 @@ def a15(spark, d):
     return table(spark, d, "documents").groupBy(F.expr("width_bucket(n_chars, 0, 10000, 20)").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query("A15_kde", """with c as (select n_chars::double as v, count(*) as n from documents where n_chars is not null group by 1), w as (select count(n_chars) as total, stddev_samp(n_chars::double) as sd, min(n_chars)::double as low, max(n_chars)::double as high from documents),
+g as (select *, unnest(range(20)) as i, sd * pow(total::double, -0.2) as h from w where sd > 0), x as (select *, low + i * (high - low) / 19 as x from g)
+select round(x, 4) as x, round(sum(n * exp(-pow((x - v) / h, 2) / 2)) / any_value(total * h) / sqrt(2 * pi()), 9) as density from x, c group by x""")
+def a15_kde(spark, d):
+    return evaluation.kernel_density(table(spark, d, "documents"), "n_chars").select(F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
+
+
 @query("A16", "select doc_id, 'quality' as metric, quality as value from labels union all select doc_id, 'toxic', toxic from labels")
 def a16(spark, d):
     return table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "metric", "value")

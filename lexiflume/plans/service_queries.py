@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window, functions as F
 
 from lexiflume.functions import text as X
@@ -79,30 +81,20 @@ def s12(spark, d):
     return _graph(spark, d).counts()
 
 
-@query("S15", "select * from (values ('article_no', 'payload', 'integer', null), ('chapter_no', 'payload', 'integer', null), ('section_no', 'payload', 'integer', null), ('clause_nos', 'payload', 'integer', null), ('dense', 'vector', 'cosine', 64), ('sparse', 'vector', 'idf', null)) t(field, kind, setting, size)")
+@query("S15", f"""with {CHUNKS} select 'dense' as field, 'vector' as kind, 'cosine' as setting, cast(max(len(embedding)) as int) as size, count(*) as n from embeddings where embedding is not null
+union all select 'sparse', 'vector', 'idf', null, count(*) from chunks union all select 'article_no', 'payload', 'integer', null, count(article_no) from chunks union all select 'chapter_no', 'payload', 'integer', null, count(chapter_no) from chunks
+union all select 'section_no', 'payload', 'integer', null, count(section_no) from chunks union all select 'clause_nos', 'payload', 'integer', null, count(*) filter (len(clause_nos) > 0) from chunks""")
 def s15(spark, d):
-    path = store.scratch_path(spark, "collection")
-    store.create_collection(spark, path, 1024)
-    store.create_collection(spark, path, 64, recreate=True)
-    return store.create_collection(spark, path, 768)  # is there, so it stays
+    return store.collection(chunks(spark, d), table(spark, d, "embeddings"))
 
 
-@query("S16", "select doc_id, md5(text) as content, cast(doc_id % 50 + 1 as int) as article_no from documents")
+@query("S16", "select doc_id, md5(text) as content, cast(doc_id % 50 + 1 as int) as article_no, true as fits from documents")
 def s16(spark, d):
-    folder = store.scratch_path(spark, "points").removeprefix("file:").removeprefix("//")
-
-    def send(batch):
-        import json
-        import os
-        import uuid
-
-        assert len(batch) <= 100
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/{uuid.uuid4().hex}.json", "w", encoding="utf-8") as f:
-            f.writelines(json.dumps(r.asDict()) + "\n" for r in batch)
-
-    store.upsert_points(chunks(spark, d).select("doc_id", "content", "article_no"), send)
-    return spark.read.schema("doc_id long, content string, article_no int").json(f"file://{folder}").select("doc_id", F.md5("content").alias("content"), "article_no")
+    path = store.scratch_path(spark, "points")
+    store.upsert_batches(chunks(spark, d).select("doc_id", "content", "article_no")).write.parquet(path)
+    point = F.explode(F.from_json("body", "array<struct<doc_id:bigint,content:string,article_no:int>>")).alias("p")
+    sent = spark.read.parquet(path).select((F.col("n") <= 100).alias("fits"), point)
+    return sent.select("p.doc_id", F.md5("p.content").alias("content"), "p.article_no", "fits")
 
 
 _CASES = "case1 as (select event_id as id, a, b from j), case2 as (select id, a, case when id % 3 = 0 then coalesce(b, 0) + 1 else b end as b from case1 where id % 2 = 0 or id % 3 = 0)"
@@ -227,19 +219,22 @@ def r17(spark, d):
     return got.select("doc_id", F.md5("text").alias("digest"), F.array_join("errors", ",").alias("errors"))
 
 
-_CHECKS = (("advanced", "rag_fusion", ["hyde"], ["crag"]), ("plain", None, ["hyde"], ["prompt_compression"]), ("unknown", None, ["nope"], []), ("two fixed", None, [], ["crag", "prompt_compression"]), ("no strategy", "none", [], []))
+_CHECKS = (("advanced", "rag_fusion", ["hyde"], ["crag"]), ("plain", None, ["hyde"], ["prompt_compression"]), ("unknown", None, ["nope"], []), ("two fixed", None, [], ["crag", "filter_rerank"]), ("no strategy", "none", [], []))
 
 
-@query("R18", "select * from (values ('advanced', ''), ('plain', 'hyde prompt_compression'), ('unknown', 'ValueError'), ('two fixed', 'crag prompt_compression'), ('no strategy', 'ValueError')) t(name, outcome)")
+@query("R18", f"with {QUESTIONS}, n as (select count(*) as n from questions) select name, outcome, case when answers then n else 0 end as answered from n cross join (values ('advanced', '', true), ('plain', 'hyde prompt_compression', true), ('unknown', 'ValueError', false), ('two fixed', 'ValueError', false), ('no strategy', 'ValueError', false)) t(name, outcome, answers)")
 def r18(spark, d):
-    rows = []
+    """Which of some configurations are valid, which steps they come to, and how many questions a retriever with them answers."""
+    out = None
     for name, advanced, pre, post in _CHECKS:
         try:
-            outcome = " ".join(x for methods in retrieval.checked_methods(advanced, pre, post) for x in methods)
+            r = retrieval.Retriever(index(spark, d), chunks(spark, d), table(spark, d, "embeddings"), advanced=advanced, pre=pre, post=post)
+            outcome, rows = " ".join((*r.pre, *r.post)), r.select(questions(spark, d))
         except ValueError:
-            outcome = "ValueError"
-        rows.append((name, outcome))
-    return spark.createDataFrame(rows, "name string, outcome string")
+            outcome, rows = "ValueError", questions(spark, d).limit(0)
+        row = rows.agg(F.countDistinct("query_id").alias("answered")).select(F.lit(name).alias("name"), F.lit(outcome).alias("outcome"), "answered")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("R19", f"with {QUESTIONS} select s.name, count(*) as queries, 'ValueError' as unknown from questions cross join (values ('filter_rerank'), ('rag_fusion')) s(name) where query_id in (select vec_id from embeddings) and exists (select 1 from embeddings join documents on doc_id = vec_id) group by 1")
@@ -258,10 +253,15 @@ def r19(spark, d):
     return out
 
 
-@query("R25", "select * from (values ('advanced', 'filter_rerank'), ('advanced', 'rag_fusion'), ('pre', 'base'), ('pre', 'hyde'), ('post', 'base'), ('post', 'crag'), ('post', 'filter_rerank'), ('post', 'prompt_compression')) t(kind, name)")
+@query("R25", f"with {QUESTIONS}, n as (select count(*) as n from questions) select kind, name, n as answered from n cross join (values ('pre', 'base'), ('pre', 'hyde'), ('post', 'base'), ('post', 'crag'), ('post', 'filter_rerank'), ('post', 'prompt_compression')) t(kind, name)")
 def r25(spark, d):
-    known = {"advanced": retrieval.STRATEGIES, "pre": retrieval.PREPROCESS, "post": retrieval.POSTPROCESS}
-    return spark.createDataFrame([(kind, name) for kind, names in known.items() for name in sorted(names)], "kind string, name string")
+    """Every step that can be found by name, applied to the questions or to what is chosen for them."""
+    r = retrieval.Retriever(index(spark, d), chunks(spark, d), table(spark, d, "embeddings"), providers=Providers(entail=lambda q, t: F.lit(0.9)))
+    asked = r.understood(questions(spark, d))
+    chosen = store.kept(r.chosen(asked))
+    steps = [("pre", n, f(r, asked)) for n, f in sorted(retrieval.PREPROCESS.items())] + [("post", n, f(r, asked, chosen)) for n, f in sorted(retrieval.POSTPROCESS.items())]
+    rows = [df.agg(F.countDistinct("query_id").alias("answered")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "answered") for kind, name, df in steps]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query("R21", f"with {QUESTIONS} select query_id, length(query) % 3 + 1 as attempts, list_sum([2.0, 4.0][1 : length(query) % 3]) as waited from questions where length(query) % 3 > 0 union all select query_id, 1, 0.0 from questions where length(query) % 3 = 0")

@@ -96,12 +96,22 @@ def s26(spark, d):
     return containing(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents"))
 
 
-for _name in ("S28",):
-
-    @query(_name, "select 'vector' as store, count(*) as n from embeddings union all select 'graph', count(*) from nation union all select 'chunks', count(*) from documents")
-    def s28(spark, d):
-        c = store.Catalog()
-        c.register("vector", table(spark, d, "embeddings"))
-        c.register("graph", table(spark, d, "nation"))
-        c.register("chunks", table(spark, d, "documents"))
-        return c.status(spark)
+@query("S28", f"""with {RANKED}, v as (select q.vec_id as query_id, c.vec_id as id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) desc, c.vec_id) as rank from embeddings q join benchmark on item_id = q.vec_id cross join embeddings c)
+select 'dense' as asked, query_id, id, rank from v where rank <= 3 union all select 'chunks', query_id, doc_id, bm25_rank from hits where bm25_rank <= 3""")
+def s28(spark, d):
+    """Stores by their aliases, each asked in its own way, after an ingest that replaces what is there by itself."""
+    c, docs = store.Catalog(), index(spark, d)
+    embeddings = table(spark, d, "embeddings").select("vec_id", "embedding")
+    c.register("vector", embeddings, lambda q, k: nearest(q.join(c.get("vector"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding"), c.get("vector"), k).select("query_id", F.col("vec_id").alias("id"), "rank"))
+    c.register("chunks", table(spark, d, "documents"), lambda q, k: docs.search(q, k).select("query_id", F.col("doc_id").alias("id"), F.col("bm25_rank").alias("rank")))
+    c.ingest("qdrant", embeddings.where("vec_id < 10"), "vec_id")
+    rows = [c.query(name, questions(spark, d), 3).select(F.lit(name).alias("asked"), "query_id", "id", F.col("rank").cast("long").alias("rank")) for name in ("dense", "chunks")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("A17", "select 'vector' as store, true as available, 1::bigint as files, count(*) as n from embeddings union all select 'graph', true, 1, count(*) from nation union all select 'chunks', true, 1, count(*) from documents union all select 'contriever', false, 0, 0")
+def a17(spark, d):
+    c = store.Catalog()
+    for name, file in (("vector", "embeddings"), ("graph", "nation"), ("chunks", "documents"), ("contriever", "contriever")):
+        c.open(spark, name, f"{d}/{file}.parquet")
+    return c.status(spark)

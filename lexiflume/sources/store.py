@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -153,9 +154,20 @@ class Catalog:
     # Other names of the stores.
     aliases: dict[str, str] = field(default_factory=lambda: {"qdrant": "vector", "dense": "vector", "neo4j": "graph", "graphrag": "graph"})
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    searches: dict[str, Callable[[DataFrame, int], DataFrame]] = field(default_factory=dict)
+    missing: list[str] = field(default_factory=list)
 
-    def register(self, name: str, table: DataFrame) -> None:
+    def register(self, name: str, table: DataFrame, search: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
         self.tables[name] = table
+        if search:
+            self.searches[name] = search
+
+    def open(self, spark: SparkSession, name: str, path: str) -> None:
+        """Registers a Parquet table, or notes that it is not there."""
+        if exists(spark, path):
+            self.register(name, spark.read.parquet(path))
+        else:
+            self.missing.append(name)
 
     def get(self, name: str) -> DataFrame:
         name = self.aliases.get(name, name)
@@ -163,11 +175,32 @@ class Catalog:
             raise ValueError(f"unknown store: {name}")
         return self.tables[name]
 
+    def query(self, name: str, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, id, score, rank from the store's own search."""
+        name = self.aliases.get(name, name)
+        if name not in self.searches:
+            raise ValueError(f"no search for: {name}")
+        return self.searches[name](queries, k)
+
+    def ingest(self, name: str, rows: DataFrame, key: str) -> None:
+        """Adds rows to a store, or replaces those with their key."""
+        from lexiflume.operators.graph import upsert
+
+        self.tables[self.aliases.get(name, name)] = upsert(self.get(name), rows, key)
+
     def status(self, spark: SparkSession) -> DataFrame:
-        rows = spark.createDataFrame([], "store string, n long")
+        """store, available, files (of Parquet), n of each store; one that can't be read is not available."""
+        out = spark.createDataFrame([], "store string, available boolean, files long, n long")
         for name, t in self.tables.items():
-            rows = rows.unionByName(t.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n"))
-        return rows
+            try:
+                files = sum(f.endswith(".parquet") for f in t.inputFiles())
+                row = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), F.lit(True).alias("available"), F.lit(files).cast("long").alias("files"), "n")
+            except AnalysisException:
+                row = None
+            out = out if row is None else out.unionByName(row)
+        for name in self.missing:
+            out = out.unionByName(spark.createDataFrame([(name, False, 0, 0)], out.schema))
+        return out
 
 
 def external_search(queries: DataFrame, corpus: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -177,16 +210,35 @@ def external_search(queries: DataFrame, corpus: DataFrame, search: Callable[[Dat
     return hits.withColumn("rank", n).select("query_id", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit("mcp_law_"), n.cast("string"))).alias("id"), "content", "score", "rank", F.lit("external").alias("source"))
 
 
-#: What a collection of points consists of (S15): named vectors, then payload fields that filters use.
-COLLECTION = (("dense", "vector", "cosine"), ("sparse", "vector", "idf"), ("article_no", "payload", "integer"), ("chapter_no", "payload", "integer"), ("section_no", "payload", "integer"), ("clause_nos", "payload", "integer"))
+#: Payload fields that filters use, if the points have them.
+PAYLOAD = ("article_no", "chapter_no", "section_no", "clause_nos")
+
+
+def collection(points: DataFrame, vectors: DataFrame) -> DataFrame:
+    """field, kind, setting, size, n of the collection that points and their vectors (embedding) ask for (S15): dense and sparse vectors with the length and number of
+    those there are, and an index for each payload field, by the type of its values, with the number of points that have it."""
+    dense = vectors.where("embedding is not null").agg(F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).select(F.lit("dense").alias("field"), F.lit("vector").alias("kind"), F.lit("cosine").alias("setting"), "size", "n")
+    rows = dense.unionByName(points.agg(F.count("*").alias("n")).select(F.lit("sparse").alias("field"), F.lit("vector").alias("kind"), F.lit("idf").alias("setting"), F.lit(None).cast("int").alias("size"), "n"))
+    kinds = dict(points.dtypes)
+    for name in (p for p in PAYLOAD if p in kinds):
+        base = kinds[name].removeprefix("array<").removesuffix(">")
+        setting = "integer" if base in ("int", "bigint", "smallint") else "float" if base in ("double", "float") else "keyword"
+        has = F.size(name) > 0 if kinds[name].startswith("array") else F.col(name).isNotNull()
+        rows = rows.unionByName(points.agg(F.count(F.when(has, 1)).alias("n")).select(F.lit(name).alias("field"), F.lit("payload").alias("kind"), F.lit(setting).alias("setting"), F.lit(None).cast("int").alias("size"), "n"))
+    return rows
+
+
+def upsert_batches(points: DataFrame, batch_size: int = 100) -> DataFrame:
+    """n, body: the points as the bodies (JSON lists) of upsert requests of at most batch_size points each (S16). They can be written by Spark or sent by
+    upsert_points."""
 
+    def batched(batches):
+        for b in batches:
+            rows = b.column("row").to_pylist()
+            cut = [rows[i : i + batch_size] for i in range(0, len(rows), batch_size)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(c) for c in cut], pa.int64()), pa.array(["[" + ",".join(c) + "]" for c in cut], pa.string())], ["n", "body"])
 
-def create_collection(spark: SparkSession, path: str, size: int = 768, recreate: bool = False) -> DataFrame:
-    """Writes the collection's description (field, kind, setting, size) unless it is there, or anew (S15); returns it."""
-    if recreate or not exists(spark, f"{path}/_SUCCESS"):
-        rows = [(*row, size if row[0] == "dense" else None) for row in COLLECTION]
-        spark.createDataFrame(rows, "field string, kind string, setting string, size int").coalesce(1).write.mode("overwrite").json(path)
-    return spark.read.schema("field string, kind string, setting string, size int").json(path)
+    return points.select(F.to_json(F.struct("*")).alias("row")).mapInArrow(batched, "n long, body string")
 
 
 def raw_query(spark: SparkSession, text: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
