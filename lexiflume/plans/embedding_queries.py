@@ -41,9 +41,10 @@ def v12(spark, d):
     return vectors.nearest(q, c, 5).select("query_id", "vec_id", F.round("score", 3).alias("score"))
 
 
-@query("V11", f"with {bm25.SQL} select doc_id, term, round(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 4) as weight from postings join terms using (term) join lengths using (doc_id), corpus")
+@query("V11", f"with {bm25.SQL} select doc_id, count(*) as n, round(sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 3) as total, round(max(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 4) as most from postings join terms using (term) join lengths using (doc_id), corpus group by doc_id")
 def v11(spark, d):
-    return embedding.sparse_weights(index(spark, d)).select("doc_id", "term", F.round("weight", 4).alias("weight"))
+    weights = embedding.sparse_weights(index(spark, d))
+    return weights.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("total"), F.round(F.max("weight"), 4).alias("most"))
 
 
 @query("V02", "select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 4) + 0.0 as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
