@@ -2,7 +2,7 @@
 
 Groups, largest first, go to the least-loaded shard through a heap. Groups of one size are alike, so the driver schedules the
 table of sizes and their numbers: whole levels of a size at once, the rest one by one through the heap. Sizes above
-2 ** DIGITS count with DIGITS binary digits (a thousandth apart at most), so that table is bounded, whatever the input.
+2 ** DIGITS count with DIGITS binary digits (so that sizes a two-thousandth apart are told apart), so that table is bounded, whatever the input.
 Spark then numbers the groups of each size, and a number gives the shard. A group that holds more than a
 shard's share keeps a shard to itself.
 
