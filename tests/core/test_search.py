@@ -169,3 +169,59 @@ def test_hard_ones_beyond_the_choices_and_rescued_ones(spark):
     assert sorted((x.chunk_id, x.place) for x in marked.where("query_id = 2").collect()) == [("d3", 3), ("d4", 2), ("d5", 1), ("d6", 0)]
     out = correction.merged(marked.withColumn("choice", F.expr("case when place = 1 then 0 end")), 100).where("query_id = 1").orderBy("final_rank").collect()
     assert [(x.chunk_id, x.final_score) for x in out] == [("c2", 0.95), ("c7", 0.9), ("c1", 0.2), ("c3", 0.2), ("c4", 0.2), ("c5", 0.15), ("c6", 0.15)]
+
+
+def test_semantic_chunks_tile_the_text(spark):
+    from lexiflume.functions.text import tokens
+    from lexiflume.operators import chunking
+
+    texts = [(1, "cats purr. cats sleep! cats purr.\n\ndogs bark; dogs run. dogs bark? 3.14 is pi"), (2, "one sentence only"), (3, None), (4, ""), (5, "...\n!? x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    embed = lambda t: t.where("text like '%s %'").select("id", F.when(F.col("text").like("cats%"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    rows = chunking.semantic_chunks(docs, embed, 0.8).orderBy("doc_id", "chunk").collect()
+    words = {x.doc_id: x.w for x in docs.select("doc_id", tokens("text").alias("w")).collect()}
+    for doc, text in texts:
+        mine = [x for x in rows if x.doc_id == doc]
+        assert "".join(text[x.start : x.end] for x in mine) == (text or "")
+        assert [w for x in mine for w in words[doc][x.token_start : x.token_end]] == words[doc]
+    assert [texts[0][1][x.start : x.end] for x in rows if x.doc_id == 1] == ["cats purr. cats sleep! cats purr.\n\n", "dogs bark; dogs run. dogs bark? 3.14 is pi"]
+
+
+def test_catalog_asks_ingests_and_reports(spark, tmp_path):
+    from lexiflume.sources import store
+
+    c = store.Catalog()
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    c.open(spark, "vector", f"file://{tmp_path}/t")
+    c.open(spark, "graph", f"file://{tmp_path}/none")
+    assert sorted(map(tuple, c.status(spark).collect())) == [("graph", False, 0, 0), ("vector", True, 1, 2)]
+    c.searches["vector"] = lambda q, k: q.crossJoin(c.get("vector")).limit(k)
+    c.ingest("qdrant", spark.createDataFrame([(2, "new"), (3, "c")], "id long, v string"), "id")
+    assert dict(map(tuple, c.get("dense").collect())) == {1: "a", 2: "new", 3: "c"}
+    assert c.query("dense", spark.range(1), 2).count() == 2
+    with pytest.raises(ValueError):
+        c.query("graph", spark.range(1), 2)
+
+
+def test_densities_subsets_and_request_bodies(spark):
+    import json
+
+    from lexiflume.operators import evaluation
+    from lexiflume.sources import store
+
+    values = [1.0, 2.0, 2.0, 7.5, None]
+    got = evaluation.kernel_density(spark.createDataFrame([(v,) for v in values], "v double"), "v", 5).orderBy("x").collect()
+    v = [x for x in values if x is not None]
+    h = np.std(v, ddof=1) * len(v) ** -0.2
+    for i, row in enumerate(got):
+        x = 1 + i * 6.5 / 4
+        assert math.isclose(row.x, x) and math.isclose(row.density, sum(math.exp(-(((x - y) / h) ** 2) / 2) for y in v) / (len(v) * h * math.sqrt(2 * math.pi)))
+    assert evaluation.kernel_density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
+    run = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (3, 9, 1)], "query_id long, doc_id long, rank int")
+    qrels = spark.createDataFrame([(1, 11), (2, 10), (3, 8)], "query_id long, doc_id long")
+    subsets = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "query_id long, subset string")
+    scores = {x.subset: (x.n, x.main_score) for x in evaluation.main_scores(run, qrels, subsets).collect()}
+    first = round((1 / math.log2(3) + 1) / 2, 4)
+    assert scores == {"a": (2, first), "b": (1, 0.0), "all": (3, round(first / 2 + 1e-9, 4))}
+    bodies = store.upsert_batches(spark.range(250).coalesce(1), 100).collect()
+    assert sorted(b.n for b in bodies) == [50, 100, 100] and sorted(p["id"] for b in bodies for p in json.loads(b.body)) == list(range(250))
