@@ -148,6 +148,8 @@ class Retriever:
         if self.advanced:
             return strategy(self.advanced)(self, asked)
         hits = self.candidates(asked).join(asked.select("query_id", "query"), "query_id").join(self.chunks, "doc_id")
+        # Few rows that take long to score: adaptive execution would put them into a task or two.
+        hits = hits.repartition(asked.sparkSession.sparkContext.defaultParallelism, "query_id", "doc_id")
         out = fusion.rerank(hits.withColumn("rerank_score", self.providers.rerank(F.col("query"), F.col("content"))), self.config.rerank_limit).withColumn("origin", F.lit("reranked"))
         for name in self.post:
             out = POSTPROCESS[name](self, asked, out)
