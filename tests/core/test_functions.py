@@ -68,3 +68,10 @@ def test_lcs_against_recursion():
             return 1 + lcs(i + 1, j + 1) if a[i] == b[j] else max(lcs(i + 1, j), lcs(i, j + 1))
 
         assert M.lcs_length(a, b) == lcs(0, 0)
+
+
+def test_strips_keep_their_characters(spark):
+    """Each strip is trimmed of spaces, never of the digits of its place (0, 1, ...)."""
+    text = "0. Begins with its own place 0.\n  1 password=b8a6bab61dc0d1  ;\n21 apples and 32 pears, 2"
+    got = spark.createDataFrame([(text,)], "text string").select(X.strips("text").alias("s")).first().s
+    assert got == ["Begins with its own place 0.", "1 password=b8a6bab61dc0d1  ;", "21 apples and 32 pears, 2"]
