@@ -11,6 +11,7 @@ them), whatever their names. Texts of any length are counted whole; ties at the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ MONOTONE = {"symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "bang_
 #: Texts below this probability of quality 1 are rejected.
 KEEP_AT = 0.3
 FOLDS = 5
+#: Texts that a task holds as strings at once.
+AT_ONCE = 500
 
 
 @dataclass
@@ -98,10 +101,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, n_trees: int = 60
     return Trees(feature, cut, value, start, depth)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most AT_ONCE, so that strings and kept rows of a large batch are never all there twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def learn(documents: DataFrame, labels: DataFrame, **options) -> Trees:
     def measure(batches):
         memo = WordHash()
-        for b in batches:
+        for b in _few(batches):
             rows = [stats(t, memo)[1] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float64())), b.column("y")], ["x", "y"])
 
@@ -129,7 +139,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     def judge(batches):
         memo = WordHash()
-        for b in batches:
+        for b in _few(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_judge(trees.value, b.column("text").to_pylist(), memo)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     return docs.mapInArrow(judge, "doc_id long, " + _OUT)
@@ -143,7 +153,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def judge(batches):
         memo = WordHash()
-        for b in batches:
+        for b in _few(batches):
             yield b.filter(_judge(trees.value, b.column(at).to_pylist(), memo)[-2])
 
     return documents.mapInArrow(judge, documents.schema)

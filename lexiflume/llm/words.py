@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words remembered by one Python worker before its memo starts afresh: a bound on memory, not on the input.
-MEMO = 400_000
+MEMO = 100_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 

@@ -119,3 +119,14 @@ def test_scores_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     one, two = ({x.doc_id: x.score for x in quality_model.quality_scores(df.repartition(n), labels.repartition(n)).collect()} for n in (2, 5))
     assert one == two and len(one) == 200
+
+
+def test_batches_of_texts_are_small():
+    import pyarrow as pa
+
+    from lexiflume.llm import quality_rules
+
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(1203)]})
+    parts = list(quality_rules._few([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 500
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
