@@ -1,10 +1,15 @@
 """Queries that give their whole results, and prompts that keep their lines."""
 
+from dataclasses import replace
+
+from lexiflume.config import DEFAULTS
 from lexiflume.operators import generation
 from lexiflume.operators.bm25 import Bm25Index, tags
 from lexiflume.plans.embedding_queries import v11
 from lexiflume.plans.retrieval_queries import w01
-from lexiflume.sources.tables import table
+from lexiflume.operators.fusion import CUT
+from lexiflume.plans.retrieval import Retriever
+from lexiflume.sources.tables import chunks, questions, table
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +39,11 @@ def test_scores_of_all_documents_with_tags(spark):
 
 def test_v11_gives_each_term(spark):
     assert sorted(v11(spark, SF).columns) == ["doc_id", "term", "weight"]
+
+
+def test_a_block_cut_in_its_heading_counts(spark):
+    q = questions(spark, SF).orderBy("query_id").limit(1)
+    of = lambda **c: Retriever(Bm25Index.build(table(spark, SF, "documents")), chunks(spark, SF), table(spark, SF, "embeddings"), config=replace(DEFAULTS, **c)).retrieve(q).first()
+    first = of(max_context_chars=10**7).context.split("\n\n[Đoạn 2]\n")[0]
+    few = of(max_context_chars=len(first) + 2 + 4 + len(CUT))
+    assert few.context == f"{first}\n\n[Đoạ{CUT}" and few.n_blocks == 2
