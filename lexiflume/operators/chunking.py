@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexiflume.config import DEFAULTS
-from lexiflume.functions.text import tokens
+from lexiflume.functions.text import bound, tokens
 from lexiflume.operators.vectors import cosine
 from lexiflume.sources.store import kept
 
@@ -63,9 +63,13 @@ def clause_pack(c: Column | str, size: int = DEFAULTS.chunk_size) -> Column:
 def windows(tokens: Column, size: int, step: int | None = None) -> Column:
     """Token runs of ``size`` every ``step`` (C03, C08); each token is in at least one."""
     step = step or size
-    n = F.size(tokens)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, (i * step + 1).cast("int"), size))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, (i * step + 1).cast("int"), size))).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(tokens, cut)
 
 
 def sentence_runs(tokens: DataFrame, n: int) -> DataFrame:

@@ -14,3 +14,9 @@ def test_words_are_split_once_for_all_windows(spark):
     docs = spark.range(3).select(F.concat_ws(" ", F.array_repeat(F.col("id").cast("string"), 120)).alias("t"))
     assert _plan(docs.select(X.word_windows("t").alias("w"))).count("split(") == 1
     assert docs.select(F.size(X.word_windows("t")).alias("n")).distinct().first().n == 3
+
+
+def test_tokens_are_found_once_for_all_windows(spark):
+    docs = spark.range(3).select(F.concat_ws(" ", F.array_repeat(F.col("id").cast("string"), 120)).alias("t"))
+    assert _plan(docs.select(chunking.windows(X.tokens("t"), 50, 40).alias("w"))).count("regexp_extract_all(") == 1
+    assert docs.select(F.size(chunking.windows(X.tokens("t"), 50, 40)).alias("n")).distinct().first().n == 3
