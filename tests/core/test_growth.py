@@ -20,3 +20,12 @@ def test_tokens_are_found_once_for_all_windows(spark):
     docs = spark.range(3).select(F.concat_ws(" ", F.array_repeat(F.col("id").cast("string"), 120)).alias("t"))
     assert _plan(docs.select(chunking.windows(X.tokens("t"), 50, 40).alias("w"))).count("regexp_extract_all(") == 1
     assert docs.select(F.size(chunking.windows(X.tokens("t"), 50, 40)).alias("n")).distinct().first().n == 3
+
+
+def test_cells_of_a_text_are_added_up_before_the_shuffle(spark):
+    from lexiflume.operators.embedding import hashed_cells
+
+    docs = spark.createDataFrame([(1, "one two two"), (1, "one"), (2, None), (3, "")], "id long, text string")
+    cells = hashed_cells(docs)
+    assert "Generate" not in _plan(cells)
+    assert sorted(abs(r.value) for r in cells.collect()) == [2, 2] and {r.id for r in cells.collect()} == {1}
