@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexiflume.config import DEFAULTS
@@ -89,29 +91,65 @@ def similarity_chunks(sentences: DataFrame, threshold: float) -> DataFrame:
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 
 
-def sentence_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, start, end, token_start, token_end, text of the sentences of docs (doc_id, text): spans in characters and in tokens, ends exclusive. No token
-    crosses the end of a sentence, so running sums of both lengths give both offsets."""
-    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("pos", "text"))
+def _sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, text of the sentences of docs (doc_id, text)."""
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("pos", "text"))
+
+
+def _spanned(sized: DataFrame) -> DataFrame:
+    """Sentences with their lengths n (characters) and m (tokens) get start, end, token_start, token_end instead. No token crosses the end of a sentence, so running
+    sums of both lengths give both offsets."""
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sized = cut.withColumn("n", F.length("text").cast("long")).withColumn("m", F.size(tokens("text")).cast("long"))
     ends = sized.withColumn("end", F.sum("n").over(upto)).withColumn("token_end", F.sum("m").over(upto))
-    return ends.select("doc_id", "pos", (F.col("end") - F.col("n")).alias("start"), "end", (F.col("token_end") - F.col("m")).alias("token_start"), "token_end", "text")
+    return ends.withColumn("start", F.col("end") - F.col("n")).withColumn("token_start", F.col("token_end") - F.col("m")).drop("n", "m")
 
 
-def semantic_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], quantile: float = 0.95) -> DataFrame:
+def sentence_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, start, end, token_start, token_end, text of the sentences of docs (doc_id, text): spans in characters and in tokens, ends exclusive."""
+    sized = _sentences(docs).withColumn("n", F.length("text").cast("long")).withColumn("m", F.size(tokens("text")).cast("long"))
+    return _spanned(sized).select("doc_id", "pos", "start", "end", "token_start", "token_end", "text")
+
+
+def _neighbour_drops(sentences: DataFrame, rows: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """doc_id, pos, n, m, drop of sentences (doc_id, pos, n, words), which follow each other as their documents were cut: vectors meet the one before within the task, so
+    none is shuffled. The state is one vector."""
+
+    def drops(batches):
+        last, last_m = np.zeros(0), 0
+        for b in batches:
+            pos, m = b.column("pos").to_numpy(), pc.list_value_length(b.column("words")).to_numpy()
+            v = rows(b.column("words")).astype(float)
+            before = np.concatenate([last[None] if len(last) else np.zeros_like(v[:1]), v[:-1]])
+            counts_before = np.append(last_m, m[:-1])
+            both = np.sqrt((v * v).sum(1)) * np.sqrt((before * before).sum(1))
+            drop = 1 - np.where(both > 0, (v * before).sum(1) / np.where(both > 0, both, 1), 0.0)
+            there = (pos > 0) & (m > 0) & (counts_before > 0)
+            if len(v):
+                last, last_m = v[-1], m[-1]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pos"), b.column("n"), pa.array(m.astype(np.int64)), pa.array(drop, mask=~there)], ["doc_id", "pos", "n", "m", "drop"])
+
+    kinds = sentences.schema
+    return sentences.mapInArrow(drops, T.StructType([kinds["doc_id"], kinds["pos"], kinds["n"], T.StructField("m", T.LongType()), T.StructField("drop", T.DoubleType())]))
+
+
+def semantic_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, quantile: float = 0.95, rows: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
     """doc_id, chunk, start, end, token_start, token_end: sentences in runs that end where the similarity of neighbours drops most, by more than the quantile of a
-    document's drops (C06). embed turns (id, text) into (id, embedding); a sentence without a vector is like its neighbours. The spans tile the text."""
-    sentences = kept(sentence_spans(docs))
-    ids = F.concat_ws(":", "doc_id", "pos")
-    vectors = embed(sentences.select(ids.alias("id"), "text"))
-    met = sentences.drop("text").withColumn("id", ids).join(vectors, "id", "left")
+    document's drops (C06). A sentence without a vector is like its neighbours. The spans tile the text.
+
+    embed turns (id, text) into (id, embedding), which meets its sentence again by a join. rows turns lists of tokens into rows of vectors within a task; a list without
+    tokens has no vector."""
     by = Window.partitionBy("doc_id").orderBy("pos")
-    drops = met.withColumn("before", F.lag("embedding").over(by))
-    drops = drops.withColumn("drop", F.when(F.col("before").isNotNull() & F.col("embedding").isNotNull(), F.round(1 - cosine("embedding", "before"), 6))).drop("before", "embedding")
-    drops = kept(drops)
-    limits = drops.groupBy("doc_id").agg(F.round(F.percentile("drop", F.lit(quantile)), 6).alias("limit"))
-    cut = drops.join(limits, "doc_id").withColumn("breaks", F.coalesce((F.col("drop") > F.col("limit")).cast("int"), F.lit(0)))
+    if rows:
+        cut = _sentences(docs).select("doc_id", "pos", F.length("text").cast("long").alias("n"), tokens("text").alias("words"))
+        drops = _spanned(_neighbour_drops(cut, rows).withColumn("drop", F.round("drop", 6)))
+    else:
+        sentences = kept(sentence_spans(docs))
+        ids = F.concat_ws(":", "doc_id", "pos")
+        vectors = embed(sentences.select(ids.alias("id"), "text"))
+        met = sentences.drop("text").withColumn("id", ids).join(vectors, "id", "left").withColumn("before", F.lag("embedding").over(by))
+        drops = met.withColumn("drop", F.when(F.col("before").isNotNull() & F.col("embedding").isNotNull(), F.round(1 - cosine("embedding", "before"), 6))).drop("before", "embedding")
+    limited = drops.withColumn("limit", F.round(F.percentile("drop", F.lit(quantile)).over(Window.partitionBy("doc_id")), 6))
+    cut = limited.withColumn("breaks", F.coalesce((F.col("drop") > F.col("limit")).cast("int"), F.lit(0)))
     numbered = cut.withColumn("chunk", F.sum("breaks").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("token_start").alias("token_start"), F.max("token_end").alias("token_end"))
 

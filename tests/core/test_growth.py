@@ -29,3 +29,13 @@ def test_cells_of_a_text_are_added_up_before_the_shuffle(spark):
     cells = hashed_cells(docs)
     assert "Generate" not in _plan(cells)
     assert sorted(abs(r.value) for r in cells.collect()) == [2, 2] and {r.id for r in cells.collect()} == {1}
+
+
+def test_vectors_within_tasks_give_the_chunks_of_joined_ones(spark):
+    from lexiflume.operators.embedding import hashed_sums, hashed_vectors
+
+    texts = [(i, "".join(f"w{i} w{j % 4} x{j * i % 5}. " + ("!?\n" if j % 3 == 0 else "... ") for j in range(i * 7))) for i in range(12)]
+    docs = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string").repartition(3)
+    inside = chunking.semantic_chunks(docs, rows=lambda words: hashed_sums(words)[0])
+    assert "embedding" not in _plan(inside)  # no vector is shuffled
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, chunking.semantic_chunks(docs, hashed_vectors).collect()))
