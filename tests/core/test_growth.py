@@ -39,3 +39,12 @@ def test_vectors_within_tasks_give_the_chunks_of_joined_ones(spark):
     inside = chunking.semantic_chunks(docs, rows=lambda words: hashed_sums(words)[0])
     assert "embedding" not in _plan(inside)  # no vector is shuffled
     assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, chunking.semantic_chunks(docs, hashed_vectors).collect()))
+
+
+def test_pairs_of_words_are_shuffled_once_as_hashes(spark):
+    from lexiflume.operators.entities import entities
+
+    docs = spark.createDataFrame([(i, f"Red Fox r{i} blue fox s{i}") for i in range(40)], "doc_id long, text string")
+    found = entities(docs)
+    assert _plan(found).count("Generate ") == 1
+    assert sorted((r.name, r.kind, r.n) for r in found.collect()) == [("blue fox", "term", 40), ("red fox", "name", 40)]
