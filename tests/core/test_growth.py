@@ -48,3 +48,18 @@ def test_pairs_of_words_are_shuffled_once_as_hashes(spark):
     found = entities(docs)
     assert _plan(found).count("Generate ") == 1
     assert sorted((r.name, r.kind, r.n) for r in found.collect()) == [("blue fox", "term", 40), ("red fox", "name", 40)]
+
+
+def test_few_texts_of_a_batch_are_strings_at_once(spark, monkeypatch):
+    from lexiflume.operators import generation
+
+    monkeypatch.setattr(generation, "AT_ONCE", 2)
+
+    def call(t):
+        if t == "3":
+            raise ValueError("three")
+        return t + "!"
+
+    df = spark.range(0, 7, 1, 1).select(F.col("id").cast("string").alias("t")).select("t", generation.attempted("t", call).alias("r"))
+    assert "ArrowEvalPython" in _plan(df)
+    assert [(r.r.value, r.r.error) for r in df.collect()] == [(None, "three") if i == 3 else (f"{i}!", None) for i in range(7)]
