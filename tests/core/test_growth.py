@@ -63,3 +63,15 @@ def test_few_texts_of_a_batch_are_strings_at_once(spark, monkeypatch):
     df = spark.range(0, 7, 1, 1).select(F.col("id").cast("string").alias("t")).select("t", generation.attempted("t", call).alias("r"))
     assert "ArrowEvalPython" in _plan(df)
     assert [(r.r.value, r.r.error) for r in df.collect()] == [(None, "three") if i == 3 else (f"{i}!", None) for i in range(7)]
+
+
+def test_a_store_of_several_parts_is_one_file(spark, tmp_path):
+    from lexiflume.sources import store
+
+    c = store.Catalog()
+    spark.range(9).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("entities", "relations"):
+        spark.range(2).repartition(2).write.parquet(f"{tmp_path}/graph/{name}.parquet")
+    c.open(spark, "vector", f"file://{tmp_path}/embeddings.parquet")
+    c.register("graph", spark.read.parquet(*(f"file://{tmp_path}/graph/{n}.parquet" for n in ("entities", "relations"))))
+    assert sorted(map(tuple, c.status(spark).collect())) == [("graph", True, 2, 4), ("vector", True, 1, 9)]
