@@ -22,15 +22,6 @@ def test_tokens_are_found_once_for_all_windows(spark):
     assert docs.select(F.size(chunking.windows(X.tokens("t"), 50, 40)).alias("n")).distinct().first().n == 3
 
 
-def test_cells_of_a_text_are_added_up_before_the_shuffle(spark):
-    from lexiflume.operators.embedding import hashed_cells
-
-    docs = spark.createDataFrame([(1, "one two two"), (1, "one"), (2, None), (3, "")], "id long, text string")
-    cells = hashed_cells(docs)
-    assert "Generate" not in _plan(cells)
-    assert sorted(abs(r.value) for r in cells.collect()) == [2, 2] and {r.id for r in cells.collect()} == {1}
-
-
 def test_vectors_within_tasks_give_the_chunks_of_joined_ones(spark):
     from lexiflume.operators.embedding import hashed_sums, hashed_vectors
 
@@ -41,6 +32,15 @@ def test_vectors_within_tasks_give_the_chunks_of_joined_ones(spark):
     assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, chunking.semantic_chunks(docs, hashed_vectors).collect()))
 
 
+def test_cells_of_a_text_are_added_up_before_the_shuffle(spark):
+    from lexiflume.operators.embedding import hashed_cells
+
+    docs = spark.createDataFrame([(1, "one two two"), (1, "one"), (2, None), (3, "")], "id long, text string")
+    cells = hashed_cells(docs)
+    assert "Generate" not in _plan(cells)
+    assert sorted(abs(r.value) for r in cells.collect()) == [2, 2] and {r.id for r in cells.collect()} == {1}
+
+
 def test_pairs_of_words_are_shuffled_once_as_hashes(spark):
     from lexiflume.operators.entities import entities
 
@@ -50,6 +50,12 @@ def test_pairs_of_words_are_shuffled_once_as_hashes(spark):
     assert sorted((r.name, r.kind, r.n) for r in found.collect()) == [("blue fox", "term", 40), ("red fox", "name", 40)]
 
 
+def test_scores_are_rounded_before_they_are_sorted(spark):
+    from lexiflume.plans.retrieval_queries import w01
+
+    assert not any("round(" in line for line in _plan(w01(spark, "/root/testdata/sf0.001")).splitlines() if "Window" in line)
+
+
 def test_few_texts_of_a_batch_are_strings_at_once(spark, monkeypatch):
     from lexiflume.operators import generation
 
