@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from lexiflume.functions import text as X
@@ -199,11 +200,11 @@ def r20(spark, d):
     """Token p of a batch has the vector (half its chunk's length + 1, p + 1), so a chunk's mean is known."""
     t = chunks(spark, d).select("chunk_id", "source", "doc_id", F.size(X.tokens("content")).cast("long").alias("n_tokens"))
 
-    def embed(packed):
-        places = packed.where("n_tokens > 0").select("batch_id", "start", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1)).alias("j"))
-        return places.select(F.col("batch_id").alias("doc_id"), (F.col("start") + F.col("j")).alias("pos"), F.array(F.col("n_tokens") / 2 + 1, (F.col("start") + F.col("j") + 1).cast("double")).alias("embedding"))
+    def embed(part, first, last):
+        sizes, pos = part.column("n_tokens").to_numpy(), np.arange(first, last)
+        return np.stack([sizes[np.searchsorted(np.cumsum(sizes), pos, "right")] / 2 + 1, pos + 1.0], 1)
 
-    found = vectors.late_ingest(t, embed)
+    found = vectors.late_ingest(t, rows=embed)
     return found.select("chunk_id", "start", "end", F.round(F.col("embedding")[0], 3).alias("first"))
 
 

@@ -81,3 +81,35 @@ def test_a_store_of_several_parts_is_one_file(spark, tmp_path):
     c.open(spark, "vector", f"file://{tmp_path}/embeddings.parquet")
     c.register("graph", spark.read.parquet(*(f"file://{tmp_path}/graph/{n}.parquet" for n in ("entities", "relations"))))
     assert sorted(map(tuple, c.status(spark).collect())) == [("graph", True, 2, 4), ("vector", True, 1, 9)]
+
+
+def test_token_vectors_are_pooled_in_the_task_of_their_batch(spark):
+    import numpy as np
+
+    from lexiflume.operators import vectors
+
+    sizes = [3, 0, 5, 20_000, 7, None, 4, 1]
+    rows = [(f"c{g}-{i}", f"s{g}", i, n) for g in range(3) for i, n in enumerate(sizes * (g + 1))]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, doc_id long, n_tokens long").repartition(3)
+
+    def joined(packed):
+        places = packed.where("n_tokens > 0").select("batch_id", "start", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1)).alias("j"))
+        return places.select(F.col("batch_id").alias("doc_id"), (F.col("start") + F.col("j")).alias("pos"), F.array(F.col("n_tokens") / 2 + 1, (F.col("start") + F.col("j") + 1).cast("double")).alias("embedding"))
+
+    def inside(part, first, last):
+        n, pos = np.array([x or 0 for x in part.column("n_tokens").to_pylist()]), np.arange(first, last)
+        return np.stack([n[np.searchsorted(np.cumsum(n), pos, "right")] / 2 + 1, pos + 1.0], 1)
+
+    here = vectors.late_ingest(chunks, rows=inside, budget=130)
+    assert "Generate" not in _plan(here)  # no row for each token
+    found = lambda df: sorted((r.chunk_id, r.batch_id, r.start, r.end, [round(x, 9) for x in r.embedding]) for r in df.collect())
+    assert found(here) == found(vectors.late_ingest(chunks, joined, budget=130))
+    assert len(found(here)) == 6 * 6
+    nothing = vectors.late_ingest(chunks.where("n_tokens is null or n_tokens = 0"), rows=inside)
+    assert nothing.count() == 0
+
+
+def test_r20_makes_no_row_for_each_token(spark):
+    from lexiflume.plans.service_queries import r20
+
+    assert "Generate" not in _plan(r20(spark, "/root/testdata/sf0.001"))
