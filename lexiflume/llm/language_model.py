@@ -140,10 +140,13 @@ class Bilinear:
         at = np.arange(len(c))
         seen = np.zeros((3, len(c), DIM), np.float32)
         for j in (1, 2):
-            some = at - j >= begin
-            seen[j - 1, some] = r[at[some] - j]
+            seen[j - 1, j:] = r[:-j]
+            seen[j - 1, at - j < begin] = 0
         seen[2] = _window_sums(r, begin)
-        return (seen * self.mixing[:, None]).sum(0), seen
+        q = seen[0] * self.mixing[0]
+        for j in (1, 2):
+            q += seen[j] * self.mixing[j]
+        return q, seen
 
     def log_probabilities(self, c: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Natural log of each token's class given its context."""
@@ -152,8 +155,9 @@ class Bilinear:
         q = np.ones((len(c), DIM + 1), np.float32)  # the last place takes the bias
         q[:, :DIM] = _window_sums(r, begin) * self.mixing[2]
         for j in (1, 2):
-            some = np.flatnonzero(at - j >= begin)
-            q[some, :DIM] += r[some - j] * self.mixing[j - 1]
+            more = r[:-j] * self.mixing[j - 1]
+            more[(at - j < begin)[j:]] = 0
+            q[j:, :DIM] += more
         top, member = (np.concatenate([v, b[:, None]], 1) for v, b in ((self.top, self.top_bias), (self.member, self.member_bias)))
         group = c // side
         # No score is beyond this, so most often sums of powers need no shift.
@@ -202,28 +206,67 @@ def _sums(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _share(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of masses its number plus the running shares, flat and ascending, and the logs of NOISE times the shares."""
+    share = mass / mass.sum(1, keepdims=True)
+    upto = np.minimum(np.cumsum(share, 1), 1)
+    upto[:, -1] = 1
+    return (np.arange(len(mass))[:, None] + upto).ravel(), np.log(NOISE * share + 1e-12).astype(np.float32).ravel()
+
+
+def _contrasts(q, vectors, true, cuts, share, r, weight):
+    """Noise-contrastive gradients for rows q whose true outcomes are ``true`` (sorted) among the vectors, for q and for the vectors; the last place of both is the bias.
+    Rows from cuts[g] to cuts[g + 1] have their draws among the vectors of the g-th of as many equal parts. What concerns true outcomes is done for all rows at
+    once, the draws part by part within a processor's cache."""
+    upto, log_noise = share
+    parts = len(cuts) - 1
+    u = r.random((parts, NOISE * SHARED))
+    u.sort(1)
+    size = len(vectors) // parts
+    draws = np.searchsorted(upto, (np.arange(parts)[:, None] + u).ravel(), "right").reshape(parts, -1)
+    draws = np.minimum(draws, np.arange(1, parts + 1)[:, None] * size - 1)  # the sum of a part and a share may be rounded up
+    shifted = vectors.copy()
+    shifted[:, -1] -= log_noise
+    drawn = shifted[draws]
+    mine = shifted[true]
+    d_yes = np.einsum("ij,ij->i", q, mine)
+    d_yes = weight / (1 + np.exp(d_yes, out=d_yes))
+    mine *= d_yes[:, None]
+    d_drawn = np.zeros_like(drawn)
+    for g in np.flatnonzero(np.diff(cuts)):
+        minus = -drawn[g].T
+        for a in range(cuts[g], cuts[g + 1], AT_ONCE):
+            rows = slice(a, min(a + AT_ONCE, cuts[g + 1]))
+            no = q[rows] @ minus
+            np.exp(no, out=no)
+            no += 1
+            np.divide(-weight / SHARED, no, out=no)
+            mine[rows] += no @ drawn[g]
+            d_drawn[g] += no.T @ q[rows]
+    d_vectors = _sums(true, d_yes[:, None] * q, len(vectors))
+    d_vectors += _sums(draws.ravel(), d_drawn.reshape(-1, q.shape[1]), len(vectors))
+    return mine, d_vectors
+
+
 def _contrast(q, vectors, bias, true, share, r, weight):
-    """Noise-contrastive gradients for rows q whose true outcomes are ``true`` (sorted): for q, vectors and bias."""
-    draws = np.searchsorted(share, r.random(NOISE * SHARED) * share[-1], "right").clip(0, len(share) - 1)
-    draws.sort()
-    log_noise = np.log(NOISE * np.diff(share, prepend=0) / share[-1] + 1e-12).astype(np.float32)
-    yes = (q * vectors[true]).sum(1) + bias[true] - log_noise[true]
-    no = q @ vectors[draws].T + bias[draws] - log_noise[draws]
-    d_yes = weight / (1 + np.exp(yes))
-    d_no = -(weight / SHARED) / (1 + np.exp(-no))
-    dq = d_yes[:, None] * vectors[true] + d_no @ vectors[draws]
-    d_vectors = _sums(true, d_yes[:, None] * q, len(vectors)) + _sums(draws, d_no.T @ q, len(vectors))
-    d_bias = _sums(true, d_yes, len(vectors)) + _sums(draws, d_no.sum(0), len(vectors))
-    return dq, d_vectors, d_bias
+    """_contrasts with one part, of running shares, and biases of their own: gradients for q, vectors and bias."""
+    q, vectors = np.concatenate([q, np.ones_like(q[:, :1])], 1), np.concatenate([vectors, bias[:, None]], 1)
+    dq, d_vectors = _contrasts(q, vectors, true, np.array([0, len(q)]), _share(np.diff(share, prepend=0)[None]), r, weight)
+    return dq[:, :-1], d_vectors[:, :-1], d_vectors[:, -1]
 
 
 def train(model: Bilinear, texts: list[np.ndarray], mass: np.ndarray, rate: float, seed: int) -> Bilinear:
     """One pass of noise-contrastive estimation over texts (classes of their tokens), a batch of neighbouring texts at a time."""
     r, side = np.random.default_rng(seed), len(model.top)
     groups = mass.reshape(side, side)
-    top_share, member_share = np.cumsum(groups.sum(1)), np.cumsum(groups, 1)
+    top_share, member_share = _share(groups.sum(1)[None]), _share(groups)
     model = Bilinear(*(p.copy() for p in model.parts()))
-    seen = [np.full(p.shape, 1e-6, np.float32) for p in model.parts()]
+    # Vectors with their biases in the last place.
+    top, member = (np.concatenate([v, b[:, None]], 1) for v, b in ((model.top, model.top_bias), (model.member, model.member_bias)))
+    learnt = (model.source, model.mixing, top, member)
+    # AdaGrad; biases start at the frequencies and move slowly.
+    slow = np.append(np.ones(DIM), 0.1).astype(np.float32)
+    seen, speeds = [np.full(p.shape, 1e-6, np.float32) for p in learnt], (np.float32(1), np.float32(0.1), slow, slow)
     tokens = np.concatenate(texts).astype(np.int64)
     starts = np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), [len(t) for t in texts])
     for a in range(0, len(tokens), BATCH):
@@ -231,33 +274,30 @@ def train(model: Bilinear, texts: list[np.ndarray], mass: np.ndarray, rate: floa
         begin = np.maximum(starts[a : a + BATCH] - a, 0)
         q, parts = model.predicted(c, begin)
         order = _by_class(c)
-        qs, cs = q[order], c[order]
+        qs, cs = np.ones((len(c), DIM + 1), np.float32), c[order]
+        qs[:, :DIM] = q[order]
         gs = cs // side
         weight = np.float32(1 / len(c))
-        dq, d_top, d_top_bias = _contrast(qs, model.top, model.top_bias, gs, top_share, r, weight)
-        d_member, d_member_bias = np.zeros_like(model.member), np.zeros_like(model.member_bias)
-        cuts = np.searchsorted(gs, np.arange(side + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            rows, here = slice(cuts[g], cuts[g + 1]), slice(g * side, (g + 1) * side)
-            more, d_member[here], d_member_bias[here] = _contrast(qs[rows], model.member[here], model.member_bias[here], cs[rows] - g * side, member_share[g], r, weight)
-            dq[rows] += more
-        back = np.empty_like(dq)
-        back[order] = dq
-        d_mixing = (parts * back).sum(1)
+        dq, d_top = _contrasts(qs, top, gs, np.array([0, len(c)]), top_share, r, weight)
+        more, d_member = _contrasts(qs, member, cs, np.searchsorted(gs, np.arange(side + 1)), member_share, r, weight)
+        back = np.empty_like(q)
+        back[order] = (dq + more)[:, :DIM]
+        d_mixing = np.einsum("kij,ij->kj", parts, back)
         # What each token's own vector gets from the tokens after it.
         at = np.arange(len(c))
         end = np.searchsorted(begin, begin, "right")
-        own = np.zeros_like(back)
+        sums = np.zeros((len(c) + 1, DIM))
+        np.cumsum(back, axis=0, dtype=np.float64, out=sums[1:])
+        own = ((sums[np.minimum(at + WIDE + 1, end)] - sums[at + 1]) * model.mixing[2]).astype(np.float32)
         for j in (1, 2):
-            some = at + j < end
-            own[some] += back[at[some] + j] * model.mixing[j - 1]
-        sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(back.astype(np.float64), axis=0)])
-        own += ((sums[np.minimum(at + WIDE + 1, end)] - sums[at + 1]) * model.mixing[2]).astype(np.float32)
+            after = back[j:] * model.mixing[j - 1]
+            after[(at + j >= end)[:-j]] = 0
+            own[:-j] += after
         d_source = _sums(cs, own[order], len(model.source))
-        # AdaGrad; biases start at the frequencies and move slowly.
-        for part, total, grad, speed in zip(model.parts(), seen, (d_source, d_mixing, d_top, d_top_bias, d_member, d_member_bias), (1.0, 0.1, 1.0, 0.1, 1.0, 0.1), strict=True):
+        for part, total, grad, speed in zip(learnt, seen, (d_source, d_mixing, d_top, d_member), speeds, strict=True):
             total += grad * grad
-            part += rate * speed * grad / np.sqrt(total)
+            part += np.float32(rate) * speed * grad / np.sqrt(total)
+    model.top, model.top_bias, model.member, model.member_bias = top[:, :DIM], top[:, DIM], member[:, :DIM], member[:, DIM]
     return model
 
 

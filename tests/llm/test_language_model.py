@@ -82,6 +82,37 @@ def test_gradients_are_those_of_the_contrastive_loss():
             assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(grad[at], abs=1e-3)
 
 
+def test_gradients_of_all_groups_at_once(monkeypatch):
+    r = np.random.default_rng(4)
+    side, n = 5, 60
+    q, v, bias, mass = r.normal(size=(n, 4)), r.normal(size=(side * side, 4)), r.normal(size=side * side), r.dirichlet(np.ones(side * side))
+    true = np.sort(r.choice([0, 1, 2, 7, 8, 20, 24], n))  # two groups have no rows
+    cuts = np.searchsorted(true // side, np.arange(side + 1))
+    monkeypatch.setattr(L, "AT_ONCE", 7)
+    dq, d = L._contrasts(np.append(q, np.ones((n, 1)), 1), np.append(v, bias[:, None], 1), true, cuts, L._share(mass.reshape(side, side)), np.random.default_rng(8), 1.0)
+    draws = np.random.default_rng(8).random((side, L.NOISE * L.SHARED))
+
+    class Fixed:
+        def random(self, shape):
+            return draws[g].reshape(shape)
+
+    for g in range(side):
+        rows, here = slice(cuts[g], cuts[g + 1]), slice(g * side, (g + 1) * side)
+        if cuts[g] < cuts[g + 1]:
+            one = L._contrast(q[rows], v[here], bias[here], true[rows] - g * side, np.cumsum(mass[here]), Fixed(), 1.0)
+            for found, want in zip((dq[rows, :4], d[here, :4], d[here, 4]), one, strict=True):
+                assert found == pytest.approx(want, abs=1e-5)
+        else:
+            assert not d[here].any()
+
+
+def test_a_batch_takes_few_steps_whatever_the_groups(monkeypatch):
+    calls, sums = [], L._sums
+    monkeypatch.setattr(L, "_sums", lambda *a: calls.append(1) or sums(*a))
+    small()  # one batch
+    assert len(calls) <= 5
+
+
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(L, "PART", 500)  # several parts a round
     rows = corpus(300)
