@@ -113,3 +113,25 @@ def test_r20_makes_no_row_for_each_token(spark):
     from lexiflume.plans.service_queries import r20
 
     assert "Generate" not in _plan(r20(spark, "/root/testdata/sf0.001"))
+
+
+def test_an_index_splits_texts_once(spark, tmp_path):
+    from lexiflume.operators.bm25 import Bm25Index
+
+    texts = ["b a a é", None, "", "c,b;b A", "?!", "ß b", "x" * 70_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    index = Bm25Index.build(docs, slice_docs=2)
+    index.save(f"file://{tmp_path}/index")
+    stored = Bm25Index.load(spark, f"file://{tmp_path}/index")
+    assert "regexp_extract_all" not in Bm25Index.of(stored.slices, 0.25).terms._jdf.queryExecution().optimizedPlan().toString()
+    want = {"a": 2, "b": 3, "c": 1, "é": 1, "ß": 1, "x" * 70_000: 1}
+    for found in (index, stored):
+        assert {r.term: r.df for r in found.terms.collect()} == want
+        assert found.corpus.first() == (7, 11 / 7)
+    read = stored.search(spark.createDataFrame([(1, "b")], "query_id long, query string"))._jdf.queryExecution().sparkPlan().toString()
+    columns = [line.split("FileScan parquet [")[1].split("]")[0] for line in read.splitlines() if "FileScan" in line]
+    assert any("tfs#" in c for c in columns) and not any("words#" in c for c in columns)  # a search does not read them
+    keys = {r.term: r.key for r in stored.terms.select("term", "key").collect()}
+    assert {r.k for r in stored.slices.select(F.explode("terms").alias("k")).collect()} == set(keys.values())
+    assert sorted(map(tuple, stored.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+    assert (("b", 3, 2) in set(map(tuple, stored.postings.collect()))) and (("a", 0, 2) in set(map(tuple, stored.postings.collect())))
