@@ -17,13 +17,22 @@ from lexiflume.sources.store import kept
 
 # Header marks and the metadata they set.
 LEVELS = {"source": 1, "chapter": 2, "section": 3, "article": 4}
+#: What is left of a line that is a header, or would be one without the backslashes before its marks.
+_HEADER = r"#{1,4}[\s&&[^\n]]+[^\s]"
 
 
-def header_split(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def as_body(text: Column | str) -> Column:
+    """A text as the body of a Markdown section: lines that would be headers get a backslash before their marks (header_split takes it off again, if literal)."""
+    return F.regexp_replace(text, rf"(?md)^(?=\\*{_HEADER})", r"\\")
+
+
+def header_split(docs: DataFrame, text_col: str = "text", literal: bool = False) -> DataFrame:
     """doc_id, part, source, chapter, section, article, content: runs of lines under the same headers; a header resets the
-    deeper ones (C01). A document's lines are one ordered group."""
+    deeper ones (C01). A document's lines are one ordered group. Runs of blank lines are left out. literal: bodies are texts as as_body makes them, whatever they
+    hold; their backslashes are taken off, and a blank text is a run as well."""
     lines = docs.select("doc_id", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     mark = F.regexp_extract("line", r"^(#{1,4})\s+\S", 1)
+    line = F.regexp_replace("line", rf"^\\(?=\\*{_HEADER})", "") if literal else F.col("line")
     titled = lines.withColumn("level", F.length(mark)).withColumn("title", F.trim(F.regexp_replace("line", r"^#{1,4}\s+", "")))
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = titled.withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(so_far))
@@ -34,10 +43,10 @@ def header_split(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for name in LEVELS:
         out = out.withColumn(name, F.when(F.col(f"{name}_at") > higher, F.col(f"{name}_title")))
         higher = F.greatest(higher, F.coalesce(F.col(f"{name}_at"), F.lit(-1)))
-    body = out.where("level = 0")
+    body = out.where("level = 0").withColumn("line", line)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     got = body.groupBy("doc_id", "part").agg(*[F.first(n, True).alias(n) for n in LEVELS], F.trim(joined).alias("content"))
-    return got.where("content <> ''")
+    return got if literal else got.where("content <> ''")
 
 
 def clause_pack(c: Column | str, size: int = DEFAULTS.chunk_size) -> Column:

@@ -28,7 +28,7 @@ def s01(spark, d):
     files = store.scratch_path(spark, "markdown")
     # Files of some documents each: every document starts with a header of the first level.
     _markdown(spark, d).select(F.pmod("doc_id", F.lit(64)).alias("file"), "text").repartition("file").write.partitionBy("file").text(files)
-    got = markdown.chunk_and_save(spark, files, store.scratch_path(spark, "chunks"))
+    got = markdown.chunk_and_save(spark, files, store.scratch_path(spark, "chunks"), literal=True)
     return got.groupBy(F.md5("content").alias("digest"), "article").agg(F.count("*").alias("n"))
 
 
