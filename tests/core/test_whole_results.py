@@ -1,7 +1,12 @@
 """Queries that give their whole results, and prompts that keep their lines."""
 
+import glob
+import os
 from dataclasses import replace
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from lexiflume.config import DEFAULTS
 from lexiflume.operators import generation
 from lexiflume.operators.bm25 import Bm25Index, tags
@@ -9,6 +14,7 @@ from lexiflume.plans.embedding_queries import v11
 from lexiflume.plans.retrieval_queries import w01
 from lexiflume.operators.fusion import CUT
 from lexiflume.plans.retrieval import Retriever
+from lexiflume.sources.store import Catalog
 from lexiflume.sources.tables import chunks, questions, table
 from pyspark.sql import functions as F
 
@@ -47,3 +53,27 @@ def test_a_block_cut_in_its_heading_counts(spark):
     first = of(max_context_chars=10**7).context.split("\n\n[Đoạn 2]\n")[0]
     few = of(max_context_chars=len(first) + 2 + 4 + len(CUT))
     assert few.context == f"{first}\n\n[Đoạ{CUT}" and few.n_blocks == 2
+
+
+@pytest.mark.parametrize("break_it", [lambda path: [os.remove(f) for f in glob.glob(f"{path}/*.parquet")], lambda path: [open(f, "w").write("no table") for f in glob.glob(f"{path}/*.parquet")]])
+def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_path, break_it):
+    c = Catalog()
+    for name in ("vector", "graph"):
+        spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.open(spark, name, f"file://{tmp_path}/{name}.parquet")
+    c.open(spark, "other", f"file://{tmp_path}/other.parquet")
+    assert sorted(map(tuple, c.status(spark).collect())) == [("graph", True, 1, 3), ("other", False, 0, 0), ("vector", True, 1, 3)]
+    break_it(f"{tmp_path}/graph.parquet")
+    with pytest.raises(RuntimeError, match="graph"):
+        c.status(spark)
+
+
+def test_a_store_without_a_plan_is_not_left_out(spark):
+    class Gone:
+        def inputFiles(self):  # noqa: N802
+            raise AnalysisException("gone")
+
+    c = Catalog()
+    c.register("vector", Gone())
+    with pytest.raises(RuntimeError, match="vector"):
+        c.status(spark)
